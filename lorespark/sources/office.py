@@ -1,0 +1,402 @@
+"""Office files, Markdown and text files to sections.
+
+Files are spread over tasks by Spark; the Python below only opens one archive
+and yields its sections. PDF text comes from an extractor that the caller gives.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import xml.etree.ElementTree as ElementTree
+import zipfile
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.mime import document_format
+from ..functions.text import strip
+from ..model import SECTION, Settings
+from ..operators.chunks import finish_sections, markdown_first_heading, markdown_sections, plain_parts
+
+# Metadata kept from the core properties of an Office file.
+CORE_PROPERTIES = ("title", "subject", "creator", "description", "keywords", "lastModifiedBy", "created", "modified")
+SHEET_BLOCK_ROWS = 50
+OFFICE_FORMATS = ("docx", "xlsx", "pptx")
+
+EXTRACTED = T.StructType(
+    [
+        T.StructField("sections", T.ArrayType(SECTION)),
+        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("warnings", T.ArrayType(T.StringType())),
+        T.StructField("needs_ocr", T.BooleanType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
+class Rejected(Exception):
+    pass
+
+
+def open_archive(content: bytes, settings: Settings) -> dict[str, bytes]:
+    """Relevant entries of an Office archive, after the size and path guards."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        raise Rejected("invalid Office archive") from None
+    entries = archive.infolist()
+    if len(entries) > settings.max_archive_entries:
+        raise Rejected(f"archive exceeds {settings.max_archive_entries} entries")
+    if sum(entry.file_size for entry in entries) > settings.max_expanded_bytes:
+        raise Rejected(f"archive expands beyond {settings.max_expanded_bytes} bytes")
+    kept = {}
+    for entry in entries:
+        name = entry.filename
+        if entry.file_size and entry.file_size / max(1, entry.compress_size) > settings.max_compression_ratio:
+            raise Rejected(f"archive entry '{name}' exceeds the compression-ratio guard")
+        if name.startswith("/") or ".." in name.split("/") or "\\" in name:
+            raise Rejected("archive contains an unsafe path")
+        if name.endswith((".xml", ".rels")) or name.startswith(("word/media/", "ppt/media/")):
+            kept[name] = archive.read(entry)
+    return kept
+
+
+def parse(archive: dict[str, bytes], name: str):
+    """Element tree of one part, with names freed of their namespaces."""
+    if name not in archive:
+        raise Rejected(f"archive is missing {name}")
+    text = archive[name].decode("utf-8", "replace")
+    if re.search(r"<!DOCTYPE|<!ENTITY", text, re.I):
+        raise Rejected(f"{name} contains a forbidden XML declaration")
+    depth = 0
+    for tag in re.finditer(r"<(/?)[^!?][^>]*?(/?)>", text):
+        depth += -1 if tag[1] else 0 if tag[2] else 1
+        if depth > 256:
+            raise Rejected(f"{name} exceeds the XML depth guard")
+    # Prefixes need not be bound, as only local names are read.
+    bare = re.sub(r"""\sxmlns(?::[\w.-]+)?\s*=\s*("[^"]*"|'[^']*')""", "", text)
+    bare = re.sub(r"(</?)[\w.-]+:", r"\1", bare)
+    bare = re.sub(r"""(\s)[\w.-]+:([\w.-]+\s*=)""", r"\1\2", bare)
+    try:
+        return ElementTree.fromstring(bare.encode())
+    except ElementTree.ParseError as problem:
+        raise Rejected(f"{name}: {problem}") from None
+
+
+def text_of(element) -> str:
+    """All text runs below an element, joined by blanks."""
+    return " ".join(" ".join("".join(run.itertext()) for run in element.iter("t")).split())
+
+
+def make_section(kind: str, title: str | None, text: str, hidden: bool = False, needs_ocr: bool = False, **place) -> dict:
+    where = {name: place.get(name) for name in LOCATOR_NAMES}
+    return {"kind": kind, "title": title, "locator": where, "text": text.strip(), "hidden": hidden, "needs_ocr": needs_ocr}
+
+
+LOCATOR_NAMES = ("label", "page", "slide", "sheet", "range", "heading", "image", "part")
+
+
+def core_metadata(archive: dict[str, bytes]) -> dict[str, str]:
+    if "docProps/core.xml" not in archive:
+        return {}
+    root = parse(archive, "docProps/core.xml")
+    found = ((name, next((node.text for node in root.iter(name) if node.text), None)) for name in CORE_PROPERTIES)
+    return {name: value for name, value in found if value}
+
+
+def read_docx(archive: dict[str, bytes], settings: Settings) -> tuple[list[dict], dict, int]:
+    body = parse(archive, "word/document.xml").find("body")
+    sections, number = [], 1
+    for paragraph in body.findall("p") if body is not None else ():
+        text = text_of(paragraph)
+        if not text:
+            continue
+        style = next((node.get("val", "") for node in paragraph.iterfind("pPr/*") if node.get("val")), "")
+        heading = bool(re.match(r"Heading|T[ií]tulo", style, re.I))
+        label = f"Heading: {text}" if heading else f"Paragraph {number}"
+        sections.append(make_section("heading" if heading else "paragraph", text if heading else None, text, label=label, heading=text if heading else None, part="document"))
+        number += 1
+    for table in body.findall("tbl") if body is not None else ():
+        rows = [" | ".join(filter(None, map(text_of, row.findall("tc")))) for row in table.findall("tr")]
+        if any(rows):
+            sections.append(make_section("table", f"Table {number}", "\n".join(filter(None, rows)), label=f"Table {number}", part="document"))
+        number += 1
+    for name in sorted(part for part in archive if re.match(r"word/(header|footer|footnotes|endnotes).*\.xml$", part)):
+        text, stem = text_of(parse(archive, name)), posixpath.basename(name)[:-4]
+        if text:
+            sections.append(make_section("paragraph", stem, text, label=stem, part=name))
+    return sections, core_metadata(archive), sum(name.startswith("word/media/") for name in archive)
+
+
+def shape_text(root, notes: bool) -> str:
+    shapes = list(root.iter("sp"))
+    texts = []
+    for shape in shapes:
+        place = shape.find("nvSpPr/nvPr/ph")
+        kind = place.get("type") if place is not None else None
+        if kind == "body" if notes else kind not in ("dt", "ftr", "sldNum"):
+            texts.append(text_of(shape))
+    chosen = list(filter(None, texts))
+    if not chosen and not (notes and shapes):
+        chosen = [text_of(root)]
+    return " ".join(" ".join(chosen).split())
+
+
+def relationships(archive: dict[str, bytes], name: str) -> list:
+    return list(parse(archive, name).iter("Relationship")) if name in archive else []
+
+
+def read_pptx(archive: dict[str, bytes], settings: Settings) -> tuple[list[dict], dict, int]:
+    parse(archive, "ppt/presentation.xml")
+    slides = sorted((name for name in archive if re.match(r"ppt/slides/slide\d+\.xml$", name)), key=lambda name: int(re.search(r"(\d+)\.xml$", name)[1]))
+    sections = []
+    for number, name in enumerate(slides, start=1):
+        root = parse(archive, name)
+        hidden = root.get("show") in ("0", "false")
+        text = shape_text(root, notes=False)
+        if text:
+            sections.append(make_section("slide", text[:200], text, hidden, label=f"Slide {number}", slide=number, part="hidden slide" if hidden else "slide"))
+        links = relationships(archive, f"ppt/slides/_rels/{posixpath.basename(name)}.rels")
+        target = next((link.get("Target") for link in links if (link.get("Type") or "").endswith("/notesSlide")), None)
+        notes_name = posixpath.normpath(posixpath.join(posixpath.dirname(name), target)) if target else f"ppt/notesSlides/notesSlide{number}.xml"
+        notes = shape_text(parse(archive, notes_name), notes=True) if notes_name in archive else ""
+        if notes:
+            sections.append(make_section("notes", f"Notes for slide {number}", notes, hidden, label=f"Slide {number}, speaker notes", slide=number, part="speaker notes"))
+    return sections, {**core_metadata(archive), "slides": str(len(slides))}, sum(name.startswith("ppt/media/") for name in archive)
+
+
+def cell_text(cell, shared: list[str]) -> str:
+    raw = cell.findtext("v") or ""
+    if cell.get("t") == "s" and raw.isdigit() and int(raw) < len(shared):
+        value = shared[int(raw)]
+    elif cell.get("t") == "inlineStr":
+        value = " ".join("".join(run.itertext()) for run in cell.iter("t"))
+    else:
+        value = raw
+    formula = cell.findtext("f") or ""
+    return (f"={formula}" + (f" => {value}" if value else "")) if formula else value
+
+
+def read_xlsx(archive: dict[str, bytes], settings: Settings) -> tuple[list[dict], dict, int]:
+    sheets = list(parse(archive, "xl/workbook.xml").iter("sheet"))
+    targets = {link.get("Id"): link.get("Target") for link in relationships(archive, "xl/_rels/workbook.xml.rels")}
+    shared = []
+    if "xl/sharedStrings.xml" in archive:
+        shared = [" ".join(filter(None, ("".join(run.itertext()) for run in item.iter("t")))) for item in parse(archive, "xl/sharedStrings.xml").iter("si")]
+    sections, cells_seen = [], 0
+    for number, sheet in enumerate(sheets, start=1):
+        name = sheet.get("name") or f"Sheet {number}"
+        hidden = sheet.get("state") in ("hidden", "veryHidden")
+        target = targets.get(sheet.get("id")) or f"worksheets/sheet{number}.xml"
+        path = target[1:] if target.startswith("/") else posixpath.normpath(f"xl/{target.removeprefix('xl/')}")
+        if path not in archive:
+            continue
+        rows = list(parse(archive, path).iter("row"))
+        for first in range(0, len(rows), SHEET_BLOCK_ROWS):
+            block = rows[first : first + SHEET_BLOCK_ROWS]
+            lines, references = [], []
+            for row in block:
+                cells = row.findall("c")
+                cells_seen += len(cells)
+                if cells_seen > settings.max_spreadsheet_cells:
+                    raise Rejected(f"spreadsheet exceeds the technical {settings.max_spreadsheet_cells} cell guard")
+                references += [cell.get("r") for cell in cells if cell.get("r")]
+                values = [cell_text(cell, shared) for cell in cells]
+                if any(values):
+                    lines.append("\t".join(values))
+            if lines:
+                area = f"{references[0]}:{references[-1]}" if references else f"rows {first + 1}-{first + len(block)}"
+                sections.append(make_section("sheet", name, "\n".join(lines), hidden, label=f"{name}!{area}", sheet=name, range=area, part="hidden sheet" if hidden else "sheet"))
+    return sections, {**core_metadata(archive), "sheets": str(len(sheets))}, 0
+
+
+READERS = {"docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}
+
+
+def extract_office(kind: str, content: bytes, settings: Settings) -> dict:
+    try:
+        sections, metadata, images = READERS[kind](open_archive(content, settings), settings)
+    except Rejected as problem:
+        return {"sections": [], "metadata": {}, "warnings": [], "needs_ocr": False, "error": str(problem)}
+    warnings = [f"{images} embedded image(s) await OCR"] if images else []
+    return {"sections": sections, "metadata": metadata, "warnings": warnings, "needs_ocr": images > 0, "error": None}
+
+
+def decode_text(content: Column) -> Column:
+    """UTF-8, or UTF-16 with a byte order mark; null when the bytes are not valid text."""
+    head = F.hex(F.substring(content, 1, 3))
+    wide = head.startswith("FFFE") | head.startswith("FEFF")
+    body = F.when(head == "EFBBBF", F.substring(content, 4, 2_147_483_647)).otherwise(content)
+    return F.when(wide, _decode_wide(F.when(wide, content))).otherwise(F.try_validate_utf8(body.cast("string")))
+
+
+@F.pandas_udf(T.StringType())
+def _decode_wide(contents: pd.Series) -> pd.Series:
+    def decode(content: bytes | None) -> str | None:
+        try:
+            return None if content is None else content.decode("utf-16")
+        except UnicodeDecodeError:
+            return None
+
+    return contents.map(decode)
+
+
+def extract_files(files: DataFrame, settings: Settings = Settings(), pdf_extractor: Callable[[bytes], list[str]] | None = None, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
+    """Files (file_id, filename, mime, content) with format, title, sections, metadata, warnings, needs_ocr, error.
+
+    Markdown and text stay in the JVM; only Office and PDF bytes travel to Python.
+    """
+    kind = document_format(F.col("filename"), F.col("mime"))
+    too_large = F.octet_length("content") > settings.max_file_bytes
+    shaped = files.withColumn("format", kind)
+    binary = F.col("format").isin(*OFFICE_FORMATS, "pdf") & ~too_large
+
+    @F.pandas_udf(EXTRACTED)
+    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for kinds, contents in batches:
+            rows = [_extract_binary(kind, content, settings, pdf_extractor) for kind, content in zip(kinds, contents)]
+            yield pd.DataFrame(rows, columns=EXTRACTED.names)
+
+    read = shaped.withColumn("_binary", extract(F.when(binary, F.col("format")), F.when(binary, F.col("content"))))
+    text = decode_text(F.when(F.col("format").isin("markdown", "text") & ~too_large, F.col("content")))
+    read = read.withColumn("_text", text)
+    sections = (
+        F.when(F.col("format") == "markdown", markdown_sections(F.col("_text")))
+        .when(F.col("format") == "text", plain_parts(F.col("_text")))
+        .otherwise(F.col("_binary.sections"))
+    )
+    error = (
+        F.when(F.col("format").isNull(), F.lit("supported document formats are DOCX, XLSX, PPTX, PDF, Markdown, and TXT"))
+        .when(too_large, F.lit("document exceeds the size guard"))
+        .when(F.col("format").isin("markdown", "text") & F.col("_text").isNull(), F.lit("text documents must use UTF-8, UTF-16LE, or UTF-16BE"))
+        .otherwise(F.col("_binary.error"))
+    )
+    title = F.when(F.col("format") == "markdown", markdown_first_heading(F.col("_text"))).otherwise(strip(F.try_element_at(F.col("_binary.metadata"), F.lit("title"))))
+    none = F.array().cast("array<string>")
+    finished = finish_sections(F.coalesce(sections, F.array().cast(T.ArrayType(SECTION))))
+    needs_ocr = F.coalesce(F.col("_binary.needs_ocr"), F.lit(False))
+    result = read.withColumn("title", F.when(title != "", title)).withColumn("sections", finished).withColumn("needs_ocr", needs_ocr)
+    empty = F.when((F.size("sections") == 0) & ~F.col("needs_ocr"), F.array(F.lit("no extractable text was found"))).otherwise(none)
+    return result.withColumn("error", error).withColumn("metadata", F.col("_binary.metadata")).withColumn(
+        "warnings", F.when(F.col("error").isNotNull(), none).otherwise(F.concat(F.coalesce("_binary.warnings", none), empty))
+    ).drop("_binary", "_text", "content")
+
+
+def _extract_binary(kind: str | None, content: bytes | None, settings: Settings, pdf_extractor) -> dict:
+    empty = {"sections": [], "metadata": {}, "warnings": [], "needs_ocr": False, "error": None}
+    if kind is None:
+        return empty
+    if kind in READERS:
+        return extract_office(kind, content, settings)
+    if not content.startswith(b"%PDF-"):
+        return {**empty, "error": "file does not have a PDF signature"}
+    if pdf_extractor is None:
+        return {**empty, "error": "no PDF extractor was given"}
+    pages = [" ".join(text.split()) for text in pdf_extractor(content)]
+    if len(pages) > settings.max_pdf_pages:
+        return {**empty, "error": f"PDF exceeds the technical {settings.max_pdf_pages} page guard"}
+    sections = [make_section("page", f"Page {number}", text, needs_ocr=len(text) < 20, label=f"Page {number}", page=number) for number, text in enumerate(pages, start=1)]
+    waiting = any(section["needs_ocr"] for section in sections)
+    return {"sections": sections, "metadata": {"pages": str(len(pages))}, "warnings": ["one or more pages await OCR"] if waiting else [], "needs_ocr": waiting, "error": None}
+
+
+def read_folder(spark, folder: str, pattern: str = "*") -> DataFrame:
+    """Files of a folder as (file_id, filename, mime, content)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit("application/octet-stream").alias("mime"), "content")
+
+
+def office_images(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(file_id, ordinal, name, slide, hidden, image, sha256): embedded images in reading order."""
+    schema = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("label", T.StringType()), T.StructField("slide", T.IntegerType()), T.StructField("hidden", T.BooleanType()), T.StructField("image", T.BinaryType())]))
+
+    @F.pandas_udf(schema)
+    def images(kinds: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([_images(kind, content, settings) for kind, content in zip(kinds, contents)], dtype=object)
+
+    kind = document_format(F.col("filename"), F.col("mime"))
+    found = files.select("file_id", F.posexplode(images(kind, F.col("content"))).alias("ordinal", "item")).select("file_id", "ordinal", "item.*")
+    return found.withColumn("sha256", F.sha2("image", 256))
+
+
+def _images(kind: str | None, content: bytes | None, settings: Settings) -> list[dict]:
+    if kind not in ("docx", "pptx"):
+        return []
+    try:
+        archive = open_archive(content, settings)
+    except Rejected:
+        return []
+    result, used = [], set()
+    slides = sorted((name for name in archive if re.match(r"ppt/slides/slide\d+\.xml$", name)), key=lambda name: int(re.search(r"(\d+)\.xml$", name)[1]))
+    for number, name in enumerate(slides, start=1):
+        hidden = parse(archive, name).get("show") in ("0", "false")
+        links = [link for link in relationships(archive, f"ppt/slides/_rels/{posixpath.basename(name)}.rels") if (link.get("Type") or "").endswith("/image")]
+        for position, link in enumerate(links, start=1):
+            path = posixpath.normpath(posixpath.join(posixpath.dirname(name), link.get("Target") or ""))
+            if path in archive:
+                used.add(path)
+                result.append({"name": posixpath.basename(path), "label": f"Slide {number}, image {position}", "slide": number, "hidden": hidden, "image": archive[path]})
+    rest = sorted(name for name in archive if name.startswith(("word/media/", "ppt/media/")) and name not in used)
+    return result + [{"name": posixpath.basename(name), "label": f"Embedded image: {posixpath.basename(name)}", "slide": None, "hidden": False, "image": archive[name]} for name in rest]
+
+
+def recognise(images: DataFrame, engine: Callable[[bytes], str]) -> DataFrame:
+    """Text of every distinct image, read once per content, with one retry: (sha256, text, ocr_error)."""
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("ocr_error", T.StringType())])
+
+    def read(image: bytes) -> dict:
+        problem = None
+        for _ in range(2):
+            try:
+                return {"text": " ".join(engine(image).split()), "ocr_error": None}
+            except Exception as error:  # an engine may fail in any way; the failure becomes data
+                problem = str(error)
+        return {"text": None, "ocr_error": problem}
+
+    @F.pandas_udf(schema)
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(image) for image in batch], columns=schema.names)
+
+    distinct = images.select("sha256", "image").dropDuplicates(["sha256"])
+    return distinct.select("sha256", run("image").alias("_read")).select("sha256", "_read.*")
+
+
+def ocr_status(successes: Column, unresolved: Column) -> Column:
+    return F.when((unresolved == 0) & (successes > 0), F.lit("completed")).when(successes > 0, F.lit("partial")).otherwise(F.lit("unavailable"))
+
+
+def apply_ocr(images: DataFrame, recognised: DataFrame) -> DataFrame:
+    """(file_id, sections, ocr_status, needs_ocr, warnings): image sections and outcome per file."""
+    supported = F.lower("name").rlike(r"\.(png|jpe?g|tiff?|bmp|webp|gif)$")
+    joined = images.drop("image").join(recognised, "sha256", "left").withColumn("_ok", supported & (F.coalesce("text", F.lit("")) != ""))
+    warning = (
+        F.when(F.col("_ok"), F.lit(None).cast("string"))
+        .when(~supported, F.concat(F.lit("OCR skipped unsupported image format at "), F.col("label")))
+        .when(F.col("ocr_error").isNotNull(), F.concat(F.lit("OCR failed at "), F.col("label"), F.lit(": "), F.col("ocr_error")))
+        .otherwise(F.concat(F.lit("OCR found no text at "), F.col("label")))
+    )
+    place = F.struct(
+        F.col("label"), F.lit(None).cast("int").alias("page"), F.col("slide"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("string").alias("range"),
+        F.lit(None).cast("string").alias("heading"), F.col("name").alias("image"),
+        F.when(F.col("slide").isNotNull(), F.when(F.col("hidden"), F.lit("hidden slide image")).otherwise(F.lit("slide image"))).alias("part"),
+    )
+    entry = F.struct("ordinal", F.struct(F.lit("image").alias("kind"), F.concat(F.lit("OCR: "), F.col("label")).alias("title"), place.alias("locator"), F.col("text"), F.col("hidden"), F.lit(False).alias("needs_ocr")).alias("section"))
+    grouped = joined.withColumn("_warning", warning).groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_ok"), F.struct("ordinal", entry["section"].alias("section"))))).alias("_sections"),
+        F.count_if("_ok").alias("_successes"),
+        F.count_if(~F.col("_ok")).alias("_unresolved"),
+        F.array_sort(F.collect_list(F.when(F.col("_warning").isNotNull(), F.struct("ordinal", "_warning")))).alias("_warnings"),
+    )
+    summary = F.when(F.col("_successes") > 0, F.array(F.concat(F.lit("OCR extracted text from "), F.col("_successes").cast("string"), F.lit(" item(s)")))).otherwise(F.array().cast("array<string>"))
+    return grouped.select(
+        "file_id",
+        F.transform("_sections", lambda item: item["section"]).alias("sections"),
+        ocr_status(F.col("_successes"), F.col("_unresolved")).alias("ocr_status"),
+        (F.col("_unresolved") > 0).alias("needs_ocr"),
+        F.concat(summary, F.transform("_warnings", lambda item: item["_warning"])).alias("warnings"),
+    )
