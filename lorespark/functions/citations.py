@@ -15,8 +15,8 @@ def cited_ids(answer: Column) -> Column:
 def insert_citations(answer: Column, evidence_ids: Column) -> Column:
     """Put all markers behind every sentence end, or behind the text when there is none."""
     markers = F.array_join(F.transform(evidence_ids, lambda item: F.concat(F.lit("["), item, F.lit("]"))), " ")
-    placed = F.regexp_replace(answer, F.lit(r"([.!?])(?=\s|$)"), F.concat(F.lit("$1 "), markers))
-    return F.when(placed == answer, F.concat(answer, F.lit(" "), markers)).otherwise(placed)
+    end = r"([.!?])(?=\s|$)"
+    return F.when(answer.rlike(end), F.regexp_replace(answer, F.lit(end), F.concat(F.lit("$1 "), markers))).otherwise(F.concat(answer, F.lit(" "), markers))
 
 
 def page_url(alias: Column) -> Column:

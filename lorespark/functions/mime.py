@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
 from .text import strip
 
 # Canonical media type of each document format.
@@ -20,15 +21,18 @@ FORMAT_MIME = {
 
 def document_format(filename: Column, mime: Column) -> Column:
     """Format by extension first, then by media type; null when unsupported."""
-    extension = F.regexp_extract(F.lower(filename), r"[^./](\.[^./]*)$", 1)
-    return (
-        F.when(extension == ".docx", F.lit("docx"))
-        .when(extension == ".xlsx", F.lit("xlsx"))
-        .when(extension == ".pptx", F.lit("pptx"))
-        .when((extension == ".pdf") | (mime == FORMAT_MIME["pdf"]), F.lit("pdf"))
-        .when(extension.isin(".md", ".markdown") | (mime == FORMAT_MIME["markdown"]), F.lit("markdown"))
-        .when((extension == ".txt") | mime.startswith("text/plain"), F.lit("text"))
-    )
+
+    def decide(extension: Column) -> Column:
+        return (
+            F.when(extension == ".docx", F.lit("docx"))
+            .when(extension == ".xlsx", F.lit("xlsx"))
+            .when(extension == ".pptx", F.lit("pptx"))
+            .when((extension == ".pdf") | (mime == FORMAT_MIME["pdf"]), F.lit("pdf"))
+            .when(extension.isin(".md", ".markdown") | (mime == FORMAT_MIME["markdown"]), F.lit("markdown"))
+            .when((extension == ".txt") | mime.startswith("text/plain"), F.lit("text"))
+        )
+
+    return bind(F.regexp_extract(F.lower(filename), r"[^./](\.[^./]*)$", 1), decide)
 
 
 def canonical_mime(document_format_name: Column) -> Column:
@@ -56,16 +60,15 @@ def safe_archive_path(path: Column) -> Column:
 
 def image_mime(content: Column) -> Column:
     """Media type of a raster image by its first bytes; null for anything else."""
-    head = F.hex(F.substring(content, 1, 12))
     # File signatures in hexadecimal.
-    return (
+    return bind(F.hex(F.substring(content, 1, 12)), lambda head: (
         F.when(head.startswith("89504E470D0A1A0A"), F.lit("image/png"))
         .when(head.startswith("FFD8FF"), F.lit("image/jpeg"))
         .when(head.startswith("474946383761") | head.startswith("474946383961"), F.lit("image/gif"))
         .when(head.rlike("^52494646.{8}57454250$"), F.lit("image/webp"))
         .when(head.startswith("424D"), F.lit("image/bmp"))
         .when(head.rlike("^.{8}66747970617669"), F.lit("image/avif"))
-    )
+    ))
 
 
 def has_pdf_signature(content: Column) -> Column:

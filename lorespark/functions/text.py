@@ -14,6 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
 from ..model import ALIAS_PATTERN, MAX_ALIAS_CHARS, MAX_TAG_CHARS, MAX_TAGS, RequestError
 
 # Combining marks that the tokenizer drops inside a word.
@@ -95,18 +96,21 @@ def keyword_fold(text: Column) -> Column:
     """Compatibility folding used by slugs and by the keywords of a question."""
     table = _slug_fold()
     marks = "".join(chr(point) for point in range(0x300, 0x370))
-    folded = F.translate(F.lower(text), "".join(table) + marks, "".join(table.values()))
     ligatures = "".join(letter for letter, _ in _slug_expansions())
-    expanded = folded
-    for letter, plain in _slug_expansions():
-        expanded = F.replace(expanded, F.lit(letter), F.lit(plain))
-    return F.when(folded.rlike(f"[{ligatures}]"), expanded).otherwise(folded)
+
+    def spell_out(folded: Column) -> Column:
+        expanded = folded
+        for letter, plain in _slug_expansions():
+            expanded = F.replace(expanded, F.lit(letter), F.lit(plain))
+        return F.when(folded.rlike(f"[{ligatures}]"), expanded).otherwise(folded)
+
+    return bind(F.translate(F.lower(text), "".join(table) + marks, "".join(table.values())), spell_out)
 
 
 def slugify(text: Column) -> Column:
     dashed = F.regexp_replace(keyword_fold(text), "[^a-z0-9]+", "-")
     slug = F.rtrim(F.substring(F.trim(dashed, F.lit("-")), 1, 180), F.lit("-"))
-    return F.when(slug == "", F.lit("page")).otherwise(slug)
+    return F.coalesce(F.nullif(slug, F.lit("")), F.when(text.isNotNull(), F.lit("page")))
 
 
 def normalize_alias(alias: Column) -> Column:
@@ -157,7 +161,7 @@ def excerpt(body: Column, limit: int = 180) -> Column:
     labels = F.regexp_replace(body, r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2")
     links = F.regexp_replace(labels, r"\[\[([^\]|]+)\]\]", "$1")
     plain = strip(F.regexp_replace(F.regexp_replace(links, r"[`*_>#-]", " "), f"{SPACE}+", " "))
-    return F.when(F.length(plain) > limit, F.concat(F.substring(plain, 1, limit - 3), F.lit("…"))).otherwise(plain)
+    return bind(plain, lambda line: F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit - 3), F.lit("…"))).otherwise(line))
 
 
 def wiki_links(body: Column) -> Column:
@@ -182,19 +186,24 @@ def decode_entities(text: Column) -> Column:
             (F.length(F.ltrim(digits, F.lit("0"))) <= 8) & ((base == 16) | digits.rlike("^[0-9]+$")),
             F.when(base == 16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint"),
         )
-        encoded = F.unhex(F.lpad(F.hex(point), 8, "0"))
-        numeric = F.when(point.between(0xD800, 0xDFFF), F.lit("�")).when(
-            (point > 0) & (point <= 0x10FFFF), F.decode(encoded, "UTF-32")
+        numeric = bind(
+            point,
+            lambda code: F.when(code.between(0xD800, 0xDFFF), F.lit("\ufffd")).when(
+                (code > 0) & (code <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+            ),
         )
         known = F.lit(None).cast("string")
         for key, value in names.items():
             known = F.when(name == key, F.lit(value)).otherwise(known)
         return F.coalesce(F.when(name.startswith("#"), numeric).otherwise(known), F.lit(" "))
 
-    pieces = F.split(text, pattern, -1)
-    entities = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), character)
-    joined = F.array_join(F.zip_with(pieces, entities, lambda piece, entity: F.concat(piece, F.coalesce(entity, F.lit("")))), "")
-    return F.when(text.contains("&"), joined).otherwise(text)
+    def replace_all(source: Column) -> Column:
+        pieces = F.split(source, pattern, -1)
+        entities = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), character)
+        joined = F.array_join(F.zip_with(pieces, entities, lambda piece, entity: F.concat(piece, F.coalesce(entity, F.lit("")))), "")
+        return F.when(source.contains("&"), joined).otherwise(source)
+
+    return bind(text, replace_all)
 
 
 def clean_text(text: Column) -> Column:

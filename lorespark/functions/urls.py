@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bind import bind
+
 # Networks that are never fetched.
 BLOCKED_V4 = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
@@ -109,31 +111,35 @@ def normalize_url(urls: pd.Series) -> pd.Series:
 
 def is_plain_public_url(url: Column) -> Column:
     """The common case without Python: a plain host name and no credentials."""
-    host = url_host(url)
-    return F.coalesce(
-        url.rlike(r"(?i)^https?://[^\s/@\[\]]+(?:[/?#]|$)") & (F.length(url) <= MAX_URL_CHARS) & host.rlike(r"[a-z]") & ~host.rlike(r"(?:^|\.)localhost$") & ~host.rlike(r"^[0-9.]*(?:0x[0-9a-f]*)?$"),
-        F.lit(False),
-    )
+    plain = r"(?i)^https?://[^\s/@\[\]?#]+(?:[/?#]|$)"
+    named = bind(url_host(url), lambda host: host.rlike("[a-z]") & ~host.rlike(r"(?:^|\.)localhost$") & ~host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"))
+    return F.coalesce(url.rlike(plain) & (F.length(url) <= MAX_URL_CHARS) & named, F.lit(False))
 
 
 def canonical_plain_url(url: Column) -> Column:
     """Canonical form of an address for which `is_plain_public_url` holds."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    host = F.regexp_extract(bare, r"^[^:]+://([^/?]*)", 1)
-    rest = F.substring(bare, F.instr(bare, "://") + 3 + F.length(host), F.length(bare))
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    scheme = F.lower(F.substring_index(bare, "://", 1))
-    port = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    return F.concat(scheme, F.lit("://"), F.lower(port), path)
+
+    def rebuild(bare: Column) -> Column:
+        scheme = F.lower(F.substring_index(bare, "://", 1))
+        host = F.regexp_extract(bare, r"^[^:]+://([^/?]*)", 1)
+        port = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
+        rest = F.regexp_extract(bare, r"^[^:]+://[^/?]*(.*)$", 1)
+        return F.concat(scheme, F.lit("://"), F.lower(port), F.when(rest.startswith("/"), F.lit("")).otherwise(F.lit("/")), rest)
+
+    return bind(F.regexp_replace(url, "#.*$", ""), rebuild)
 
 
 def resolve_url(reference: Column, base: Column) -> Column:
     """Absolute form of a reference found at `base`; null unless it is a plain public web address."""
+    return bind(reference, lambda target: bind(_absolute(target, base), lambda url: F.when(is_plain_public_url(url), canonical_plain_url(url))))
+
+
+def _absolute(reference: Column, base: Column) -> Column:
     scheme = F.lower(F.substring_index(base, "://", 1))
     origin = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
     path = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?i)^https?://[^/]+", "")
     folder = F.when(path.contains("/"), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.lit("/"))
-    absolute = (
+    return (
         F.when(reference.rlike("(?i)^https?://"), reference)
         .when(reference.startswith("//"), F.concat(scheme, F.lit(":"), reference))
         .when(reference.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
@@ -142,7 +148,6 @@ def resolve_url(reference: Column, base: Column) -> Column:
         .when(reference.startswith("#"), F.regexp_replace(base, "#.*$", ""))
         .otherwise(F.concat(origin, folder, reference))
     )
-    return F.when(is_plain_public_url(absolute), canonical_plain_url(absolute))
 
 
 def capture_title(url: Column) -> Column:

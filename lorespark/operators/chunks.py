@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..functions.text import sha256_hex, strip
 from .filters import json_text
 
@@ -30,8 +31,7 @@ def locator(**fields: Column) -> Column:
 
 def last_blank_line(window: Column) -> Column:
     """Zero-based position of the last blank line in a text, or -1."""
-    found = F.instr(F.reverse(window), "\n\n")
-    return F.when(found > 0, F.length(window) - found - 1).otherwise(F.lit(-1))
+    return bind(F.instr(F.reverse(window), "\n\n"), lambda found: F.when(found > 0, F.length(window) - found - 1).otherwise(F.lit(-1)))
 
 
 def cut(text: Column, size: int, earliest: int, overlap: int) -> Column:
@@ -41,21 +41,30 @@ def cut(text: Column, size: int, earliest: int, overlap: int) -> Column:
     `earliest`; the next piece starts `overlap` characters before the end, but
     always moves on.
     """
+    return bind(text, lambda source: _cut(source, size, earliest, overlap))
+
+
+def _cut(text: Column, size: int, earliest: int, overlap: int) -> Column:
     advance = max(1, earliest + 1 - overlap)
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / advance).cast("int") + 1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"), (F.length(text) == 0).alias("done"))
 
     def step(state: Column, _: Column) -> Column:
-        window = F.substring(text, state["at"] + 1, F.lit(size + 2))
-        boundary = last_blank_line(window)
         whole = state["at"] + size >= F.length(text)
-        length = F.when(whole, F.length(text) - state["at"]).when(boundary > earliest, boundary).otherwise(F.lit(size))
-        moved = F.struct(
-            F.greatest(state["at"] + 1, state["at"] + length - overlap).alias("at"),
-            F.array_append(state["pieces"], F.substring(window, F.lit(1), length)).alias("pieces"),
-            whole.alias("done"),
-        )
-        return F.when(state["done"], state).otherwise(moved)
+
+        def take(window: Column) -> Column:
+            boundary = last_blank_line(window)
+            length = F.when(whole, F.length(text) - state["at"]).otherwise(bind(boundary, lambda at: F.when(at > earliest, at).otherwise(F.lit(size))))
+            return bind(
+                length,
+                lambda taken: F.struct(
+                    F.greatest(state["at"] + 1, state["at"] + taken - overlap).alias("at"),
+                    F.array_append(state["pieces"], F.substring(window, F.lit(1), taken)).alias("pieces"),
+                    whole.alias("done"),
+                ),
+            )
+
+        return F.when(state["done"], state).otherwise(bind(F.substring(text, state["at"] + 1, F.lit(size + 2)), take))
 
     cut_everywhere = F.aggregate(steps, start, step)["pieces"]
     return F.when(F.length(text) > size, cut_everywhere).otherwise(F.filter(F.array(text), lambda piece: piece != ""))
@@ -71,7 +80,7 @@ def page_chunk_source(title: Column, alias: Column, tags: Column, properties: Co
     pairs = F.transform(F.map_entries(properties), lambda item: F.concat(item["key"], F.lit(": "), json_text(item["value"])))
     lines = F.filter(F.array(title, alias, F.array_join(tags, " "), F.array_join(pairs, "\n")), lambda line: line != "")
     source = strip(F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), body))
-    return F.when(source == "", title).otherwise(source)
+    return F.coalesce(F.nullif(source, F.lit("")), title)
 
 
 def page_chunks(pages: DataFrame, size: int = 1600, overlap: int = 200) -> DataFrame:
@@ -132,17 +141,21 @@ HEADING = r"(?m)^#{1,6}\s+(.+)$"
 
 def markdown_sections(text: Column) -> Column:
     """Sections of a Markdown text, one per heading; without headings, plain parts."""
-    headings = F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), strip)
-    bodies = F.split(text, HEADING, -1)
-    preamble = F.element_at(bodies, 1)
-    headed = F.zip_with(
-        headings,
-        F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))),
-        lambda heading, body: section("heading", heading, locator(label=F.concat(F.lit("Heading: "), heading), heading=heading), F.coalesce(body, F.lit(""))),
-    )
-    first = section("text", F.lit(None), locator(label=F.lit("Preamble")), preamble)
-    with_preamble = F.when(preamble != "", F.concat(F.array(first), headed)).otherwise(headed)
-    return F.when(F.size(headings) == 0, plain_parts(text)).otherwise(with_preamble)
+
+    def split(source: Column) -> Column:
+        headings = F.transform(F.regexp_extract_all(source, F.lit(HEADING), F.lit(1)), strip)
+        return F.when(source.rlike(HEADING), bind(F.split(source, HEADING, -1), lambda bodies: headed(headings, bodies))).otherwise(plain_parts(source))
+
+    def headed(headings: Column, bodies: Column) -> Column:
+        preamble = section("text", F.lit(None), locator(label=F.lit("Preamble")), F.element_at(bodies, 1))
+        sections = F.zip_with(
+            headings,
+            F.slice(bodies, F.lit(2), F.size(bodies) - 1),
+            lambda heading, body: section("heading", heading, locator(label=F.concat(F.lit("Heading: "), heading), heading=heading), F.coalesce(body, F.lit(""))),
+        )
+        return F.concat(F.filter(F.array(preamble), lambda item: F.element_at(bodies, 1) != ""), sections)
+
+    return bind(text, split)
 
 
 def markdown_first_heading(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..functions.text import normalize_tags, slugify, strip, tag_kind
 from .filters import active, tag_rows
 from .scale import latest_per, top_per_group
@@ -112,7 +113,8 @@ def parse_topics(replies: DataFrame, reply: str, keep: list[str], maximum: int =
     wrong type or below the confidence gate are dropped; an unreadable reply gets
     an error instead.
     """
-    cleaned = strip(F.regexp_replace(F.col(reply), r"(?is)<think>.*?</think>\s*", ""))
+    replies = replies.withColumn("_cleaned", strip(F.regexp_replace(F.col(reply), r"(?is)<think>.*?</think>\s*", "")))
+    cleaned = F.col("_cleaned")
     fenced = F.regexp_extract(cleaned, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
     whole = F.when(cleaned.rlike(r"(?is)```(?:json)?\s*.*?\s*```"), fenced).otherwise(cleaned)
     braces = F.regexp_extract(cleaned, r"(?s)\{.*\}", 0)
@@ -147,6 +149,10 @@ def parse_topics(replies: DataFrame, reply: str, keep: list[str], maximum: int =
 def best_topics(topics: Column, maximum: int) -> Column:
     """Highest confidence per tag (first one on ties), then the best `maximum` in stable order."""
     placed = F.transform(topics, lambda item, position: F.struct((-item["confidence"]).alias("order"), position.alias("position"), item.alias("topic")))
+    return bind(placed, lambda entries: _best(entries, maximum))
+
+
+def _best(placed: Column, maximum: int) -> Column:
     best = F.filter(
         placed,
         lambda item: ~F.exists(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("reading", "search")
+MODULES = ("reading", "search", "texts", "structure", "answers")
 
 
 def _collect(attribute: str) -> dict:

@@ -235,23 +235,23 @@ def two_rankings(prefix: str) -> str:
 
 @query(
     "lexical_fusion",
-    f"WITH {two_rankings('enter')}, lists AS (SELECT * FROM plist UNION ALL SELECT * FROM llist), {RRF} SELECT hit, page_id, round(score, 9) AS score FROM shown",
+    f"WITH {two_rankings('the')}, lists AS (SELECT * FROM plist UNION ALL SELECT * FROM llist), {RRF} SELECT hit, page_id, round(score, 9) AS score FROM shown",
 )
 def lexical_fusion(spark, folder):
-    hits, _, _ = hybrid.search(wiki(spark, folder), searchable(spark, folder), "enter")
+    hits, _, _ = hybrid.search(wiki(spark, folder), searchable(spark, folder), "the")
     return hits.select("hit", "page_id", F.round("score", 9).alias("score"))
 
 
 @query(
     "rrf_hybrid",
-    f"""WITH {two_rankings('enter')}, {SECTION_NEAR},
+    f"""WITH {two_rankings('the')}, {SECTION_NEAR},
     pnear AS (SELECT page_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, vec_id // 2 AS page_id, {DISTANCE} AS d FROM embeddings WHERE vec_id // 2 IN (SELECT id FROM wiki WHERE deleted_at IS NULL AND status = 'published')) QUALIFY rank <= 100),
     vlist AS (SELECT 'p:' || page_id AS hit, page_id, rank FROM pnear),
     lists AS (SELECT * FROM plist UNION ALL SELECT * FROM llist UNION ALL SELECT * FROM vlist UNION ALL SELECT * FROM slist), {RRF} SELECT hit, page_id, round(score, 9) AS score FROM shown""",
 )
 def rrf_hybrid(spark, folder):
     hits, _, _ = hybrid.search(
-        wiki(spark, folder), searchable(spark, folder), "enter", vector=query_vector(spark, folder),
+        wiki(spark, folder), searchable(spark, folder), "the", vector=query_vector(spark, folder),
         page_chunks=page_chunk_vectors(spark, folder), section_chunks=section_chunk_vectors(spark, folder),
     )
     return hits.select("hit", "page_id", F.round("score", 9).alias("score"))
