@@ -205,23 +205,25 @@ def reconciliation_candidates(definitions: DataFrame, previous: DataFrame, propo
     return top_per_group(union, "document_id", limit, F.desc("usage_count"), F.asc("tag"), rank="_rank").drop("_rank")
 
 
-def orphan_topics(contents: DataFrame, definitions: DataFrame, key: str, content: str) -> DataFrame:
+def orphan_topics(contents: DataFrame, definitions: DataFrame, key: str, content: str, limit: int = 100) -> DataFrame:
     """(key, tag, display_name, confidence): unused topics whose name or alias stands in a text.
 
     A name counts as a whole phrase between characters that are neither letters
-    nor digits. Texts and names meet on the words that can start a name, so a
-    text is compared only with names whose first word it contains.
+    nor digits. At most `limit` unused topics are candidates, as in
+    reconciliation, so all names fit one scalar array and no text is shuffled:
+    a text is compared only with names whose first word it contains.
     """
-    unused = definitions.filter((F.col("kind") == "topic") & (F.col("usage_count") == 0))
+    unused = definitions.filter((F.col("kind") == "topic") & (F.col("usage_count") == 0)).orderBy("tag").limit(limit)
     own = F.replace(F.substring(F.col("tag"), 7, 4096), F.lit("-"), F.lit(" "))
     names = unused.select("tag", "display_name", F.explode(F.array_distinct(F.concat(F.array(own), F.col("aliases")))).alias("name"))
-    names = names.filter(F.length("name") >= 3).withColumn("name", F.lower("name")).withColumn("word", F.element_at(words_of(F.col("name")), 1)).filter(F.col("word").isNotNull())
-    first_words = names.select("word").distinct()
-    texts = contents.select(key, F.lower(content).alias("_text"))
-    occurring = texts.select(key, F.explode(F.array_distinct(words_of(F.col("_text")))).alias("word")).join(first_words, "word", "left_semi")
-    candidates = occurring.join(names, "word").join(texts, key)
+    names = names.filter(F.length("name") >= 3).select("tag", "display_name", F.lower("name").alias("name"), F.try_element_at(words_of(F.lower("name")), F.lit(1)).alias("word"))
+    listed = names.filter(F.col("word").isNotNull()).agg(F.collect_list(F.struct("tag", "display_name", "name", "word")).alias("names")).scalar()
+    texts = contents.select(key, F.lower(content).alias("_text")).withColumn("_names", listed)
+    heads = F.transform("_names", lambda item: item["word"])
+    likely = bind(F.array_intersect(words_of(F.col("_text")), heads), lambda found: F.filter("_names", lambda item: F.array_contains(found, item["word"])))
+    pairs = texts.select(key, "_text", F.inline(likely))
     pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), F.col("name"), F.lit(r"\E($|[^\p{L}\p{N}])"))
-    found = candidates.filter(F.expr("_text") .isNotNull() & F.regexp_like(F.col("_text"), pattern))
+    found = pairs.filter(F.regexp_like(F.col("_text"), pattern))
     return found.select(key, "tag", "display_name").distinct().withColumn("confidence", F.lit(1.0))
 
 

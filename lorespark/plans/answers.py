@@ -129,7 +129,7 @@ def orphan_topics(spark, folder):
     """Unused topics named by parts, and four that are common words, found in the texts."""
     documents = read_table(spark, folder, "documents").select("doc_id", "text")
     parts = read_table(spark, folder, "part").select(F.concat(F.lit("topic:"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("tag")).distinct()
-    common = documents.limit(1).select(F.explode(F.array(*[F.lit(f"topic:{word}") for word in ("the", "que", "der", "les")])).alias("tag"))
+    common = spark.range(1).select(F.explode(F.array(*[F.lit(f"topic:{word}") for word in ("the", "que", "der", "les")])).alias("tag"))
     definitions = parts.unionByName(common).select("tag", F.lit("topic").alias("kind"), F.col("tag").alias("display_name"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("usage_count"))
     return taxonomy.orphan_topics(documents, definitions, "doc_id", "text").select("doc_id", "tag")
 
