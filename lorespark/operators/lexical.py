@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..functions.text import excerpt, keyword_fold, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
+from ..session import cut_lineage
 from .filters import active, json_text, with_all_tags, with_facets, with_properties, with_status
 from .scale import one_row, top_per_group
 
@@ -73,11 +75,22 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def count_matches(rows: DataFrame, texts: list[str], phrases: list[list[str]], keep: list[str]) -> DataFrame:
-    """Per row: kept columns, length in tokens, and hits of each phrase over all its texts."""
-    words = rows.select(*keep, *[tokens(F.col(name)).alias(f"_words_{name}") for name in texts])
-    columns = [F.col(f"_words_{name}") for name in texts]
-    hits = [_sum([phrase_hits(column, phrase) for column in columns]).alias(f"hits_{index}") for index, phrase in enumerate(phrases)]
-    return words.select(*keep, _sum([F.size(column) for column in columns]).alias("length"), *hits)
+    """Per row: kept columns, length in tokens, and hits of each phrase over all its texts.
+
+    Each text is tokenised once: its counts leave one bound expression as a
+    struct, and a generator keeps later filters from copying that expression.
+    """
+    names = ["length", *[f"hits_{index}" for index in range(len(phrases))]]
+
+    def count(words: Column) -> Column:
+        return F.struct(F.size(words).alias("length"), *[phrase_hits(words, phrase).alias(name) for name, phrase in zip(names[1:], phrases)])
+
+    counts = F.transform(F.array(*[F.col(name) for name in texts]), lambda text: bind(tokens(text), count))
+
+    def total(found: Column) -> Column:
+        return F.struct(*[_sum([F.get(found, F.lit(number))[name] for number in range(len(texts))]).alias(name) for name in names])
+
+    return rows.select(*keep, F.inline(F.array(bind(counts, total))))
 
 
 def inverse_frequency(total: Column, containing: Column) -> Column:
@@ -92,11 +105,13 @@ def bm25_part(hits: Column, length: Column, average: Column) -> Column:
 def scan_scores(rows: DataFrame, texts: list[str], query: str, keep: list[str]) -> DataFrame:
     """Matching rows with their BM25 score (lower is better), by scanning the texts.
 
-    The corpus statistics are one row, produced by a map-side aggregate and read
-    back as a scalar subquery; nothing else is shuffled.
+    The counts of all rows, a few numbers each, are written once, so the texts
+    are read and tokenised in a single pass. The corpus statistics are one row,
+    produced by a map-side aggregate and read back as a scalar subquery. `keep`
+    should hold no long texts.
     """
     phrases = parse_query(query)
-    counted = count_matches(rows, texts, phrases, keep)
+    counted = cut_lineage(count_matches(rows, texts, phrases, keep))
     statistics = counted.agg(
         F.count("*").alias("total"),
         F.avg("length").alias("average"),
@@ -123,15 +138,17 @@ def search_pages(
     every status; the filters apply to the matches.
     """
     live = active(pages)
-    filtered_columns = ["id", "title", "alias", "body", "tags", "status", "parent_id", "properties", "created_at", "updated_at"]
-    if query.strip():
-        ranked = scan_scores(page_index_rows(live), PAGE_TEXTS, query, filtered_columns)
+    filter_columns = ["id", "status", "tags", "properties", "updated_at"]
+    words = bool(query.strip())
+    if words:
+        ranked = scan_scores(page_index_rows(live), PAGE_TEXTS, query, filter_columns)
     else:
-        ranked = live.select(*filtered_columns, F.lit(0.0).alias("score"))
+        ranked = live.select(*filter_columns, F.lit(0.0).alias("score"))
     kept = with_properties(with_all_tags(with_status(ranked, status), list(tags)), properties or {})
-    order = [F.asc("score"), F.desc("id")] if query.strip() else [F.desc("updated_at"), F.desc("id")]
-    top = kept.orderBy(*order).offset(offset).limit(limit)
-    return top.select("id", "title", "alias", "tags", "status", "parent_id", "created_at", "updated_at", excerpt(F.col("body")).alias("excerpt"), "score")
+    order = [F.asc("score"), F.desc("id")] if words else [F.desc("updated_at"), F.desc("id")]
+    top = kept.orderBy(*order).offset(offset).limit(limit).select("id", "score")
+    shown = _rows_of(live, "id", top).select("id", "title", "alias", "tags", "status", "parent_id", "created_at", "updated_at", excerpt(F.col("body")).alias("excerpt"), "score")
+    return shown.orderBy(*order)
 
 
 def search_sections(
@@ -139,20 +156,33 @@ def search_sections(
 ) -> DataFrame:
     """Best sections for a query under all facets; `searchable` comes from `searchable_sections`."""
     rows = section_index_rows(searchable)
-    columns = [
-        "section_id", "ordinal", "document_id", "version_id", "version", "page_id", "filename", "format", "kind", "locator", "hidden",
-        "ocr_status", "document_updated_at", "page_status", "tags", "properties", "text",
-    ]
-    if query.strip():
-        ranked = scan_scores(rows, SECTION_TEXTS, query, columns)
+    facets = ["section_id", "document_id", "version", "format", "kind", "hidden", "ocr_status", "document_updated_at", "page_status", "tags", "properties"]
+    words = bool(query.strip())
+    if words:
+        ranked = scan_scores(rows, SECTION_TEXTS, query, facets)
         text = snippet(F.col("text"), parse_query(query))
         order = [F.asc("score"), F.desc("section_id")]
     else:
-        ranked = rows.select(*columns, F.lit(0.0).alias("score"))
+        ranked = rows.select(*facets, F.lit(0.0).alias("score"))
         text = F.substring("text", 1, 500)
         order = [F.desc("document_updated_at"), F.desc("section_id")]
-    top = with_facets(ranked, filters, list(tags), status, properties).orderBy(*order).limit(limit)
-    return top.withColumn("excerpt", text).drop("text", "tags", "properties", "page_status")
+    top = with_facets(ranked, filters, list(tags), status, properties).orderBy(*order).limit(limit).select("section_id", "score")
+    shown = _rows_of(rows, "section_id", top).select(
+        "section_id", "ordinal", "document_id", "version_id", "version", "page_id", "filename", "format", "kind", "locator", "hidden",
+        "ocr_status", "document_updated_at", text.alias("excerpt"), "score",
+    )
+    return shown.orderBy(*order)
+
+
+def _rows_of(rows: DataFrame, key: str, top: DataFrame) -> DataFrame:
+    """Full rows of a short ranked list.
+
+    The list is at most one page of results long, so its keys become a filter
+    that the scan can use to skip row groups, and the list itself is broadcast.
+    """
+    found = top.collect()
+    short = rows.sparkSession.createDataFrame(found, top.schema)
+    return rows.filter(F.col(key).isin([row[key] for row in found])).join(F.broadcast(short), key)
 
 
 def snippet(text: Column, phrases: list[list[str]]) -> Column:
@@ -176,19 +206,26 @@ def _any_prefix(token: Column, prefixes: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class PostingsIndex:
-    """postings(id, text_no, term, positions) and lengths(id, length)."""
+    """postings(id, text_no, term, hits[, positions]) and lengths(id, length).
+
+    Positions are needed for phrases of several tokens only.
+    """
 
     postings: DataFrame
     lengths: DataFrame
 
     @classmethod
-    def build(cls, rows: DataFrame, texts: list[str], key: str = "id") -> "PostingsIndex":
-        """Tokenise once; a row's postings are built from its own tokens, so only equal terms of one row meet."""
+    def build(cls, rows: DataFrame, texts: list[str], key: str = "id", positions: bool = False) -> "PostingsIndex":
+        """Postings of every row. Only equal terms of one row meet, after a map-side combine."""
         arrays = [F.struct(F.lit(number).alias("text_no"), tokens(F.col(name)).alias("words")) for number, name in enumerate(texts)]
         words = rows.select(F.col(key).alias("id"), F.inline(F.array(*arrays)))
-        lengths = rows.select(F.col(key).alias("id"), _sum([F.size(tokens(F.col(name))) for name in texts]).alias("length"))
-        placed = words.select("id", "text_no", F.posexplode("words").alias("position", "term"))
-        postings = placed.groupBy("id", "text_no", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        if positions:
+            placed = words.select("id", "text_no", F.posexplode("words").alias("position", "term"))
+            postings = placed.groupBy("id", "text_no", "term").agg(F.array_sort(F.collect_list("position")).alias("positions")).withColumn("hits", F.size("positions"))
+        else:
+            postings = words.select("id", "text_no", F.explode("words").alias("term")).groupBy("id", "text_no", "term").agg(F.count("*").alias("hits"))
+        # Rows without any token count in the statistics, so lengths do not come from the postings.
+        lengths = count_matches(rows.withColumn("id", F.col(key)), texts, [], ["id"])
         return cls(postings, lengths)
 
     def save(self, folder: str) -> "PostingsIndex":
@@ -205,7 +242,7 @@ class PostingsIndex:
         """(id, hits) of one phrase. Longer phrases meet on consecutive positions."""
         last = self.postings.filter(_has_prefix("term", phrase[-1]))
         if len(phrase) == 1:
-            return last.groupBy("id").agg(F.sum(F.size("positions")).alias("hits"))
+            return last.groupBy("id").agg(F.sum("hits").alias("hits"))
         ends = last.groupBy("id", "text_no").agg(F.flatten(F.collect_list("positions")).alias("ends"))
         shifted = F.transform("ends", lambda position: position - (len(phrase) - 1))
         starts = ends.select("id", "text_no", shifted.alias("starts"))
@@ -248,7 +285,7 @@ class PostingsIndex:
             "term", F.substring(F.col("term"), F.lit(1), F.col("size")).alias("keyword")
         )
         pairs = prefixes.join(wanted, "keyword")
-        hits = self.postings.join(pairs, "term").groupBy("keyword", "id").agg(F.sum(F.size("positions")).alias("hits"))
+        hits = self.postings.join(pairs, "term").groupBy("keyword", "id").agg(F.sum("hits").alias("hits"))
         containing = hits.groupBy("keyword").agg(F.count("*").alias("containing"))
         corpus = one_row(self.lengths.agg(F.count("*").alias("total"), F.avg("length").alias("average")))
         scored = hits.join(containing, "keyword").join(self.lengths, "id").withColumn("_corpus", corpus)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence, taxonomy
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 
 QUERIES, ORACLE = {}, {}
 
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def replies(spark, folder):
     """A reply per turn, in ten shapes from correct to broken."""
-    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    turns = read_spread(spark, folder, "conversations", "conv_id").select("conv_id", "turn", "text")
     text = F.regexp_replace(F.trim(F.regexp_replace("text", r"\s+", " ")), r"[\[\]]", "")
     kind = (F.col("conv_id") + F.col("turn")) % 10
     general = F.lit(None).cast("string")
@@ -73,7 +73,7 @@ def answer_validation(spark, folder):
 )
 def topic_parsing(spark, folder):
     """A reply per document: thinking and fences, plain objects, repeats, broken JSON, a missing list."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "lang", "source", "text")
     kind = F.col("doc_id") % 5
     entry = lambda tag, confidence: F.struct(tag.alias("tag"), F.concat(F.lit(" "), tag, F.lit("  label ")).alias("displayName"), F.lit(confidence).alias("confidence"))
     both = F.to_json(F.struct(F.array(entry(F.col("source"), 0.7), entry(F.concat(F.lit("Topic:"), "lang", F.lit(" "), "source"), 0.95), entry(F.lit("low"), 0.2)).alias("topics")))
@@ -98,7 +98,7 @@ def topic_parsing(spark, folder):
 )
 def topic_merge(spark, folder):
     """Proposed and confirmed topics of a conversation, one per turn, merged to the best two."""
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     topic = F.struct(F.concat(F.lit("topic:"), "role").alias("tag"), F.col("role").alias("display_name"), ((F.col("turn") % 4) / 4.0).alias("confidence"))
     listed = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", topic.alias("topic")))), lambda item: item["topic"]).alias("topics"))
     half = F.floor(F.size("topics") / 2).cast("int")
@@ -112,7 +112,7 @@ def topic_merge(spark, folder):
     SELECT c.conv_id, substr('Title: Talk ' || c.conv_id || coalesce((SELECT string_agg(p, '' ORDER BY turn) FROM pieces p WHERE p.conv_id = c.conv_id), ''), 1, 700) AS content FROM (SELECT DISTINCT conv_id FROM conversations) c""",
 )
 def tagging_inputs(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     documents = turns.select("conv_id").distinct().withColumn("title", F.concat(F.lit("Talk "), F.col("conv_id").cast("string")))
     sections = turns.select("conv_id", F.col("turn").cast("int").alias("ordinal"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("label"), "text", (F.col("role") == "system").alias("hidden"))
     return evidence.tagging_inputs(documents, sections, "conv_id", "title", 700)
@@ -127,7 +127,7 @@ NAMES = "names AS (SELECT DISTINCT 'topic:' || lower(replace(p_name, ' ', '-'))
 )
 def orphan_topics(spark, folder):
     """Unused topics named by parts, and four that are common words, found in the texts."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     parts = read_table(spark, folder, "part").select(F.concat(F.lit("topic:"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("tag")).distinct()
     common = spark.range(1).select(F.explode(F.array(*[F.lit(f"topic:{word}") for word in ("the", "que", "der", "les")])).alias("tag"))
     definitions = parts.unionByName(common).select("tag", F.lit("topic").alias("kind"), F.col("tag").alias("display_name"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("usage_count"))

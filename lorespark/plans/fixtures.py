@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 
 
 def wiki(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,7 +17,7 @@ def wiki(spark: SparkSession, folder: str) -> DataFrame:
     A document rated 0 is a draft, a toxic one lies in the trash. Pages form a
     forest in which page n hangs below page n / 10.
     """
-    documents = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
     labels = read_table(spark, folder, "labels")
     ident = F.col("doc_id")
     joined = documents.join(labels, "doc_id", "left")
@@ -65,7 +65,7 @@ TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 def archive_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as documents: one file per conversation on the page of the same number."""
-    turns = read_table(spark, folder, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    turns = read_spread(spark, folder, "conversations", "conv_id").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
     conv = F.col("conv_id")
     return turns.select(
         conv.alias("id"),
@@ -80,7 +80,7 @@ def archive_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Two versions per conversation: an empty first one, and the current one."""
-    conv = read_table(spark, folder, "conversations").select("conv_id").distinct()
+    conv = read_spread(spark, folder, "conversations", "conv_id").select("conv_id").distinct()
     return conv.select(F.col("conv_id").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).select(
         (F.col("document_id") * 2 + F.col("version")).alias("id"), "document_id", "version"
     )
@@ -88,7 +88,7 @@ def document_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as sections of the current version; system turns are hidden."""
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     label = F.concat(F.lit("Turn "), F.col("turn").cast("string"))
     none = F.lit(None)
     return turns.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import citations, cursors, mime, text
 from ..model import SectionFilters
 from ..operators import filters, graph, paging, scale
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from .fixtures import SECTIONS, TIME, WIKI, archive_documents, document_versions, sections, text_of_time, wiki
 
 QUERIES, ORACLE = {}, {}
@@ -153,13 +153,13 @@ def section_facets(spark, folder):
     "SELECT conv_id AS document_id, turn AS version, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
 )
 def latest_version(spark, folder):
-    turns = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("version"), "role", "text")
+    turns = read_spread(spark, folder, "conversations", "conv_id").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("version"), "role", "text")
     return filters.current_versions(turns)
 
 
 @query("next_version", "SELECT conv_id AS document_id, max(turn) + 1 AS next_version, count(*) AS versions FROM conversations GROUP BY conv_id")
 def next_version(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     return turns.groupBy(F.col("conv_id").alias("document_id")).agg((F.max("turn") + 1).alias("next_version"), F.count("*").alias("versions"))
 
 
@@ -193,7 +193,7 @@ def offset_page(spark, folder):
 
 @query("section_page", "SELECT turn AS ordinal, role, text FROM conversations WHERE conv_id = 3 ORDER BY turn LIMIT 4 OFFSET 2")
 def section_page(spark, folder):
-    turns = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("version_id"), F.col("turn").alias("ordinal"), "role", "text")
+    turns = read_spread(spark, folder, "conversations", "conv_id").select(F.col("conv_id").alias("version_id"), F.col("turn").alias("ordinal"), "role", "text")
     return paging.section_page(turns, 3, 2, 3).select("ordinal", "role", "text")
 
 
@@ -222,7 +222,7 @@ NAMES = """named AS (SELECT doc_id, lang,
 
 
 def named_files(spark, folder):
-    documents = read_table(spark, folder, "documents").select("doc_id", "lang", "source")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "lang", "source")
     endings = [".docx", ".XLSX", ".pptx", ".Pdf", ".markdown", ".txt", "", ".bin"]
     types = ["application/pdf", "text/plain; charset=utf-8", "text/markdown", "Image/PNG; q=1", "not a type"]
     pick = lambda values: F.element_at(F.array(*[F.lit(value) for value in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
@@ -252,7 +252,7 @@ def document_format(spark, folder):
       NOT regexp_matches(url, '^/') AND NOT list_contains(string_split(replace(url, '?', '/../'), '/'), '..') AS safe_path FROM pages""",
 )
 def name_and_path_checks(spark, folder):
-    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    pages = read_spread(spark, folder, "pages", "page_id").select("page_id", "url")
     return pages.select(
         "page_id", mime.valid_filename(F.col("url")).alias("filename"), mime.safe_archive_path(F.replace("url", F.lit("?"), F.lit("/../"))).alias("safe_path")
     )
@@ -264,7 +264,7 @@ def name_and_path_checks(spark, folder):
 )
 def image_signature(spark, folder):
     heads = ["89504E470D0A1A0A", "FFD8FF", "474946383961", "524946460000000057454250", "424D", "000000206674797061766966", "25504446"]
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     head = F.unhex(F.element_at(F.array(*[F.lit(value) for value in heads]), (F.col("doc_id") % len(heads) + 1).cast("int")))
     content = F.concat(head, F.encode(F.concat(F.lit("______"), F.col("text")), "UTF-8"))
     return documents.select("doc_id", mime.image_mime(content).alias("image_mime"))
@@ -276,7 +276,7 @@ def image_signature(spark, folder):
     SELECT doc_id, CASE WHEN length(t) > 180 THEN substr(t, 1, 177) || '…' ELSE t END AS page_excerpt, substr(text, 1, 500) AS section_excerpt, substr(text, 1, 240) AS chunk_excerpt FROM cleaned""",
 )
 def excerpts(spark, folder):
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return documents.select(
         "doc_id", text.excerpt(F.col("text")).alias("page_excerpt"), F.substring("text", 1, 500).alias("section_excerpt"), F.substring("text", 1, 240).alias("chunk_excerpt")
     )
@@ -288,7 +288,7 @@ def excerpts(spark, folder):
       '/documents/' || conv_id || '/content?offset=' || ((conv_id * 9 + turn) // 50) * 50 || '#section-' || (conv_id * 9 + turn) AS url FROM conversations""",
 )
 def locators(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     shown = F.col("role") != "system"
     where = F.struct(
         F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("label"), F.when(shown, F.col("turn") + 1).cast("int").alias("page"), F.lit(None).cast("int").alias("slide"),
@@ -303,4 +303,4 @@ def locators(spark, folder):
     """SELECT doc_id, CASE WHEN octet_length(encode(text)) < 1024 THEN octet_length(encode(text)) || ' B' ELSE printf('%.1f KiB', floor(octet_length(encode(text)) / 102.4 + 0.5) / 10) END AS size FROM documents""",
 )
 def byte_sizes(spark, folder):
-    return read_table(spark, folder, "documents").select("doc_id", text.byte_size_label(F.octet_length("text")).alias("size"))
+    return read_spread(spark, folder, "documents", "doc_id").select("doc_id", text.byte_size_label(F.octet_length("text")).alias("size"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import SectionFilters
 from ..operators import evidence, filters, hybrid, lexical, vectors
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from .fixtures import SECTIONS, WIKI, wiki
 from .reading import searchable
 
@@ -47,7 +47,7 @@ BODY = f"words AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)"
 
 
 def body_rows(spark, folder):
-    return read_table(spark, folder, "documents").select("doc_id", "text")
+    return read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
 
 
 @query(
@@ -91,7 +91,7 @@ def phrase_search(spark, folder):
 
 @query("phrase_from_postings", PHRASE)
 def phrase_from_postings(spark, folder):
-    index = lexical.PostingsIndex.build(body_rows(spark, folder), ["text"], "doc_id")
+    index = lexical.PostingsIndex.build(body_rows(spark, folder), ["text"], "doc_id", positions=True)
     return index.scores("de-la").join(index.phrase_matches(["de", "la"]), "id").select(F.col("id").alias("doc_id"), "hits", (F.round("score", 6) + 0.0).alias("score"))
 
 
@@ -279,7 +279,7 @@ EVIDENCE = """hits AS (SELECT conv_id, turn, substr(CASE WHEN turn % 4 = 2 THEN
     f"WITH {EVIDENCE} SELECT conv_id, 'E' || number AS evidence_id, substr(c, 1, (900 - used)::BIGINT) AS content FROM kept WHERE number <= 4 AND used < 900",
 )
 def evidence_budget(spark, folder):
-    hits = read_table(spark, folder, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 2, F.lit("   ")).otherwise(F.col("text")).alias("text"))
+    hits = read_spread(spark, folder, "conversations", "conv_id").select("conv_id", "turn", F.when(F.col("turn") % 4 == 2, F.lit("   ")).otherwise(F.col("text")).alias("text"))
     return evidence.build_evidence(hits, "conv_id", "turn", "text", 4, 400, 900).select("conv_id", "evidence_id", "content")
 
 
@@ -289,6 +289,6 @@ def evidence_budget(spark, folder):
     SELECT conv_id, 'E' || number AS evidence_id FROM (SELECT *, sum(length(content)) OVER (PARTITION BY conv_id ORDER BY number) AS total FROM e) WHERE total + 200 <= 800""",
 )
 def evidence_for_prompt(spark, folder):
-    hits = read_table(spark, folder, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 2, F.lit("   ")).otherwise(F.col("text")).alias("text"))
+    hits = read_spread(spark, folder, "conversations", "conv_id").select("conv_id", "turn", F.when(F.col("turn") % 4 == 2, F.lit("   ")).otherwise(F.col("text")).alias("text"))
     built = evidence.build_evidence(hits, "conv_id", "turn", "text", 4, 400, 900)
     return evidence.trim_to_prompt(built, "conv_id", F.lit(200), 800).select("conv_id", "evidence_id")

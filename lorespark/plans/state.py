@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import slugify
 from ..operators import blobs, captures, filters, history, lifecycle, queues
 from ..session import shared_folder
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from ..streaming import jobs
 from .fixtures import TIME, WIKI, queue_events, text_of_time, wiki
 
@@ -123,7 +123,7 @@ def queue_transitions(spark, folder):
 
 def capture_rows(spark, folder):
     """Pages as captures with a refresh plan."""
-    pages = read_table(spark, folder, "pages")
+    pages = read_spread(spark, folder, "pages", "page_id")
     ident = F.col("page_id")
     states = F.array(*[F.lit(state) for state in ("ready", "queued", "fetching", "failed")])
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -161,7 +161,7 @@ def visible_captures(spark, folder):
 
 def snapshot_rows(spark, folder):
     """Two snapshots per captured page; the newer one holds the present bytes, except for a third of them."""
-    pages = read_table(spark, folder, "pages").select("page_id", "html")
+    pages = read_spread(spark, folder, "pages", "page_id").select("page_id", "html")
     ident = F.col("page_id")
     number = F.explode(F.array(F.lit(0), F.lit(1))).alias("number")
     both = pages.filter(ident % 10 != 9).select("page_id", "html", number)
@@ -181,7 +181,7 @@ def asset_rows(frame, key, changed):
     """SELECT page_id AS web_capture_id, CASE WHEN page_id % 8 = 1 THEN 'not_modified' WHEN page_id % 10 <> 9 AND page_id % 4 <> 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 THEN 'unchanged' ELSE 'changed' END AS outcome FROM pages""",
 )
 def snapshot_changes(spark, folder):
-    pages = read_table(spark, folder, "pages").select("page_id", "html")
+    pages = read_spread(spark, folder, "pages", "page_id").select("page_id", "html")
     ident = F.col("page_id")
     results = pages.select(ident.alias("web_capture_id"), F.sha2("html", 256).alias("blob_sha256"), F.when(ident % 8 == 1, F.lit("not_modified")).otherwise(F.lit("content")).alias("kind"))
     snapshots = snapshot_rows(spark, folder)
@@ -318,7 +318,7 @@ def human_edits(spark, folder):
 @query("line_diff")
 def line_diff(spark, folder):
     """Each turn against the turn before it, line by line; checked against brute force in the tests."""
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     return history.body_diff(turns.join(before, ["conv_id", "turn"]), "before", "text", ["conv_id", "turn"])
 
@@ -330,7 +330,7 @@ def line_diff(spark, folder):
 )
 def line_diff_totals(spark, folder):
     """Every document against itself with one line put in the middle."""
-    documents = read_table(spark, folder, "documents").select("doc_id", F.rtrim(F.col("text"), F.lit("\n")).alias("text"))
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", F.rtrim(F.col("text"), F.lit("\n")).alias("text"))
     lines = F.split("text", "\n")
     middle = F.floor(F.size(lines) / 2).cast("int")
     after = F.array_join(F.concat(F.slice(lines, F.lit(1), middle), F.array(F.lit("a line of its own")), F.slice(lines, middle + 1, F.size(lines))), "\n")
@@ -339,12 +339,12 @@ def line_diff_totals(spark, folder):
 
 
 def files(spark, folder):
-    return read_table(spark, folder, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.lit("text/plain").alias("mime"))
+    return read_spread(spark, folder, "documents", "doc_id").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.lit("text/plain").alias("mime"))
 
 
 @query("blob_dedup", "SELECT sha256(text) AS sha256, max(octet_length(encode(text))) AS size, count(*) AS copies FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0') GROUP BY sha256(text)")
 def blob_dedup(spark, folder):
-    stored = blobs.addressed(read_table(spark, folder, "documents").filter(F.col("source") == "src0"), "text").select("sha256")
+    stored = blobs.addressed(read_spread(spark, folder, "documents", "doc_id").filter(F.col("source") == "src0"), "text").select("sha256")
     return blobs.new_blobs(files(spark, folder), stored).select("sha256", "size", "copies")
 
 
@@ -354,9 +354,9 @@ def blob_dedup(spark, folder):
 )
 def orphan_blobs(spark, folder):
     hashed = lambda frame: frame.select(F.sha2("text", 256).alias("sha256"))
-    documents = read_table(spark, folder, "documents")
+    documents = read_spread(spark, folder, "documents", "doc_id")
     stored = hashed(documents).distinct()
-    referrers = [documents.filter(F.col("lang") == "en"), documents.filter(F.col("doc_id") % 2 == 0), read_table(spark, folder, "benchmark"), read_table(spark, folder, "conversations")]
+    referrers = [documents.filter(F.col("lang") == "en"), documents.filter(F.col("doc_id") % 2 == 0), read_table(spark, folder, "benchmark"), read_spread(spark, folder, "conversations", "conv_id")]
     return blobs.orphan_blobs(stored, *[hashed(frame) for frame in referrers])
 
 
@@ -366,7 +366,7 @@ def orphan_blobs(spark, folder):
 )
 def archive_verify(spark, folder):
     """A manifest of all documents against files of which some are gone, longer, altered, or unlisted."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     kind = F.col("doc_id") % 11
     path = F.concat(F.lit("files/"), F.col("doc_id").cast("string")).alias("path")
     listed = documents.filter(kind != 3).select(path, F.when(kind == 4, F.lit("no hash")).otherwise(F.sha2("text", 256)).alias("sha256"), F.octet_length("text").cast("bigint").alias("size"))
@@ -385,7 +385,7 @@ def archive_verify(spark, folder):
 )
 def consistency_audit(spark, folder):
     lines, orders = read_table(spark, folder, "lineitem"), read_table(spark, folder, "orders")
-    labelled = read_table(spark, folder, "documents").select("doc_id").join(read_table(spark, folder, "labels"), "doc_id", "left")
+    labelled = read_spread(spark, folder, "documents", "doc_id").select("doc_id").join(read_table(spark, folder, "labels"), "doc_id", "left")
     return blobs.audit(
         blobs.foreign_key_violations(lines, "l_orderkey", orders.filter(F.col("o_orderkey") % 10 != 0), "o_orderkey", "line of an order"),
         blobs.foreign_key_violations(lines, "l_partkey", read_table(spark, folder, "part"), "p_partkey", "line of a part"),
@@ -405,9 +405,9 @@ def ops_statistics(spark, folder):
     pages = wiki(spark, folder)
     counted = {
         "active_pages": filters.active(pages), "deleted_pages": filters.deleted(pages), "revisions": read_table(spark, folder, "events"),
-        "documents": read_table(spark, folder, "conversations").select("conv_id").distinct(), "sections": read_table(spark, folder, "conversations"), "web_captures": read_table(spark, folder, "pages"),
+        "documents": read_spread(spark, folder, "conversations", "conv_id").select("conv_id").distinct(), "sections": read_spread(spark, folder, "conversations", "conv_id"), "web_captures": read_spread(spark, folder, "pages", "page_id"),
     }
-    stored = blobs.addressed(read_table(spark, folder, "documents").select("text"), "text").groupBy("sha256").agg(F.max("size").alias("size"))
+    stored = blobs.addressed(read_spread(spark, folder, "documents", "doc_id").select("text"), "text").groupBy("sha256").agg(F.max("size").alias("size"))
     return blobs.statistics(counted, stored)
 
 
@@ -433,7 +433,7 @@ def create_pages(spark, folder):
     """An input per captured page: two kinds are fine, others have a bad title, alias, or parent."""
     ident = F.col("page_id")
     kind = ident % 6
-    inputs = read_table(spark, folder, "pages").select(
+    inputs = read_spread(spark, folder, "pages", "page_id").select(
         ident.alias("no"),
         F.when(kind == 2, F.lit(" ")).otherwise(F.concat(F.lit(" Page "), ident.cast("string"))).alias("title"),
         F.when(kind == 1, F.concat(F.lit("Own-"), ident.cast("string"))).when(kind == 3, F.lit("doc-9")).when(kind == 4, F.lit("not valid")).alias("alias"),
@@ -450,7 +450,7 @@ def create_pages(spark, folder):
 def create_refusals(spark, folder):
     ident = F.col("page_id")
     kind = ident % 6
-    inputs = read_table(spark, folder, "pages").select(
+    inputs = read_spread(spark, folder, "pages", "page_id").select(
         ident.alias("no"),
         F.when(kind == 2, F.lit(" ")).otherwise(F.concat(F.lit(" Page "), ident.cast("string"))).alias("title"),
         F.when(kind == 3, F.lit("doc-9")).when(kind == 4, F.lit("not valid")).alias("alias"),
@@ -496,7 +496,7 @@ def purge_pages(spark, folder):
     "SELECT conv_id AS document_id, turn AS version, CASE WHEN conv_id % 2 = 0 AND turn % 3 <> 2 THEN 'superseded' ELSE ['queued', 'extracting', 'ready'][turn % 3 + 1] END AS status FROM conversations",
 )
 def supersede_versions(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     states = F.array(F.lit("queued"), F.lit("extracting"), F.lit("ready"))
     versions = turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("version"), F.element_at(states, (F.col("turn") % 3 + 1).cast("int")).alias("status"))
     return queues.superseded(versions, versions.filter(F.col("document_id") % 2 == 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, graph, taxonomy, tree
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from .fixtures import LINKS, TIME, WIKI, link_pages, order_links, text_of_time, wiki
 
 QUERIES, ORACLE = {}, {}
@@ -208,7 +208,7 @@ def definitions(spark, folder):
 
 def tag_aliases(spark, folder):
     """Each source is also known by its bare name."""
-    tags = read_table(spark, folder, "documents").select("source").distinct()
+    tags = read_spread(spark, folder, "documents", "doc_id").select("source").distinct()
     return tags.select(F.col("source").alias("alias"), F.concat(F.lit("source:"), "source").alias("canonical_tag"))
 
 
@@ -228,7 +228,7 @@ def tag_usage(spark, folder):
 )
 def tag_resolution(spark, folder):
     """Tag rows that use both the alias and the canonical tag come out once."""
-    documents = read_table(spark, folder, "documents")
+    documents = read_spread(spark, folder, "documents", "doc_id")
     rows = documents.select(F.col("doc_id").alias("page_id"), F.explode(F.array(F.col("source"), F.concat(F.lit("source:"), "source"), F.concat(F.lit("lang:"), "lang"))).alias("tag"))
     return taxonomy.resolve_tag_rows(rows, tag_aliases(spark, folder))
 
@@ -276,7 +276,7 @@ def implicit_definitions(spark, folder):
     UNION SELECT page_id, tag FROM proposed p WHERE NOT EXISTS (SELECT 1 FROM suppressed s WHERE s.page_id = p.page_id AND s.tag = p.tag)""",
 )
 def apply_generated_tags(spark, folder):
-    documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), "lang")
+    documents = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("page_id"), "lang")
     ident = F.col("page_id")
     row = lambda frame, tag: frame.select("page_id", F.lit(tag).alias("tag"))
     generated = row(documents, "topic:old")
@@ -294,7 +294,7 @@ def apply_generated_tags(spark, folder):
 )
 def reconcile_tag_edits(spark, folder):
     """Every page has a generated tag; even pages were edited, and a third of those kept it."""
-    documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"))
+    documents = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("page_id"))
     row = lambda frame: frame.select("page_id", F.lit("topic:a").alias("tag"))
     edited = documents.filter(F.col("page_id") % 2 == 0)
     submitted = row(edited.filter(F.col("page_id") % 3 == 0))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import html, mime, text, urls
 from ..operators import chunks, graph
 from ..sources import frontmatter, office
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from .fixtures import WIKI, wiki
 
 QUERIES, ORACLE = {}, {}
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def captured(spark, folder):
-    return read_table(spark, folder, "pages")
+    return read_spread(spark, folder, "pages", "page_id")
 
 
 # Character references: known names first, unknown names to a blank, the ampersand last.
@@ -83,7 +83,7 @@ def entity_decode(spark, folder):
 )
 def numeric_entities(spark, folder):
     """Every character above ASCII is written as a reference and read back."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     letters = F.split("text", "")
     encoded = F.array_join(F.transform(letters, lambda letter: F.when(F.ascii(letter) > 127, F.concat(F.lit("&#x"), F.hex(F.ascii(letter)), F.lit(";"))).when(letter == "&", F.lit("&#38;")).otherwise(letter)), "")
     return documents.select("doc_id", text.decode_entities(encoded).alias("decoded"))
@@ -162,7 +162,7 @@ def slugify(spark, folder):
     r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda t: lower(trim(t, ' ' || chr(10)))), lambda t: t <> ''))), '|') AS tags FROM documents""",
 )
 def normalize_tags(spark, folder):
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return documents.select("doc_id", F.array_join(text.normalize_tags(F.split("text", " ")), "|").alias("tags"))
 
 
@@ -196,7 +196,7 @@ TRIM = "trim({}, ' ' || chr(10) || chr(13) || chr(9))"
     SELECT doc_id, n - 1 AS ordinal, 'Part ' || n AS label, {TRIM.format('substr(text, pos + 1, size)')} AS text FROM walk""",
 )
 def plain_sections(spark, folder):
-    documents = read_table(spark, folder, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("body"))
     parts = chunks.explode_sections(documents, chunks.finish_sections(chunks.plain_parts(F.col("body"))), ["doc_id"])
     return parts.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("locator.label").alias("label"), "text")
 
@@ -222,7 +222,7 @@ def page_chunks(spark, folder):
     SELECT section_id, row_number() OVER (PARTITION BY section_id ORDER BY n) - 1 AS ordinal, content FROM firsts""",
 )
 def section_chunks(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = read_spread(spark, folder, "conversations", "conv_id")
     rows = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("section_id"), F.lit("talk.md").alias("filename"), F.lit("markdown").alias("format"), F.col("role").alias("kind"),
         F.struct(F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("label")).alias("locator"), (F.col("role") == "system").alias("hidden"), "text",
@@ -266,7 +266,7 @@ def markdown_sections(spark, folder):
 )
 def long_section_parts(spark, folder):
     """Texts of one source joined into one long section, which is split again."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "source", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "source", "text")
     ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     joined = documents.groupBy("source").agg(F.array_join(F.transform(ordered, lambda item: item["text"]), " ").alias("body"))
     whole = F.struct(
@@ -283,7 +283,7 @@ def long_section_parts(spark, folder):
 )
 def text_decode(spark, folder):
     """Every text in one of three encodings, or broken."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     kind = F.col("doc_id") % 4
     content = (
         F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
@@ -347,7 +347,7 @@ def public_ipv4(spark, folder):
 )
 def search_result_urls(spark, folder):
     """One result page per source: plain results, redirects, and private addresses that are dropped."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "source")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "source")
     ident = F.col("doc_id").cast("string")
     line = F.concat(
         F.lit("TITLE: result\nURL: "),
@@ -403,7 +403,7 @@ def docx_sections(spark, folder):
 
         return texts.map(build)
 
-    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     files = documents.select(F.col("doc_id").alias("file_id"), F.lit("page.docx").alias("filename"), F.lit("").alias("mime"), write("text").alias("content"))
     found = chunks.explode_sections(office.extract_files(files), F.col("sections"), ["file_id"])
     return found.select(F.col("file_id").alias("doc_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "kind", "text")

@@ -23,7 +23,7 @@ PARSED = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
-HEADER = r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)"
+HEADER = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)"
 
 
 def _scalar(value: Column) -> Column:
@@ -114,10 +114,9 @@ def _parse(header: str | None) -> dict:
     if header is None:
         return {**empty, "error": "Markdown import requires YAML front matter"}
     try:
-        data = yaml.load(header, Loader=yaml.BaseLoader), yaml.safe_load(header)
+        plain = yaml.load(header, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         return {**empty, "error": "YAML front matter is invalid"}
-    plain = data[1]
     if not isinstance(plain, dict):
         return {**empty, "error": "front matter must be a mapping"}
     tags, properties = plain.get("tags", []), plain.get("properties", {})

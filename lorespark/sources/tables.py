@@ -11,6 +11,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are heavy to process, with work for every core.
+
+    A small table may come as one row group, which is one task. As long as there
+    is less than one usual partition per core, its rows are spread by key;
+    a larger table is read as it is, without a shuffle.
+    """
+    table = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    partition_bytes = 128 * 1024 * 1024
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores, key) if size < cores * partition_bytes else table
+
+
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
     """Write all tables into a new version folder, then point to it.
 
