@@ -107,3 +107,39 @@ def research_readiness(sources: DataFrame, captures: DataFrame, documents: DataF
     )
     step = F.when(F.col("pending") > 0, F.lit("wait")).when(F.size("usable") == 0, F.lit("fail")).otherwise(F.lit("answer"))
     return grouped.withColumn("next_step", step)
+
+
+def create_captures(urls: DataFrame, captures: DataFrame, now: str) -> dict[str, DataFrame]:
+    """Page inputs and jobs for addresses (no, url[, tag]) that nobody captured yet, and the refused rest."""
+    from ..functions.urls import capture_title
+
+    known = captures.select("url", F.lit(True).alias("_known"))
+    first = urls.groupBy("url").agg(F.min("no").alias("_first"))
+    marked = urls.join(known, "url", "left").join(first, "url")
+    taken = F.col("_known").isNotNull() | (F.col("no") != F.col("_first"))
+    tags = F.array(F.lit("source:web"), F.lit("type:web-capture"))
+    if "tag" in urls.columns:
+        tags = F.array_compact(F.array(F.lit("source:web"), F.lit("type:web-capture"), F.col("tag")))
+    fresh = marked.filter(~taken)
+    inputs = fresh.select("no", "url", capture_title(F.col("url")).alias("title"), F.lit("").alias("body"), tags.alias("tags"))
+    moment = F.lit(now).cast("timestamp_ntz")
+    return {"inputs": inputs, "refused": marked.filter(taken).select("no", F.lit("URL is already captured").alias("error")), "requested_at": fresh.select("no", moment.alias("requested_at"))}
+
+
+def apply_fetches(captures: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
+    """Captures after accepted fetches; `outcomes` comes from `detect_changes`.
+
+    A fetch that found nothing new only moves the check times; a changed page
+    also gets a new fetch time.
+    """
+    moment = F.lit(now).cast("timestamp_ntz")
+    fetched = outcomes.select(F.col("web_capture_id").alias("id"), "outcome")
+    joined = captures.join(fetched, "id", "left")
+    seen, changed = F.col("outcome").isNotNull(), F.coalesce(F.col("outcome") == "changed", F.lit(False))
+    new = {
+        "status": F.when(seen, F.lit("ready")).otherwise(F.col("status")),
+        "last_checked_at": F.when(seen, moment).otherwise(F.col("last_checked_at")),
+        "fetched_at": F.when(changed, moment).otherwise(F.col("fetched_at")),
+        "next_refresh_at": F.when(seen, F.timestamp_add("SECOND", F.col("refresh_interval_seconds"), moment)).otherwise(F.col("next_refresh_at")),
+    }
+    return joined.select(*[new[name].alias(name) if name in new else F.col(name) for name in captures.columns], "outcome")

@@ -14,7 +14,7 @@ from ..model import MAX_BODY_BYTES, MAX_TITLE_CHARS, PAGE_STATUSES
 from ..session import cut_lineage
 from .filters import active, deleted, normalize_properties, properties_error
 from .history import revisions_of_changes
-from .scale import number_within
+from .scale import count_before, number_within
 
 PAGE_COLUMNS = ["id", "title", "alias", "body", "tags", "status", "parent_id", "properties", "created_at", "updated_at", "deleted_at", "deleted_alias"]
 
@@ -27,33 +27,72 @@ def candidate(base, number):
 def assign_aliases(proposals: DataFrame, taken: DataFrame) -> DataFrame:
     """Free alias for every proposal (id, base), as if they came one after another by id.
 
-    The n-th proposal of a base takes its n-th free candidate. Candidates are
-    closed by stored aliases and by proposals of other bases with a smaller id;
-    rounds repeat until no two proposals meet. A round moves whole groups at
-    once, so a base with many proposals needs no more rounds than one with few.
+    The n-th proposal of a base takes its n-th open number. A number is closed
+    by a stored alias, or because another base is spelled like it and its first
+    proposal came earlier; see `_contested`.
     """
     ranked = cut_lineage(number_within(proposals.select("id", "base"), "base", "id", name="_nth"))
-    # A closed candidate is "base" itself or "base-<number>" of a proposed base.
-    bases = ranked.select("base").distinct()
-    aliases = taken.select("alias").distinct()
-    direct = aliases.select(F.col("alias").alias("base"), F.lit(1).cast("bigint").alias("number"))
-    numbered = aliases.filter(F.col("alias").rlike("-[1-9][0-9]*$")).select(
-        F.regexp_extract("alias", "^(.*)-[0-9]+$", 1).alias("_stem"), F.regexp_extract("alias", "([0-9]+)$", 1).try_cast("bigint").alias("number")
-    ).filter(F.col("number") >= 2)
-    stems = bases.select("base", F.substring("base", 1, 190).alias("_stem"))
-    closed = direct.join(bases, "base", "left_semi").unionByName(numbered.join(stems, "_stem").select("base", "number")).distinct()
-    closed = cut_lineage(closed)
+    stored = cut_lineage(_stored_numbers(ranked.select("base").distinct(), taken.select("alias").distinct()))
+    closed = cut_lineage(stored.unionByName(_contested(ranked, stored)).distinct())
     while True:
         placed = ranked.join(_open_numbers(ranked, closed), ["base", "_nth"]).select("id", "base", "number", candidate(F.col("base"), F.col("number")).alias("alias"))
         placed = cut_lineage(placed)
+        # Only bases that differ after their first 190 characters can still meet.
         winners = placed.groupBy("alias").agg(F.min("id").alias("_winner"), F.count("*").alias("_claims")).filter(F.col("_claims") > 1)
-        losers = placed.join(winners, "alias").filter(F.col("id") != F.col("_winner")).select("base", "number").distinct()
-        losers = cut_lineage(losers)
+        losers = cut_lineage(placed.join(winners, "alias").filter(F.col("id") != F.col("_winner")).select("base", "number").distinct())
         if not losers.limit(1).count():
             return placed.select("id", "alias")
         closed = cut_lineage(closed.unionByName(losers).distinct())
 
 
+def _stored_numbers(bases: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(base, number) of the candidates of proposed bases that are stored already."""
+    direct = aliases.select(F.col("alias").alias("base"), F.lit(1).cast("bigint").alias("number")).join(bases, "base", "left_semi")
+    stems = bases.select("base", F.substring("base", 1, 190).alias("stem"))
+    return direct.unionByName(_split_numbers(aliases).join(stems, "stem").select("base", "number")).distinct()
+
+
+def _split_numbers(aliases: DataFrame) -> DataFrame:
+    """(alias, stem, number) of aliases that end in a number of two or more."""
+    numbered = aliases.filter(F.col("alias").rlike("-[1-9][0-9]*$"))
+    return numbered.select("alias", F.regexp_extract("alias", "^(.*)-[0-9]+$", 1).alias("stem"), F.regexp_extract("alias", "([0-9]+)$", 1).try_cast("bigint").alias("number")).filter(F.col("number") >= 2)
+
+
+def _contested(ranked: DataFrame, stored: DataFrame) -> DataFrame:
+    """(base, number) closed by proposals of other bases.
+
+    The alias "a-3" is the third candidate of base "a" and the first one of base
+    "a-3". The first proposal of "a-3" wins when fewer proposals of "a" came
+    before it than "a" needs to reach its third number. That need depends on the
+    smaller contested numbers of "a", and on whether "a" itself was lost to its
+    own stem; so all decisions are repeated until none changes. Only bases take
+    part here, not proposals.
+    """
+    firsts = ranked.groupBy("base").agg(F.min("id").alias("first"))
+    stems = firsts.select("base", F.substring("base", 1, 190).alias("stem"))
+    children = _split_numbers(firsts.select(F.col("base").alias("alias"))).join(firsts.select(F.col("base").alias("alias"), "first"), "alias")
+    pairs = children.join(stems, "stem").select("base", "number", F.col("alias").alias("child"), "first").join(stored, ["base", "number"], "left_anti")
+    entries = cut_lineage(pairs)
+    if not entries.limit(1).count():
+        return stored.limit(0)
+    came = count_before(ranked.select("base", F.col("id").alias("at")), entries.withColumn("at", F.col("first")), "base", "at", "came").drop("at")
+    skipped = count_before(stored.select("base", F.col("number").alias("at")), came.withColumn("at", F.col("number")), "base", "at", "skipped").drop("at")
+    state = cut_lineage(skipped.withColumn("won", F.lit(False)))
+    while True:
+        # A child that lost its own name cannot give its first number away.
+        lost = state.filter(~F.col("won")).select(F.col("child").alias("base"), F.lit(1).alias("_lost"))
+        earlier = count_before(state.filter("won").select("base", F.col("number").alias("at")), state.withColumn("at", F.col("number")), "base", "at", "_earlier").drop("at")
+        need = F.col("number") - F.col("skipped") - F.coalesce("_lost", F.lit(0)) - F.col("_earlier")
+        decided = cut_lineage(earlier.join(lost, "base", "left").withColumn("_now", F.col("came") < need))
+        changed = decided.filter(F.col("won") != F.col("_now")).limit(1).count()
+        state = decided.withColumn("won", F.col("_now")).drop("_now", "_earlier", "_lost")
+        if not changed:
+            break
+    by_children = state.filter("won").select("base", "number")
+    own_names = state.filter(~F.col("won")).select(F.col("child").alias("base"), F.lit(1).cast("bigint").alias("number"))
+    return by_children.unionByName(own_names)
+
+
 def _open_numbers(ranked: DataFrame, closed: DataFrame) -> DataFrame:
     """(base, _nth, number): the n-th number of a base that is not closed, for every rank in use.
 

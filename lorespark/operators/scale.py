@@ -34,6 +34,18 @@ def number_within(df: DataFrame, key: str, order: str, span: int = 1_000_000, na
     return joined.withColumn(name, F.col("_inner") + F.col("_offset")).drop("_bucket", "_inner", "_offset")
 
 
+def count_before(points: DataFrame, marks: DataFrame, key: str, at: str, name: str) -> DataFrame:
+    """Marks with the number of points of the same key at a smaller place.
+
+    Both are numbered together and the marks once more alone; the difference is
+    the count. Neither side is multiplied, whatever a key holds.
+    """
+    both = points.select(key, (F.col(at) * 2 + 1).alias("_place"), F.lit(False).alias("_mark")).unionByName(marks.select(key, (F.col(at) * 2).alias("_place"), F.lit(True).alias("_mark")))
+    together = number_within(both, key, "_place", 2_000_000, "_together").filter("_mark").select(key, "_place", "_together")
+    alone = number_within(marks.withColumn("_place", F.col(at) * 2), key, "_place", 2_000_000, "_alone")
+    return alone.join(together, [key, "_place"]).withColumn(name, F.col("_together") - F.col("_alone")).drop("_place", "_together", "_alone")
+
+
 def previous_within(df: DataFrame, key: str, bucket: Column, order: list[str], columns: list[str], prefix: str = "prev_") -> DataFrame:
     """Values of the previous row of the same key.
 
