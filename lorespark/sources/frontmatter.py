@@ -28,7 +28,7 @@ HEADER = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)"
 
 def _scalar(value: Column) -> Column:
     """A string as a YAML scalar; JSON strings are valid YAML."""
-    return F.to_json(F.struct(value.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(value.alias("v")))) - 6)
+    return F.when(value.isNotNull(), F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', ""))
 
 
 def _block(name: str, lines: Column, empty: str) -> Column:
@@ -46,16 +46,16 @@ def markdown_document(fields: dict[str, Column], body: Column) -> Column:
 
 
 def page_fields(parent_alias: Column | None = None) -> dict[str, Column]:
-    properties = F.transform(F.map_entries("properties"), lambda item: F.concat(F.lit("  "), item["key"], F.lit(": "), item["value"]))
+    properties = F.transform(F.map_entries("properties"), lambda item: F.concat(F.lit('  "'), item["key"], F.lit('": '), item["value"]))
     tags = F.transform("tags", lambda tag: F.concat(F.lit("  - "), _scalar(tag)))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     return {
         VERSION_KEY: F.lit(f"{VERSION_KEY}: 1"),
         "title": line("title", _scalar(F.col("title"))),
-        "alias": line("alias", F.col("alias")),
+        "alias": line("alias", _scalar(F.col("alias"))),
         "tags": _block("tags", tags, "[]"),
         "status": line("status", F.col("status")),
-        "parent": line("parent", parent_alias if parent_alias is not None else F.lit(None).cast("string")),
+        "parent": line("parent", _scalar(parent_alias)) if parent_alias is not None else F.lit(None).cast("string"),
         "parent_id": line("parent_id", F.col("parent_id").cast("string")),
         "properties": _block("properties", properties, "{}"),
         "created_at": line("created_at", _iso(F.col("created_at"))),

@@ -76,7 +76,7 @@ class LeaseProcessor(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", T.StructType([T.StructField("attempts", T.LongType()), T.StructField("leased", T.BooleanType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at", "event_id"])
         attempts, leased = self.job.get() if self.job.exists() else (0, False)
         out = []
@@ -99,11 +99,11 @@ class LeaseProcessor(StatefulProcessor):
         self.job.update((attempts, leased))
         yield pd.DataFrame(out, columns=self.OUTPUT.names)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         attempts, leased = self.job.get()
         if leased:
             self.job.update((attempts, False))
-            yield pd.DataFrame([(key[0], "expired", attempts, pd.Timestamp(expired.getExpiryTimeInMs(), unit="ms"))], columns=self.OUTPUT.names)
+            yield pd.DataFrame([(key[0], "expired", attempts, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))], columns=self.OUTPUT.names)
 
     def close(self) -> None:
         pass

@@ -97,7 +97,7 @@ def test_front_matter_round_trip(spark):
     stored = pages(spark)
     exported = frontmatter.export_pages(stored)
     content = {row["id"]: row for row in exported.collect()}
-    assert content[2]["content"].startswith("---\nalias: child\narchive_version: 1\ncreated_at: 2024-01-02T03:04:05.000Z\nparent: root\nparent_id: 1\n")
+    assert content[2]["content"].startswith('---\nalias: "child"\narchive_version: 1\ncreated_at: 2024-01-02T03:04:05.000Z\nparent: "root"\nparent_id: 1\n')
     assert content[3]["path"] == "trash/3-gone.md" and "deleted_at:" in content[3]["content"]
     inputs = frontmatter.import_pages(exported.select(F.col("id").alias("no"), "content"), stored)
     rows = {row["no"]: row for row in inputs.collect()}
