@@ -11,7 +11,7 @@ from ..functions.cursors import clamp_limit, decode_hybrid, encode_hybrid, finge
 from ..functions.text import check_tags
 from ..model import CANDIDATES_PER_LIST, RRF_CONSTANT, SectionFilters
 from .filters import check_properties, check_search_request, with_all_tags, with_properties
-from .lexical import search_pages, search_sections
+from .lexical import page_order, rank_pages, rank_sections, section_order
 from .vectors import page_neighbours, section_neighbours
 
 
@@ -43,22 +43,21 @@ def fuse(lists: list[DataFrame]) -> DataFrame:
 
 
 def without_linked_pages(scores: DataFrame) -> DataFrame:
-    """Drop a page whose own document section was found."""
-    sections = scores.filter(F.col("hit").startswith("d:")).select("page_id").distinct()
-    pages = scores.filter(F.col("hit").startswith("p:")).join(sections, "page_id", "left_anti")
-    return pages.unionByName(scores.filter(F.col("hit").startswith("d:")))
+    """Drop a page whose own document section was found. At most four hundred hits, so one small window does it."""
+    is_section = F.col("hit").startswith("d:")
+    marked = scores.withColumn("_found", F.max(is_section).over(Window.partitionBy("page_id")))
+    return marked.filter(is_section | ~F.col("_found")).drop("_found")
 
 
 def lexical_lists(pages: DataFrame, searchable: DataFrame, query: str, tags: list[str], status: str, properties: dict, filters: SectionFilters) -> list[DataFrame]:
     with_pages, with_sections = check_search_request(query, tags, properties, filters)
     lists = []
-    words = bool(query.strip())
     if with_pages:
-        top = search_pages(pages, query, tags, status, properties, CANDIDATES_PER_LIST)
-        lists.append(page_list(with_rank(top, *([F.asc("score"), F.desc("id")] if words else [F.desc("updated_at"), F.desc("id")]))))
+        top = rank_pages(pages, query, tags, status, properties, CANDIDATES_PER_LIST)
+        lists.append(page_list(with_rank(top, *page_order(query))))
     if with_sections:
-        top = search_sections(searchable, query, filters, tags, status, properties, CANDIDATES_PER_LIST)
-        lists.append(section_list(with_rank(top, *([F.asc("score"), F.desc("section_id")] if words else [F.desc("document_updated_at"), F.desc("section_id")]))))
+        top = rank_sections(searchable, query, filters, tags, status, properties, CANDIDATES_PER_LIST)
+        lists.append(section_list(with_rank(top, *section_order(query))))
     return lists
 
 

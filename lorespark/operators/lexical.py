@@ -129,10 +129,10 @@ def scan_scores(rows: DataFrame, texts: list[str], query: str, keep: list[str])
     return scored.select(*keep, "length", (-_sum(parts)).alias("score"))
 
 
-def search_pages(
+def rank_pages(
     pages: DataFrame, query: str, tags: list[str] = (), status: str = "published", properties: dict | None = None, limit: int = CANDIDATES_PER_LIST, offset: int = 0
 ) -> DataFrame:
-    """Best pages for a query; without words, the most recently updated pages that pass the filters.
+    """(id, score, updated_at) of the best pages; without words, of the most recently updated pages.
 
     Frequencies and lengths are those of all live pages, as the index covers
     every status; the filters apply to the matches.
@@ -145,33 +145,52 @@ def search_pages(
     else:
         ranked = live.select(*filter_columns, F.lit(0.0).alias("score"))
     kept = with_properties(with_all_tags(with_status(ranked, status), list(tags)), properties or {})
-    order = [F.asc("score"), F.desc("id")] if words else [F.desc("updated_at"), F.desc("id")]
-    top = kept.orderBy(*order).offset(offset).limit(limit).select("id", "score")
-    shown = _rows_of(live, "id", top).select("id", "title", "alias", "tags", "status", "parent_id", "created_at", "updated_at", excerpt(F.col("body")).alias("excerpt"), "score")
-    return shown.orderBy(*order)
+    return kept.orderBy(*page_order(query)).offset(offset).limit(limit).select("id", "score", "updated_at")
 
 
-def search_sections(
+def page_order(query: str) -> list[Column]:
+    return [F.asc("score"), F.desc("id")] if query.strip() else [F.desc("updated_at"), F.desc("id")]
+
+
+def search_pages(
+    pages: DataFrame, query: str, tags: list[str] = (), status: str = "published", properties: dict | None = None, limit: int = CANDIDATES_PER_LIST, offset: int = 0
+) -> DataFrame:
+    """The pages of `rank_pages` with their summary and an excerpt."""
+    top = rank_pages(pages, query, tags, status, properties, limit, offset).select("id", "score")
+    shown = _rows_of(active(pages), "id", top).select("id", "title", "alias", "tags", "status", "parent_id", "created_at", "updated_at", excerpt(F.col("body")).alias("excerpt"), "score")
+    return shown.orderBy(*page_order(query))
+
+
+def rank_sections(
     searchable: DataFrame, query: str, filters: SectionFilters = SectionFilters(), tags: list[str] = (), status: str = "published", properties: dict | None = None, limit: int = CANDIDATES_PER_LIST
 ) -> DataFrame:
-    """Best sections for a query under all facets; `searchable` comes from `searchable_sections`."""
+    """(section_id, page_id, score, document_updated_at) of the best sections under all facets."""
     rows = section_index_rows(searchable)
-    facets = ["section_id", "document_id", "version", "format", "kind", "hidden", "ocr_status", "document_updated_at", "page_status", "tags", "properties"]
+    facets = ["section_id", "page_id", "document_id", "version", "format", "kind", "hidden", "ocr_status", "document_updated_at", "page_status", "tags", "properties"]
     words = bool(query.strip())
     if words:
         ranked = scan_scores(rows, SECTION_TEXTS, query, facets)
-        text = snippet(F.col("text"), parse_query(query))
-        order = [F.asc("score"), F.desc("section_id")]
     else:
         ranked = rows.select(*facets, F.lit(0.0).alias("score"))
-        text = F.substring("text", 1, 500)
-        order = [F.desc("document_updated_at"), F.desc("section_id")]
-    top = with_facets(ranked, filters, list(tags), status, properties).orderBy(*order).limit(limit).select("section_id", "score")
-    shown = _rows_of(rows, "section_id", top).select(
+    kept = with_facets(ranked, filters, list(tags), status, properties)
+    return kept.orderBy(*section_order(query)).limit(limit).select("section_id", "page_id", "score", "document_updated_at")
+
+
+def section_order(query: str) -> list[Column]:
+    return [F.asc("score"), F.desc("section_id")] if query.strip() else [F.desc("document_updated_at"), F.desc("section_id")]
+
+
+def search_sections(
+    searchable: DataFrame, query: str, filters: SectionFilters = SectionFilters(), tags: list[str] = (), status: str = "published", properties: dict | None = None, limit: int = CANDIDATES_PER_LIST
+) -> DataFrame:
+    """The sections of `rank_sections` with their place and an excerpt; `searchable` comes from `searchable_sections`."""
+    top = rank_sections(searchable, query, filters, tags, status, properties, limit).select("section_id", "score")
+    text = snippet(F.col("text"), parse_query(query)) if query.strip() else F.substring("text", 1, 500)
+    shown = _rows_of(searchable, "section_id", top).select(
         "section_id", "ordinal", "document_id", "version_id", "version", "page_id", "filename", "format", "kind", "locator", "hidden",
         "ocr_status", "document_updated_at", text.alias("excerpt"), "score",
     )
-    return shown.orderBy(*order)
+    return shown.orderBy(*section_order(query))
 
 
 def _rows_of(rows: DataFrame, key: str, top: DataFrame) -> DataFrame:
@@ -216,7 +235,10 @@ class PostingsIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, texts: list[str], key: str = "id", positions: bool = False) -> "PostingsIndex":
-        """Postings of every row. Only equal terms of one row meet, after a map-side combine."""
+        """Postings of every row, written once: every use of the index reads them, and no text again.
+
+        Only equal terms of one row meet, after a map-side combine.
+        """
         arrays = [F.struct(F.lit(number).alias("text_no"), tokens(F.col(name)).alias("words")) for number, name in enumerate(texts)]
         words = rows.select(F.col(key).alias("id"), F.inline(F.array(*arrays)))
         if positions:
@@ -224,8 +246,10 @@ class PostingsIndex:
             postings = placed.groupBy("id", "text_no", "term").agg(F.array_sort(F.collect_list("position")).alias("positions")).withColumn("hits", F.size("positions"))
         else:
             postings = words.select("id", "text_no", F.explode("words").alias("term")).groupBy("id", "text_no", "term").agg(F.count("*").alias("hits"))
-        # Rows without any token count in the statistics, so lengths do not come from the postings.
-        lengths = count_matches(rows.withColumn("id", F.col(key)), texts, [], ["id"])
+        postings = cut_lineage(postings)
+        # Rows without any token count in the statistics too.
+        found = postings.groupBy("id").agg(F.sum("hits").alias("_length"))
+        lengths = rows.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("_length", F.lit(0)).alias("length"))
         return cls(postings, lengths)
 
     def save(self, folder: str) -> "PostingsIndex":

@@ -47,7 +47,9 @@ def neighbours(chunks: DataFrame, query: list[float], limit: int, embedding: str
     from pyspark.sql import Window
 
     scored = chunks.withColumn("distance", cosine_distance(F.col(embedding), query)).drop(embedding)
-    nearest = scored.filter(F.col("distance").isNotNull()).orderBy("distance", tie).limit(limit)
+    # Chunks without a distance sort last and leave after the cut, so that no
+    # filter makes Spark compute the distance twice.
+    nearest = scored.orderBy(F.asc_nulls_last("distance"), tie).limit(limit).filter(F.col("distance").isNotNull())
     return nearest.withColumn("rank", F.row_number().over(Window.orderBy("distance", tie)))
 
 

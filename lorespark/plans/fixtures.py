@@ -27,7 +27,7 @@ def wiki(spark: SparkSession, folder: str) -> DataFrame:
     alias = F.concat(F.lit("doc-"), ident.cast("string"))
     return joined.select(
         ident.alias("id"),
-        F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 6), " ").alias("title"),
+        F.regexp_replace(F.regexp_extract("text", r"^\s*(\S+(?:\s+\S+){0,5})", 1), r"\s+", " ").alias("title"),
         F.when(gone, F.concat(F.lit("deleted-page-"), ident.cast("string"))).otherwise(alias).alias("alias"),
         F.col("text").alias("body"),
         F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source")).alias("tags"),

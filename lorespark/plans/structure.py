@@ -282,7 +282,11 @@ def apply_generated_tags(spark, folder):
     generated = row(documents, "topic:old")
     stored = documents.select("page_id", F.concat(F.lit("lang:"), "lang").alias("tag")).unionByName(generated).unionByName(row(documents.filter(ident % 5 == 0), "topic:c"))
     topics = documents.filter(ident % 2 == 0).select("page_id", F.explode(F.array(F.lit("topic:a"), F.lit("topic:b"), F.lit("see"))).alias("tag"), F.lit(0.9).alias("confidence"))
-    aliases = documents.select(F.lit("see").alias("alias"), F.lit("topic:c").alias("canonical_tag")).distinct()
+    region = F.col("r_regionkey")
+    aliases = read_table(spark, folder, "region").select(
+        F.when(region == 0, F.lit("see")).otherwise(F.concat(F.lit("r"), region.cast("string"))).alias("alias"),
+        F.when(region == 0, F.lit("topic:c")).otherwise(F.concat(F.lit("topic:r"), region.cast("string"))).alias("canonical_tag"),
+    )
     result = taxonomy.apply_generated_tags(stored, generated, row(documents.filter(ident % 3 == 0), "topic:b"), topics, aliases)
     return result["page_tags"]
 

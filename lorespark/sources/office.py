@@ -262,29 +262,32 @@ def extract_files(files: DataFrame, settings: Settings = Settings(), pdf_extract
             rows = [_extract_binary(kind, content, settings, pdf_extractor) for kind, content in zip(kinds, contents)]
             yield pd.DataFrame(rows, columns=EXTRACTED.names)
 
-    read = shaped.withColumn("_binary", extract(F.when(binary, F.col("format")), F.when(binary, F.col("content"))))
+    # Generators keep each Python result a column of its own; a plain column
+    # could be copied into every use and run again.
+    parts = F.inline(F.array(extract(F.when(binary, F.col("format")), F.when(binary, F.col("content")))))
+    read = shaped.select("*", parts.alias("_sections", "_metadata", "_warnings", "_needs_ocr", "_error"))
     text = decode_text(F.when(F.col("format").isin("markdown", "text") & ~too_large, F.col("content")))
-    read = read.withColumn("_text", text)
+    read = read.select("*", F.inline(F.array(F.struct(text.alias("text")))).alias("_text"))
     sections = (
         F.when(F.col("format") == "markdown", markdown_sections(F.col("_text")))
         .when(F.col("format") == "text", plain_parts(F.col("_text")))
-        .otherwise(F.col("_binary.sections"))
+        .otherwise(F.col("_sections"))
     )
     error = (
         F.when(F.col("format").isNull(), F.lit("supported document formats are DOCX, XLSX, PPTX, PDF, Markdown, and TXT"))
         .when(too_large, F.lit("document exceeds the size guard"))
         .when(F.col("format").isin("markdown", "text") & F.col("_text").isNull(), F.lit("text documents must use UTF-8, UTF-16LE, or UTF-16BE"))
-        .otherwise(F.col("_binary.error"))
+        .otherwise(F.col("_error"))
     )
-    title = F.when(F.col("format") == "markdown", markdown_first_heading(F.col("_text"))).otherwise(strip(F.try_element_at(F.col("_binary.metadata"), F.lit("title"))))
+    title = F.when(F.col("format") == "markdown", markdown_first_heading(F.col("_text"))).otherwise(strip(F.try_element_at(F.col("_metadata"), F.lit("title"))))
     none = F.array().cast("array<string>")
     finished = finish_sections(F.coalesce(sections, F.array().cast(T.ArrayType(SECTION))))
-    needs_ocr = F.coalesce(F.col("_binary.needs_ocr"), F.lit(False))
+    needs_ocr = F.coalesce(F.col("_needs_ocr"), F.lit(False))
     result = read.withColumn("title", F.when(title != "", title)).withColumn("sections", finished).withColumn("needs_ocr", needs_ocr)
     empty = F.when((F.size("sections") == 0) & ~F.col("needs_ocr"), F.array(F.lit("no extractable text was found"))).otherwise(none)
-    return result.withColumn("error", error).withColumn("metadata", F.col("_binary.metadata")).withColumn(
-        "warnings", F.when(F.col("error").isNotNull(), none).otherwise(F.concat(F.coalesce("_binary.warnings", none), empty))
-    ).drop("_binary", "_text", "content")
+    return result.withColumn("error", error).withColumn("metadata", F.col("_metadata")).withColumn(
+        "warnings", F.when(F.col("error").isNotNull(), none).otherwise(F.concat(F.coalesce("_warnings", none), empty))
+    ).drop("_sections", "_metadata", "_warnings", "_needs_ocr", "_error", "_text", "content")
 
 
 def _extract_binary(kind: str | None, content: bytes | None, settings: Settings, pdf_extractor) -> dict:
