@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind
+from ..functions.cursors import clamp_limit
 from ..functions.text import excerpt, keyword_fold, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .filters import active, json_text, with_all_tags, with_facets, with_properties, with_status
 from .scale import one_row, top_per_group
 
@@ -145,7 +146,7 @@ def rank_pages(
     else:
         ranked = live.select(*filter_columns, F.lit(0.0).alias("score"))
     kept = with_properties(with_all_tags(with_status(ranked, status), list(tags)), properties or {})
-    return kept.orderBy(*page_order(query)).offset(offset).limit(limit).select("id", "score", "updated_at")
+    return kept.orderBy(*page_order(query)).offset(offset).limit(clamp_limit(limit)).select("id", "score", "updated_at")
 
 
 def page_order(query: str) -> list[Column]:
@@ -173,7 +174,7 @@ def rank_sections(
     else:
         ranked = rows.select(*facets, F.lit(0.0).alias("score"))
     kept = with_facets(ranked, filters, list(tags), status, properties)
-    return kept.orderBy(*section_order(query)).limit(limit).select("section_id", "page_id", "score", "document_updated_at")
+    return kept.orderBy(*section_order(query)).limit(clamp_limit(limit)).select("section_id", "page_id", "score", "document_updated_at")
 
 
 def section_order(query: str) -> list[Column]:
@@ -246,7 +247,7 @@ class PostingsIndex:
             postings = placed.groupBy("id", "text_no", "term").agg(F.array_sort(F.collect_list("position")).alias("positions")).withColumn("hits", F.size("positions"))
         else:
             postings = words.select("id", "text_no", F.explode("words").alias("term")).groupBy("id", "text_no", "term").agg(F.count("*").alias("hits"))
-        postings = cut_lineage(postings)
+        postings = written(postings)
         # Rows without any token count in the statistics too.
         found = postings.groupBy("id").agg(F.sum("hits").alias("_length"))
         lengths = rows.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("_length", F.lit(0)).alias("length"))
@@ -304,12 +305,16 @@ class PostingsIndex:
         resulting (keyword, term) pairs join the postings on the term.
         """
         wanted = keywords.select("keyword").distinct()
-        vocabulary = self.postings.select("term").distinct()
-        prefixes = vocabulary.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("size")).select(
+        # No prefix longer than the longest keyword can match.
+        longest = one_row(wanted.agg(F.coalesce(F.max(F.length("keyword")), F.lit(1)).alias("chars")))["chars"]
+        vocabulary = self.postings.select("term").distinct().withColumn("_longest", longest)
+        sizes = F.sequence(F.lit(1), F.least(F.length("term"), F.col("_longest")))
+        prefixes = vocabulary.select("term", F.explode(sizes).alias("size")).select(
             "term", F.substring(F.col("term"), F.lit(1), F.col("size")).alias("keyword")
         )
         pairs = prefixes.join(wanted, "keyword")
-        hits = self.postings.join(pairs, "term").groupBy("keyword", "id").agg(F.sum("hits").alias("hits"))
+        # Written once, as the counts and the scores both need all hits.
+        hits = written(self.postings.join(pairs, "term").groupBy("keyword", "id").agg(F.sum("hits").alias("hits")))
         containing = hits.groupBy("keyword").agg(F.count("*").alias("containing"))
         corpus = one_row(self.lengths.agg(F.count("*").alias("total"), F.avg("length").alias("average")))
         scored = hits.join(containing, "keyword").join(self.lengths, "id").withColumn("_corpus", corpus)

@@ -260,21 +260,19 @@ def markdown_sections(spark, folder):
 
 @query(
     "long_section_parts",
-    """WITH joined AS (SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS t FROM documents GROUP BY source)
-    SELECT source, n AS ordinal, CASE WHEN length(t) > 50000 THEN 'All (part ' || (n + 1) || ')' ELSE 'All' END AS label, substr(t, n * 50000 + 1, 50000) AS text
-    FROM joined, range(0, 100000) AS r(n) WHERE n = 0 OR n * 50000 < length(t)""",
+    """WITH long AS (SELECT doc_id, repeat(text || ' ', 4) || 'end' AS t FROM documents)
+    SELECT doc_id, n AS ordinal, CASE WHEN length(t) > 50000 THEN 'All (part ' || (n + 1) || ')' ELSE 'All' END AS label, substr(t, n * 50000 + 1, 50000) AS text
+    FROM long, range(0, 1000) AS r(n) WHERE n = 0 OR n * 50000 < length(t)""",
 )
 def long_section_parts(spark, folder):
-    """Texts of one source joined into one long section, which is split again."""
-    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "source", "text")
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    joined = documents.groupBy("source").agg(F.array_join(F.transform(ordered, lambda item: item["text"]), " ").alias("body"))
+    """Every text four times over as one section; the long ones are split."""
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", F.concat(F.repeat(F.concat("text", F.lit(" ")), F.lit(4)), F.lit("end")).alias("body"))
     whole = F.struct(
         F.lit("text").alias("kind"), F.lit(None).cast("string").alias("title"), chunks.locator(label=F.lit("All")).alias("locator"), F.col("body").alias("text"),
         F.lit(False).alias("hidden"), F.lit(False).alias("needs_ocr"),
     )
-    parts = chunks.explode_sections(joined, chunks.finish_sections(F.array(whole)), ["source"])
-    return parts.select("source", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("locator.label").alias("label"), "text")
+    parts = chunks.explode_sections(documents, chunks.finish_sections(F.array(whole)), ["doc_id"])
+    return parts.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("locator.label").alias("label"), "text")
 
 
 @query(
@@ -342,20 +340,20 @@ def public_ipv4(spark, folder):
 
 @query(
     "search_result_urls",
-    r"""SELECT source AS query, array_to_string(list_slice(list_distinct_ordered, 1, 5), ' ') AS urls FROM (
-      SELECT source, list_transform(list_sort(list_distinct(list(doc_id))), lambda d: 'https://example.com/' || d) AS list_distinct_ordered FROM documents GROUP BY source)""",
+    r"""SELECT doc_id // 8 AS query, string_agg('https://example.com/' || doc_id, ' ' ORDER BY doc_id) AS urls FROM documents WHERE doc_id % 8 < 5 GROUP BY doc_id // 8""",
 )
 def search_result_urls(spark, folder):
-    """One result page per source: plain results, redirects, and private addresses that are dropped."""
-    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "source")
+    """Result pages of eight documents each: plain results, redirects, and private addresses that are dropped; five are kept."""
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id")
     ident = F.col("doc_id").cast("string")
     line = F.concat(
         F.lit("TITLE: result\nURL: "),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://example.com/"), ident)).otherwise(F.concat(F.lit("//duckduckgo.com/l/?uddg=https%3A%2F%2Fexample.com%2F"), ident, F.lit("&amp;rut=x"))),
         F.lit("\nURL: http://127.0.0.1/secret\n"),
     )
-    outputs = documents.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda item: item["line"]), "\n").alias("output"))
-    return outputs.select(F.col("source").alias("query"), F.array_join(urls.search_result_urls(F.col("output"), 5), " ").alias("urls"))
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line"))))
+    outputs = documents.groupBy(F.floor(F.col("doc_id") / 8).alias("query")).agg(F.array_join(F.transform(ordered, lambda item: item["line"]), "\n").alias("output"))
+    return outputs.select("query", F.array_join(urls.search_result_urls(F.col("output"), 5), " ").alias("urls"))
 
 
 @query(
