@@ -16,7 +16,7 @@ from ..functions.bind import bind
 from ..functions.cursors import clamp_limit
 from ..functions.text import excerpt, keyword_fold, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
-from ..session import cut_lineage, written
+from ..session import written
 from .filters import active, json_text, with_all_tags, with_facets, with_properties, with_status
 from .scale import one_row, top_per_group
 
@@ -112,7 +112,7 @@ def scan_scores(rows: DataFrame, texts: list[str], query: str, keep: list[str])
     should hold no long texts.
     """
     phrases = parse_query(query)
-    counted = cut_lineage(count_matches(rows, texts, phrases, keep))
+    counted = written(count_matches(rows, texts, phrases, keep))
     statistics = counted.agg(
         F.count("*").alias("total"),
         F.avg("length").alias("average"),
