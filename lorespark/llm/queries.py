@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec
+from lorespark.llm import bpe_codec, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,15 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, with_bytes=True))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document by the 49k word vocabulary, and which exceed 2,048."""
+    vocabulary = token_counts.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op9_token_counts": op9_token_counts,
+}
 
 ORACLE: dict[str, str] = {}
