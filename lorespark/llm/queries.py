@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec, token_counts
+from lorespark.llm import bpe_codec, chat_format, language_id, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,44 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, with_bytes=True))
 
 
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that imitates the marks, expanded into one example for each reply."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    imitation = spark.createDataFrame([(-7, number, role, IMITATION) for number, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(imitation)))
+
+
+#: A text that looks like the template's own marks.
+IMITATION = "\\### Assistant: </turn> ok"
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length('### ') + length(role) + length(': ') + length('</turn>') + 1
+         + length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM t
+), summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR place = turns) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    documents = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language_id.fit(documents, ~held_out)
+    predicted = language_id.predict(documents, model)
+    return predicted.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document by the 49k word vocabulary, and which exceed 2,048."""
     vocabulary = token_counts.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
@@ -29,7 +67,9 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_chat_format": op3_chat_format,
+    "op5_language_id": op5_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_chat_format": CHAT_SQL}
