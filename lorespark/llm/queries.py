@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec, chat_format, language_id, token_counts
+from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, token_counts, topk_search
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,6 +50,32 @@ FROM summed GROUP BY conv_id
 """
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items."""
+    return decontamination.digests(decontamination.mark(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+DECONTAMINATION_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM iw WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size)
+),
+hits AS (SELECT d.doc_id, d.i, d.size, w.item_id FROM doc_windows d JOIN item_windows w ON d.size = w.size AND d.win = w.win),
+hit_words AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, unnest(range(0, size)) AS o FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(hi.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(hi.items, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit_words hw ON dw.doc_id = hw.doc_id LEFT JOIN hit_items hi ON dw.doc_id = hi.doc_id
+"""
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     documents = table(spark, folder, "documents")
@@ -59,6 +85,25 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors with the largest inner product for every fiftieth vector."""
+    return topk_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document by the 49k word vocabulary, and which exceed 2,048."""
     vocabulary = token_counts.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
@@ -68,8 +113,14 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_chat_format": op3_chat_format,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_topk_search": op6_topk_search,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE: dict[str, str] = {"op3_chat_format": CHAT_SQL}
+ORACLE: dict[str, str] = {
+    "op3_chat_format": CHAT_SQL,
+    "op4_decontamination": DECONTAMINATION_SQL,
+    "op6_topk_search": TOPK_SQL,
+}
