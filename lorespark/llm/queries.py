@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, token_counts, topk_search
+from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, ngram_join, token_counts, topk_search
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,6 +110,11 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word shingles are similar by 90 % or more."""
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_chat_format": op3_chat_format,
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_topk_search": op6_topk_search,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {
