@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, size: int, counter_bits: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, others: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Prefix rows (token, cls, n, need) of all documents."""
+    """Prefix rows (token, cls, n, need, and the token's place in the ordered set) of all documents."""
     shipped = docs.sparkSession.sparkContext.broadcast(others)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +142,11 @@ def prefixes(docs: DataFrame, others: np.ndarray, size: int, percent: int) -> Da
                         needs.append(need)
                 if tokens:
                     times = [len(prefix) for prefix in tokens]
-                    columns = [_signed(np.concatenate(tokens)), _signed(np.repeat(np.array(digests, np.uint64), times)), pa.array(np.repeat(sizes, times)), pa.array(np.repeat(needs, times).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "need"])
+                    columns = [_signed(np.concatenate(tokens)), _signed(np.repeat(np.array(digests, np.uint64), times)), pa.array(np.repeat(sizes, times))]
+                    columns += [pa.array(np.repeat(needs, times).astype(np.int32)), pa.array(np.concatenate([np.arange(time, dtype=np.int32) for time in times]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "need", "at"])
 
-    return docs.filter("_id is not null").mapInArrow(work, "token long, cls long, n long, need int")
+    return docs.filter("_id is not null").mapInArrow(work, "token long, cls long, n long, need int, at int")
 
 
 def not_disproved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +213,14 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 
 def _in_reach(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    """Sizes near enough, and enough tokens left from this one on.
+
+    a and b have n, need and at. Similar sets share percent / (100 + percent) of
+    both sizes together. One of the first `need` tokens that they share has fewer
+    than `need` shared ones before it and at most the rest of either set after it.
+    """
+    left = f"(least({a}.n - {a}.at, {b}.n - {b}.at) + least({a}.need, {b}.need) - 1)"
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * {left} >= {percent} * ({a}.n + {b}.n)"
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, counter_bits: int = COUNTER_BITS) -> DataFrame:
@@ -230,27 +238,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = cut_lineage(rows.filter("n > 0 and id is not null").groupBy("n", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("bits").alias("bits")))
 
     listed = prefixes(plain, others, size, percent)
-    member = F.struct("n", "cls")
-    ends = listed.groupBy("token").agg(F.min(member).alias("least"), F.max(member).alias("most")).filter("least <> most")
+    node, member = F.struct("n", "cls"), F.struct("at", "n", "cls", "need")
+    # The set in which a token comes first has the fewest tokens of its own: of a group of near copies it is the one most others are near to.
+    ends = listed.groupBy("token").agg(F.min(member).alias("least"), F.max(F.struct("cls", "n", "at", "need")).alias("most"), F.min("cls").alias("c"), F.min("n").alias("m"), F.max("n").alias("k"))
+    ends = ends.filter("c <> most.cls or m <> k").drop("c", "m", "k")
     shared = written(listed.join(ends, "token"))
-    offered = shared.select(F.col("least").alias("a"), member.alias("b")).unionByName(shared.select(member.alias("a"), F.col("most").alias("b")))
-    offered = offered.filter("a <> b").filter(_in_reach("a", "b", percent)).distinct()
+    offered = shared.select(F.col("least").alias("x"), member.alias("y")).unionByName(shared.select(F.struct("most.at", "most.n", "most.cls", "most.need").alias("x"), member.alias("y")))
+    offered = offered.filter(_in_reach("x", "y", percent)).select(F.struct("x.n", "x.cls").alias("x"), F.struct("y.n", "y.cls").alias("y")).filter("x <> y")
+    offered = offered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = cut_lineage(verified(not_disproved(offered, classes, percent), plain, size, percent))
     labels = components(first)
 
-    own = shared.select("token", member.alias("node"), "need").distinct()
-    tagged = cut_lineage(own.join(labels, "node", "left").select("token", "node", "need", F.coalesce("label", "node").alias("label")))
+    own = shared.select("token", node.alias("node"), member.alias("member")).distinct()
+    tagged = cut_lineage(own.join(labels, "node", "left").select("token", "member", F.coalesce("label", "node").alias("label")))
     by_label = tagged.groupBy("token", "label").agg(F.count("*").alias("rows"))
     split = by_label.groupBy("token").agg(F.max_by("label", "rows").alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("token", "main")
     open_rows = tagged.join(split, "token")
-    minor = open_rows.filter("label <> main").select("token", F.col("node").alias("x"), F.col("need").alias("need_x"), F.col("label").alias("label_x"))
-    met = minor.join(open_rows, "token").filter("label_x <> label and (label = main or x < node)").select("x", F.col("node").alias("y"), F.least("need_x", "need").alias("need"))
-    met = met.filter(_in_reach("x", "y", percent)).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("matches"), F.min("need").alias("need"))
+    minor = open_rows.filter("label <> main").select("token", F.col("member").alias("x"), F.col("label").alias("label_x"))
+    met = minor.join(open_rows.withColumnRenamed("member", "y"), "token").filter("label_x <> label and (label = main or struct(x.n, x.cls) < struct(y.n, y.cls))").filter(_in_reach("x", "y", percent))
+    ends_of = (F.struct("x.n", "x.cls"), F.struct("y.n", "y.cls"))
+    met = met.groupBy(F.least(*ends_of).alias("a"), F.greatest(*ends_of).alias("b")).agg(F.count("*").alias("matches"), F.min(F.least("x.need", "y.need")).alias("need"))
     candidates = met.filter("matches >= need").select("a", "b").join(offered, ["a", "b"], "left_anti")
     second = verified(not_disproved(candidates, classes, percent), plain, size, percent)
     labels = components(first.unionByName(second))
 
-    reps = classes.select(member.alias("node"), "rep", "rows")
+    reps = classes.select(node.alias("node"), "rep", "rows")
     least = labels.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component"))
     joined = reps.join(labels.join(least, "label").select("node", "component"), "node", "left").filter("rows > 1 or component is not null")
     final = joined.select(F.col("node.n").alias("n"), F.col("node.cls").alias("cls"), F.coalesce("component", "rep").alias("component"))
