@@ -134,3 +134,25 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
         least = np.where(hashes[right] <= hashes[left], right, left)
         size += step
     return np.unique(least)
+
+
+#: Bits of a packed value that hold a place; the hash keeps the others, alike for every text.
+_PLACE_BITS = 28
+_PLACES = np.uint64((1 << _PLACE_BITS) - 1)
+
+
+def window_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For every run of `window` hashes the place of its least one (the first of equals)."""
+    if len(hashes) < window:
+        return np.empty(0, np.int64)
+    limit = (1 << _PLACE_BITS) - 1
+    if len(hashes) > limit:
+        left = window_anchors(hashes[:limit], window)
+        return np.concatenate([left, window_anchors(hashes[len(left) :], window) + len(left)])
+    least = (hashes & ~_PLACES) | np.arange(len(hashes), dtype=np.uint64)
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
+    return (least & _PLACES).astype(np.int64)

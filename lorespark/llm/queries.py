@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, ngram_join, token_counts, topk_search
+from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, ngram_join, substring_dedup, suffix_dedup, token_counts, topk_search
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,6 +104,29 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that occur more than once."""
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, folder, "documents")))
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of 50-word windows that an earlier document holds."""
+    return substring_dedup.digests(substring_dedup.dedup(table(spark, folder, "documents")))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i + o) AS g FROM (SELECT doc_id, i, unnest(range(0, 50)) AS o FROM again) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+removed AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT doc_id, i, unnest(range(0, 50)) AS o FROM again)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN removed USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(gone.g), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document by the 49k word vocabulary, and which exceed 2,048."""
     vocabulary = token_counts.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
@@ -115,12 +138,30 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(table(spark, folder, "documents"))
 
 
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(r.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON w.doc_id = r.a
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_topk_search": op6_topk_search,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
 }
@@ -129,4 +170,6 @@ ORACLE: dict[str, str] = {
     "op3_chat_format": CHAT_SQL,
     "op4_decontamination": DECONTAMINATION_SQL,
     "op6_topk_search": TOPK_SQL,
+    "op8_substring_dedup": SUBSTRING_SQL,
+    "op10_ngram_join": NGRAM_SQL,
 }
