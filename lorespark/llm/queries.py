@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, ngram_join, substring_dedup, suffix_dedup, token_counts, topk_search
+from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, lm_scoring, ngram_join, substring_dedup, suffix_dedup, token_counts, topk_search
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, with_bytes=True))
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probabilities of every document by a bigram model of nine tenths of them, beside a smoothed unigram base."""
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    scored = lm_scoring.score(table(spark, folder, "documents"), learn)
+    return scored.select("doc_id", (~F.col("learned_from")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one that imitates the marks, expanded into one example for each reply."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -156,6 +163,7 @@ FROM w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN (SELECT a, min(b) AS l
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_chat_format": op3_chat_format,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
