@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, mix, range_hashes, text_slices, word_spans
-from lorespark.llm.lookup import components, filter_rows, id_bitmap
+from lorespark.llm.lookup import components, filter_rows, id_bitmap, rows_without
 from lorespark.session import cut_lineage, written
 
 _TABLE = class_table(SPACED, lower=True)
@@ -269,3 +269,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return rows.join(final, ["n", "cls"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, unchanged, of documents with the least id of their component; rows without an id stay.
+
+    A document goes as a whole: with all rows of its id, if one belongs to another document's component.
+    """
+    gone = cut_lineage(link(docs, id_col, text_col, size, percent).filter(f"component_id <> `{id_col}`").select(id_col).distinct())
+    return rows_without(docs, gone, id_col)

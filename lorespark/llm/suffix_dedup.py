@@ -109,6 +109,34 @@ def dedup(docs: DataFrame, length: int = 200, keep_first: bool = False, id_col:
     return out.withColumnRenamed("id", id_col)
 
 
+def shorten(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """The rows of `docs` without later copies of strings of `length` bytes; `chars_col`, if given, is counted anew.
+
+    A character that loses some of its bytes goes as a whole. A null text stays null.
+    """
+    keyed = repeats.keyed(docs, id_col, text_col)
+    spans = repeats.repeated_spans(keyed, Units(words=False), Window(length, length // 5), "earlier", previous_factors)
+    text = F.col(f"`{text_col}`").cast("string")
+    # The row itself goes along under names that cannot clash.
+    whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[F.col(f"`{name}`").alias(f"_{n}") for n, name in enumerate(docs.columns) if name != text_col]).alias("rest"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for at, found in enumerate(batch.column(4).to_pylist()):
+                if found:
+                    data = texts[at].encode()
+                    bounds = [0, *[place for run in repeats.union_of(found) for place in run], len(data)]
+                    texts[at] = b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2])).decode(errors="ignore")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["text", "rest"])
+
+    rest = whole.schema["rest"].dataType.simpleString()
+    out = repeats.with_spans(whole, spans, f"text string, rest {rest}", cut)
+    columns = [F.col("text").alias(name) if name == text_col else F.col(f"rest._{n}").alias(name) for n, name in enumerate(docs.columns)]
+    shortened = out.select(*columns)
+    return shortened.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col else shortened
+
+
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the removed bytes and the digest of the kept ones."""
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda sum_, span: sum_ + span["end"] - span["start"])
