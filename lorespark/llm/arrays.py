@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of text that one slice holds; a single longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _GENERATOR = np.random.default_rng(20240229)
 _BYTE_VALUES = _GENERATOR.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
