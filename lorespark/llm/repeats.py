@@ -17,7 +17,8 @@ same anchor. Neighbouring windows with one anchor are a run.
 
 Which windows count is the rule: `any` (it also starts elsewhere), `earlier` (it
 also starts at a smaller place: id, then position) or `earlier_document` (it also
-starts in a document with a smaller id).
+starts in a document with a smaller id; of equal windows in one document one is
+enough, `same_windows` finds the others in the document itself).
 
 Rows without an id are not compared. Rows of equal id and text are one document;
 rows of equal id are told apart by a hash of their texts.
@@ -204,13 +205,8 @@ def settle(runs: DataFrame, window: Window, rule: str) -> tuple[DataFrame, DataF
     same = (least["id"] == F.col("most.id")) & (least["th"] == F.col("most.th")) & (least["first"] == F.col("most.first"))
     again = each.filter(~same).select("run", least["id"].alias("id0"), least["th"].alias("th0"), least["first"].alias("first0"))
     counts = {"any": F.lit(True), "earlier": F.struct("id", "th", "first") > F.struct("id0", "th0", "first0"), "earlier_document": F.col("id") > F.col("id0")}[rule]
-    joined = runs.join(again, "run")
-    spans = joined.filter(counts)
-    columns = ["run", "id", "th", "first", "last", "off", "key", "spot"]
-    one = each.select("run", *[least[name].alias(name) for name in columns[1:]])
-    if rule == "earlier_document":
-        # Other places in the least document are not settled by their like: they go on too.
-        one = one.unionByName(joined.filter("id = id0 and th = th0 and first <> first0").select(*columns))
+    spans = runs.select("run", "id", "th", "first", "last").join(again, "run").filter(counts)
+    one = each.select("run", *[least[name].alias(name) for name in ("id", "th", "first", "last", "off", "key", "spot")])
     return spans.select("id", "th", F.col("first").alias("start"), (F.col("last") + window.size).alias("end")), one
 
 
@@ -296,6 +292,17 @@ def with_spans(docs: DataFrame, spans: DataFrame, schema: str, finish: Callable)
     return joined.mapInArrow(finish, schema).unionByName(far.mapInArrow(finish, schema))
 
 
+def same_windows(units: np.ndarray, runs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Maximal runs covered by all windows of a document that equal a window inside the given runs."""
+    starts = np.arange(len(units) - size + 1)
+    hashes = range_hashes(units, starts, starts + size)
+    inside = np.zeros(len(starts), np.bool_)
+    for first, after in runs:
+        inside[first : after - size + 1] = True
+    found = np.flatnonzero(np.isin(hashes, hashes[inside]))
+    return union_of([{"start": at, "end": at + size} for at in found.tolist()])
+
+
 def union_of(spans: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs of sorted spans."""
     merged: list[tuple[int, int]] = []
