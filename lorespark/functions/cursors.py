@@ -73,10 +73,6 @@ def decode_hybrid(cursor: str | None, request_fingerprint: str) -> int:
     return offset
 
 
-def clamp_limit(limit: float, maximum: int = MAX_PAGE_SIZE) -> int:
-    return max(1, min(maximum, int(limit)))
-
-
 def strict_limit(limit: int, maximum: int = MAX_PAGE_SIZE) -> int:
     """Limit of an outside request: refused, not clamped, when out of range."""
     if type(limit) is not int or not 1 <= limit <= maximum:

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cursors import clamp_limit
+from ..functions.cursors import strict_limit
 from ..functions.text import wiki_links
 from ..model import MAX_EXPLORE_SIZE
 from .filters import active, deleted
 from .scale import latest_per
 
 
+def by_time() -> list:
+    """Order of overview lists after their own key."""
+    return [F.desc("updated_at"), F.lower("title"), F.col("id")]
+
+
+def fetched(pages: DataFrame, few: DataFrame) -> DataFrame:
+    """The pages of a short list (at most MAX_EXPLORE_SIZE ids), with the list's other columns."""
+    return pages.join(F.broadcast(few), "id")
+
+
 def link_rows(pages: DataFrame) -> DataFrame:
     """(source_page_id, target_alias) of every wiki link."""
     return pages.select(F.col("id").alias("source_page_id"), F.explode(wiki_links(F.col("body"))).alias("target_alias"))
@@ -60,22 +70,25 @@ def incoming_counts(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def most_linked(links: DataFrame, pages: DataFrame, limit: int = 10) -> DataFrame:
-    counted = active(pages).join(incoming_counts(links, pages), "alias")
-    return counted.orderBy(F.desc("incoming_links"), F.desc("updated_at"), F.lower("title"), "id").limit(clamp_limit(limit, MAX_EXPLORE_SIZE))
+    """Ranked on narrow rows; the bodies of the few that stay come afterwards."""
+    narrow = active(pages).select("id", "alias", "title", "updated_at")
+    best = narrow.join(incoming_counts(links, pages), "alias").orderBy(F.desc("incoming_links"), *by_time()).limit(strict_limit(limit, MAX_EXPLORE_SIZE))
+    return fetched(pages, best.select("id", "incoming_links")).orderBy(F.desc("incoming_links"), *by_time())
 
 
 def unconnected(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Live root pages that no live page links to."""
-    roots = active(pages).filter(F.col("parent_id").isNull())
+    """(id, alias, title, updated_at) of live root pages that no live page links to."""
+    roots = active(pages).filter(F.col("parent_id").isNull()).select("id", "alias", "title", "updated_at")
     return roots.join(incoming_counts(links, pages).select("alias"), "alias", "left_anti")
 
 
 def explore(links: DataFrame, pages: DataFrame, limit: int = 10) -> dict[str, DataFrame]:
-    size = clamp_limit(limit, MAX_EXPLORE_SIZE)
+    size = strict_limit(limit, MAX_EXPLORE_SIZE)
+    roots = unconnected(links, pages).orderBy(*by_time()).limit(size)
     return {
         "recent": active(pages).orderBy(F.desc("updated_at"), F.desc("id")).limit(size),
         "most_linked": most_linked(links, pages, size),
-        "unconnected": unconnected(links, pages).orderBy(F.desc("updated_at"), F.lower("title"), "id").limit(size),
+        "unconnected": fetched(pages, roots.select("id")).orderBy(*by_time()),
     }
 
 
@@ -93,16 +106,17 @@ def related(pages: DataFrame, page_id: int, limit: int = 8) -> DataFrame:
     own = active(pages).filter(F.col("id") == page_id).select("tags").scalar()
     shared = active(pages).filter(F.col("id") != page_id).withColumn("shared_tags", F.array_intersect("tags", own))
     counted = shared.withColumn("shared_count", F.size("shared_tags")).filter(F.col("shared_count") > 0)
-    return counted.orderBy(F.desc("shared_count"), F.desc("updated_at"), F.lower("title"), "id").limit(clamp_limit(limit, MAX_EXPLORE_SIZE))
+    return counted.orderBy(F.desc("shared_count"), F.desc("updated_at"), F.lower("title"), "id").limit(strict_limit(limit, MAX_EXPLORE_SIZE))
 
 
 def related_by_edges(page_tags: DataFrame, pages: DataFrame, page_id: int, limit: int = 8) -> DataFrame:
     """The same over a (page_id, tag) table: one page's tags against all others, partial counts first."""
-    mine = page_tags.filter(F.col("page_id") == page_id).select("tag").limit(50)
-    others = page_tags.filter(F.col("page_id") != page_id).join(F.broadcast(mine), "tag", "left_semi")
+    mine = page_tags.filter(F.col("page_id") == page_id).select("tag")
+    others = page_tags.filter(F.col("page_id") != page_id).join(mine, "tag", "left_semi")
     counts = others.groupBy("page_id").agg(F.count("*").alias("shared_count"), F.array_sort(F.collect_set("tag")).alias("shared_tags"))
-    joined = active(pages).join(counts, F.col("id") == F.col("page_id"))
-    return joined.orderBy(F.desc("shared_count"), F.desc("updated_at"), F.lower("title"), "id").limit(clamp_limit(limit, MAX_EXPLORE_SIZE))
+    narrow = active(pages).select("id", "title", "updated_at").join(counts.withColumnRenamed("page_id", "id"), "id")
+    best = narrow.orderBy(F.desc("shared_count"), *by_time()).limit(strict_limit(limit, MAX_EXPLORE_SIZE))
+    return fetched(pages, best.select("id", "shared_count", "shared_tags")).withColumn("page_id", F.col("id")).orderBy(F.desc("shared_count"), *by_time())
 
 
 def pages_for_tag(pages: DataFrame, tag: str) -> DataFrame:

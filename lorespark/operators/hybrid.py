@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cursors import clamp_limit, decode_hybrid, encode_hybrid, fingerprint
+from ..functions.cursors import strict_limit, decode_hybrid, encode_hybrid, fingerprint
 from ..functions.text import check_tags
 from ..model import CANDIDATES_PER_LIST, RRF_CONSTANT, SectionFilters
 from .filters import check_properties, check_search_request, with_all_tags, with_properties
@@ -108,6 +108,6 @@ def search(
 def take_hits(hits: DataFrame, cursor: str | None, limit: int, mode: str, **request) -> tuple[list, str | None]:
     """One page of fused hits; the cursor is bound to the request."""
     mark = fingerprint(mode=mode, **request)
-    offset, size = decode_hybrid(cursor, mark), clamp_limit(limit)
+    offset, size = decode_hybrid(cursor, mark), strict_limit(limit)
     rows = hits.offset(offset).take(size + 1)
     return rows[:size], encode_hybrid(offset + size, mark) if len(rows) > size else None

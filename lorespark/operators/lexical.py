@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind
-from ..functions.cursors import clamp_limit
+from ..functions.cursors import strict_limit
 from ..functions.text import excerpt, keyword_fold, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
 from ..session import written
@@ -146,7 +146,7 @@ def rank_pages(
     else:
         ranked = live.select(*filter_columns, F.lit(0.0).alias("score"))
     kept = with_properties(with_all_tags(with_status(ranked, status), list(tags)), properties or {})
-    return kept.orderBy(*page_order(query)).offset(offset).limit(clamp_limit(limit)).select("id", "score", "updated_at")
+    return kept.orderBy(*page_order(query)).offset(offset).limit(strict_limit(limit)).select("id", "score", "updated_at")
 
 
 def page_order(query: str) -> list[Column]:
@@ -174,7 +174,7 @@ def rank_sections(
     else:
         ranked = rows.select(*facets, F.lit(0.0).alias("score"))
     kept = with_facets(ranked, filters, list(tags), status, properties)
-    return kept.orderBy(*section_order(query)).limit(clamp_limit(limit)).select("section_id", "page_id", "score", "document_updated_at")
+    return kept.orderBy(*section_order(query)).limit(strict_limit(limit)).select("section_id", "page_id", "score", "document_updated_at")
 
 
 def section_order(query: str) -> list[Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bind import bind
 from ..functions.text import normalize_tags, slugify, strip, tag_kind
 from .filters import active, tag_rows
-from .scale import latest_per, top_per_group
+from .scale import top_per_group
 
 TOPIC_REPLY = "struct<topics:array<string>>"
 
@@ -186,70 +186,101 @@ def merge_topics(proposed: Column, reconciled: Column, maximum: int) -> Column:
     return best_topics(F.concat(proposed, reconciled), maximum)
 
 
-def reconciliation_candidates(definitions: DataFrame, previous: DataFrame, proposed: DataFrame, limit: int = 100) -> DataFrame:
-    """(document_id, tag, display_name, aliases, usage_count): topics to be checked again per document.
+def merge_topic_rows(proposed: DataFrame, key: str, maximum: int) -> DataFrame:
+    """(key, topics): the same merge over rows (key, tag, display_name, confidence, position), however many a key has.
 
-    Candidates are topics nobody uses, topics generated before, and topics just
-    proposed, at most `limit` per document in definition order. Only the first
-    `limit` unused topics can matter to any document.
+    Rows are merged by tag before a key's topics come together.
+    """
+    best = proposed.groupBy(key, "tag").agg(F.max("confidence").alias("confidence"), F.min_by("display_name", F.struct(-F.col("confidence"), F.col("position"))).alias("display_name"), F.min("position").alias("position"))
+    placed = top_per_group(best, key, maximum, F.desc("confidence"), F.asc("position"), rank="_rank")
+    listed = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", "tag", "display_name", "confidence"))).alias("_topics"))
+    return listed.select(key, F.transform("_topics", lambda item: F.struct(item["tag"].alias("tag"), item["display_name"].alias("display_name"), item["confidence"].alias("confidence"))).alias("topics"))
+
+
+def reconciliation_candidates(definitions: DataFrame, previous: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(document_id, tag, display_name, aliases, usage_count): topics to be checked again.
+
+    Topics nobody uses are candidates of every document; they come once, with a
+    null document_id. Topics generated before or just proposed come with their
+    document, unless nobody uses them. Whoever builds a prompt cuts the list.
     """
     topics = definitions.filter(F.col("kind") == "topic")
+    columns = ["tag", "display_name", "aliases", "usage_count"]
+    shared = topics.filter(F.col("usage_count") == 0).select(F.lit(None).cast(previous.schema["document_id"].dataType).alias("document_id"), *columns)
     named = previous.select("document_id", "tag").unionByName(proposed.select("document_id", "tag")).distinct()
-    by_name = named.join(topics, "tag")
-    unused = topics.filter(F.col("usage_count") == 0).orderBy("tag").limit(limit)
-    documents = named.select("document_id").distinct()
-    offered = F.array_sort(F.collect_list(F.struct("tag", "display_name", "aliases", "usage_count", "kind")))
-    every = documents.withColumn("_unused", unused.agg(offered.alias("unused")).scalar()).select("document_id", F.inline("_unused"))
-    columns = ["document_id", "tag", "display_name", "aliases", "usage_count"]
-    union = by_name.select(columns).unionByName(every.select(columns)).dropDuplicates(["document_id", "tag"])
-    return top_per_group(union, "document_id", limit, F.desc("usage_count"), F.asc("tag"), rank="_rank").drop("_rank")
+    own = named.join(topics.filter(F.col("usage_count") != 0), "tag").select("document_id", *columns)
+    return shared.unionByName(own)
 
 
-def orphan_topics(contents: DataFrame, definitions: DataFrame, key: str, content: str, limit: int = 100) -> DataFrame:
+def orphan_topics(contents: DataFrame, definitions: DataFrame, key: str, content: str) -> DataFrame:
     """(key, tag, display_name, confidence): unused topics whose name or alias stands in a text.
 
     A name counts as a whole phrase between characters that are neither letters
-    nor digits. At most `limit` unused topics are candidates, as in
-    reconciliation, so all names fit one scalar array and no text is shuffled:
-    a text is compared only with names whose first word it contains.
+    nor digits. The different words of a text meet the names by their first word;
+    a text then comes back once, to all names it may hold.
     """
-    unused = definitions.filter((F.col("kind") == "topic") & (F.col("usage_count") == 0)).orderBy("tag").limit(limit)
-    own = F.replace(F.substring(F.col("tag"), 7, 4096), F.lit("-"), F.lit(" "))
+    unused = definitions.filter((F.col("kind") == "topic") & (F.col("usage_count") == 0))
+    own = F.replace(F.regexp_replace("tag", "^topic:", ""), F.lit("-"), F.lit(" "))
     names = unused.select("tag", "display_name", F.explode(F.array_distinct(F.concat(F.array(own), F.col("aliases")))).alias("name"))
     names = names.filter(F.length("name") >= 3).select("tag", "display_name", F.lower("name").alias("name"), F.try_element_at(words_of(F.lower("name")), F.lit(1)).alias("word"))
-    listed = names.filter(F.col("word").isNotNull()).agg(F.collect_list(F.struct("tag", "display_name", "name", "word")).alias("names")).scalar()
-    texts = contents.select(key, F.lower(content).alias("_text")).withColumn("_names", listed)
-    heads = F.transform("_names", lambda item: item["word"])
-    likely = bind(F.array_intersect(words_of(F.col("_text")), heads), lambda found: F.filter("_names", lambda item: F.array_contains(found, item["word"])))
-    pairs = texts.select(key, "_text", F.inline(likely))
-    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), F.col("name"), F.lit(r"\E($|[^\p{L}\p{N}])"))
-    found = pairs.filter(F.regexp_like(F.col("_text"), pattern))
-    return found.select(key, "tag", "display_name").distinct().withColumn("confidence", F.lit(1.0))
+    texts = contents.select(key, F.lower(content).alias("_text"))
+    words = texts.select(key, F.explode(F.array_distinct(words_of(F.col("_text")))).alias("word"))
+    likely = words.join(names.filter(F.col("word").isNotNull()), "word").groupBy(key).agg(F.collect_set(F.struct("tag", "display_name", "name")).alias("_names"))
+    surrounded = lambda item: F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), item["name"], F.lit(r"\E($|[^\p{L}\p{N}])"))
+    held = F.filter("_names", lambda item: F.regexp_like(F.col("_text"), surrounded(item)))
+    found = texts.join(likely, key).select(key, F.explode(F.array_distinct(F.transform(held, lambda item: F.struct(item["tag"].alias("tag"), item["display_name"].alias("display_name"))))).alias("_topic"))
+    return found.select(key, "_topic.tag", "_topic.display_name", F.lit(1.0).alias("confidence"))
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
 
-def apply_generated_tags(page_tags: DataFrame, generated: DataFrame, suppressed: DataFrame, topics: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
-    """Replace generated tags of the pages in `topics` (page_id, tag, confidence).
+def apply_generated_tags(page_tags: DataFrame, generated: DataFrame, suppressed: DataFrame, topics: DataFrame, aliases: DataFrame, definitions: DataFrame | None = None, now: str | None = None) -> dict[str, DataFrame]:
+    """Replace generated tags of the pages in `topics` (page_id, tag, confidence, display_name).
 
     Tags set by people stay; a topic is added unless people set it already or
-    took it away before.
+    took it away before. `generated` comes back whole, other pages included, so it
+    can be stored as it is. With `definitions`, topics not defined yet are added
+    to them. `managed_tags` are the tags of the touched pages.
+
+    All rows of a (page, tag) meet once, as flags.
     """
-    touched = topics.select("page_id").distinct()
-    human = page_tags.join(generated, ["page_id", "tag"], "left_anti")
     names = aliases.select(F.col("alias").alias("tag"), "canonical_tag")
     canonical = topics.join(names, "tag", "left").select("page_id", F.coalesce("canonical_tag", "tag").alias("tag"), "confidence")
-    allowed = canonical.join(human, ["page_id", "tag"], "left_anti").join(suppressed, ["page_id", "tag"], "left_anti")
-    new_generated = latest_per(allowed, ["page_id", "tag"], F.desc("confidence"))
-    untouched_generated = generated.join(touched, "page_id", "left_anti").select("page_id", "tag")
-    base = human.unionByName(untouched_generated.join(page_tags, ["page_id", "tag"], "left_semi"))
-    return {
-        "page_tags": base.select("page_id", "tag").unionByName(new_generated.select("page_id", "tag")).distinct(),
-        "generated": new_generated,
+    none = F.lit(None).cast("double")
+    known = F.col("confidence").cast("double") if "confidence" in generated.columns else none
+    parts = [
+        page_tags.select("page_id", "tag", F.lit(1).alias("kind"), none.alias("value")),
+        generated.select("page_id", "tag", F.lit(2).alias("kind"), known.alias("value")),
+        suppressed.select("page_id", "tag", F.lit(3).alias("kind"), none.alias("value")),
+        canonical.select("page_id", "tag", F.lit(4).alias("kind"), F.col("confidence").cast("double").alias("value")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    has = lambda kind: F.bool_or(F.col("kind") == kind)
+    flags = rows.groupBy("page_id", "tag").agg(
+        has(1).alias("on_page"), has(2).alias("was_generated"), has(3).alias("was_suppressed"), has(4).alias("proposed"),
+        F.max(F.when(F.col("kind") == 4, F.col("value"))).alias("new_value"), F.max(F.when(F.col("kind") == 2, F.col("value"))).alias("old_value"),
+    )
+    touched = topics.select("page_id").distinct()
+    state = flags.join(touched.withColumn("_touched", F.lit(True)), "page_id", "left").withColumn("_touched", F.coalesce("_touched", F.lit(False)))
+    human = F.col("on_page") & ~F.col("was_generated")
+    fresh = F.col("proposed") & ~human & ~F.col("was_suppressed")
+    kept = ~F.col("_touched") & F.col("was_generated")
+    new_tags = state.filter(human | fresh | (kept & F.col("on_page"))).select("page_id", "tag", "_touched")
+    result = {
+        "page_tags": new_tags.select("page_id", "tag"),
+        "generated": state.filter(fresh | kept).select("page_id", "tag", F.when(fresh, F.col("new_value")).otherwise(F.col("old_value")).alias("confidence")),
+        "managed_tags": new_tags.filter("_touched").groupBy("page_id").agg(F.array_sort(F.collect_set("tag")).alias("tags")),
         "reindex": touched,
     }
+    if definitions is not None:
+        named = topics.groupBy("tag").agg(F.min("display_name").alias("display_name"))
+        added = named.join(definitions.select("tag"), "tag", "left_anti").select(
+            "tag", F.lit("topic").alias("kind"), "display_name", F.lit(None).cast("string").alias("description"), F.lit("model").alias("created_by"), F.lit(now).cast("timestamp_ntz").alias("created_at")
+        )
+        result["definitions"] = definitions.select(added.columns).unionByName(added)
+    return result
 
 
 def reconcile_edits(generated: DataFrame, suppressed: DataFrame, submitted: DataFrame, edited: DataFrame) -> dict[str, DataFrame]:

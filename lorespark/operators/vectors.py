@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cursors import clamp_limit
+from ..functions.cursors import strict_limit
 from ..model import CANDIDATES_PER_LIST, RequestError, SectionFilters
 from .filters import active, with_facets, with_status
 
@@ -50,7 +50,7 @@ def neighbours(chunks: DataFrame, query: list[float], limit: int, embedding: str
     scored = chunks.withColumn("distance", cosine_distance(F.col(embedding), query)).drop(embedding)
     # Chunks without a distance sort last and leave after the cut, so that no
     # filter makes Spark compute the distance twice.
-    nearest = scored.orderBy(F.asc_nulls_last("distance"), tie).limit(clamp_limit(limit)).filter(F.col("distance").isNotNull())
+    nearest = scored.orderBy(F.asc_nulls_last("distance"), tie).limit(strict_limit(limit)).filter(F.col("distance").isNotNull())
     return nearest.withColumn("rank", F.row_number().over(Window.orderBy("distance", tie)))
 
 

@@ -99,11 +99,9 @@ def topic_parsing(spark, folder):
 def topic_merge(spark, folder):
     """Proposed and confirmed topics of a conversation, one per turn, merged to the best two."""
     turns = read_spread(spark, folder, "conversations", "conv_id")
-    topic = F.struct(F.concat(F.lit("topic:"), "role").alias("tag"), F.col("role").alias("display_name"), ((F.col("turn") % 4) / 4.0).alias("confidence"))
-    listed = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", topic.alias("topic")))), lambda item: item["topic"]).alias("topics"))
-    half = F.floor(F.size("topics") / 2).cast("int")
-    merged = taxonomy.merge_topics(F.slice("topics", F.lit(1), half), F.slice(F.col("topics"), half + 1, F.size("topics")), 2)
-    return listed.select("conv_id", F.array_join(F.transform(merged, lambda item: F.concat(item["tag"], F.lit("="), F.round(item["confidence"], 2).cast("string"))), ",").alias("topics"))
+    proposed = turns.select("conv_id", F.concat(F.lit("topic:"), "role").alias("tag"), F.col("role").alias("display_name"), ((F.col("turn") % 4) / 4.0).alias("confidence"), F.col("turn").alias("position"))
+    merged = taxonomy.merge_topic_rows(proposed, "conv_id", 2)
+    return merged.select("conv_id", F.array_join(F.transform("topics", lambda item: F.concat(item["tag"], F.lit("="), F.round(item["confidence"], 2).cast("string"))), ",").alias("topics"))
 
 
 @query(
@@ -118,7 +116,9 @@ def tagging_inputs(spark, folder):
     return evidence.tagging_inputs(documents, sections, "conv_id", "title", 700)
 
 
-NAMES = "names AS (SELECT DISTINCT 'topic:' || lower(replace(p_name, ' ', '-')) AS tag, lower(p_name) AS name FROM part UNION ALL SELECT 'topic:' || w, w FROM (VALUES ('the'), ('que'), ('der'), ('les')) AS v(w))"
+NAMES = """names AS (SELECT DISTINCT 'topic:' || lower(replace(p_name, ' ', '-')) AS tag, lower(p_name) AS name FROM part
+    UNION ALL SELECT DISTINCT 'topic:' || lower(p_type) || '-' || lower(p_brand), lower(p_type) || ' ' || lower(p_brand) FROM part
+    UNION ALL SELECT DISTINCT 'topic:' || w, w FROM (SELECT lower(string_split(regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g'), ' ')[2]) AS w FROM benchmark) WHERE length(w) >= 3)"""
 
 
 @query(
@@ -126,11 +126,13 @@ NAMES = "names AS (SELECT DISTINCT 'topic:' || lower(replace(p_name, ' ', '-'))
     rf"""WITH {NAMES} SELECT d.doc_id, n.tag FROM documents d JOIN names n ON contains(lower(d.text), n.name) AND regexp_matches(lower(d.text), '(^|[^\p{{L}}\p{{N}}])' || n.name || '($|[^\p{{L}}\p{{N}}])')""",
 )
 def orphan_topics(spark, folder):
-    """Unused topics named by parts, and four that are common words, found in the texts."""
+    """Unused topics named by parts, by type and brand, and by the second words of benchmark items, found in the texts."""
     documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
     parts = read_table(spark, folder, "part").select(F.concat(F.lit("topic:"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("tag")).distinct()
-    common = spark.range(1).select(F.explode(F.array(*[F.lit(f"topic:{word}") for word in ("the", "que", "der", "les")])).alias("tag"))
-    definitions = parts.unionByName(common).select("tag", F.lit("topic").alias("kind"), F.col("tag").alias("display_name"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("usage_count"))
+    kinds = read_table(spark, folder, "part").select(F.concat(F.lit("topic:"), F.lower("p_type"), F.lit("-"), F.lower("p_brand")).alias("tag")).distinct()
+    second = F.lower(F.try_element_at(F.split(F.regexp_replace("text", "[^a-zA-Z ]+", " "), " "), F.lit(2)))
+    common = read_table(spark, folder, "benchmark").select(second.alias("word")).filter(F.length("word") >= 3).select(F.concat(F.lit("topic:"), "word").alias("tag")).distinct()
+    definitions = parts.unionByName(kinds).unionByName(common).select("tag", F.lit("topic").alias("kind"), F.col("tag").alias("display_name"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("usage_count"))
     return taxonomy.orphan_topics(documents, definitions, "doc_id", "text").select("doc_id", "tag")
 
 
@@ -138,19 +140,19 @@ def orphan_topics(spark, folder):
     "reconciliation_candidates",
     """WITH used AS (SELECT p_type, p_brand, count(*) AS c FROM part GROUP BY ALL), defs AS (SELECT 'topic:' || lower(p_type) || '-' || lower(replace(p_brand, '#', '')) AS tag, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 0 ELSE c END AS usage_count FROM used),
     named AS (SELECT DISTINCT l_orderkey AS document_id, 'topic:' || lower(p_type) || '-' || lower(replace(p_brand, '#', '')) AS tag FROM lineitem JOIN part ON p_partkey = l_partkey),
-    offered AS (SELECT n.document_id, d.tag, d.usage_count FROM named n JOIN defs d USING (tag) UNION SELECT document_id, tag, usage_count FROM (SELECT DISTINCT document_id FROM named), defs WHERE usage_count = 0)
-    SELECT document_id, tag FROM offered QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY usage_count DESC, tag) <= 100""",
+    offered AS (SELECT n.document_id, d.tag, d.usage_count FROM named n JOIN defs d USING (tag) WHERE usage_count > 0 UNION ALL SELECT NULL, tag, usage_count FROM defs WHERE usage_count = 0)
+    SELECT coalesce(document_id, -1) AS document_id, tag, usage_count FROM offered""",
 )
 def reconciliation_candidates(spark, folder):
-    """Topics of the parts of an order, and every unused topic, to be checked again per order."""
+    """Topics of the parts of an order, and once every topic that nobody uses (document -1)."""
     parts = read_table(spark, folder, "part")
     tag = F.concat(F.lit("topic:"), F.lower("p_type"), F.lit("-"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
     counted = parts.groupBy("p_type", "p_brand").agg(F.count("*").alias("c"))
     definitions = counted.select(
         tag.alias("tag"), F.lit("topic").alias("kind"), F.col("p_type").alias("display_name"), F.array().cast("array<string>").alias("aliases"),
-        F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.lit(0)).otherwise(F.col("c")).alias("usage_count"),
+        F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.lit(0).cast("bigint")).otherwise(F.col("c")).alias("usage_count"),
     )
     lines = read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("p_partkey"))
     named = lines.join(parts, "p_partkey").select("document_id", tag.alias("tag"))
     odd, even = named.filter(F.col("document_id") % 2 == 1), named.filter(F.col("document_id") % 2 == 0)
-    return taxonomy.reconciliation_candidates(definitions, odd, even).select("document_id", "tag")
+    return taxonomy.reconciliation_candidates(definitions, odd, even).select(F.coalesce("document_id", F.lit(-1)).alias("document_id"), "tag", "usage_count")

@@ -268,39 +268,58 @@ def implicit_definitions(spark, folder):
     return taxonomy.implicit_definitions(filters.tag_rows(wiki(spark, folder))).select("tag", "kind")
 
 
-@query(
-    "apply_generated_tags",
-    """WITH human AS (SELECT DISTINCT doc_id AS page_id, 'lang:' || lang AS tag FROM documents), proposed AS (SELECT doc_id AS page_id, t.tag FROM documents, (VALUES ('topic:a'), ('topic:b'), ('topic:c')) AS t(tag) WHERE doc_id % 2 = 0),
-    old AS (SELECT doc_id AS page_id, 'topic:old' AS tag FROM documents), suppressed AS (SELECT doc_id AS page_id, 'topic:b' AS tag FROM documents WHERE doc_id % 3 = 0), own AS (SELECT doc_id AS page_id, 'topic:c' AS tag FROM documents WHERE doc_id % 5 = 0)
-    SELECT page_id, tag FROM human UNION SELECT page_id, tag FROM own UNION SELECT page_id, tag FROM old WHERE page_id % 2 = 1
-    UNION SELECT page_id, tag FROM proposed p WHERE NOT EXISTS (SELECT 1 FROM suppressed s WHERE s.page_id = p.page_id AND s.tag = p.tag)""",
-)
+GENERATED = """WITH human AS (SELECT DISTINCT doc_id AS page_id, 'lang:' || lang AS tag FROM documents), own AS (SELECT doc_id AS page_id, 'topic:' || source AS tag FROM documents WHERE n_chars % 5 = 0),
+    old AS (SELECT doc_id AS page_id, 'topic:' || lang AS tag FROM documents WHERE n_chars % 4 < 3),
+    topics AS (SELECT d.doc_id AS page_id, CASE WHEN p_brand = 'Brand#1' THEN 'topic:' || d.source ELSE 'topic:' || lower(p_type) END AS tag, (p_size % 40) / 40.0 AS confidence, 'topic:' || lower(p_type) AS proposed, p_type AS display_name
+      FROM documents d JOIN part ON p_partkey = d.doc_id + 1 WHERE d.n_chars % 2 = 0),
+    suppressed AS (SELECT page_id, tag FROM topics WHERE confidence < 0.2),
+    fresh AS (SELECT page_id, tag, max(confidence) AS confidence FROM topics WHERE (page_id, tag) NOT IN (SELECT (page_id, tag) FROM suppressed) AND (page_id, tag) NOT IN (SELECT (page_id, tag) FROM own) GROUP BY ALL),
+    rest AS (SELECT page_id, tag FROM old WHERE page_id NOT IN (SELECT page_id FROM topics) AND (page_id, tag) NOT IN (SELECT (page_id, tag) FROM fresh))"""
+
+
+def generated_tags(spark, folder):
+    """Part types proposed as topics for documents of even length; other pages keep what was generated."""
+    documents = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("page_id"), "lang", "source", "n_chars")
+    named = lambda frame, column: frame.select("page_id", F.concat(F.lit("topic:"), column).alias("tag"))
+    generated = named(documents.filter(F.col("n_chars") % 4 < 3), "lang")
+    human = documents.select("page_id", F.concat(F.lit("lang:"), "lang").alias("tag")).unionByName(named(documents.filter(F.col("n_chars") % 5 == 0), "source"))
+    parts = read_table(spark, folder, "part").select((F.col("p_partkey") - 1).alias("page_id"), "p_type", "p_brand", "p_size")
+    joined = documents.filter(F.col("n_chars") % 2 == 0).join(parts, "page_id")
+    aliased = F.when(F.col("p_brand") == "Brand#1", F.concat(F.lit("see-"), "source")).otherwise(F.concat(F.lit("topic:"), F.lower("p_type")))
+    topics = joined.select("page_id", aliased.alias("tag"), ((F.col("p_size") % 40) / 40.0).alias("confidence"), F.col("p_type").alias("display_name"))
+    aliases = documents.select(F.concat(F.lit("see-"), "source").alias("alias"), F.concat(F.lit("topic:"), "source").alias("canonical_tag")).distinct()
+    suppressed = topics.filter(F.col("confidence") < 0.2).join(aliases, F.col("tag") == F.col("alias"), "left").select("page_id", F.coalesce("canonical_tag", "tag").alias("tag"))
+    known = documents.select(F.concat(F.lit("topic:"), "lang").alias("tag"), F.lit("topic").alias("kind"), F.col("lang").alias("display_name")).distinct()
+    known = known.select("*", F.lit(None).cast("string").alias("description"), F.lit("human").alias("created_by"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    return taxonomy.apply_generated_tags(human.unionByName(generated), generated, suppressed, topics, aliases, known, "2024-06-01 00:00:00")
+
+
+@query("apply_generated_tags", f"{GENERATED} SELECT page_id, tag FROM human UNION SELECT page_id, tag FROM own UNION SELECT page_id, tag FROM fresh UNION SELECT page_id, tag FROM rest")
 def apply_generated_tags(spark, folder):
-    documents = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("page_id"), "lang")
-    ident = F.col("page_id")
-    row = lambda frame, tag: frame.select("page_id", F.lit(tag).alias("tag"))
-    generated = row(documents, "topic:old")
-    stored = documents.select("page_id", F.concat(F.lit("lang:"), "lang").alias("tag")).unionByName(generated).unionByName(row(documents.filter(ident % 5 == 0), "topic:c"))
-    topics = documents.filter(ident % 2 == 0).select("page_id", F.explode(F.array(F.lit("topic:a"), F.lit("topic:b"), F.lit("see"))).alias("tag"), F.lit(0.9).alias("confidence"))
-    region = F.col("r_regionkey")
-    aliases = read_table(spark, folder, "region").select(
-        F.when(region == 0, F.lit("see")).otherwise(F.concat(F.lit("r"), region.cast("string"))).alias("alias"),
-        F.when(region == 0, F.lit("topic:c")).otherwise(F.concat(F.lit("topic:r"), region.cast("string"))).alias("canonical_tag"),
-    )
-    result = taxonomy.apply_generated_tags(stored, generated, row(documents.filter(ident % 3 == 0), "topic:b"), topics, aliases)
-    return result["page_tags"]
+    return generated_tags(spark, folder)["page_tags"]
+
+
+@query("generated_tags_after", f"{GENERATED} SELECT page_id, tag, confidence FROM fresh UNION ALL SELECT page_id, tag, NULL FROM rest")
+def generated_tags_after(spark, folder):
+    """All generated tags after the batch, those of untouched pages included."""
+    return generated_tags(spark, folder)["generated"]
+
+
+@query("generated_tag_definitions", f"{GENERATED} SELECT DISTINCT 'topic:' || lang AS tag, 'human' AS created_by FROM documents UNION ALL SELECT DISTINCT CASE WHEN tag <> proposed THEN 'see-' || substr(tag, 7) ELSE tag END, 'model' FROM topics")
+def generated_tag_definitions(spark, folder):
+    return generated_tags(spark, folder)["definitions"].select("tag", "created_by")
 
 
 @query(
     "reconcile_tag_edits",
-    """SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'suppressed' END AS state FROM documents WHERE doc_id % 2 = 0
-    UNION ALL SELECT doc_id, 'kept' FROM documents WHERE doc_id % 2 = 1""",
+    """SELECT doc_id AS page_id, CASE WHEN n_chars % 3 = 0 OR lang <> 'en' THEN 'kept' ELSE 'suppressed' END AS state FROM documents WHERE n_chars % 2 = 0
+    UNION ALL SELECT doc_id, 'kept' FROM documents WHERE n_chars % 2 = 1""",
 )
 def reconcile_tag_edits(spark, folder):
-    """Every page has a generated tag; even pages were edited, and a third of those kept it."""
-    documents = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("page_id"))
-    row = lambda frame: frame.select("page_id", F.lit("topic:a").alias("tag"))
-    edited = documents.filter(F.col("page_id") % 2 == 0)
-    submitted = row(edited.filter(F.col("page_id") % 3 == 0))
-    result = taxonomy.reconcile_edits(row(documents), row(documents.filter(F.col("page_id") % 6 == 0)), submitted, edited)
+    """Every page has its source as a generated tag; pages of even length were edited, and those not in English kept it."""
+    documents = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("page_id"), "n_chars", "lang", "source")
+    row = lambda frame: frame.select("page_id", F.concat(F.lit("topic:"), "source").alias("tag"))
+    edited = documents.filter(F.col("n_chars") % 2 == 0)
+    submitted = row(edited.filter((F.col("n_chars") % 3 == 0) | (F.col("lang") != "en")))
+    result = taxonomy.reconcile_edits(row(documents), row(documents.filter((F.col("n_chars") % 6 == 0) & (F.col("lang") == "en"))), submitted, edited)
     return result["generated"].select("page_id", F.lit("kept").alias("state")).unionByName(result["suppressed"].select("page_id", F.lit("suppressed").alias("state")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,44 +12,61 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Session setting by which a caller asks for its tables in that many partitions.
+INPUT_PARTITIONS = "spark.lorespark.inputPartitions"
+
+
 def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table whose rows are heavy to process, with work for every core.
+    """A table whose rows are heavy to process.
 
-    A small table may come as one row group, which is one task. As long as there
-    is less than one usual partition per core, its rows are spread by key;
-    a larger table is read as it is, without a shuffle.
+    It is read as it is. Only a caller who knows that the file is one row group,
+    and so one task, states a partition count in INPUT_PARTITIONS.
     """
     table = read_table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    partition_bytes = 128 * 1024 * 1024
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores, key) if size < cores * partition_bytes else table
+    wanted = spark.conf.get(INPUT_PARTITIONS, None)
+    return table.repartition(int(wanted), key) if wanted else table
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write all tables into a new version folder, then point to it.
+    """Write all tables into a new version folder, then name it as the next version.
 
-    Readers keep the version they opened. The pointer is written last, so a lost
-    job leaves the previous version current.
+    Readers keep the version they opened. Versions are numbered; the name of a
+    version is a folder that only one writer can create, so two writers at once
+    never take the same number, and a lost job leaves the previous one current.
     """
-    version = uuid.uuid4().hex
-    for name, frame in tables.items():
-        frame.write.parquet(f"{folder}/versions/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").text(f"{folder}/pointer")
-    return version
+    data = uuid.uuid4().hex
+    for name, frame in tables.items():
+        frame.write.parquet(f"{folder}/data/{data}/{name}")
+    number = max(_numbers(spark, folder), default=0) + 1
+    while True:
+        try:
+            spark.createDataFrame([(data,)], "data string").coalesce(1).write.mode("error").text(f"{folder}/versions/{number:012d}")
+            return f"{number:012d}"
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number += 1
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished versions."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [entry.getPath() for entry in files.listStatus(path)]
+    return [int(entry.getName()) for entry in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry, "_SUCCESS"))]
 
 
 def current_version(spark: SparkSession, folder: str) -> str:
-    """The version named by the youngest pointer file."""
-    from pyspark.sql import functions as F
-
-    pointers = spark.read.text(f"{folder}/pointer").select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("name"))
-    return pointers.orderBy(F.desc("at"), F.desc("name")).first()["value"]
+    """The finished version with the largest number."""
+    return f"{max(_numbers(spark, folder)):012d}"
 
 
 def open_version(spark: SparkSession, folder: str, name: str, version: str | None = None) -> DataFrame:
-    return spark.read.parquet(f"{folder}/versions/{version or current_version(spark, folder)}/{name}")
+    data = spark.read.text(f"{folder}/versions/{version or current_version(spark, folder)}").first()["value"]
+    return spark.read.parquet(f"{folder}/data/{data}/{name}")
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

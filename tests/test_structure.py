@@ -116,10 +116,29 @@ def test_topics_from_a_reply(spark):
 
 
 def test_orphan_topic_is_found_as_a_whole_phrase(spark):
-    texts = spark.createDataFrame([(1, "A guide to Kubernetes pods."), (2, "kubernetesish"), (3, "uses K8S, (machine learning)!"), (4, "machine-learning")], "id int, text string")
-    definitions = spark.createDataFrame([("topic:kubernetes", "topic", "Kubernetes", ["k8s"], 0), ("topic:machine-learning", "topic", "ML", [], 0), ("topic:guide", "topic", "Guide", [], 3)], "tag string, kind string, display_name string, aliases array<string>, usage_count long")
+    texts = spark.createDataFrame([(1, "Knots for small boats."), (2, "knotsmith"), (3, "a REEF, (tide tables)!"), (4, "tide-tables"), (5, None)], "id int, text string")
+    definitions = spark.createDataFrame([("topic:knots", "topic", "Knots", ["reef"], 0), ("topic:tide-tables", "topic", "Tides", [], 0), ("topic:boats", "topic", "Boats", [], 3)], "tag string, kind string, display_name string, aliases array<string>, usage_count long")
     found = sorted((row["id"], row["tag"]) for row in taxonomy.orphan_topics(texts, definitions, "id", "text").collect())
-    assert found == [(1, "topic:kubernetes"), (3, "topic:kubernetes"), (3, "topic:machine-learning")]
+    assert found == [(1, "topic:knots"), (3, "topic:knots"), (3, "topic:tide-tables")]
+
+
+def test_no_orphan_topic_is_left_out(spark):
+    names = [f"w{number:03d}" for number in range(150)]
+    texts = spark.createDataFrame([(1, " ".join(names))], "id int, text string")
+    definitions = spark.createDataFrame([(f"topic:{name}", "topic", name, [], 0) for name in names], "tag string, kind string, display_name string, aliases array<string>, usage_count long")
+    assert taxonomy.orphan_topics(texts, definitions, "id", "text").count() == 150
+
+
+def test_generated_tags_of_other_pages_stay(spark):
+    rows = lambda values: spark.createDataFrame(values, "page_id long, tag string")
+    stored = rows([(1, "own"), (1, "topic:old"), (2, "topic:old"), (2, "own")])
+    topics = spark.createDataFrame([(1, "topic:new", 0.7, "New"), (1, "topic:gone", 0.9, "Gone"), (1, "own", 0.9, "Own")], "page_id long, tag string, confidence double, display_name string")
+    known = spark.createDataFrame([("topic:gone", "topic", "G", None, "human", None)], "tag string, kind string, display_name string, description string, created_by string, created_at timestamp_ntz")
+    applied = taxonomy.apply_generated_tags(stored, rows([(1, "topic:old"), (2, "topic:old")]), rows([(1, "topic:gone")]), topics, spark.createDataFrame([], "alias string, canonical_tag string"), known, "2024-01-01 00:00:00")
+    assert sorted(map(tuple, applied["page_tags"].collect())) == [(1, "own"), (1, "topic:new"), (2, "own"), (2, "topic:old")]
+    assert sorted((r.page_id, r.tag) for r in applied["generated"].collect()) == [(1, "topic:new"), (2, "topic:old")]
+    assert sorted(r.tag for r in applied["definitions"].collect()) == ["own", "topic:gone", "topic:new"]
+    assert [tuple(r) for r in applied["managed_tags"].collect()] == [(1, ["own", "topic:new"])]
 
 
 def test_human_removal_suppresses_a_generated_tag(spark):

@@ -53,7 +53,10 @@ def test_cursors(spark):
         cursors.decode_hybrid(cursors.encode_hybrid(7, mark), cursors.fingerprint(query="b", tags=[]))
     ids = spark.range(1, 300)
     assert all(row["c"] == cursors.encode_id(row["id"]) for row in ids.select("id", cursors.id_cursor(F.col("id")).alias("c")).collect())
-    assert cursors.clamp_limit(0) == 1 and cursors.clamp_limit(1000) == 100 and cursors.clamp_limit(60, 50) == 50
+    assert cursors.strict_limit(100) == 100 and cursors.strict_limit(50, 50) == 50
+    for limit, most in ((0, 100), (1000, 100), (60, 50), (1.5, 100)):
+        with pytest.raises(RequestError):
+            cursors.strict_limit(limit, most)
     with pytest.raises(RequestError):
         cursors.strict_limit(101)
 
