@@ -292,13 +292,16 @@ def with_spans(docs: DataFrame, spans: DataFrame, schema: str, finish: Callable)
     return joined.mapInArrow(finish, schema).unionByName(far.mapInArrow(finish, schema))
 
 
-def same_windows(units: np.ndarray, runs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by all windows of a document that equal a window inside the given runs."""
+def same_windows(units: np.ndarray, spans: list[dict], size: int) -> list[tuple[int, int]]:
+    """Maximal runs covered by all windows of a document that equal a window of one of the spans.
+
+    Spans are taken one by one: a window across two that touch is of neither.
+    """
     starts = np.arange(len(units) - size + 1)
     hashes = range_hashes(units, starts, starts + size)
     inside = np.zeros(len(starts), np.bool_)
-    for first, after in runs:
-        inside[first : after - size + 1] = True
+    for span in spans:
+        inside[span["start"] : span["end"] - size + 1] = True
     found = np.flatnonzero(np.isin(hashes, hashes[inside]))
     return union_of([{"start": at, "end": at + size} for at in found.tolist()])
 

@@ -171,10 +171,10 @@ def dedup(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: st
             for text, found in zip(batch.column(2), batch.column(3)):
                 own = (text.as_py() or "").encode().translate(blanks).split(b" ")
                 own = [word for word in own if word]
-                runs = repeats.union_of(found.as_py())
-                if runs:
+                runs = []
+                if len(found):
                     data = np.frombuffer(text.as_py().encode(), np.uint8)
-                    runs = repeats.same_windows(units.split(data, np.array([0, len(data)]))[0], runs, words)
+                    runs = repeats.same_windows(units.split(data, np.array([0, len(data)]))[0], found.as_py(), words)
                 counts.append(len(own))
                 removed.append([{"start": a, "end": b} for a, b in runs])
                 bounds = [0, *[at for run in runs for at in run], len(own)]

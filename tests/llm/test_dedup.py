@@ -139,6 +139,13 @@ def test_index_finds_all_intervals():
                 assert index.least_owner(low, high)[0] == min(owners[t] for t in hits)
 
 
+def test_windows_across_touching_spans_are_not_taken():
+    # Windows of 3: [0, 3) and [3, 6) are covered, [1, 4) and [2, 5) are not; they come again at 8.
+    units = np.array([1, 2, 3, 4, 5, 6, 9, 9, 2, 3, 4, 9, 4, 5, 6], np.uint64)
+    spans = [{"start": 0, "end": 3}, {"start": 3, "end": 6}]
+    assert repeats.same_windows(units, spans, 3) == [(0, 6), (12, 15)]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.digests(suffix_dedup.dedup(empty)).collect() == []
