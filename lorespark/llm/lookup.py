@@ -8,7 +8,7 @@ set is too large for the bitmap, the join just sees more rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +34,30 @@ def id_bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
     return bitmap
 
 
-def filter_rows(rows: DataFrame, bitmap: np.ndarray, id_col: str, inside: bool = True) -> DataFrame:
-    """Rows whose id may be in the set, or with `inside=False` those whose id is certainly not (null ids are not)."""
+def with_place(rows: DataFrame, id_col: str) -> DataFrame:
+    """`rows` with the place of their id in a bitmap as one more column, the last; what `row_filter` takes."""
+    return rows.select(*[F.col(f"`{name}`") for name in rows.columns], F.when(F.col(id_col).isNotNull(), _place(F.col(id_col))).alias("_place_of_id"))
+
+
+def row_filter(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step for mapInArrow over `with_place(rows)`; it can be followed by another step in the same worker."""
     shipped = rows.sparkSession.sparkContext.broadcast(bitmap)
-    width = len(rows.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shipped.value.view(np.uint64)
         for batch in batches:
-            place = batch.column(width).fill_null(0).to_numpy(zero_copy_only=False)
-            known = batch.column(width).is_valid().to_numpy(zero_copy_only=False)
+            column = batch.column(batch.num_columns - 1)
+            place = column.fill_null(0).to_numpy(zero_copy_only=False)
+            known = column.is_valid().to_numpy(zero_copy_only=False)
             hit = known & ((bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)) == 1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(hit if inside else ~hit))
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit if inside else ~hit))
 
-    placed = rows.select(*[F.col(f"`{name}`") for name in rows.columns], F.when(F.col(id_col).isNotNull(), _place(F.col(id_col))).alias("_place_of_id"))
-    return placed.mapInArrow(work, rows.schema)
+    return work
+
+
+def filter_rows(rows: DataFrame, bitmap: np.ndarray, id_col: str, inside: bool = True) -> DataFrame:
+    """Rows whose id may be in the set, or with `inside=False` those whose id is certainly not (null ids are not)."""
+    return with_place(rows, id_col).mapInArrow(row_filter(rows, bitmap, inside), rows.schema)
 
 
 def rows_with(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, mix, range_hashes, text_slices, word_spans
-from lorespark.llm.lookup import components, filter_rows, id_bitmap, rows_without
+from lorespark.llm.lookup import components, id_bitmap, row_filter, rows_without, with_place
 from lorespark.session import cut_lineage, written
 
 _TABLE = class_table(SPACED, lower=True)
@@ -178,10 +178,10 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     pairs = cut_lineage(pairs)
     needed = pairs.select(F.col("rep_a").alias("_id")).unionByName(pairs.select(F.col("rep_b").alias("_id"))).distinct()
     # A document id may come with several texts; the class tells which one is meant.
-    texts = filter_rows(docs, id_bitmap(needed, "_id"), "_id")
+    needed_rows = row_filter(docs, id_bitmap(needed, "_id"), True)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in needed_rows(batches):
             for first, data, offsets in text_slices(batch.column(1)):
                 digests, sizes = [], []
                 for own in shingle_sets(data, offsets, size):
@@ -190,7 +190,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 rows = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(sizes, pa.int64()), _signed(np.array(digests, np.uint64))], ["_id", "_text", "n", "cls"])
 
-    keyed = texts.mapInArrow(sets, "_id long, _text string, n long, cls long")
+    keyed = with_place(docs, "_id").mapInArrow(sets, "_id long, _text string, n long, cls long")
     left = keyed.select(F.col("_id").alias("rep_a"), F.struct("n", "cls").alias("a"), F.col("_text").alias("text_a"))
     right = keyed.select(F.col("_id").alias("rep_b"), F.struct("n", "cls").alias("b"), F.col("_text").alias("text_b"))
 

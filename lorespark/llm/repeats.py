@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, gram_hashes, mix, range_hashes, text_slices, window_anchors, word_spans
-from lorespark.llm.lookup import filter_rows, id_bitmap
+from lorespark.llm.lookup import filter_rows, id_bitmap, row_filter, with_place
 from lorespark.session import cut_lineage, written
 
 #: Bits of the bitmaps over anchors and runs: 4 MB to broadcast.
@@ -184,8 +184,8 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
     for width in (max(2, window.grams // 10), 1):
         hot = segments.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {HOT_RUNS}").select("key")
         bitmap = spark.sparkContext.broadcast(key_bitmap(hot, "key"))
-        found.append(matched(by_heat(segments, bitmap, False), units, window, rule, matcher))
-        narrow = written(split_runs(by_heat(segments, bitmap, True), units, window, width))
+        found.append(matched(segments.mapInArrow(by_heat(bitmap, False), segments.schema), units, window, rule, matcher))
+        narrow = written(split_runs(segments, bitmap, units, window, width))
         spans, settled = settle(narrow.drop("piece"), window, rule)
         found.append(spans)
         # One copy of each different run goes on, where its key has several.
@@ -210,26 +210,28 @@ def settle(runs: DataFrame, window: Window, rule: str) -> tuple[DataFrame, DataF
     return spans.select("id", "th", F.col("first").alias("start"), (F.col("last") + window.size).alias("end")), one
 
 
-def by_heat(segments: DataFrame, bitmap, hot: bool) -> DataFrame:
-    """Segments whose key is in the bitmap or not."""
+def by_heat(bitmap, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step that passes segments whose key is in the bitmap or not."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marked = _marked(bitmap.value, batch.column(0).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(marked if hot else ~marked))
 
-    return segments.mapInArrow(work, segments.schema)
+    return work
 
 
-def split_runs(segments: DataFrame, units: Units, window: Window, width: int) -> DataFrame:
-    """Segments cut where the distance from window to anchor passes a multiple of `width`.
+def split_runs(segments: DataFrame, bitmap, units: Units, window: Window, width: int) -> DataFrame:
+    """Segments of hot keys, cut where the distance from window to anchor passes a multiple of `width`.
 
     The key of a part is all that its windows must have in common: from the anchor
     less the smallest distance to the end of the window with the largest.
     """
 
+    hot = by_heat(bitmap, True)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hot(batches):
             columns: list[list] = [[] for _ in range(9)]
             for key, _, own, th, first, last, off, _, piece in zip(*[column.to_pylist() for column in batch.columns]):
                 data = np.frombuffer(piece, np.uint8)
@@ -288,8 +290,15 @@ def with_spans(docs: DataFrame, spans: DataFrame, schema: str, finish: Callable)
     renamed = grouped.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
     near = filter_rows(docs, bitmap, "id")
     joined = near.join(renamed, (near["id"] == F.col("_id")) & (near["th"] == F.col("_th")), "left").select(*docs.columns, F.coalesce("spans", empty).alias("spans"))
-    far = filter_rows(docs, bitmap, "id", inside=False).withColumn("spans", empty)
-    return joined.mapInArrow(finish, schema).unionByName(far.mapInArrow(finish, schema))
+    apart = row_filter(docs, bitmap, False)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def finish_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Filter and finish in one worker.
+        spanless = (pa.RecordBatch.from_arrays([*batch.columns, pa.array([[]] * len(batch), kind)], names=[*batch.schema.names, "spans"]) for batch in apart(batches))
+        yield from finish(spanless)
+
+    return joined.mapInArrow(finish, schema).unionByName(with_place(docs, "id").mapInArrow(finish_apart, schema))
 
 
 def same_windows(units: np.ndarray, spans: list[dict], size: int) -> list[tuple[int, int]]:
