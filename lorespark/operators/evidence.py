@@ -13,15 +13,15 @@ from .scale import top_per_group
 def build_evidence(hits: DataFrame, question: str, rank: str, content: str, max_items: int = 4, item_chars: int = 3500, total_chars: int = 50_000) -> DataFrame:
     """Evidence E1, E2, ... per question, within a budget per item and in total.
 
-    Blank hits are skipped without using a number. A hit list is at most one
-    hundred rows long, so the windows are small. What is left of the budget for
-    an item follows from the capped lengths before it.
+    Blank hits are skipped without using a number. The best hits are cut out
+    first, before and after the shuffle, so the sum runs over `max_items` rows
+    however many hits a question has. What is left of the budget for an item
+    follows from the capped lengths before it.
     """
     capped = hits.withColumn("_content", F.substring(content, 1, item_chars)).filter(strip(F.col("_content")) != "")
-    ordered = Window.partitionBy(question).orderBy(rank)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = capped.withColumn("_number", F.row_number().over(ordered)).withColumn("_used", F.coalesce(F.sum(F.length("_content")).over(before), F.lit(0)))
-    kept = numbered.filter((F.col("_number") <= max_items) & (F.col("_used") < total_chars))
+    numbered = top_per_group(capped, question, max_items, F.asc(rank), rank="_number")
+    before = Window.partitionBy(question).orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
+    kept = numbered.withColumn("_used", F.coalesce(F.sum(F.length("_content")).over(before), F.lit(0))).filter(F.col("_used") < total_chars)
     final = F.substring(F.col("_content"), F.lit(1), (F.lit(total_chars) - F.col("_used")).cast("int"))
     extra = [name for name in hits.columns if name not in (question, rank, content)]
     return kept.select(question, F.concat(F.lit("E"), F.col("_number").cast("string")).alias("evidence_id"), *extra, final.alias("content"), F.substring("_content", 1, 500).alias("excerpt"))

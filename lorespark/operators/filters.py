@@ -140,13 +140,16 @@ def current_versions(versions: DataFrame, document: str = "document_id", version
 
 
 def searchable_sections(sections: DataFrame, versions: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Sections of the current version of every ready document on a live page."""
+    """Sections of the current version of every ready document on a live page.
+
+    Versions, documents and pages meet first, without texts; the sections move once.
+    """
     ready = documents.filter(F.col("status") == "ready").select(
         F.col("id").alias("document_id"), "page_id", "filename", "format", "ocr_status", F.col("updated_at").alias("document_updated_at")
     )
     live = active(pages).select(F.col("id").alias("page_id"), F.col("title").alias("page_title"), F.col("status").alias("page_status"), F.col("tags"), F.col("properties"))
     current = current_versions(versions.select(F.col("id").alias("version_id"), "document_id", "version"))
-    return sections.join(current, "version_id").join(ready, "document_id").join(live, "page_id")
+    return sections.join(current.join(ready.join(live, "page_id"), "document_id"), "version_id")
 
 
 def with_facets(sections: DataFrame, filters: SectionFilters, tags: list[str] = (), status: str = "all", properties: dict | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind
@@ -106,28 +106,27 @@ def bm25_part(hits: Column, length: Column, average: Column) -> Column:
 def scan_scores(rows: DataFrame, texts: list[str], query: str, keep: list[str]) -> DataFrame:
     """Matching rows with their BM25 score (lower is better), by scanning the texts.
 
-    The counts of all rows, a few numbers each, are written once, so the texts
-    are read and tokenised in a single pass. The corpus statistics are one row,
-    produced by a map-side aggregate and read back as a scalar subquery. `keep`
-    should hold no long texts.
+    The texts are read and tokenised in a single pass, which writes the matching
+    rows alone; the statistics of all rows are observed on the way. The result
+    also holds the hits of each phrase. `keep` should hold no long texts.
     """
     phrases = parse_query(query)
-    counted = written(count_matches(rows, texts, phrases, keep))
-    statistics = counted.agg(
-        F.count("*").alias("total"),
-        F.avg("length").alias("average"),
+    seen = Observation()
+    counted = count_matches(rows, texts, phrases, keep).observe(
+        seen,
+        F.count(F.lit(1)).alias("total"),
+        F.sum(F.col("length").cast("long")).alias("tokens"),
         *[F.count_if(F.col(f"hits_{index}") > 0).alias(f"containing_{index}") for index in range(len(phrases))],
     )
-    matching = counted
     for index in range(len(phrases)):
-        matching = matching.filter(F.col(f"hits_{index}") > 0)
-    # `containing` of each phrase is read with the same one-row subquery.
-    scored = matching.withColumn("_corpus", one_row(statistics))
+        counted = counted.filter(F.col(f"hits_{index}") > 0)
+    matching = written(counted)
+    corpus = seen.get
+    total, average = F.lit(corpus["total"]), F.lit((corpus["tokens"] or 0) / max(1, corpus["total"]))
     parts = [
-        inverse_frequency(F.col("_corpus.total"), F.col(f"_corpus.containing_{index}")) * bm25_part(F.col(f"hits_{index}"), F.col("length"), F.col("_corpus.average"))
-        for index in range(len(phrases))
+        inverse_frequency(total, F.lit(corpus[f"containing_{index}"])) * bm25_part(F.col(f"hits_{index}"), F.col("length"), average) for index in range(len(phrases))
     ]
-    return scored.select(*keep, "length", (-_sum(parts)).alias("score"))
+    return matching.select(*keep, "length", *[f"hits_{index}" for index in range(len(phrases))], (-_sum(parts)).alias("score"))
 
 
 def rank_pages(
@@ -242,20 +241,19 @@ class PostingsIndex:
         """
         arrays = [F.struct(F.lit(number).alias("text_no"), tokens(F.col(name)).alias("words")) for number, name in enumerate(texts)]
         words = rows.select(F.col(key).alias("id"), F.inline(F.array(*arrays)))
+        total = _sum([F.size(tokens(F.col(name))) for name in texts])
+        # Rows without any token count in the statistics too.
+        lengths = written(rows.select(F.col(key).alias("id"), total.cast("long").alias("length")))
         if positions:
             placed = words.select("id", "text_no", F.posexplode("words").alias("position", "term"))
             postings = placed.groupBy("id", "text_no", "term").agg(F.array_sort(F.collect_list("position")).alias("positions")).withColumn("hits", F.size("positions"))
         else:
             postings = words.select("id", "text_no", F.explode("words").alias("term")).groupBy("id", "text_no", "term").agg(F.count("*").alias("hits"))
-        postings = written(postings)
-        # Rows without any token count in the statistics too.
-        found = postings.groupBy("id").agg(F.sum("hits").alias("_length"))
-        lengths = rows.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("_length", F.lit(0)).alias("length"))
-        return cls(postings, lengths)
+        return cls(written(_by_term(postings)), lengths)
 
     def save(self, folder: str) -> "PostingsIndex":
-        """Write both tables, postings sorted by term so that prefix ranges skip row groups."""
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+        """Write both tables, postings sorted by term."""
+        _by_term(self.postings).write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
         return self.load(self.postings.sparkSession, folder)
 
@@ -323,6 +321,11 @@ class PostingsIndex:
         return top_per_group(ranked, "keyword", limit, F.asc("score"), F.desc("id"))
 
 
+def _by_term(postings: DataFrame) -> DataFrame:
+    """Sorted so that prefix ranges skip row groups; a frequent term may span several partitions."""
+    return postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
 def _has_prefix(column: str, prefix: str) -> Column:
     """Prefix test that a Parquet scan turns into a range of row groups."""
     return F.col(column).startswith(prefix)

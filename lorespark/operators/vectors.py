@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cursors import strict_limit
@@ -45,24 +45,40 @@ def neighbours(chunks: DataFrame, query: list[float], limit: int, embedding: str
     The top-k is a per-partition heap; only k rows per partition travel, and the
     final numbering sees at most `limit` rows.
     """
-    from pyspark.sql import Window
+    return nearest(measured(chunks, query, embedding), limit, tie)
 
-    scored = chunks.withColumn("distance", cosine_distance(F.col(embedding), query)).drop(embedding)
+
+def measured(chunks: DataFrame, query: list[float], embedding: str = "embedding") -> DataFrame:
+    """Chunks with their distance in place of the vector, so that no join or sort moves vectors."""
+    return chunks.withColumn("distance", cosine_distance(F.col(embedding), query)).drop(embedding)
+
+
+def nearest(scored: DataFrame, limit: int, tie: str = "chunk_id") -> DataFrame:
     # Chunks without a distance sort last and leave after the cut, so that no
     # filter makes Spark compute the distance twice.
-    nearest = scored.orderBy(F.asc_nulls_last("distance"), tie).limit(strict_limit(limit)).filter(F.col("distance").isNotNull())
-    return nearest.withColumn("rank", F.row_number().over(Window.orderBy("distance", tie)))
+    near = scored.orderBy(F.asc_nulls_last("distance"), tie).limit(strict_limit(limit)).filter(F.col("distance").isNotNull())
+    return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", tie)))
+
 
+def page_neighbours(page_chunks: DataFrame, pages: DataFrame, query: list[float], status: str = "published", limit: int = CANDIDATES_PER_LIST, model: str | None = None) -> DataFrame:
+    """Nearest page chunks among live pages of a status, of one embedding model if it is given.
 
-def page_neighbours(page_chunks: DataFrame, pages: DataFrame, query: list[float], status: str = "published", limit: int = CANDIDATES_PER_LIST) -> DataFrame:
-    """Nearest page chunks among live pages of a status."""
+    Page ids are unique, so the inner join keeps each chunk once; unlike a
+    semi-join it is not pushed below the distance.
+    """
     eligible = with_status(active(pages), status).select(F.col("id").alias("page_id"))
-    return neighbours(page_chunks.join(eligible, "page_id", "left_semi"), query, limit)
+    return nearest(measured(_of_model(page_chunks, model), query).join(eligible, "page_id"), limit)
 
 
 def section_neighbours(
-    section_chunks: DataFrame, searchable: DataFrame, query: list[float], filters: SectionFilters = SectionFilters(), tags: list[str] = (), status: str = "published", properties: dict | None = None, limit: int = CANDIDATES_PER_LIST
-) -> DataFrame:
+    section_chunks: DataFrame, searchable: DataFrame, query: list[float], filters: SectionFilters = SectionFilters(), tags: list[str] = (), status: str = "published", properties: dict | None = None,
+    limit: int = CANDIDATES_PER_LIST, model: str | None = None,
+) -> DataFrame:
     """Nearest section chunks; every facet is applied before the ranking."""
     eligible = with_facets(searchable, filters, list(tags), status, properties).select("section_id", "document_id", "version_id", "page_id")
-    return neighbours(section_chunks.join(eligible, "section_id"), query, limit)
+    return nearest(measured(_of_model(section_chunks, model), query).join(eligible, "section_id"), limit)
+
+
+def _of_model(chunks: DataFrame, model: str | None) -> DataFrame:
+    """Chunks embedded by the wanted model: distances to vectors of another one mean nothing."""
+    return chunks if model is None else chunks.filter(F.col("model") == model).drop("model")

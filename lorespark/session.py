@@ -47,14 +47,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that this process has written and not removed yet.
+_written: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: for frames of which later readers need parts only."""
+    """`df` as a Parquet table in the shared folder: for frames of which later readers need parts only.
+
+    `remove_written` takes these tables away again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Remove the tables of `written` so far: once their results are stored or no longer wanted."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
