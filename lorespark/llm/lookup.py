@@ -21,6 +21,25 @@ from lorespark.session import cut_lineage
 FILTER_BITS = 1 << 24
 
 
+#: The same for sets of 64-bit hashes, by their low bits: 8 MB.
+KEY_BITS = 1 << 26
+
+
+def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """The bitmap of a set of hashes, put together in Spark."""
+    place = keys.select(F.expr(f"{column} & {KEY_BITS - 1}L").alias("place"))
+    words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(KEY_BITS // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap
+
+
+def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may be in the set of a `key_bitmap`."""
+    place = keys & np.uint64(KEY_BITS - 1)
+    return (bitmap.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
+
+
 def _place(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 

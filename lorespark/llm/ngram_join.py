@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, mix, range_hashes, text_slices, word_spans
-from lorespark.llm.lookup import components, id_bitmap, row_filter, rows_without, with_place
+from lorespark.llm.lookup import components, id_bitmap, key_bitmap, marked, row_filter, rows_without, with_place
 from lorespark.session import cut_lineage, written
 
 _TABLE = class_table(SPACED, lower=True)
@@ -61,6 +61,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
         yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
+def digest_of(tokens: np.ndarray) -> int:
+    """One number for a set."""
+    return int(np.bitwise_xor.reduce(mix(tokens)) ^ np.sum(mix(tokens ^ _SECOND)))
+
+
 def parity_bits(tokens: np.ndarray) -> bytes:
     """Parity of the tokens that fall on each bit; about twice as many bits as tokens."""
     bits = 1 << max(6, min(20, int(2 * len(tokens) - 1).bit_length()))
@@ -109,7 +114,7 @@ def signatures(docs: DataFrame, size: int, counter_bits: int) -> DataFrame:
                 n, digests, bits = [], [], []
                 for tokens in shingle_sets(data, offsets, size):
                     n.append(len(tokens))
-                    digests.append(int(np.bitwise_xor.reduce(mix(tokens)) ^ np.sum(mix(tokens ^ _SECOND))) if len(tokens) else 0)
+                    digests.append(digest_of(tokens) if len(tokens) else 0)
                     bits.append(parity_bits(tokens) if len(tokens) else None)
                     np.add.at(counters, (tokens >> np.uint64(64 - counter_bits)).astype(np.int64), 1)
                 rows = len(offsets) - 1
@@ -124,26 +129,42 @@ def signatures(docs: DataFrame, size: int, counter_bits: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, n long, cls long, bits binary, is_counter boolean")
 
 
-def prefixes(docs: DataFrame, others: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Prefix rows (token, cls, n, need, and the token's place in the ordered set) of all documents."""
+def prefix_tokens(docs: DataFrame, others: np.ndarray, size: int, percent: int) -> DataFrame:
+    """The prefix tokens of all documents, without anything else."""
     shipped = docs.sparkSession.sparkContext.broadcast(others)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        estimate = shipped.value
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(1)):
-                tokens, digests, sizes, needs = [], [], [], []
+                found = [chosen_prefix(own, shipped.value, percent)[0] for own in shingle_sets(data, offsets, size) if len(own)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], ["token"])
+
+    return docs.filter("_id is not null").mapInArrow(work, "token long")
+
+
+def prefixes(docs: DataFrame, others: np.ndarray, often: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Prefix rows (token, cls, n, need, and the token's place in the ordered set) of all documents, for tokens that the bitmap `often` marks."""
+    shipped = docs.sparkSession.sparkContext.broadcast((others, often))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        estimate, bitmap = shipped.value
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(1)):
+                tokens, places, digests, sizes, needs, times = [], [], [], [], [], []
                 for own in shingle_sets(data, offsets, size):
                     if len(own):
                         prefix, need = chosen_prefix(own, estimate, percent)
-                        tokens.append(prefix)
-                        digests.append(np.bitwise_xor.reduce(mix(own)) ^ np.sum(mix(own ^ _SECOND)))
+                        at = np.flatnonzero(marked(bitmap, prefix))
+                        tokens.append(prefix[at])
+                        places.append(at)
+                        digests.append(digest_of(own))
                         sizes.append(len(own))
                         needs.append(need)
+                        times.append(len(at))
                 if tokens:
-                    times = [len(prefix) for prefix in tokens]
                     columns = [_signed(np.concatenate(tokens)), _signed(np.repeat(np.array(digests, np.uint64), times)), pa.array(np.repeat(sizes, times))]
-                    columns += [pa.array(np.repeat(needs, times).astype(np.int32)), pa.array(np.concatenate([np.arange(time, dtype=np.int32) for time in times]))]
+                    columns += [pa.array(np.repeat(needs, times).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "need", "at"])
 
     return docs.filter("_id is not null").mapInArrow(work, "token long, cls long, n long, need int, at int")
@@ -185,7 +206,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             for first, data, offsets in text_slices(batch.column(1)):
                 digests, sizes = [], []
                 for own in shingle_sets(data, offsets, size):
-                    digests.append(int(np.bitwise_xor.reduce(mix(own)) ^ np.sum(mix(own ^ _SECOND))) if len(own) else 0)
+                    digests.append(digest_of(own) if len(own) else 0)
                     sizes.append(len(own))
                 rows = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(sizes, pa.int64()), _signed(np.array(digests, np.uint64))], ["_id", "_text", "n", "cls"])
@@ -237,13 +258,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = signed.filter("not is_counter")
     classes = cut_lineage(rows.filter("n > 0 and id is not null").groupBy("n", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("bits").alias("bits")))
 
-    listed = prefixes(plain, others, size, percent)
+    # A bitmap of fixed size keeps most tokens that only one row has out of the shuffle.
+    often = prefix_tokens(plain, others, size, percent).groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1")
+    listed = prefixes(plain, others, key_bitmap(often, "token"), size, percent)
     node, member = F.struct("n", "cls"), F.struct("at", "n", "cls", "need")
     # The set in which a token comes first has the fewest tokens of its own: of a group of near copies it is the one most others are near to.
-    ends = listed.groupBy("token").agg(F.min(member).alias("least"), F.max(F.struct("cls", "n", "at", "need")).alias("most"), F.min("cls").alias("c"), F.min("n").alias("m"), F.max("n").alias("k"))
-    ends = ends.filter("c <> most.cls or m <> k").drop("c", "m", "k")
-    shared = written(listed.join(ends, "token"))
-    offered = shared.select(F.col("least").alias("x"), member.alias("y")).unionByName(shared.select(F.struct("most.at", "most.n", "most.cls", "most.need").alias("x"), member.alias("y")))
+    several = listed.groupBy("token").agg(F.min("cls").alias("c"), F.max("cls").alias("d")).filter("c <> d").select("token")
+    shared = written(listed.join(several, "token", "left_semi"))
+    ends = shared.groupBy("token").agg(F.min(member).alias("least"), F.max(F.struct("cls", "n", "at", "need")).alias("most"))
+    met = shared.join(ends, "token")
+    offered = met.select(F.col("least").alias("x"), member.alias("y")).unionByName(met.select(F.struct("most.at", "most.n", "most.cls", "most.need").alias("x"), member.alias("y")))
     offered = offered.filter(_in_reach("x", "y", percent)).select(F.struct("x.n", "x.cls").alias("x"), F.struct("y.n", "y.cls").alias("y")).filter("x <> y")
     offered = offered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = cut_lineage(verified(not_disproved(offered, classes, percent), plain, size, percent))

@@ -35,11 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, gram_hashes, mix, range_hashes, text_slices, window_anchors, word_spans
-from lorespark.llm.lookup import filter_rows, id_bitmap, row_filter, with_place
+from lorespark.llm.lookup import filter_rows, id_bitmap, key_bitmap, marked, row_filter, with_place
 from lorespark.session import cut_lineage, written
 
-#: Bits of the bitmaps over anchors and runs: 4 MB to broadcast.
-KEY_BITS = 1 << 25
 #: Different runs of one anchor that a single task compares.
 HOT_RUNS = 2000
 #: Bytes of runs that a matcher works on together.
@@ -103,20 +101,6 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(KEY_BITS - 1)
-    return (bitmap.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
-
-
-def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the low bits of hashes, put together in Spark."""
-    place = keys.select(F.expr(f"{column} & {KEY_BITS - 1}L").alias("place"))
-    words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(KEY_BITS // 64, np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return bitmap
-
-
 def spot_of(run: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One number for a run at its place."""
     return mix(run ^ mix(ids.view(np.uint64) * _PLACE_OF_ID + first.astype(np.uint64)))
@@ -164,7 +148,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
     often = spark.sparkContext.broadcast(key_bitmap(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
 
     def noted(ids, hashes, data, starts, ends, bounds, runs):
-        keep = np.flatnonzero(_marked(often.value, runs.key))
+        keep = np.flatnonzero(marked(often.value, runs.key))
         return pa.RecordBatch.from_arrays(_run_columns(ids, hashes, bounds, runs, keep), _NAMES)
 
     runs = written(_scan(docs, units, window, noted, RUN))
@@ -174,7 +158,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
 
     def fetched(ids, hashes, data, starts, ends, bounds, runs):
         spot = spot_of(runs.run, ids[runs.text], runs.first - bounds[runs.text])
-        keep = np.flatnonzero(_marked(often.value, runs.key) & _marked(wanted.value, spot))
+        keep = np.flatnonzero(marked(often.value, runs.key) & marked(wanted.value, spot))
         from_byte, to_byte = starts[runs.first[keep]], ends[runs.last[keep] + window.size - 1]
         pieces = [data[a:b].tobytes() for a, b in zip(from_byte.tolist(), to_byte.tolist())]
         return pa.RecordBatch.from_arrays([*_run_columns(ids, hashes, bounds, runs, keep), pa.array(pieces, pa.binary())], [*_NAMES, "piece"])
@@ -215,8 +199,8 @@ def by_heat(bitmap, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = _marked(bitmap.value, batch.column(0).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(marked if hot else ~marked))
+            found = marked(bitmap.value, batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found if hot else ~found))
 
     return work
 
