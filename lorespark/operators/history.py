@@ -74,19 +74,35 @@ def compare_revisions(revisions: DataFrame, pages: DataFrame) -> DataFrame:
     return paired.withColumn("metadata_changed", differs("from", "to", METADATA))
 
 
-def restore_revisions(revisions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page states that restoring each revision would produce.
+def revision_of(revisions: DataFrame, pages: DataFrame, page_id: int, revision_id: int) -> DataFrame:
+    """One revision of a live page; no row when the page lies in the trash or the revision is another page's."""
+    wanted = revisions.filter((F.col("id") == revision_id) & (F.col("page_id") == page_id))
+    live = pages.filter(F.col("deleted_at").isNull() & (F.col("id") == page_id)).select(F.col("id").alias("page_id"))
+    return wanted.join(live, "page_id", "left_semi")
+
+
+def restore_updates(revisions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Updates (see `lifecycle.update_pages`) that bring live pages back to a revision, at most one revision per page.
 
-    A missing parent is dropped; `alias_taken` tells that another live page owns
-    the alias by now, so that it needs a suffix.
+    A parent that is not live any more is dropped. An alias that another live page
+    owns by now is marked in `suffix_alias`: it gets the next free number.
     """
     live = pages.filter(F.col("deleted_at").isNull())
     owners = live.select(F.col("alias"), F.col("id").alias("_owner"))
     parents = live.select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent_exists"))
-    joined = revisions.join(owners, "alias", "left").join(parents, "parent_id", "left")
-    return joined.withColumn("parent_id", F.when(F.col("_parent_exists"), F.col("parent_id"))).withColumn(
-        "alias_taken", F.col("_owner").isNotNull() & (F.col("_owner") != F.col("page_id"))
-    ).drop("_owner", "_parent_exists")
+    known = revisions.join(live.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    joined = known.join(owners, "alias", "left").join(parents, "parent_id", "left")
+    return joined.select(
+        F.col("page_id").alias("id"), "title", "alias", "body", "tags", "status", F.when(F.col("_parent_exists"), F.col("parent_id")).alias("parent_id"), F.lit(True).alias("set_parent"), "properties",
+        (F.col("_owner").isNotNull() & (F.col("_owner") != F.col("page_id"))).alias("suffix_alias"),
+    )
+
+
+def restore_revisions(revisions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, alias, parent_id, alias_taken) that restoring each revision would lead to."""
+    updates = restore_updates(revisions.withColumns({name: F.lit(None).cast(kind) for name, kind in {"title": "string", "body": "string", "status": "string"}.items() if name not in revisions.columns}).withColumns(
+        {name: F.lit(None).cast(kind) for name, kind in {"tags": "array<string>", "properties": "map<string,string>"}.items() if name not in revisions.columns}), pages)
+    return updates.select(F.col("id").alias("page_id"), "alias", "parent_id", F.col("suffix_alias").alias("alias_taken"))
 
 
 def human_edited(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -99,50 +115,74 @@ def human_edited(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _lines(text: str) -> list[str]:
-    lines = text.split("\n")
-    return lines[:-1] if lines[-1] == "" else lines
+    """Lines with their breaks: a last line without one differs from the same line with one."""
+    parts = text.split("\n")
+    return [part + "\n" for part in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+
+
+def _split_point(old: list[int], new: list[int]) -> tuple[int, int, int]:
+    """(edits, x, y): a point on a shortest path through the edit grid, found from both ends at once (Myers 1986).
+
+    Only the furthest places of the diagonals are kept, so memory grows with the lines.
+    """
+    n, m = len(old), len(new)
+    delta, half = n - m, (n + m + 1) // 2
+    ahead, behind = {1: 0}, {1: 0}
+    for steps in range(half + 1):
+        for reach, forward in ((ahead, True), (behind, False)):
+            for diagonal in range(-steps, steps + 1, 2):
+                down = diagonal == -steps or (diagonal != steps and reach.get(diagonal - 1, -1) < reach.get(diagonal + 1, -1))
+                x = reach[diagonal + 1] if down else reach[diagonal - 1] + 1
+                y = x - diagonal
+                while x < n and y < m and (old[x] == new[y] if forward else old[n - 1 - x] == new[m - 1 - y]):
+                    x, y = x + 1, y + 1
+                reach[diagonal] = x
+                other = behind if forward else ahead
+                opposite = delta - diagonal
+                if (delta % 2 == 1) == forward and abs(opposite) <= (steps - 1 if forward else steps) and opposite in other and x + other[opposite] >= n:
+                    return (2 * steps - 1, x, y) if forward else (2 * steps, n - x, m - y)
+    raise AssertionError("the two searches always meet")
+
+
+def _common(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, in order."""
+    pairs: list[tuple[int, int]] = []
+    work = [(0, len(old), 0, len(new))]
+    while work:
+        low, high, left, right = work.pop()
+        while low < high and left < right and old[low] == new[left]:
+            pairs.append((low, left))
+            low, left = low + 1, left + 1
+        tail = []
+        while low < high and left < right and old[high - 1] == new[right - 1]:
+            high, right = high - 1, right - 1
+            tail.append((high, right))
+        pairs += tail
+        if low < high and left < right:
+            edits, x, y = _split_point(old[low:high], new[left:right])
+            if edits > 1:
+                work += [(low + x, high, left + y, right), (low, low + x, left, left + y)]
+            # One edit with equal ends set aside leaves nothing in common.
+    return sorted(pairs)
 
 
 def edit_script(before: list[str], after: list[str]) -> list[tuple[str, str]]:
-    """Shortest line edit as (kind, line); kind is one of same, removed, added.
+    """Shortest line edit as (kind, line); kind is one of same, removed, added. Removals come before additions.
 
-    Greedy furthest-reaching search over diagonals (Myers 1986), after the
-    common head and tail are set aside.
+    Lines that the other side does not have cannot be kept, so only the others are searched.
     """
-    head = 0
-    while head < min(len(before), len(after)) and before[head] == after[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(before), len(after)) - head and before[-1 - tail] == after[-1 - tail]:
-        tail += 1
-    old, new = before[head : len(before) - tail], after[head : len(after) - tail]
-    reach, trail, steps = {1: 0}, [], 0
-    for steps in range(len(old) + len(new) + 1):
-        trail.append(dict(reach))
-        for diagonal in range(-steps, steps + 1, 2):
-            down = diagonal == -steps or (diagonal != steps and reach[diagonal - 1] < reach[diagonal + 1])
-            x = reach[diagonal + 1] if down else reach[diagonal - 1] + 1
-            while x < len(old) and x - diagonal < len(new) and old[x] == new[x - diagonal]:
-                x += 1
-            reach[diagonal] = x
-        if reach.get(len(old) - len(new), -1) >= len(old):
-            break
-    middle, x, y = [], len(old), len(new)
-    for step in range(steps, -1, -1):
-        known, diagonal = trail[step], x - y
-        down = diagonal == -step or (diagonal != step and known[diagonal - 1] < known[diagonal + 1])
-        previous = diagonal + 1 if down else diagonal - 1
-        start_x = known[previous] if step else 0
-        start_y = start_x - previous if step else 0
-        edit_x, edit_y = (start_x + (not down), start_y + down) if step else (0, 0)
-        while x > edit_x and y > edit_y:
-            x, y = x - 1, y - 1
-            middle.append(("same", old[x]))
-        if step:
-            middle.append(("added", new[y - 1]) if down else ("removed", old[x - 1]))
-            x, y = start_x, start_y
-    same = lambda lines: [("same", line) for line in lines]
-    return same(before[:head]) + middle[::-1] + same(before[len(before) - tail :])
+    numbers = {line: number for number, line in enumerate(dict.fromkeys(before))}
+    present = set(after)
+    old = [place for place, line in enumerate(before) if line in present]
+    new = [place for place, line in enumerate(after) if line in numbers]
+    kept = [(old[x], new[y]) for x, y in _common([numbers[before[place]] for place in old], [numbers[after[place]] for place in new])]
+    script, x, y = [], 0, 0
+    for next_x, next_y in [*kept, (len(before), len(after))]:
+        script += [("removed", line) for line in before[x:next_x]] + [("added", line) for line in after[y:next_y]]
+        if next_x < len(before):
+            script.append(("same", before[next_x]))
+        x, y = next_x + 1, next_y + 1
+    return script
 
 
 def side_by_side(before: str, after: str) -> list[dict]:
@@ -151,8 +191,8 @@ def side_by_side(before: str, after: str) -> list[dict]:
 
     def flush():
         for index in range(max(len(removed), len(added))):
-            left = removed[index] if index < len(removed) else None
-            right = added[index] if index < len(added) else None
+            left = removed[index].removesuffix("\n") if index < len(removed) else None
+            right = added[index].removesuffix("\n") if index < len(added) else None
             rows.append({"left": left, "right": right, "left_kind": "blank" if left is None else "removed", "right_kind": "blank" if right is None else "added"})
         removed.clear()
         added.clear()
@@ -160,7 +200,8 @@ def side_by_side(before: str, after: str) -> list[dict]:
     for kind, line in edit_script(_lines(before), _lines(after)):
         if kind == "same":
             flush()
-            rows.append({"left": line, "right": line, "left_kind": "same", "right_kind": "same"})
+            shown = line.removesuffix("\n")
+            rows.append({"left": shown, "right": shown, "left_kind": "same", "right_kind": "same"})
         else:
             (removed if kind == "removed" else added).append(line)
     flush()

@@ -15,6 +15,8 @@ from ..session import cut_lineage
 from .filters import active, deleted, normalize_properties, properties_error
 from .history import revisions_of_changes
 from .scale import count_before, number_within
+from .taxonomy import resolve_tag_rows
+from .tree import in_circles
 
 PAGE_COLUMNS = ["id", "title", "alias", "body", "tags", "status", "parent_id", "properties", "created_at", "updated_at", "deleted_at", "deleted_alias"]
 
@@ -158,9 +160,77 @@ def create_pages(pages: DataFrame, inputs: DataFrame, now: str, imported: bool =
     return created, refused.select("no", "error")
 
 
-def update_pages(pages: DataFrame, updates: DataFrame, source: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """(pages after the batch, revisions written). Unchanged pages keep their time and get no revision."""
-    changed = revisions_of_changes(active(pages), updates, source, now)
+def checked_updates(pages: DataFrame, updates: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Updates in normal form with `error`, as if they came one after another by page id.
+
+    Null fields keep the old value; `parent_id` counts where `set_parent` is true.
+    An alias is refused when another page owns it before the batch, unless that
+    page gives it up for good (its own update, not refused, has another one) with
+    a smaller id; of several updates that want one alias the least id wins. A
+    parent must be live, and the parents of the whole batch may make no circle.
+    With `aliases` (alias, canonical_tag) tags are resolved.
+    """
+    kinds = {"title": "string", "alias": "string", "body": "string", "tags": "array<string>", "status": "string", "parent_id": "bigint", "properties": "map<string,string>", "set_parent": "boolean", "suffix_alias": "boolean"}
+    shaped = updates.select("id", *[F.col(name).cast(kind).alias(name) if name in updates.columns else F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
+    shaped = shaped.withColumn("alias", normalize_alias(F.col("alias"))).withColumn("tags", F.when(F.col("tags").isNotNull(), normalize_tags(F.col("tags")))).withColumn("title", strip(F.col("title")))
+    if aliases is not None:
+        tags = shaped.filter(F.col("tags").isNotNull()).select(F.col("id").alias("page_id"), F.explode("tags").alias("tag"))
+        resolved = resolve_tag_rows(tags, aliases).groupBy(F.col("page_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("_tags"))
+        shaped = shaped.join(resolved, "id", "left").withColumn("tags", F.when(F.size("tags") > 0, F.col("_tags")).otherwise(F.col("tags"))).drop("_tags")
+    live = active(pages).select("id", F.col("alias").alias("_old_alias"), F.lit(True).alias("_live"))
+    parents = active(pages).select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent"))
+    error = F.coalesce(
+        F.when(F.col("_live").isNull(), F.lit("page not found")),
+        F.when(F.col("title").isNotNull() & ~F.length("title").between(1, MAX_TITLE_CHARS), F.lit("title must have 1 to 200 characters")),
+        F.when(F.octet_length("body") > MAX_BODY_BYTES, F.lit("body is too large")),
+        F.when(F.col("tags").isNotNull(), tags_error(F.col("tags"))),
+        F.when(F.col("properties").isNotNull(), properties_error(F.col("properties"))),
+        F.when(F.col("status").isNotNull() & ~F.col("status").isin(*PAGE_STATUSES), F.lit("status is unknown")),
+        F.when(F.col("alias").isNotNull() & ~is_valid_alias(F.col("alias")), F.lit("alias must contain lowercase ASCII letters, numbers, and single hyphens")),
+        F.when(F.coalesce("set_parent", F.lit(False)) & F.col("parent_id").isNotNull() & F.col("_parent").isNull(), F.lit("parent page not found")),
+    )
+    checked = cut_lineage(shaped.join(live, "id", "left").join(parents, "parent_id", "left").withColumn("error", error).drop("_live", "_parent"))
+
+    # Circles: the forest as the whole batch would leave it.
+    moved = checked.filter(F.col("error").isNull() & F.coalesce("set_parent", F.lit(False))).select("id", F.col("parent_id").alias("_new_parent"), F.lit(True).alias("_moved"))
+    forest = active(pages).join(moved, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("_new_parent")).otherwise(F.col("parent_id"))).drop("_new_parent", "_moved")
+    circular = in_circles(forest).join(moved.select("id"), "id", "left_semi").select("id", F.lit("parent relationship would create a cycle").alias("_circle"))
+
+    # Aliases: who owns one before, and who asks for it now.
+    wants = checked.filter(F.col("error").isNull() & F.col("alias").isNotNull() & ~F.coalesce("suffix_alias", F.lit(False)) & ~F.col("alias").eqNullSafe(F.col("_old_alias")))
+    first = wants.groupBy("alias").agg(F.min("id").alias("_first"))
+    owners = pages.select("alias", F.col("id").alias("_owner"))
+    leaving = wants.select(F.col("id").alias("_owner"), F.lit(True).alias("_leaves"))
+    contested = wants.select("id", "alias").join(first, "alias").join(owners, "alias", "left").join(leaving, "_owner", "left")
+    taken = (F.col("id") != F.col("_first")) | (F.col("_owner").isNotNull() & ~(F.coalesce("_leaves", F.lit(False)) & (F.col("_owner") < F.col("id"))))
+    refused = cut_lineage(contested.select("id", "_owner", taken.alias("_taken")))
+    while True:
+        # An owner whose own update is refused keeps its alias after all.
+        stuck = refused.filter("_taken").select(F.col("id").alias("_owner"), F.lit(True).alias("_stays"))
+        after = cut_lineage(refused.join(stuck, "_owner", "left").select("id", "_owner", F.col("_taken").alias("_was"), (F.col("_taken") | F.coalesce("_stays", F.lit(False))).alias("_taken")))
+        changed = after.filter("_was <> _taken").limit(1).count()
+        refused = after.drop("_was")
+        if not changed:
+            break
+    taken_rows = refused.filter("_taken").select("id", F.lit("alias already exists").alias("_alias_error"))
+    joined = checked.join(circular, "id", "left").join(taken_rows, "id", "left")
+    return joined.withColumn("error", F.coalesce("error", "_circle", "_alias_error")).drop("_circle", "_alias_error", "_old_alias")
+
+
+def update_pages(pages: DataFrame, updates: DataFrame, source: str, now: str, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages after the batch, revisions written, refused updates with error).
+
+    Unchanged pages keep their time and get no revision. Updates with
+    `suffix_alias` get the next number that is free before and after the batch if
+    their alias is taken.
+    """
+    checked = cut_lineage(checked_updates(pages, updates, aliases))
+    good = checked.filter(F.col("error").isNull()).drop("error").withColumn("properties", F.when(F.col("properties").isNotNull(), normalize_properties(F.col("properties"))))
+    suffixed = good.filter(F.coalesce("suffix_alias", F.lit(False)))
+    others = pages.join(suffixed.select("id"), "id", "left_anti").select("alias").unionByName(good.filter(~F.coalesce("suffix_alias", F.lit(False)) & F.col("alias").isNotNull()).select("alias"))
+    free = assign_aliases(suffixed.select("id", F.col("alias").alias("base")), others).select("id", F.col("alias").alias("_free"))
+    ready = good.join(free, "id", "left").withColumn("alias", F.coalesce("_free", "alias")).drop("_free", "suffix_alias").withColumn("set_parent", F.coalesce("set_parent", F.lit(False)))
+    changed = revisions_of_changes(active(pages), ready, source, now)
     new = changed.select(F.col("page_id").alias("id"), "new")
     joined = pages.join(new, "id", "left")
     fields = ["title", "alias", "body", "tags", "status", "parent_id", "properties"]
@@ -169,7 +239,7 @@ def update_pages(pages: DataFrame, updates: DataFrame, source: str, now: str) ->
           F.when(F.col("new").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col(name)).alias(name) if name == "updated_at" else F.col(name)
           for name in PAGE_COLUMNS]
     )
-    return applied, changed.drop("new")
+    return applied, changed.drop("new"), checked.filter(F.col("error").isNotNull()).select("id", "error")
 
 
 def delete_pages(pages: DataFrame, chosen: DataFrame, now: str) -> DataFrame:

@@ -45,66 +45,93 @@ def is_terminal(attempts: Column, policy: RetryPolicy) -> Column:
     return F.lit(False) if policy.max_attempts is None else attempts >= policy.max_attempts
 
 
+#: What is known of a job besides its last request; all of it can be merged.
+LAST = {"claim": ("claimed", ["owner"]), "failure": ("failed", []), "delay": ("delayed", ["delay_seconds"]), "completion": ("completed", []), "cancellation": ("cancelled", [])}
+
+
 def fold(events: DataFrame, lease_seconds: int, policy: RetryPolicy) -> DataFrame:
     """Current queue: one row per entity that still waits or works.
 
     `events` has entity_id, at, event_id, kind and, optionally, owner, revision,
     retryable and delay_seconds. An event that names a revision counts only for
-    that revision; everything before the last request belongs to an older one.
-    Both aggregates combine on the map side, so the size of one entity's history
-    does not matter.
+    that revision; everything before the last request belongs to an older one. A
+    renewal that names an owner counts only for that owner's claim. All aggregates
+    combine on the map side, so the size of one entity's history does not matter.
+    """
+    return current(merge(None, events), lease_seconds, policy)
+
+
+def merge(state: DataFrame | None, events: DataFrame) -> DataFrame:
+    """State of every entity after more events; `state` is what an earlier call returned.
+
+    The events of an entity must be later than those it had before; within one
+    call they may come in any order.
     """
     optional = {"owner": "string", "revision": "bigint", "retryable": "boolean", "delay_seconds": "bigint"}
     for name, kind in optional.items():
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind))
     position = F.struct("at", "event_id")
-    requests = events.filter(F.col("kind") == "requested").groupBy("entity_id").agg(
-        F.max(position).alias("_requested"), F.count("*").alias("_revision")
-    )
+    requests = events.filter(F.col("kind") == "requested").groupBy("entity_id").agg(F.max(position).alias("_new"), F.count("*").alias("_times"))
+    if state is None:
+        known = requests.select("entity_id", F.col("_new").alias("requested"), F.col("_times").alias("revision"), F.lit(True).alias("_fresh"))
+    else:
+        known = state.join(requests, "entity_id", "full").withColumns({
+            "requested": F.coalesce("_new", "requested"), "revision": F.coalesce("revision", F.lit(0)) + F.coalesce("_times", F.lit(0)), "_fresh": F.col("_new").isNotNull(),
+        }).drop("_new", "_times")
     later = (
         events.filter(F.col("kind") != "requested")
-        .join(requests, "entity_id")
+        .join(known.select("entity_id", F.col("requested").alias("_requested"), F.col("revision").alias("_revision")), "entity_id")
         .filter((position > F.col("_requested")) & (F.col("revision").isNull() | (F.col("revision") == F.col("_revision"))))
     )
 
-    def last(kind: str, *values: str) -> Column:
-        entry = F.struct(F.col("at"), F.col("event_id"), *[F.col(name) for name in values])
-        return F.max(F.when(F.col("kind") == kind, entry))
+    def last(kind: str, values: list[str]) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.struct(F.col("at"), F.col("event_id"), *[F.col(name) for name in values])))
 
     summary = later.groupBy("entity_id").agg(
-        last("claimed", "owner").alias("_claim"),
-        last("renewed").alias("_renewal"),
-        last("failed").alias("_failure"),
-        last("delayed", "delay_seconds").alias("_delay"),
-        last("completed").alias("_completion"),
-        last("cancelled").alias("_cancellation"),
+        *[last(kind, values).alias(f"_{name}") for name, (kind, values) in LAST.items()],
         F.count_if(F.col("kind") == "failed").alias("_failures"),
         F.max(F.when((F.col("kind") == "failed") & ~F.coalesce("retryable", F.lit(True)), F.lit(True))).alias("_refused"),
     )
-    state = requests.join(summary, "entity_id", "left")
-    failures = F.coalesce("_failures", F.lit(0))
-    attempts = failures if policy.max_attempts is None else F.when(F.col("_refused"), F.greatest(failures, F.lit(policy.max_attempts))).otherwise(failures)
-    released = F.greatest(_place("_failure"), _place("_delay"))
-    held = F.col("_claim").isNotNull() & (released.isNull() | (_place("_claim") > released))
-    renewed = F.when(_place("_renewal") > _place("_claim"), F.col("_renewal.at"))
+    # A renewal without an owner is one of any; owners of one job are few.
+    by_owner = later.filter(F.col("kind") == "renewed").groupBy("entity_id", F.coalesce("owner", F.lit("")).alias("owner")).agg(F.max(position).alias("place"))
+    renewals = by_owner.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("owner", "place"))).alias("_renewals"))
+    joined = known.join(summary, "entity_id", "left").join(renewals, "entity_id", "left")
+    kept = lambda name: F.when(~F.col("_fresh"), F.col(name)) if state is not None else F.lit(None)
+    columns = {name: F.greatest(kept(name), F.col(f"_{name}")) if state is not None else F.col(f"_{name}") for name in LAST}
+    columns["failures"] = F.coalesce(kept("failures"), F.lit(0)) + F.coalesce("_failures", F.lit(0))
+    columns["refused"] = F.coalesce("_refused", kept("refused").cast("boolean"), F.lit(False))
+    if state is None:
+        columns["renewals"] = F.col("_renewals")
+    else:
+        old, new = F.coalesce(kept("renewals"), F.create_map().cast("map<string,struct<at:timestamp_ntz,event_id:bigint>>")), F.coalesce("_renewals", F.create_map().cast("map<string,struct<at:timestamp_ntz,event_id:bigint>>"))
+        columns["renewals"] = F.map_zip_with(old, new, lambda owner, one, other: F.greatest(one, other))
+    return joined.select("entity_id", "requested", F.col("revision").cast("bigint").alias("revision"), *[column.alias(name) for name, column in columns.items()])
+
+
+def current(state: DataFrame, lease_seconds: int, policy: RetryPolicy) -> DataFrame:
+    """The jobs of a state that still wait or work."""
+    failures = F.col("failures")
+    attempts = failures if policy.max_attempts is None else F.when(F.col("refused"), F.greatest(failures, F.lit(policy.max_attempts))).otherwise(failures)
+    released = F.greatest(_place("failure"), _place("delay"))
+    held = F.col("claim").isNotNull() & (released.isNull() | (_place("claim") > released))
+    renewal = F.greatest(F.try_element_at("renewals", F.lit("")), F.try_element_at("renewals", F.col("claim.owner")))
+    renewed = F.when(renewal > _place("claim"), renewal["at"])
     available = F.greatest(
-        F.col("_requested.at"),
-        plus_seconds(F.col("_failure.at"), backoff_seconds(attempts, policy)),
-        plus_seconds(F.col("_delay.at"), F.coalesce(F.col("_delay.delay_seconds"), F.lit(1))),
+        F.col("requested.at"),
+        plus_seconds(F.col("failure.at"), backoff_seconds(attempts, policy)),
+        plus_seconds(F.col("delay.at"), F.coalesce(F.col("delay.delay_seconds"), F.lit(1))),
     )
-    rows = state.select(
+    waiting = state.filter(F.col("completion").isNull() & F.col("cancellation").isNull())
+    return waiting.select(
         "entity_id",
-        F.col("_requested.at").alias("requested_at"),
+        F.col("requested.at").alias("requested_at"),
         available.alias("available_at"),
         attempts.cast("bigint").alias("attempts"),
-        F.col("_revision").alias("revision"),
-        F.when(held, F.col("_claim.owner")).alias("lease_owner"),
-        F.when(held, plus_seconds(F.coalesce(renewed, F.col("_claim.at")), F.lit(lease_seconds))).alias("lease_until"),
-        F.col("_completion").isNotNull().alias("_completed"),
-        F.col("_cancellation").isNotNull().alias("_cancelled"),
+        "revision",
+        F.when(held, F.col("claim.owner")).alias("lease_owner"),
+        F.when(held, plus_seconds(F.coalesce(renewed, F.col("claim.at")), F.lit(lease_seconds))).alias("lease_until"),
     )
-    return rows.filter(~F.col("_completed") & ~F.col("_cancelled")).drop("_completed", "_cancelled")
 
 
 def _place(column: str) -> Column:
@@ -148,14 +175,14 @@ CANCELLABLE = {"documents": ("queued", "extracting"), "captures": ("queued", "fe
 RETRYABLE = {"documents": ("failed", "cancelled"), "captures": ("failed", "cancelled"), "research": ("failed", "cancelled")}
 
 
-def transition(entities: DataFrame, queue: str, action: str) -> DataFrame:
-    """(id, status, allowed, new_status) for a cancel or a retry of every given entity."""
+def transition(entities: DataFrame, queue: str, action: str, extra: list[str] = ()) -> DataFrame:
+    """(id, status, extra columns, allowed, new_status) for a cancel or a retry of every given entity."""
     states = CANCELLABLE if action == "cancel" else RETRYABLE
     allowed = F.col("status").isin(*states[queue])
     if queue == "documents" and action == "retry" and "needs_ocr" in entities.columns:
         allowed = allowed | ((F.col("status") == "ready") & F.col("needs_ocr"))
     target = "cancelled" if action == "cancel" else "queued"
-    return entities.select("id", "status", allowed.alias("allowed"), F.when(allowed, F.lit(target)).otherwise(F.col("status")).alias("new_status"))
+    return entities.select("id", "status", *extra, allowed.alias("allowed"), F.when(allowed, F.lit(target)).otherwise(F.col("status")).alias("new_status"))
 
 
 def check_interval(seconds: int | None) -> int | None:

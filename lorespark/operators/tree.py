@@ -100,6 +100,12 @@ def parent_candidates(pages: DataFrame, page_id: int | None = None) -> DataFrame
     return live.filter(F.col("id") != page_id).join(below, "id", "left_anti").orderBy(F.lower("title"), "id")
 
 
+def in_circles(pages: DataFrame) -> DataFrame:
+    """Ids of live pages that are their own ancestors."""
+    walked = chains(active(pages).select("id", "parent_id"))
+    return walked.filter(F.exists("chain", lambda item: item["id"] == F.col("id"))).select("id")
+
+
 def parent_errors(pages: DataFrame, proposals: DataFrame) -> DataFrame:
     """Check proposed parents, (id, new_parent_id), against the stored forest: adds `error`, null when accepted."""
     live = active(pages).select("id", "parent_id")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.text import slugify
 from ..operators import blobs, captures, filters, history, lifecycle, queues
-from ..session import shared_folder
+from ..session import cut_lineage
 from ..sources.tables import read_spread, read_table
-from ..streaming import jobs
 from .fixtures import TIME, WIKI, queue_events, text_of_time, wiki
 
 QUERIES, ORACLE = {}, {}
@@ -116,9 +114,8 @@ def queue_transitions(spark, folder):
     states = F.array(*[F.lit(state) for state in ("queued", "extracting", "ready", "failed", "cancelled")])
     key = F.col("o_orderkey")
     documents = read_table(spark, folder, "orders").select(key.alias("id"), F.element_at(states, (key % 5 + 1).cast("int")).alias("status"), (key % 2 == 0).alias("needs_ocr"))
-    cancel = queues.transition(documents, "documents", "cancel").select("id", "status", F.col("allowed").alias("can_cancel"))
-    retry = queues.transition(documents, "documents", "retry").select("id", F.col("allowed").alias("can_retry"))
-    return cancel.join(retry, "id")
+    both = queues.transition(documents, "documents", "cancel", extra=["needs_ocr"]).withColumnRenamed("allowed", "can_cancel").drop("new_status")
+    return queues.transition(both, "documents", "retry", extra=["can_cancel"]).select("id", "status", "can_cancel", F.col("allowed").alias("can_retry"))
 
 
 def capture_rows(spark, folder):
@@ -266,7 +263,7 @@ CHANGED = "deleted_at IS NULL AND id % 5 <> 0 AND (id % 3 = 0 OR id % 2 = 0)"
 @query("update_revisions", f"WITH {WIKI} SELECT id AS page_id, title, status, 'rest' AS source FROM wiki WHERE {CHANGED}")
 def update_revisions(spark, folder):
     pages = wiki(spark, folder)
-    _, revisions = lifecycle.update_pages(pages, page_updates(pages), "rest", "2024-07-01 00:00:00")
+    _, revisions, _ = lifecycle.update_pages(pages, page_updates(pages), "rest", "2024-07-01 00:00:00")
     return revisions.select("page_id", "title", "status", "source")
 
 
@@ -277,10 +274,73 @@ def update_revisions(spark, folder):
 )
 def update_pages(spark, folder):
     pages = wiki(spark, folder)
-    after, _ = lifecycle.update_pages(pages, page_updates(pages), "rest", "2024-07-01 00:00:00")
+    after, _, _ = lifecycle.update_pages(pages, page_updates(pages), "rest", "2024-07-01 00:00:00")
     return after.select("id", "title", "status", text_of_time("updated_at").alias("updated_at"))
 
 
+def doubtful_updates(pages):
+    """Updates with all kinds of faults: aliases of others, swapped and shared aliases, bad forms, missing parents, circles."""
+    ident, kind = F.col("id"), F.col("id") % 12
+    text = lambda column: F.concat(F.lit("doc-"), column.cast("string"))
+    return pages.filter(F.col("deleted_at").isNull()).select(
+        "id",
+        F.when(kind == 1, text(ident + 1)).when(kind == 2, text(ident + 20_000_000)).when(kind == 3, F.concat(F.lit("Lang-"), F.substring("title", 1, 0), F.expr("properties['lang']").substr(2, 2)))
+        .when(kind == 4, F.lit("not an alias!")).when(kind == 5, F.concat(F.lit("  DOC-"), ident.cast("string"), F.lit(" "))).alias("alias"),
+        F.when(kind == 6, F.lit(" ")).when(kind == 7, F.concat(F.lit(" New "), "title")).alias("title"),
+        F.when(kind == 8, F.lit("gone")).alias("status"),
+        kind.isin(9, 10, 11).alias("set_parent"),
+        F.when(kind == 9, ident + 90_000_000).when(kind == 10, ident + 1).when(kind == 11, ident - 1).alias("parent_id"),
+    )
+
+
+DOUBTFUL = f"""WITH {WIKI}, live AS (SELECT *, id % 12 AS kind FROM wiki WHERE deleted_at IS NULL),
+    plain AS (SELECT id, kind, lang, CASE WHEN kind = 4 THEN 'alias must contain lowercase ASCII letters, numbers, and single hyphens' WHEN kind = 6 THEN 'title must have 1 to 200 characters' WHEN kind = 8 THEN 'status is unknown'
+        WHEN kind = 9 OR kind = 10 AND id + 1 NOT IN (SELECT id FROM live) OR kind = 11 AND id - 1 NOT IN (SELECT id FROM live) THEN 'parent page not found'
+        WHEN kind = 10 AND id + 1 IN (SELECT id FROM live) OR kind = 11 AND id - 1 IN (SELECT id FROM live) THEN 'parent relationship would create a cycle'
+        WHEN kind = 1 AND 'doc-' || (id + 1) IN (SELECT alias FROM wiki w WHERE w.id <> live.id) THEN 'alias already exists' 
+        WHEN kind = 3 AND id > (SELECT min(id) FROM live l WHERE l.kind = 3 AND l.lang = live.lang) THEN 'alias already exists' END AS error FROM live)"""
+
+
+@query("update_refusals", f"{DOUBTFUL} SELECT id, error FROM plain WHERE error IS NOT NULL")
+def update_refusals(spark, folder):
+    """Refused updates of a batch with their reasons; a page and the next one as each other's parents make a circle."""
+    pages = wiki(spark, folder)
+    return lifecycle.update_pages(pages, doubtful_updates(pages), "rest", "2024-07-01 00:00:00")[2]
+
+
+@query(
+    "restore_to_revision",
+    f"""WITH {WIKI}, live AS (SELECT * FROM wiki WHERE deleted_at IS NULL),
+    r AS (SELECT id, 'Old ' || title AS title, CASE WHEN id % 2 = 0 THEN 'doc-' || (id + 1) ELSE 'was-' || id END AS alias, id + 3 AS parent_id, CASE WHEN n_chars % 2 = 0 THEN 'archived' ELSE status END AS status, text_of FROM (SELECT *, 'Old ' || body AS text_of FROM live)),
+    taken AS (SELECT r.*, EXISTS (SELECT 1 FROM live o WHERE o.alias = r.alias AND o.id <> r.id) AS suffix FROM r)
+    SELECT t.id, t.title, CASE WHEN suffix THEN t.alias || '-2' ELSE t.alias END AS alias, t.status, p.id AS parent_id, sha256(text_of) AS body, 'rest' AS source FROM taken t LEFT JOIN live p ON p.id = t.parent_id AND p.id % 4 <> t.id % 4""",
+)
+def restore_to_revision(spark, folder):
+    """Every live page brought back to an older state; where another page has the alias by now, it gets a number."""
+    pages = wiki(spark, folder)
+    ident = F.col("id")
+    revisions = filters.active(pages).select(
+        ident.alias("page_id"), F.concat(F.lit("Old "), "title").alias("title"), F.when(ident % 2 == 0, F.concat(F.lit("doc-"), (ident + 1).cast("string"))).otherwise(F.concat(F.lit("was-"), ident.cast("string"))).alias("alias"),
+        F.concat(F.lit("Old "), "body").alias("body"), "tags", F.when(F.expr("cast(properties['chars'] as bigint)") % 2 == 0, F.lit("archived")).otherwise(F.col("status")).alias("status"), (ident + 3).alias("parent_id"), "properties",
+    )
+    after, written, refused = lifecycle.update_pages(pages, history.restore_updates(revisions, pages), "rest", "2024-07-01 00:00:00")
+    sources = written.select(F.col("page_id").alias("id"), "source")
+    return filters.active(after).join(sources, "id").select("id", "title", "alias", "status", "parent_id", text.sha256_hex(F.col("body")).alias("body"), "source")
+
+
+@query("revision_of_page", f"WITH {WIKI} SELECT event_id AS id, user_id AS page_id, event_type FROM events WHERE event_id IN (40, 41, 42, 43, 44, 45, 46, 47) AND user_id IN (SELECT id FROM wiki WHERE deleted_at IS NULL)")
+def revision_of_page(spark, folder):
+    """Eight revisions, each asked for under its own page and under another one."""
+    pages = wiki(spark, folder)
+    revisions = read_table(spark, folder, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("page_id"), "event_type")
+    asked = revisions.filter(F.col("id").between(40, 47)).orderBy("id").take(8)
+    found = None
+    for row in asked:
+        both = history.revision_of(revisions, pages, row["page_id"], row["id"]).unionByName(history.revision_of(revisions, pages, row["page_id"] + 1, row["id"]))
+        found = both if found is None else found.unionByName(both)
+    return found.select("id", "page_id", "event_type")
+
+
 @query("metadata_diff", f"WITH {WIKI} SELECT id AS revision_id, id AS page_id, id % 2 = 0 AND status <> 'archived' OR id % 3 = 0 AS metadata_changed FROM wiki")
 def metadata_diff(spark, folder):
     """A revision per page: another status on even pages, reordered tags on every third, other properties nowhere."""
@@ -315,12 +375,25 @@ def human_edits(spark, folder):
     return history.human_edited(pages, documents).select("document_id", "needs_review")
 
 
-@query("line_diff")
+@query(
+    "line_diff",
+    r"""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '([.,]) ', '\1' || chr(10), 'g'), '[^\n]*\n|[^\n]+$') AS lines FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, b.lines AS b, a.lines AS a FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 2),
+    dp AS (SELECT conv_id, turn, 0 AS i, list_transform(range(0, len(a) + 1), lambda j: 0) AS r FROM p
+      UNION ALL SELECT d.conv_id, d.turn, d.i + 1, list_concat([0], list_transform(range(1, len(p.a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN p.a[k] = p.b[d.i + 1] THEN d.r[k] + 1 ELSE d.r[k + 1] END))))
+      FROM dp d JOIN p ON d.conv_id = p.conv_id AND d.turn = p.turn WHERE d.i < len(p.b)),
+    texts AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '([.,]) ', '\1' || chr(10), 'g'), '\n$', '') AS shown FROM conversations)
+    SELECT p.conv_id, p.turn, CAST(dp.r[len(p.a) + 1] AS BIGINT) AS same_lines, sha256(b.shown) AS left_text, sha256(a.shown) AS right_text
+    FROM p JOIN dp ON dp.conv_id = p.conv_id AND dp.turn = p.turn AND dp.i = len(p.b) JOIN texts a ON a.conv_id = p.conv_id AND a.turn = p.turn JOIN texts b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2""",
+)
 def line_diff(spark, folder):
-    """Each turn against the turn before it, line by line; checked against brute force in the tests."""
-    turns = read_spread(spark, folder, "conversations", "conv_id")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    return history.body_diff(turns.join(before, ["conv_id", "turn"]), "before", "text", ["conv_id", "turn"])
+    """Each turn against the one two turns before, a line for each clause: equal lines, and both texts put together again."""
+    turns = read_spread(spark, folder, "conversations", "conv_id").select("conv_id", "turn", F.regexp_replace("text", "([.,]) ", "$1\n").alias("text"))
+    before = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("before"))
+    rows = history.body_diff(turns.join(before, ["conv_id", "turn"]), "before", "text", ["conv_id", "turn"])
+    side = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("line", name)))), lambda item: item[name]), "\n")
+    grouped = rows.groupBy("conv_id", "turn").agg(F.count_if(F.col("left_kind") == "same").alias("same_lines"), side("left").alias("l"), side("right").alias("r"))
+    return grouped.select("conv_id", "turn", "same_lines", text.sha256_hex(F.col("l")).alias("left_text"), text.sha256_hex(F.col("r")).alias("right_text"))
 
 
 @query(
@@ -502,17 +575,15 @@ def supersede_versions(spark, folder):
     return queues.superseded(versions, versions.filter(F.col("document_id") % 2 == 0))
 
 
-@query("queue_stream_fold", f"WITH {fold_sql(1800, JOB_BACKOFF)} SELECT {SHOWN} FROM queue")
-def queue_stream_fold(spark, folder):
-    """The event table read as a stream into the durable log, then folded."""
-    base = f"{shared_folder(spark)}/queue-stream-{uuid.uuid4().hex}"
-    schema = read_table(spark, folder, "events").schema
-    events = jobs.read_events(spark, folder, schema, "events.parquet")
-    kinds = {"signup": "requested", "view": "claimed", "click": "renewed", "error": "failed", "purchase": "completed"}
-    pairs = [F.lit(value) for pair in kinds.items() for value in pair]
-    log = events.select(
-        F.col("user_id").alias("entity_id"), F.col("ts").alias("at"), "event_id", F.create_map(*pairs)[F.col("event_type")].alias("kind"),
-        F.when(F.col("event_type") == "view", F.concat(F.lit("worker-"), (F.col("event_id") % 7).cast("string"))).alias("owner"),
-    )
-    jobs.append_log(log, f"{base}/log", f"{base}/checkpoint").awaitTermination()
-    return shown(jobs.fold_log(spark, f"{base}/log", queues.LEASE_SECONDS["documents"], queues.JOB_POLICY))
+@query("queue_incremental_fold", f"WITH {fold_sql(1800, JOB_BACKOFF)} SELECT {SHOWN} FROM queue")
+def queue_incremental_fold(spark, folder):
+    """The event log in four slices of time, each merged into the state that the slices before left."""
+    events = queue_events(spark, folder)
+    ends = events.select(F.percentile_approx(F.unix_micros(F.col("at").cast("timestamp")), [0.25, 0.5, 0.75]).alias("ends")).first()["ends"]
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    state = None
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = events if low is None else events.filter(micros > low)
+        part = part if high is None else part.filter(micros <= high)
+        state = cut_lineage(queues.merge(state, part))
+    return shown(queues.current(state, queues.LEASE_SECONDS["documents"], queues.JOB_POLICY))

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
+import ipaddress
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import html, mime, text, urls
 from ..operators import chunks, graph
-from ..sources import frontmatter, office
+from ..sources import files, frontmatter
 from ..sources.tables import read_spread, read_table
 from .fixtures import WIKI, wiki
 
@@ -90,7 +86,7 @@ def numeric_entities(spark, folder):
 
 
 IMAGES = r"""images AS (SELECT page_id, url, m.i AS position, m.target AS target, m.label AS label FROM (
-    SELECT page_id, url, unnest(list_transform(range(1, len(targets) + 1), lambda i: {'i': i, 'target': targets[i], 'label': labels[i]})) AS m FROM (
+    SELECT page_id, url, unnest(list_transform(range(1, len(targets) + 1), lambda i: {'i': i, 'target': replace(replace(url_encode(targets[i]), '%2F', '/'), '%2C', ','), 'label': labels[i]})) AS m FROM (
       SELECT page_id, url, regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 1) AS targets, regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 2) AS labels FROM (
         SELECT page_id, url, regexp_replace(html, '(?is)<footer\b.*?</footer>', '', 'g') AS h FROM pages))))"""
 
@@ -289,37 +285,43 @@ def text_decode(spark, folder):
         .when(kind == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
         .otherwise(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("C3"))))
     )
-    return documents.select("doc_id", office.decode_text(content).alias("text"))
+    return documents.select("doc_id", files.decode_text(content).alias("text"))
 
 
 @query(
     "url_parts",
-    rf"""SELECT page_id, 'Web capture: ' || {HOST} || CASE WHEN p IN ('', '/') THEN '' ELSE regexp_replace(p, '/$', '') END AS title, true AS plain_public,
+    rf"""SELECT page_id, 'Web capture: ' || {HOST} || CASE WHEN p IN ('', '/') THEN '' ELSE regexp_replace(p, '/$', '') END AS title, 
       CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+$') THEN regexp_replace(url, '#.*$', '') || '/' ELSE regexp_replace(url, '#.*$', '') END AS canonical
       FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)""",
 )
 def url_parts(spark, folder):
     pages = captured(spark, folder).select("page_id", "url")
-    return pages.select("page_id", urls.capture_title(F.col("url")).alias("title"), urls.is_plain_public_url(F.col("url")).alias("plain_public"), urls.canonical_plain_url(F.col("url")).alias("canonical"))
+    return pages.select("page_id", urls.capture_title(F.col("url")).alias("title"), urls.normalize_url(F.col("url")).alias("canonical"))
 
 
 @query(
     "safe_urls",
-    r"""WITH built AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'http://user:pw@' || substr(url, 9) WHEN 2 THEN 'http://10.0.' || page_id % 256 || '.1/x' WHEN 3 THEN 'http://8.8.' || page_id % 256 || '.8/x#y' WHEN 4 THEN 'http://localhost:8080/' || page_id ELSE 'ftp://' || substr(url, 9) END AS u FROM pages)
-    SELECT page_id, CASE page_id % 6 WHEN 0 THEN CASE WHEN regexp_matches(regexp_replace(u, '#.*$', ''), '^https?://[^/?]+$') THEN regexp_replace(u, '#.*$', '') || '/' ELSE regexp_replace(u, '#.*$', '') END WHEN 3 THEN regexp_replace(u, '#.*$', '') END AS url FROM built""",
+    r"""WITH built AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, CASE page_id % 8
+      WHEN 0 THEN CASE WHEN regexp_matches(bare, '^https?://[^/?]+$') THEN bare || '/' ELSE bare END
+      WHEN 3 THEN 'http://8.8.' || page_id % 256 || '.8/x' WHEN 5 THEN 'https://' || host || '/a' || path || '%20%C3%A9?q=%27%20' WHEN 6 THEN 'http://xn--bcher-kva.example' || CASE WHEN path = '' THEN '/' ELSE path END
+      WHEN 7 THEN 'http://8.8.8.8:8080/' END AS url FROM built""",
 )
 def safe_urls(spark, folder):
+    """Addresses as they are, with credentials, private and public literals, local, with dot segments and blanks, beyond ASCII, and as one number."""
     pages = captured(spark, folder).select("page_id", "url")
     ident, rest = F.col("page_id"), F.substring(F.col("url"), F.lit(9), F.length("url"))
+    host, path = F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1)
     octet = (ident % 256).cast("string")
-    built = (
-        F.when(ident % 6 == 0, F.col("url")).when(ident % 6 == 1, F.concat(F.lit("http://user:pw@"), rest)).when(ident % 6 == 2, F.concat(F.lit("http://10.0."), octet, F.lit(".1/x")))
-        .when(ident % 6 == 3, F.concat(F.lit("http://8.8."), octet, F.lit(".8/x#y"))).when(ident % 6 == 4, F.concat(F.lit("http://localhost:8080/"), ident.cast("string"))).otherwise(F.concat(F.lit("ftp://"), rest))
-    )
-    return pages.select("page_id", urls.normalize_url(built).alias("url"))
+    forms = [
+        F.col("url"), F.concat(F.lit("http://user:pw@"), rest), F.concat(F.lit("http://10.0."), octet, F.lit(".1/x")), F.concat(F.lit("http://8.8."), octet, F.lit(".8/x#y")),
+        F.concat(F.lit("http://localhost:8080/"), ident.cast("string")), F.concat(F.lit("HTTPS://"), F.upper(host), F.lit(":443/a/./b/.."), path, F.lit(" é?q=' #z")),
+        F.concat(F.lit("http://BÜCHER.example"), path), F.lit("http://134744072:8080"),
+    ]
+    return pages.select("page_id", urls.normalize_url(F.get(F.array(*forms), (ident % len(forms)).cast("int"))).alias("url"))
 
 
-V4 = "(0, 8), (167772160, 8), (1681915904, 10), (2130706432, 8), (2851995648, 16), (2886729728, 12), (3221225472, 24), (3221225984, 24), (3227017984, 24), (3232235520, 16), (3323068416, 15), (3325256704, 24), (3405803776, 24), (3758096384, 3)"
+V4 = ", ".join(f"({int(ipaddress.ip_network(network).network_address)}, {ipaddress.ip_network(network).prefixlen})" for network in urls.BLOCKED_V4)
 
 
 @query(
@@ -329,13 +331,36 @@ V4 = "(0, 8), (167772160, 8), (1681915904, 10), (2130706432, 8), (2851995648, 16
       NOT EXISTS (SELECT 1 FROM blocked WHERE n BETWEEN network::BIGINT AND network::BIGINT + (1::BIGINT << (32 - bits)) - 1) AS public FROM addresses""",
 )
 def public_ipv4(spark, folder):
-    """One address per event, judged twice: by arithmetic and by the general test."""
+    """One address per event, judged by integer arithmetic."""
     events = read_table(spark, folder, "events").select("event_id", "user_id")
     number = (F.col("event_id") * 429497 + F.col("user_id") * 7919) % 4294967296
     octet = lambda shift: F.shiftright(number, shift).bitwiseAND(255).cast("string")
     addresses = events.select("event_id", F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)).alias("address"))
-    judged = addresses.withColumn("public", urls.is_public_ipv4(F.col("address"))).withColumn("_general", urls.is_public_ip(F.col("address")))
-    return judged.select("event_id", "address", (F.col("public") & F.col("_general")).alias("public"))
+    return addresses.withColumn("public", urls.is_public_ip(F.col("address")))
+
+
+# Networks as (32 hexadecimal digits, bits).
+V6 = ", ".join(f"('{int(network.network_address):032x}', {network.prefixlen})" for network in map(ipaddress.ip_network, urls.BLOCKED_V6))
+
+
+@query(
+    "public_ipv6",
+    f"""WITH blocked(network, bits) AS (VALUES {V6}), numbered AS (SELECT *, row_number() OVER (ORDER BY network, bits) - 1 AS n FROM blocked),
+    made AS (SELECT event_id, substr(substr(network, 1, (bits - event_id % 9)::INT // 4) || md5((event_id * 31 + user_id)::VARCHAR), 1, 32) AS h FROM events JOIN numbered ON n = event_id % 18),
+    halves AS (SELECT event_id, h, ('0x' || substr(h, 1, 16))::UBIGINT AS hi, ('0x' || substr(h, 17, 16))::UBIGINT AS lo FROM made),
+    networks AS (SELECT bits::INT AS bits, ('0x' || substr(network, 1, 16))::UBIGINT AS hi, ('0x' || substr(network, 17, 16))::UBIGINT AS lo FROM blocked)
+    SELECT event_id, concat_ws(':', substr(h, 1, 4), substr(h, 5, 4), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 4), substr(h, 25, 4), substr(h, 29, 4)) AS address,
+      NOT EXISTS (SELECT 1 FROM networks n WHERE CASE WHEN n.bits <= 64 THEN (a.hi >> (64 - n.bits)::UBIGINT) = (n.hi >> (64 - n.bits)::UBIGINT) ELSE a.hi = n.hi AND (a.lo >> (128 - n.bits)::UBIGINT) = (n.lo >> (128 - n.bits)::UBIGINT) END) AS public FROM halves a""",
+)
+def public_ipv6(spark, folder):
+    """Addresses that agree with a blocked network in all its bits or in some fewer."""
+    networks = sorted((f"{int(network.network_address):032x}", network.prefixlen) for network in map(ipaddress.ip_network, urls.BLOCKED_V6))
+    events = read_table(spark, folder, "events").select("event_id", "user_id")
+    chosen = F.get(F.array(*[F.struct(F.lit(digits).alias("digits"), F.lit(bits).alias("bits")) for digits, bits in networks]), (F.col("event_id") % len(networks)).cast("int"))
+    head = F.substring(chosen["digits"], F.lit(1), F.floor((chosen["bits"] - F.col("event_id") % 9) / 4).cast("int"))
+    digits = F.substring(F.concat(head, F.md5((F.col("event_id") * 31 + F.col("user_id")).cast("string"))), 1, 32)
+    address = F.concat_ws(":", *[F.substring(digits, place, 4) for place in range(1, 33, 4)])
+    return events.select("event_id", address.alias("address")).withColumn("public", urls.is_public_ip(F.col("address")))
 
 
 @query(
@@ -381,44 +406,19 @@ def pdf_names(spark, folder):
     return pages.select("page_id", urls.pdf_filename(F.col("url"), header).alias("filename"), urls.youtube_id(address).alias("video"))
 
 
-@query(
-    "docx_sections",
-    r"""WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '') AS l FROM documents)
-    SELECT doc_id, i - 1 AS ordinal, CASE WHEN i = 1 THEN 'heading' ELSE 'paragraph' END AS kind, l[i] AS text FROM lines, range(1, 100000) AS r(i) WHERE i <= len(l)""",
-)
-def docx_sections(spark, folder):
-    """Every document written as a Word file by tasks and read back by the extractor."""
-    @F.pandas_udf(T.BinaryType())
-    def write(texts: pd.Series) -> pd.Series:
-        def build(body: str) -> bytes:
-            style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
-            lines = [line for line in body.split("\n") if line.strip()]
-            parts = (f"<w:p>{style if number == 0 else ''}<w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for number, line in enumerate(lines))
-            target = io.BytesIO()
-            with zipfile.ZipFile(target, "w") as archive:
-                archive.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{"".join(parts)}</w:body></w:document>')
-            return target.getvalue()
-
-        return texts.map(build)
-
-    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text")
-    files = documents.select(F.col("doc_id").alias("file_id"), F.lit("page.docx").alias("filename"), F.lit("").alias("mime"), write("text").alias("content"))
-    found = chunks.explode_sections(office.extract_files(files), F.col("sections"), ["file_id"])
-    return found.select(F.col("file_id").alias("doc_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "kind", "text")
-
-
 @query(
     "front_matter_round_trip",
-    f"""WITH {WIKI} SELECT id, title, coalesce(deleted_alias, alias) AS alias, array_to_string(tags, ',') AS tags, status, lang, n_chars::VARCHAR AS chars, body FROM wiki""",
+    f"""WITH {WIKI} SELECT w.id, w.title, coalesce(w.deleted_alias, w.alias) AS alias, array_to_string(w.tags, ',') AS tags, w.status, w.lang, w.n_chars::VARCHAR AS chars, w.body, coalesce(p.id, -1) AS parent_id
+    FROM wiki w LEFT JOIN wiki p ON w.parent_id = p.id AND p.deleted_at IS NULL""",
 )
 def front_matter_round_trip(spark, folder):
-    """Pages exported as Markdown with a header and imported again."""
+    """Pages exported as Markdown with a header and imported again, parents by their aliases."""
     pages = wiki(spark, folder).withColumn("alias", F.coalesce("deleted_alias", "alias"))
-    exported = frontmatter.export_pages(pages, with_parents=False)
+    exported = frontmatter.export_pages(pages)
     files = exported.select(F.col("id").alias("no"), "content")
     back = frontmatter.import_pages(files, pages)
     lang = F.get_json_object(F.concat(F.lit('{"v":'), F.col("properties")["lang"], F.lit("}")), "$.v")
-    return back.select(F.col("no").alias("id"), "title", "alias", F.array_join("tags", ",").alias("tags"), "status", lang.alias("lang"), F.col("properties")["chars"].alias("chars"), "body")
+    return back.select(F.col("no").alias("id"), "title", "alias", F.array_join("tags", ",").alias("tags"), "status", lang.alias("lang"), F.col("properties")["chars"].alias("chars"), "body", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
 
 
 @query(

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import sha256_hex
+from ..functions.text import sha256_hex, strip
 from ..operators.filters import active
 from ..operators.tree import breadcrumbs
 
 VERSION_KEY = "archive_version"
-PARSED = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("alias", T.StringType()),
-        T.StructField("tags", T.ArrayType(T.StringType())),
-        T.StructField("status", T.StringType()),
-        T.StructField("parent", T.StringType()),
-        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("error", T.StringType()),
-    ]
-)
 HEADER = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)"
 
 
@@ -94,50 +81,69 @@ def manifest(*files: DataFrame) -> DataFrame:
 
 
 def write_export(folder: str, files: DataFrame, buckets: int = 64) -> None:
-    """Files and manifest as Parquet; a bucket column spreads the files over directories."""
+    """Files and manifest as Parquet; a bucket column spreads the files over directories, one task for each."""
     spread = files.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)))
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/files")
+    spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/files")
     manifest(files).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
-@F.pandas_udf(PARSED)
-def parse_header(headers: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse(header) for header in headers], columns=PARSED.names)
-
-
-def _parse(header: str | None) -> dict:
-    import json
-
-    import yaml
-
-    empty = dict.fromkeys(PARSED.names)
-    if header is None:
-        return {**empty, "error": "Markdown import requires YAML front matter"}
-    try:
-        plain = yaml.load(header, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-    except yaml.YAMLError:
-        return {**empty, "error": "YAML front matter is invalid"}
-    if not isinstance(plain, dict):
-        return {**empty, "error": "front matter must be a mapping"}
-    tags, properties = plain.get("tags", []), plain.get("properties", {})
-    status = plain.get("status", "published")
-    problem = None
-    if plain.get(VERSION_KEY, 1) != 1:
-        problem = "only front matter version 1 is supported"
-    elif not isinstance(plain.get("title"), str) or not plain["title"].strip():
-        problem = "title must be a non-empty string"
-    elif not isinstance(tags, list) or not all(isinstance(tag, str) for tag in tags):
-        problem = "tags must be a string array"
-    elif status not in ("draft", "published", "archived"):
-        problem = "status must be draft, published, or archived"
-    elif not isinstance(properties, dict) or not all(value is None or isinstance(value, (str, int, float, bool)) for value in properties.values()):
-        problem = "properties must be scalars"
-    elif not all(plain.get(name) is None or isinstance(plain[name], str) for name in ("alias", "parent")):
-        problem = "alias and parent must be strings"
-    if problem:
-        return {**empty, "error": problem}
-    values = {str(key): json.dumps(value, ensure_ascii=False) for key, value in properties.items()}
-    return {"title": plain["title"], "alias": plain.get("alias") or None, "tags": tags, "status": status, "parent": plain.get("parent") or None, "properties": values, "error": None}
+# Lines of a header: a key with or without a value, a list item, and an entry of a mapping.
+KEY_LINE, ITEM_LINE, ENTRY_LINE = r"[A-Za-z_]\w*:(?: .*)?", r"  - .*", r'  (?:"(?:[^"\\]|\\.)*"|[\w.-]+): .*'
+
+
+def _text_value(raw: Column) -> Column:
+    """A scalar as text: a JSON string, a quoted or a plain one; null for anything else."""
+    plain = strip(raw)
+    quoted = F.get_json_object(F.concat(F.lit('{"v":'), plain, F.lit("}")), "$.v")
+    return (
+        F.when(plain.rlike(r'^"(?:[^"\\]|\\.)*"$'), quoted)
+        .when(plain.rlike("^'.*'$"), F.replace(F.substring(plain, F.lit(2), F.length(plain) - 2), F.lit("''"), F.lit("'")))
+        .when(~plain.rlike(r"^[\[{>|&*!%@`]") & (plain != ""), plain)
+    )
+
+
+def _json_value(raw: Column) -> Column:
+    """A scalar as JSON: numbers, truth values and null as they are, anything else as a string; null for lists and mappings."""
+    plain = strip(raw)
+    return F.when(plain.rlike(r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"), plain).otherwise(_scalar(_text_value(plain)))
+
+
+def parse_header(header: Column) -> Column:
+    """Fields of a header as the exporter writes it: one line for a key, indented lines for lists and mappings.
+
+    Values are JSON; plain and single-quoted text is understood too. Nested values are refused.
+    """
+    text = F.regexp_replace(header, "\r", "")
+    lines = F.split(text, "\n")
+    present = lambda name: text.rlike(f"(?m)^{name}:")
+    raw = lambda name: F.regexp_extract(text, f"(?m)^{name}: *(.*)$", 1)
+    block = lambda name: F.filter(F.split(F.regexp_extract(text, f"(?m)^{name}: *\\n((?:  .*(?:\\n|\\z))+)", 1), "\n"), lambda line: line != "")
+    value = lambda name: F.when(present(name) & (raw(name) != "null"), _text_value(raw(name)))
+
+    tag_lines, entry_lines = block("tags"), block("properties")
+    inline_tags = F.from_json(raw("tags"), "array<string>")
+    tags = F.when(~present("tags"), F.array().cast("array<string>")).when(raw("tags") == "", F.transform(tag_lines, lambda line: _text_value(F.regexp_replace(line, "^  - ", "")))).otherwise(inline_tags)
+    tags_ok = tags.isNotNull() & ~F.exists(tags, lambda tag: tag.isNull()) & (F.forall(tag_lines, lambda line: line.rlike(f"^{ITEM_LINE}$")))
+    entry = r'^  ("(?:[^"\\]|\\.)*"|[\w.-]+): (.*)$'
+    entries = F.transform(entry_lines, lambda line: F.struct(_text_value(F.regexp_extract(line, entry, 1)).alias("key"), _json_value(F.regexp_extract(line, entry, 2)).alias("value")))
+    entries_ok = (~present("properties") | raw("properties").isin("", "{}")) & F.forall(entry_lines, lambda line: line.rlike(entry)) & ~F.exists(entries, lambda item: item["value"].isNull())
+    status = F.coalesce(value("status"), F.lit("published"))
+    error = (
+        F.when(header.isNull(), "Markdown import requires YAML front matter")
+        .when(~F.get(lines, F.lit(0)).rlike(f"^{KEY_LINE}$"), "front matter must be a mapping")
+        .when(F.exists(lines, lambda line: ~line.rlike(f"^(?:{KEY_LINE}|{ITEM_LINE}|{ENTRY_LINE})$")), "YAML front matter is invalid")
+        .when(present(VERSION_KEY) & (strip(raw(VERSION_KEY)) != "1"), "only front matter version 1 is supported")
+        .when(present("title") & raw("title").rlike(r"^[\[{]"), "YAML front matter is invalid")
+        .when(F.coalesce(strip(value("title")), F.lit("")) == "", "title must be a non-empty string")
+        .when(~tags_ok, "tags must be a string array")
+        .when(~status.isin("draft", "published", "archived"), "status must be draft, published, or archived")
+        .when(~entries_ok, "properties must be scalars")
+    )
+    fields = {
+        "title": value("title"), "alias": F.when(value("alias") != "", value("alias")), "tags": tags, "status": status,
+        "parent": F.when(value("parent") != "", value("parent")), "properties": F.map_from_entries(entries),
+    }
+    return F.struct(*[F.when(error.isNull(), column).alias(name) for name, column in fields.items()], error.alias("error"))
 
 
 def import_pages(files: DataFrame, pages: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import Settings
 from ..operators.chunks import explode_sections
-from ..operators.queues import RetryPolicy, fold
-from ..sources.office import extract_files
+from ..operators.queues import RetryPolicy, current, merge
+from ..sources.files import extract_files
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -21,27 +21,19 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType | str, pa
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def append_log(events: DataFrame, log: str, checkpoint: str):
-    """Copy an event stream into the durable log, exactly once; everything that is there, then stop."""
-    return events.writeStream.format("parquet").option("path", log).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def fold_log(spark: SparkSession, log: str, lease_seconds: int, policy: RetryPolicy) -> DataFrame:
-    """Queue state from the durable log."""
-    return fold(spark.read.parquet(log), lease_seconds, policy)
-
-
 def keep_queue_current(events: DataFrame, folder: str, checkpoint: str, lease_seconds: int, policy: RetryPolicy):
-    """After every micro-batch, append the events and publish the folded queue.
+    """After every micro-batch, merge its events into the state of the batch before and publish the queue.
 
-    Each batch writes to a folder named by its number, so a repeated batch
-    overwrites itself and no event is counted twice.
+    State and queue of a batch lie in folders named by its number, so a repeated
+    batch starts from the same state, overwrites its own folders, and counts no
+    event twice.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
-        log = batch.sparkSession.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log").filter(F.col("batch") <= number)
-        fold(log, lease_seconds, policy).write.mode("overwrite").parquet(f"{folder}/queue/batch={number}")
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{folder}/state/batch={number - 1}") if number else None
+        merge(before, batch).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        current(spark.read.parquet(f"{folder}/state/batch={number}"), lease_seconds, policy).write.mode("overwrite").parquet(f"{folder}/queue/batch={number}")
 
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

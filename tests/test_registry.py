@@ -13,9 +13,12 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = (
     "active_pages latest_version section_facets document_format tokenize lexical_bm25_topk phrase_search search_pages keyword_vote knn_cosine rrf_hybrid evidence_budget html_to_markdown "
     "page_chunks markdown_sections link_state backlinks_count tree_preorder breadcrumbs tag_usage answer_validation topic_parsing queue_fold revision_changes orphan_blobs archive_verify "
-    "alias_assignment create_pages queue_stream_fold ops_statistics"
+    "alias_assignment create_pages queue_incremental_fold ops_statistics"
 ).split()
 
+#: Queries of other packages that SQL cannot express; their own tests compare them with brute force.
+WITHOUT_SQL = {"op1_byte_bpe", "op2_lm_scoring", "op5_language_id", "op7_suffix_dedup", "op9_token_counts", "pipeline"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
@@ -29,7 +32,7 @@ def database():
 
 def test_every_check_belongs_to_a_query():
     queries, oracle = entry_points.queries(), entry_points.oracle_sql()
-    assert set(oracle) <= set(queries) and len(queries) - len(oracle) <= 1
+    assert set(oracle) <= set(queries) and {name for name in queries if name not in oracle} <= WITHOUT_SQL
 
 
 def test_entry(spark):

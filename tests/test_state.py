@@ -56,10 +56,10 @@ def test_create_suffixes_titles_and_refuses_taken_aliases(spark):
 def test_only_real_changes_leave_revisions(spark):
     pages = make(spark, [page(1, "Page", "page", "one", ["a"], properties={"v": "1"}, parent=2), page(2, "Parent", "parent")])
     same = spark.createDataFrame([(1, "one", ["a"])], "id long, body string, tags array<string>")
-    after, revisions = lifecycle.update_pages(pages, same, "cli", NOW)
+    after, revisions, _ = lifecycle.update_pages(pages, same, "cli", NOW)
     assert revisions.count() == 0 and after.filter("updated_at > '2024-02-01'").count() == 0
     change = spark.createDataFrame([(1, "two", ["b"], None, True)], "id long, body string, tags array<string>, parent_id long, set_parent boolean")
-    after, revisions = lifecycle.update_pages(pages, change, "cli", NOW)
+    after, revisions, _ = lifecycle.update_pages(pages, change, "cli", NOW)
     row = revisions.first()
     assert (row["body"], row["tags"], row["parent_id"], row["source"]) == ("one", ["a"], 2, "cli")
     updated = after.filter("id = 1").first()
@@ -71,6 +71,21 @@ def test_only_real_changes_leave_revisions(spark):
     assert restored["alias_taken"] and restored["parent_id"] == 2
 
 
+def test_updates_are_checked(spark):
+    pages = make(spark, [page(1, "A", "a"), page(2, "B", "b", parent=1), page(3, "C", "c", parent=2), page(4, "D", "d"), page(5, "E", "e")])
+    schema = "id long, alias string, title string, tags array<string>, parent_id long, set_parent boolean, suffix_alias boolean"
+    batch = [(1, "moved", None, ["Old", "x"], None, False, None), (2, "a", None, None, None, False, None), (3, "d", None, None, None, False, None), (4, "free", None, None, 77, True, None), (5, "b", None, None, None, False, True)]
+    after, revisions, refused = lifecycle.update_pages(pages, spark.createDataFrame(batch, schema), "cli", NOW, spark.createDataFrame([("old", "topic:new")], "alias string, canonical_tag string"))
+    found = {row["id"]: (row["alias"], row["tags"]) for row in after.collect()}
+    # 1 leaves its alias to 2; 4 is refused and keeps the alias that 3 wants; a number must be free before and after the batch.
+    assert found == {1: ("moved", ["topic:new", "x"]), 2: ("a", []), 3: ("c", []), 4: ("d", []), 5: ("b-2", [])}
+    assert {row["id"]: row["error"] for row in refused.collect()} == {3: "alias already exists", 4: "parent page not found"}
+    circle = [(1, None, None, None, 3, True, None), (5, None, None, None, 5, True, None), (9, None, None, None, None, False, None), (4, None, " ", None, None, False, None)]
+    _, _, refused = lifecycle.update_pages(pages, spark.createDataFrame(circle, schema), "cli", NOW)
+    errors = {row["id"]: row["error"] for row in refused.collect()}
+    assert errors == {1: "parent relationship would create a cycle", 5: "parent relationship would create a cycle", 9: "page not found", 4: "title must have 1 to 200 characters"}
+
+
 def test_trash_cycle(spark):
     pages = make(spark, [page(1, "Disposable", "disposable"), page(2, "Other", "other")])
     chosen = spark.createDataFrame([(1,)], "id long")
@@ -107,6 +122,17 @@ def test_edit_scripts_are_shortest_and_rebuild_both_texts(seed):
         assert sum(kind == "same" for kind, _ in script) == table[-1][-1]
 
 
+def test_a_missing_last_line_break_is_a_change():
+    assert [(r["left"], r["right"], r["left_kind"]) for r in history.side_by_side("a", "a\n")] == [("a", "a", "removed")]
+    assert history.side_by_side("", "") == [] and [r["left_kind"] for r in history.side_by_side("a\nb\n", "a\nb\n")] == ["same", "same"]
+
+
+def test_long_bodies_without_a_common_line():
+    before, after = [f"left {n}\n" for n in range(50_000)], [f"right {n}\n" for n in range(50_000)]
+    script = history.edit_script([*before, "same\n"], [*after, "same\n"])
+    assert len(script) == 100_001 and script[-1] == ("same", "same\n")
+
+
 def test_body_diff_runs_on_rows(spark):
     frame = spark.createDataFrame([(1, "same\nold\n", "same\nnew\nextra\n"), (2, "", ""), (3, None, "x")], "id int, a string, b string")
     rows = history.body_diff(frame, "a", "b", ["id"]).orderBy("id", "line").collect()
