@@ -6,7 +6,10 @@ crosses the end of its row. A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import cache
 
 import numpy as np
@@ -27,6 +30,26 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
+_model: dict = {}
+
+
+def kept_model(key, build):
+    """The model of a worker, built once: workers serve many tasks, and keep the last model they were asked for."""
+    if key not in _model:
+        drop_model()
+        _model[key] = build()
+    return _model[key]
+
+
+def drop_model() -> None:
+    """Give the memory of a model back; operators without one begin with this."""
+    if _model:
+        _model.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of runs of rows with at most `limit` bytes."""
     column = column.cast(pa.large_string()).fill_null("")

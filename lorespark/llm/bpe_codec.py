@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import bounded_batches, text_slices
+from lorespark.llm.arrays import bounded_batches, kept_model, text_slices
 
 #: A vocabulary travels to the executors with the job; a larger file is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -99,7 +98,7 @@ class BytePairCodec:
         known = self.fits.get((left, right))
         if known is None:
             known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            if len(self.fits) < 4 * REMEMBERED_PIECES:
+            if len(self.fits) < 2 * REMEMBERED_PIECES:
                 self.fits[left, right] = known
         return known
 
@@ -153,9 +152,8 @@ class BytePairCodec:
         return self.token_bytes[places]
 
 
-@lru_cache(maxsize=2)
 def _codec(ranks: bytes, pattern: str) -> BytePairCodec:
-    return BytePairCodec(ranks, pattern)
+    return kept_model((ranks, pattern), lambda: BytePairCodec(ranks, pattern))
 
 
 def _encoded(codec: BytePairCodec, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -20,14 +20,13 @@ rows and null ids included; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import SIGNS, bounded_batches, byte_values, class_table, gram_hashes, range_hashes, text_slices, winnowed, word_spans
+from lorespark.llm.arrays import SIGNS, bounded_batches, byte_values, class_table, gram_hashes, kept_model, range_hashes, text_slices, winnowed, word_spans
 from lorespark.session import written
 
 WINDOW = 10
@@ -131,9 +130,8 @@ def mark_slice(block: BenchmarkBlock, data: np.ndarray, offsets: np.ndarray) ->
     return np.diff(bounds), texts, first - bounds[texts], after - bounds[texts], np.unique(np.concatenate(pairs))
 
 
-@lru_cache(maxsize=2)
 def _block(texts: tuple[str, ...]) -> BenchmarkBlock:
-    return BenchmarkBlock(list(texts))
+    return kept_model(texts, lambda: BenchmarkBlock(list(texts)))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:

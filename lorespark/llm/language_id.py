@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import bounded_batches, mix, text_slices
+from lorespark.llm.arrays import bounded_batches, drop_model, mix, text_slices
 
 BUCKET_BITS = 15
 MAX_LANGUAGES = 500
@@ -80,6 +80,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     sampled = rows.filter(chance < F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col(lang_col)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         counts = np.zeros(len(languages) * buckets, np.int64)
         documents = np.zeros(len(languages), np.int64)
         for batch in batches:

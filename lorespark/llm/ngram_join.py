@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, mix, range_hashes, text_slices, word_spans
+from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, drop_model, mix, range_hashes, text_slices, word_spans
 from lorespark.llm.lookup import components, id_bitmap, key_bitmap, marked, row_filter, rows_without, with_place
 from lorespark.session import cut_lineage, written
 
@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, size: int, counter_bits: int) -> DataFrame:
     """Rows of documents (id, n, cls, bits) and of counters (cls = counter, n = tokens, id and bits null, is_counter)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         counters = np.zeros(1 << counter_bits, np.int64)
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(1)):
@@ -134,6 +135,7 @@ def prefix_tokens(docs: DataFrame, others: np.ndarray, size: int, percent: int)
     shipped = docs.sparkSession.sparkContext.broadcast(others)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(1)):
                 found = [chosen_prefix(own, shipped.value, percent)[0] for own in shingle_sets(data, offsets, size) if len(own)]
@@ -148,6 +150,7 @@ def prefixes(docs: DataFrame, others: np.ndarray, often: np.ndarray, size: int,
     shipped = docs.sparkSession.sparkContext.broadcast((others, often))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         estimate, bitmap = shipped.value
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(1)):
@@ -186,6 +189,7 @@ def not_disproved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 def _tested(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
             differ = np.array([differing_bits(one.as_py(), other.as_py()) for one, other in zip(batch.column(6), batch.column(7))], np.int64)
@@ -202,6 +206,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     needed_rows = row_filter(docs, id_bitmap(needed, "_id"), True)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in needed_rows(batches):
             for first, data, offsets in text_slices(batch.column(1)):
                 digests, sizes = [], []

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, gram_hashes, mix, range_hashes, text_slices, window_anchors, word_spans
+from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, drop_model, gram_hashes, mix, range_hashes, text_slices, window_anchors, word_spans
 from lorespark.llm.lookup import filter_rows, id_bitmap, key_bitmap, marked, row_filter, with_place
 from lorespark.session import cut_lineage, written
 
@@ -110,6 +110,7 @@ def _scan(docs: DataFrame, units: Units, window: Window, rows: Callable, schema:
     """`rows(batch columns of the slice's texts, data, unit starts, unit ends, bounds, runs)` for all slices with windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(2)):
                 values, bounds, starts, ends = units.split(data, offsets)

@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import bounded_batches, text_slices
+from lorespark.llm.arrays import bounded_batches, kept_model, text_slices
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose counts a worker remembers.
@@ -151,9 +150,8 @@ class MergeCounter:
         return sums[bounds[1:]] - sums[bounds[:-1]] + np.array(special, np.int64)
 
 
-@lru_cache(maxsize=2)
 def _counter(content: str) -> MergeCounter:
-    return MergeCounter(content)
+    return kept_model(content, lambda: MergeCounter(content))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
