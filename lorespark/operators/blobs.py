@@ -72,6 +72,13 @@ def audit(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def queue_counts(queues: dict[str, DataFrame], now: str) -> DataFrame:
+    """(name, state, value): jobs of every queue that wait, work, or wait for a later time."""
+    moment = F.lit(now).cast("timestamp_ntz")
+    state = F.when(F.col("lease_until") >= moment, "working").when(F.col("available_at") > moment, "later").otherwise("waiting")
+    return reduce(DataFrame.unionByName, [queue.groupBy(state.alias("state")).agg(F.count("*").alias("value")).select(F.lit(name).alias("name"), "state", "value") for name, queue in queues.items()])
+
+
 def statistics(counted: dict[str, DataFrame], blobs: DataFrame) -> DataFrame:
     """(name, value): row counts of named frames, and number and bytes of blobs."""
     rows = [frame.agg(F.count("*").alias("value")).select(F.lit(name).alias("name"), "value") for name, frame in counted.items()]

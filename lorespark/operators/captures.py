@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..model import RequestError
-from .scale import latest_per
+from .queues import request
+from .scale import latest_per, number_within
 
 
 def visible(captures: DataFrame, transcriptions: DataFrame) -> DataFrame:
@@ -56,6 +58,47 @@ def detect_changes(results: DataFrame, snapshots: DataFrame, assets: DataFrame,
     return joined.withColumn("outcome", outcome).drop("_snapshot", "_hash", "_captured", "_before", "_now")
 
 
+def fetch_jobs(jobs: DataFrame, captures: DataFrame, pages: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Jobs (web_capture_id, ...) of captures on live pages with address, validators and the newest snapshot."""
+    live = pages.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("page_id"), F.col("title").alias("page_title"))
+    known = fetch_conditions(captures, snapshots).join(live, "page_id").withColumnRenamed("id", "web_capture_id")
+    newest = latest_snapshots(snapshots).select("web_capture_id", F.col("id").alias("snapshot_id"))
+    return jobs.join(known, "web_capture_id").join(newest, "web_capture_id", "left")
+
+
+def snapshot_list(snapshots: DataFrame, web_capture_id: int) -> DataFrame:
+    """Snapshots of one capture, newest first."""
+    return snapshots.filter(F.col("web_capture_id") == web_capture_id).orderBy(F.desc("id"))
+
+
+def asset_by_hash(assets: DataFrame, snapshots: DataFrame, captures: DataFrame, pages: DataFrame, sha256: str) -> DataFrame:
+    """Assets with these bytes on live pages, the lowest id first."""
+    live = pages.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("page_id"))
+    shown = captures.join(live, "page_id", "left_semi").select(F.col("id").alias("web_capture_id"))
+    known = snapshots.join(shown, "web_capture_id", "left_semi").select(F.col("id").alias("snapshot_id"), "web_capture_id")
+    return assets.filter(F.col("blob_sha256") == sha256).join(known, "snapshot_id").orderBy("id")
+
+
+def refresh_now(captures: DataFrame, chosen: DataFrame, now: str) -> dict[str, DataFrame]:
+    """Captures after a refresh of the chosen ones (id), their jobs, and those that are on their way already."""
+    marked = captures.join(chosen.select("id", F.lit(True).alias("_chosen")).distinct(), "id", "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(False)))
+    free = F.col("_chosen") & can_refresh(F.col("status"))
+    after = marked.select(*[F.when(free, F.lit("queued")).otherwise(F.col("status")).alias("status") if name == "status" else F.col(name) for name in captures.columns])
+    return {"captures": after, "jobs": request(marked.filter(free), now), "refused": marked.filter(F.col("_chosen") & ~can_refresh(F.col("status"))).select("id")}
+
+
+def create_research(requests: DataFrame, first_id: int, now: str) -> tuple[DataFrame, DataFrame]:
+    """Research rows for requests (no, query, max_sources), and the refused ones."""
+    text = strip(F.col("query"))
+    error = F.when(~F.length(text).between(1, 4000) | text.isNull(), "research query must contain between 1 and 4000 characters").when(
+        ~F.col("max_sources").between(1, 100) | F.col("max_sources").isNull(), "maxSources must be between 1 and 100"
+    )
+    checked = requests.withColumns({"query": text, "error": error})
+    good = number_within(checked.filter(F.col("error").isNull()).withColumn("_all", F.lit(1)), "_all", "no", name="_position")
+    rows = good.select((F.lit(first_id) + F.col("_position") - 1).alias("id"), "query", "max_sources", F.lit("queued").alias("status"), F.lit(now).cast("timestamp_ntz").alias("created_at"))
+    return rows, checked.filter(F.col("error").isNotNull()).select("no", "error")
+
+
 def can_refresh(status: Column) -> Column:
     return ~status.isin("queued", "fetching", "transcribing")
 

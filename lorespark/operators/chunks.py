@@ -113,6 +113,28 @@ def stale_pages(pages: DataFrame, index_state: DataFrame) -> DataFrame:
     return hashed.join(state, ["id", "content_hash"], "left_anti")
 
 
+def document_hashes(versions: DataFrame, sections: DataFrame) -> DataFrame:
+    """(document_id, version_id, content_hash): hash of everything that a version's section chunks are made of.
+
+    Sections are hashed one by one, so only digests of a version come together.
+    """
+    one = sections.select("version_id", "ordinal", sha256_hex(F.to_json(F.struct("section_id", "kind", "locator", "text", "hidden"))).alias("digest"))
+    listed = one.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "digest"))).alias("parts"))
+    joined = versions.select(F.col("id").alias("version_id"), "document_id", "sha256").join(listed, "version_id", "left")
+    parts = F.coalesce(F.array_join(F.transform("parts", lambda part: part["digest"]), ","), F.lit(""))
+    return joined.select("document_id", "version_id", sha256_hex(F.concat_ws("|", F.col("version_id").cast("string"), "sha256", parts)).alias("content_hash"))
+
+
+def stale_documents(hashes: DataFrame, index_state: DataFrame) -> DataFrame:
+    """Documents whose indexed hash is missing or differs."""
+    return hashes.join(index_state.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti")
+
+
+def vanished(index_rows: DataFrame, key: str, entities: DataFrame) -> DataFrame:
+    """Index rows whose entity is not there any more (`entities` has the same key): to be taken out of the index."""
+    return index_rows.join(entities.select(key), key, "left_anti")
+
+
 def plain_parts(text: Column) -> Column:
     """Sections of a plain text: array of (kind, title, locator, text, hidden, needs_ocr)."""
     clean = strip(F.regexp_replace(text, r"\r\n?", "\n"))

@@ -110,6 +110,12 @@ def tagging_targets(documents: DataFrame, versions: DataFrame, pages: DataFrame)
     return current_versions(versions.join(ready, "document_id", "left_semi")).select("document_id", "version")
 
 
+def document_of_page(documents: DataFrame, pages: DataFrame, page_id: int) -> DataFrame:
+    """The document that owns a live page, if any."""
+    live = active(pages).filter(F.col("id") == page_id).select(F.col("id").alias("page_id"))
+    return documents.filter(F.col("page_id") == page_id).join(live, "page_id", "left_semi")
+
+
 def hydrate_documents(documents: DataFrame, versions: DataFrame) -> DataFrame:
     """Documents with their latest version, most recently changed first."""
     latest = current_versions(versions).select(F.col("document_id").alias("id"), F.col("version"), F.col("sha256"), F.col("status").alias("version_status"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("reading", "search", "texts", "structure", "answers", "state")
+MODULES = ("reading", "search", "texts", "structure", "answers", "state", "records")
 
 
 def _collect(attribute: str) -> dict:
