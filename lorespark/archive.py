@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import SectionFilters, Settings
-from .operators import blobs, chunks, evidence, filters, graph, history, hybrid, lexical, paging, taxonomy, tree, vectors
+from .operators import answering, blobs, chunks, filters, graph, history, hybrid, lexical, paging, taxonomy, tree, vectors
 from .sources import tables
 
 
@@ -84,18 +84,13 @@ class Archive:
         rows, following = hybrid.take_hits(hits, cursor, limit, mode, query=query, tags=chosen, status=status, properties=properties or {}, facets=facets)
         return {"hits": rows, "next_cursor": following, "mode": mode, "warning": warning}
 
-    def evidence_for(self, question: str, vector: list[float] | None = None, status: str = "published") -> DataFrame:
-        """Numbered page evidence for a question: the whole question first, else its keywords one by one."""
-        limit = self.settings.max_evidence_items
-        live = filters.with_status(filters.active(self.pages), status)
-        found = lexical.rank_pages(self.pages, question, (), status, None, limit)
-        ranked = hybrid.with_rank(found, *lexical.page_order(question)).select("id", "rank")
-        if not ranked.limit(1).count():
-            index = lexical.PostingsIndex.build(lexical.page_index_rows(live), lexical.PAGE_TEXTS)
-            asked = self.pages.sparkSession.createDataFrame([(1, question)], "question long, text string")
-            ranked = lexical.keyword_vote(index, asked, "question", "text", limit).select("id", "rank")
-        hits = live.join(F.broadcast(ranked.limit(limit)), "id").select(F.lit(question).alias("question"), "rank", "id", "title", "alias", "body")
-        return evidence.build_evidence(hits, "question", "rank", "body", limit, self.settings.max_evidence_chars, self.settings.max_prompt_chars)
+    def evidence_for(self, question: str, tags=(), status: str = "published", properties: dict | None = None, facets: SectionFilters = SectionFilters(), vector: list[float] | None = None) -> DataFrame:
+        """Numbered evidence for a question from pages and sections: the whole question first, else its keywords one by one."""
+        if vector is not None:
+            vector = vectors.check_query_vector(vector, self.settings.embedding_dimensions)
+        searchable, limit = self.searchable, self.settings.max_evidence_items
+        hits, _, _ = answering.retrieve(self.pages, searchable, question, self.resolve(tags), status, properties, facets, limit, vector, self.page_chunks, self.section_chunks)
+        return answering.evidence(hits, self.pages, searchable, limit, self.settings.max_evidence_chars, self.settings.max_prompt_chars)
 
     def tree(self, status: str = "published") -> DataFrame:
         return tree.tree(self.pages, status)

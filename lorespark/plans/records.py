@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import cursors, html, text
 from ..model import RequestError, SectionFilters
-from ..operators import attachments, blobs, captures, chunks, documents, filters, hybrid, queues
+from ..operators import answering, attachments, blobs, captures, chunks, documents, filters, hybrid, queues
 from ..sources import frontmatter
 from ..sources.tables import read_spread, read_table, upsert
-from .fixtures import WIKI, archive_documents, document_versions, queue_events, sections, text_of_time, wiki
+from .fixtures import SECTIONS, WIKI, archive_documents, document_versions, queue_events, sections, text_of_time, wiki
 from .reading import searchable
 from .search import RRF, two_rankings
 from .state import CAPTURES, JOB_BACKOFF, NOW, capture_rows, fold_sql
@@ -354,3 +354,37 @@ def cursor_pages(spark, folder):
     mark = cursors.fingerprint(mode="lexical", query="price")
     offset = cursors.decode_hybrid(cursors.encode_hybrid(25, mark), mark)
     return orders.offset(offset).limit(cursors.strict_limit(10))
+
+
+QUESTION = "Wie viel zzqq tion ment?"
+VOTES = ", ".join(
+    f"""k{number} AS (SELECT hit, page_id, {number} AS keyword_no, row_number() OVER (ORDER BY round(score, 12) DESC, hit) AS rank FROM (
+      WITH {two_rankings(word)}, lists AS (SELECT * FROM plist UNION ALL SELECT * FROM llist), {RRF} SELECT hit, page_id, score FROM shown))"""
+    for number, word in enumerate(("wie", "viel", "zzqq", "tion", "ment"))
+)
+VOTES += """, found AS (SELECT * FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4) WHERE rank <= 4),
+    votes AS (SELECT hit, page_id, row_number() OVER (ORDER BY count(*) DESC, min(rank), min(keyword_no * 1000 + rank)) AS rank FROM found GROUP BY hit, page_id)"""
+
+
+def asked(spark, folder):
+    return answering.retrieve(wiki(spark, folder), searchable(spark, folder), QUESTION)
+
+
+@query("question_hits", f"WITH {VOTES} SELECT hit, page_id, rank, 'keywords' AS mode FROM votes WHERE rank <= 4")
+def question_hits(spark, folder):
+    """A question whose words never stand together: its keywords vote over pages and sections."""
+    hits, mode, _ = asked(spark, folder)
+    return hits.select("hit", "page_id", F.col("rank").cast("bigint").alias("rank"), F.lit(mode).alias("mode"))
+
+
+@query(
+    "question_evidence",
+    f"""WITH {VOTES}, {WIKI}, {SECTIONS}, texts AS (SELECT 'p:' || id AS hit, 'page' AS source, title, alias AS locator, '/wiki/' || alias AS url, body AS content FROM wiki WHERE deleted_at IS NULL
+      UNION ALL SELECT 'd:' || section_id, 'document', filename, label, '/documents/' || document_id || '/content?offset=' || (ordinal // 50) * 50 || '#section-' || ordinal, text FROM searchable)
+    SELECT 'E' || v.rank AS evidence_id, t.source, t.title, t.locator, t.url, substr(t.content, 1, 3500) AS content FROM votes v JOIN texts t USING (hit) WHERE v.rank <= 4""",
+)
+def question_evidence(spark, folder):
+    """The same hits as numbered evidence with locators and addresses."""
+    hits, _, _ = asked(spark, folder)
+    rows = answering.evidence(hits, wiki(spark, folder), searchable(spark, folder))
+    return rows.select("evidence_id", "source", "title", "locator", "url", "content")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.model import PAGES, RequestError, SectionFilters
-from lorespark.operators import filters, hybrid, lexical, vectors
+from lorespark.operators import answering, filters, hybrid, lexical, vectors
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -24,29 +24,29 @@ def ids(frame):
 
 
 @pytest.fixture(scope="module")
-def library(spark):
+def shelf(spark):
+    """Four pages about boats; one a draft, one in the trash."""
     return make(
         spark,
         [
-            page(1, "Bun Installation", "Install the runtime quickly.", ["developer"], alias="setup-guide"),
-            page(2, "Cooking", "A different guide.", ["home"]),
-            page(3, "Draft", "property needle runtime", status="draft", properties={"owner": '"team"', "priority": "2"}),
-            page(4, "Gone", "runtime", deleted=True),
+            page(11, "Sail Mending", "Stitch the canvas twice.", ["craft", "boats"], alias="needle-work"),
+            page(12, "Knots", "A bowline holds the canvas.", ["boats"]),
+            page(13, "Varnish", "three coats on canvas", status="draft", properties={"grade": '"marine"', "coats": "3"}),
+            page(14, "Anchor", "canvas", deleted=True),
         ],
     )
 
 
-def test_searches_title_alias_body_and_tags(library):
-    assert ids(lexical.search_pages(library, "installation")) == [1]
-    assert ids(lexical.search_pages(library, "setup")) == [1]
-    assert ids(lexical.search_pages(library, "runtime", ["developer"])) == [1]
-    assert ids(lexical.search_pages(library, "", ["developer"])) == [1]
-    assert ids(lexical.search_pages(library, "runtime", ["home"])) == []
-    assert ids(lexical.search_pages(library, "needle")) == []
-    assert ids(lexical.search_pages(library, "needle", status="draft", properties={"owner": "team"})) == [3]
-    assert ids(lexical.search_pages(library, "priority", status="all")) == [3]
-    assert ids(lexical.search_pages(library, "needle", status="draft", properties={"priority": "2"})) == []
-    assert ids(lexical.search_pages(library, "%%% guide")) == []
+@pytest.mark.parametrize(
+    ("query", "more", "expected"),
+    [
+        ("mending", {}, [11]), ("need", {}, [11]), ("canvas", {}, [12, 11]), ("canvas", {"tags": ["craft"]}, [11]), ("", {"tags": ["craft"]}, [11]), ("bowline", {"tags": ["craft"]}, []), ("craft", {}, [11]),
+        ("coats", {}, []), ("coats", {"status": "draft"}, [13]), ("marine", {"status": "all"}, [13]), ("canvas", {"status": "draft", "properties": {"grade": "marine"}}, [13]), ("canvas", {"status": "draft", "properties": {"coats": "3"}}, []),
+        ("canvas", {"status": "draft", "properties": {"coats": 3}}, [13]), ("?! canvas", {}, []),
+    ],
+)
+def test_every_text_and_filter_of_a_page_counts(shelf, query, more, expected):
+    assert ids(lexical.search_pages(shelf, query, **more)) == expected
 
 
 WORDS = ["alpha", "alphabet", "beta", "naïve", "naive", "gamma", "e-mail", "x²", "GAMMA", "delta_one"]
@@ -76,13 +76,13 @@ def test_index_survives_on_disk(spark, tmp_path):
     assert sorted(row["id"] for row in saved.scores("two").collect()) == [1, 2]
 
 
-def test_question_falls_back_to_keywords(spark):
-    rows = spark.createDataFrame([(1, "The company grants sixteen weeks of paid parental leave after birth or adoption."), (2, "paid work"), (3, "nothing")], "id long, body string")
-    questions = spark.createDataFrame([(7, "How much paid parental leave is available?")], "q long, text string")
+def test_keywords_of_a_question_vote(spark):
+    rows = spark.createDataFrame([(1, "Gulls nest on the northern cliff in spring, and leave it in autumn."), (2, "spring tides"), (3, "nothing of that")], "id long, body string")
+    questions = spark.createDataFrame([(7, "When do the gulls nest? In spring, or is it autumn")], "q long, text string")
     found = lexical.keyword_vote(lexical.PostingsIndex.build(rows, ["body"]), questions, "q", "text", 4).orderBy("rank").collect()
-    assert [(row["id"], row["votes"]) for row in found] == [(1, 3), (2, 1)]
+    assert [(row["id"], row["votes"]) for row in found] == [(1, 4), (2, 1)]
     words = lexical.question_keywords(questions).orderBy("keyword_no").collect()
-    assert [row["keyword"] for row in words] == ["much", "paid", "parental", "leave", "available"]
+    assert [row["keyword"] for row in words] == ["gulls", "nest", "spring", "autumn"]
 
 
 def test_pages_of_results(spark):
@@ -91,53 +91,70 @@ def test_pages_of_results(spark):
     assert ids(lexical.search_pages(pages, "shared", limit=2, offset=2)) == [1]
 
 
-def section_world(spark):
-    pages = make(spark, [page(1, "Work policy", "summary", ["policy"], properties={"owner": '"people"'}), page(2, "Other", "manager")])
-    documents = spark.createDataFrame([(10, 1, "work-policy.txt", "text", "ready", "not_required", T0)], "id long, page_id long, filename string, format string, status string, ocr_status string, updated_at timestamp_ntz")
+def ferry_files(spark):
+    """A timetable file with two versions on the page of a line, and a page that has no file."""
+    pages = make(spark, [page(1, "Blue line", "overview", ["ferry"], properties={"harbour": '"north"'}), page(2, "Crew", "the purser")])
+    documents = spark.createDataFrame([(10, 1, "timetable.txt", "text", "ready", "not_required", T0)], "id long, page_id long, filename string, format string, status string, ocr_status string, updated_at timestamp_ntz")
     versions = spark.createDataFrame([(100, 10, 1), (101, 10, 2)], "id long, document_id long, version int")
     sections = spark.createDataFrame(
-        [(1000, 100, 0, "Old text about manager approval."), (1001, 101, 0, "Remote work requires manager approval for location changes."), (1002, 101, 1, "Office attendance.")],
+        [(1000, 100, 0, "Last winter the purser sold tickets."), (1001, 101, 0, "From May on the purser checks tickets at the gangway."), (1002, 101, 1, "Bicycles travel free.")],
         "section_id long, version_id long, ordinal int, text string",
     ).select("*", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("title"), F.struct(F.lit("Part 1").alias("label")).alias("locator"), F.lit(False).alias("hidden"))
     return pages, filters.searchable_sections(sections, versions, documents, pages)
 
 
 def test_section_search_and_facets(spark):
-    pages, searchable = section_world(spark)
-    found = lexical.search_sections(searchable, "manager approval").collect()
-    assert [(row["section_id"], row["version"], row["filename"]) for row in found] == [(1001, 2, "work-policy.txt")]
-    assert "manager" in found[0]["excerpt"]
-    count = lambda **more: lexical.search_sections(searchable, "manager", SectionFilters(**more), ["policy"], "published", {"owner": "people"}).count()
+    pages, searchable = ferry_files(spark)
+    found = lexical.search_sections(searchable, "purser tickets").collect()
+    assert [(row["section_id"], row["version"], row["filename"]) for row in found] == [(1001, 2, "timetable.txt")]
+    assert "gangway" in found[0]["excerpt"]
+    count = lambda **more: lexical.search_sections(searchable, "purser", SectionFilters(**more), ["ferry"], "published", {"harbour": "north"}).count()
     assert count() == 1 and count(format="text", hidden=False) == 1
     assert count(format="pdf") == 0 and count(updated_after="2999-01-01 00:00:00") == 0 and count(document_ids=(11,)) == 0
 
 
 def test_fusion_drops_the_page_of_a_found_section(spark):
-    pages, searchable = section_world(spark)
-    hits, mode, warning = hybrid.search(pages, searchable, "manager")
+    pages, searchable = ferry_files(spark)
+    hits, mode, warning = hybrid.search(pages, searchable, "purser")
     assert mode == "lexical" and warning is None
     assert [row["hit"] for row in hits.collect()] == ["d:1001", "p:2"]
-    hits, _, _ = hybrid.search(pages, searchable, "policy")
+    hits, _, _ = hybrid.search(pages, searchable, "blue")
     assert [row["hit"] for row in hits.collect()] == ["d:1002", "d:1001"]  # page 1 gives way to its sections
-    only = hybrid.search(pages, searchable, "manager", filters=SectionFilters(format="text"))[0]
+    only = hybrid.search(pages, searchable, "purser", filters=SectionFilters(format="text"))[0]
     assert [row["hit"] for row in only.collect()] == ["d:1001"]
     with pytest.raises(RequestError):
         hybrid.search(pages, searchable, "  ")
 
 
+def test_evidence_from_pages_and_sections(spark):
+    pages, searchable = ferry_files(spark)
+    hits, mode, _ = answering.retrieve(pages, searchable, "Does the purser swim, or are bicycles free?")
+    assert mode == "keywords" and [row["hit"] for row in hits.orderBy("rank").collect()] == ["d:1002", "d:1001", "p:2"]
+    rows = answering.evidence(hits, pages, searchable).orderBy("evidence_id").collect()
+    assert [(row["evidence_id"], row["source"], row["title"], row["locator"], row["url"]) for row in rows] == [
+        ("E1", "document", "timetable.txt", "Part 1", "/documents/10/content?offset=0#section-1"), ("E2", "document", "timetable.txt", "Part 1", "/documents/10/content?offset=0#section-0"), ("E3", "page", "Crew", "crew", "/wiki/crew"),
+    ]
+    only, _, _ = answering.retrieve(pages, searchable, "purser or bicycles?", ["ferry"], filters=SectionFilters(hidden=True))
+    assert only.collect() == []
+    assert answering.retrieve(pages, None, "purser")[0].first()["hit"] == "p:2"
+    assert answering.retrieve(pages, None, "of a")[0].collect() == []
+
+
 def test_hybrid_prefers_the_near_page(spark):
-    pages = make(spark, [page(1, "Orchard notes", "Apples and pears grow on fruit trees.", ["fruit"]), page(2, "Database notes", "Tables", ["database"])])
-    _, searchable = section_world(spark)
-    searchable = searchable.filter("false")
-    chunks = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0]), (2, 2, [0.0, 1.0, 0.0]), (3, 1, [0.9, 0.1, 0.0]), (4, 1, None), (5, 1, [1.0])], "chunk_id long, page_id long, embedding array<float>")
+    pages = make(spark, [page(1, "Tide mill", "Water turns the wheel at ebb.", ["mill"]), page(2, "Wind pump", "Sails lift water", ["pump"])])
+    searchable = ferry_files(spark)[1].filter("false")
+    chunks = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0], "m"), (2, 2, [0.0, 1.0, 0.0], "m"), (3, 1, [0.9, 0.1, 0.0], "m"), (4, 1, None, "m"), (5, 1, [1.0], "m"), (6, 2, [1.0, 0.0, 0.0], "old")], "chunk_id long, page_id long, embedding array<float>, model string")
     none = spark.createDataFrame([], "chunk_id long, section_id long, embedding array<float>")
-    hits, mode, _ = hybrid.search(pages, searchable, "fresh apple harvest", vector=[1.0, 0.0, 0.0], page_chunks=chunks, section_chunks=none)
+    now = chunks.filter("model = 'm'").drop("model")
+    hits, mode, _ = hybrid.search(pages, searchable, "grinding grain", vector=[1.0, 0.0, 0.0], page_chunks=now, section_chunks=none)
     rows = hits.collect()
     assert mode == "hybrid" and rows[0]["hit"] == "p:1"
     assert rows[0]["score"] == pytest.approx(1 / 61 + 1 / 62) and rows[1]["score"] == pytest.approx(1 / 63)
-    filtered = hybrid.search(pages, searchable, "apple", ["database"], vector=[1.0, 0.0, 0.0], page_chunks=chunks, section_chunks=none)[0].collect()
+    filtered = hybrid.search(pages, searchable, "grain", ["pump"], vector=[1.0, 0.0, 0.0], page_chunks=now, section_chunks=none)[0].collect()
     assert [(row["hit"], round(row["score"], 9)) for row in filtered] == [("p:2", round(1 / 63, 9))]  # ranks keep their gaps
-    assert hybrid.search(pages, searchable, "apple", vector=[1.0, 0.0, 0.0])[2].startswith("Semantic index")
+    assert hybrid.search(pages, searchable, "grain", vector=[1.0, 0.0, 0.0])[2].startswith("Semantic index")
+    near = vectors.page_neighbours(chunks, pages, [1.0, 0.0, 0.0], model="m")
+    assert [row["chunk_id"] for row in near.orderBy("rank").collect()] == [1, 3, 2]
 
 
 def test_sections_count_once(spark):

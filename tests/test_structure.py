@@ -22,28 +22,28 @@ def test_navigation(spark):
     pages = make(
         spark,
         [
-            page(1, "Root", "[[active-target]] [[deleted-target]] [[missing-target]]", ["shared", "root"]),
-            page(2, "Child", parent=1),
-            page(3, "Active Target", tags=["shared", "root"]),
-            page(4, "Deleted Target", deleted=T0),
-            page(5, "Less Related", tags=["shared"]),
+            page(1, "Chart", "Follow [[north-pier]], then [[Old-Light|the light]], then [[sandbank]].", ["sea", "map"]),
+            page(2, "Legend", parent=1),
+            page(3, "North Pier", tags=["sea", "map"]),
+            page(4, "Old Light", deleted=T0),
+            page(5, "Kelp", tags=["sea"]),
         ],
     )
     links = graph.link_rows(pages)
     assert [row["id"] for row in graph.children(pages, 1).collect()] == [2]
     assert [(row["id"], row["title"], row["alias"], row["state"]) for row in graph.outgoing_links(links, pages, 1).collect()] == [
-        (3, "Active Target", "active-target", "active"), (4, "Deleted Target", "deleted-target", "deleted"), (None, None, "missing-target", "missing"),
+        (3, "North Pier", "north-pier", "active"), (4, "Old Light", "old-light", "deleted"), (None, None, "sandbank", "missing"),
     ]
     found = graph.related(pages, 1).collect()
-    assert [row["id"] for row in found] == [3, 5] and found[0]["shared_tags"] == ["root", "shared"]
+    assert [row["id"] for row in found] == [3, 5] and found[0]["shared_tags"] == ["map", "sea"]
     edges = graph.related_by_edges(filters.tag_rows(pages), pages, 1).collect()
-    assert [row["id"] for row in edges] == [3, 5] and edges[0]["shared_tags"] == ["root", "shared"]
+    assert [row["id"] for row in edges] == [3, 5] and edges[0]["shared_tags"] == ["map", "sea"]
     overview = graph.explore(links, pages)
     top = overview["most_linked"].first()
     assert (top["id"], top["incoming_links"]) == (3, 1)
     free = [row["id"] for row in overview["unconnected"].collect()]
     assert 1 in free and 3 not in free
-    assert [(row["page_id"], row["source_alias"]) for row in graph.backlinks(links, pages).collect()] == [(3, "root")]
+    assert [(row["page_id"], row["source_alias"]) for row in graph.backlinks(links, pages).collect()] == [(3, "chart")]
 
 
 def test_newest_deleted_page_answers_for_an_alias(spark):
@@ -88,31 +88,31 @@ def test_deep_chain_and_circles(spark):
 
 
 def test_tag_aliases_merge(spark):
-    pages = make(spark, [page(1, "AI", tags=["ia"]), page(2, "Both", tags=["ia", "topic:artificial-intelligence"])])
+    pages = make(spark, [page(1, "Eel", tags=["fisch"]), page(2, "Cod", tags=["fisch", "topic:fish"])])
     rows = filters.tag_rows(pages)
     none = spark.createDataFrame([], "tag string, kind string, display_name string, description string, created_by string, created_at timestamp_ntz")
-    aliases = spark.createDataFrame([("old", "ia"), ("taken", "other")], "alias string, canonical_tag string")
-    proposed = spark.createDataFrame([("topic:artificial-intelligence", "topic", " Artificial intelligence ", None, ["IA", "inteligencia-artificial"], "human"), ("topic:x", "topic", "", None, ["taken"], "human")], "tag string, kind string, display_name string, description string, aliases array<string>, created_by string")
+    aliases = spark.createDataFrame([("fishes", "fisch"), ("owned", "other")], "alias string, canonical_tag string")
+    proposed = spark.createDataFrame([("topic:fish", "topic", " Fish ", None, ["FISCH", "pez"], "human"), ("topic:x", "topic", "", None, ["owned"], "human")], "tag string, kind string, display_name string, description string, aliases array<string>, created_by string")
     result = taxonomy.define_tags(none, aliases, rows, proposed, "2024-01-01 00:00:00")
-    assert sorted((row["page_id"], row["tag"]) for row in result["page_tags"].collect()) == [(1, "topic:artificial-intelligence"), (2, "topic:artificial-intelligence")]
+    assert sorted((row["page_id"], row["tag"]) for row in result["page_tags"].collect()) == [(1, "topic:fish"), (2, "topic:fish")]
     assert [row["tag"] for row in result["refused"].collect()] == ["topic:x"]
     names = sorted((row["alias"], row["canonical_tag"]) for row in result["aliases"].collect())
-    assert names == [("ia", "topic:artificial-intelligence"), ("inteligencia-artificial", "topic:artificial-intelligence"), ("old", "topic:artificial-intelligence"), ("taken", "other")]
+    assert names == [("fisch", "topic:fish"), ("fishes", "topic:fish"), ("owned", "other"), ("pez", "topic:fish")]
     used = taxonomy.definition_usage(result["definitions"], result["page_tags"], result["aliases"]).first()
-    assert used["usage_count"] == 2 and used["aliases"] == ["ia", "inteligencia-artificial", "old"] and used["display_name"] == "Artificial intelligence"
+    assert used["usage_count"] == 2 and used["aliases"] == ["fisch", "fishes", "pez"] and used["display_name"] == "Fish"
     assert sorted(row["page_id"] for row in result["reindex"].collect()) == [1, 2]
-    assert taxonomy.resolve_tags(["OLD", "new"], result["aliases"]) == ["new", "topic:artificial-intelligence"]
+    assert taxonomy.resolve_tags(["FISHES", "new"], result["aliases"]) == ["new", "topic:fish"]
 
 
 def test_topics_from_a_reply(spark):
-    reply = '<think>Reason about the {document}.</think>\nHere is the classification:\n```json\n{"topics":[{"tag":"topic:artificial-intelligence","displayName":"Artificial intelligence","confidence":0.98},{"tag":"topic:llm-inference","displayName":"LLM  inference","confidence":0.88},{"tag":"topic:incidental","displayName":"Incidental","confidence":0.2}]}\n```'
-    odd = '{"topics":[{"tag":5,"displayName":"x","confidence":0.9},{"tag":"Ünïcode  Tag","displayName":" ","confidence":1},{"tag":"b","displayName":"b","confidence":"0.9"},{"tag":"late","displayName":"late","confidence":0.9}]}'
+    reply = '<think>{boats} or fish?</think>Result:\n```json\n{"topics":[{"tag":"boats","displayName":"Boats  and ships","confidence":0.7},{"tag":"topic:fish","displayName":"Fish","confidence":0.9},{"tag":"topic:rope","displayName":"Rope","confidence":0.3}]}\n```'
+    odd = '{"topics":[{"tag":7,"displayName":"n","confidence":0.9},{"tag":"Über  Öl","displayName":" ","confidence":1},{"tag":"b","displayName":"b","confidence":"0.9"},{"tag":"late","displayName":"late","confidence":0.9}]}'
     frame = spark.createDataFrame([(1, reply), (2, odd), (3, '{"topics": {}}'), (4, "{"), (5, "[1]"), (6, '{"topics": []}')], "id int, reply string")
     rows = {row["id"]: row for row in taxonomy.parse_topics(frame, "reply", ["id"]).collect()}
-    assert [(item["tag"], item["display_name"], item["confidence"]) for item in rows[1]["topics"]] == [("topic:artificial-intelligence", "Artificial intelligence", 0.98), ("topic:llm-inference", "LLM inference", 0.88)]
-    assert [(item["tag"], item["display_name"]) for item in rows[2]["topics"]] == [("topic:unicode-tag", "unicode-tag")]
-    assert rows[3]["error"] == "classification response has no topics array" and rows[4]["error"] == "classification response is not valid JSON"
-    assert rows[5]["error"] == "classification response has no topics array" and rows[6]["topics"] == []
+    assert [(item["tag"], item["display_name"], item["confidence"]) for item in rows[1]["topics"]] == [("topic:fish", "Fish", 0.9), ("topic:boats", "Boats and ships", 0.7)]
+    assert [(item["tag"], item["display_name"]) for item in rows[2]["topics"]] == [("topic:uber-ol", "uber-ol")]
+    errors = {number: row["error"] for number, row in rows.items()}
+    assert errors[4] == "classification response is not valid JSON" and errors[3] == errors[5] == "classification response has no topics array" and rows[6]["topics"] == []
 
 
 def test_orphan_topic_is_found_as_a_whole_phrase(spark):
@@ -141,14 +141,13 @@ def test_generated_tags_of_other_pages_stay(spark):
     assert [tuple(r) for r in applied["managed_tags"].collect()] == [(1, ["own", "topic:new"])]
 
 
-def test_human_removal_suppresses_a_generated_tag(spark):
-    make_rows = lambda rows: spark.createDataFrame(rows, "page_id long, tag string")
-    result = taxonomy.reconcile_edits(make_rows([(1, "topic:kubernetes")]), make_rows([]), make_rows([(1, "personal")]), spark.createDataFrame([(1,)], "page_id long"))
-    assert result["generated"].count() == 0 and [tuple(row) for row in result["suppressed"].collect()] == [(1, "topic:kubernetes")]
-    topics = spark.createDataFrame([(1, "topic:kubernetes", 0.99)], "page_id long, tag string, confidence double")
-    aliases = spark.createDataFrame([], "alias string, canonical_tag string")
-    applied = taxonomy.apply_generated_tags(make_rows([(1, "personal"), (1, "source:web")]), result["generated"], result["suppressed"], topics, aliases)
-    assert sorted(row["tag"] for row in applied["page_tags"].collect()) == ["personal", "source:web"]
+def test_a_tag_that_people_took_away_stays_away(spark):
+    rows = lambda values: spark.createDataFrame(values, "page_id long, tag string")
+    edits = taxonomy.reconcile_edits(rows([(4, "topic:fish"), (5, "topic:fish")]), rows([(5, "topic:rope")]), rows([(4, "mine"), (5, "topic:fish"), (5, "topic:rope")]), spark.createDataFrame([(4,), (5,)], "page_id long"))
+    assert [tuple(row) for row in edits["generated"].collect()] == [(5, "topic:fish")] and [tuple(row) for row in edits["suppressed"].collect()] == [(4, "topic:fish")]
+    topics = spark.createDataFrame([(4, "topic:fish", 0.8)], "page_id long, tag string, confidence double")
+    applied = taxonomy.apply_generated_tags(rows([(4, "mine")]), edits["generated"], edits["suppressed"], topics, spark.createDataFrame([], "alias string, canonical_tag string"))
+    assert [row["tag"] for row in applied["page_tags"].filter("page_id = 4").collect()] == ["mine"]
 
 
 def test_keyset_pages(spark):
