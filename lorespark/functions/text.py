@@ -118,7 +118,12 @@ def normalize_alias(alias: Column) -> Column:
 
 
 def is_valid_alias(alias: Column) -> Column:
-    return alias.rlike(ALIAS_PATTERN) & (F.length(alias) <= MAX_ALIAS_CHARS)
+    return is_alias_form(alias) & (F.length(alias) <= MAX_ALIAS_CHARS)
+
+
+def is_alias_form(alias: Column) -> Column:
+    """ALIAS_PATTERN in two flat patterns: its own repetition would run out of stack on a long text."""
+    return alias.rlike("^[a-z0-9-]+$") & ~alias.rlike("^-|--|-$")
 
 
 def check_alias(value: str) -> str:
@@ -167,7 +172,7 @@ def excerpt(body: Column, limit: int = 180) -> Column:
 def wiki_links(body: Column) -> Column:
     """Valid aliases linked from a body, distinct, in order of first appearance."""
     targets = F.regexp_extract_all(body, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(targets, normalize_alias), lambda alias: alias.rlike(ALIAS_PATTERN)))
+    return F.array_distinct(F.filter(F.transform(targets, normalize_alias), is_alias_form))
 
 
 def decode_entities(text: Column) -> Column:

@@ -135,10 +135,10 @@ def queue_events(spark: SparkSession, folder: str) -> DataFrame:
 def link_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Orders and parts as pages, for the link graph of order lines.
 
-    Large parts lie in the trash; parts of size 50 were never written.
+    Large parts lie in the trash.
     """
     moment = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    parts = read_table(spark, folder, "part").filter(F.col("p_size") < 50)
+    parts = read_table(spark, folder, "part")
     gone = F.col("p_size") >= 40
     alias = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
     part_pages = parts.select(
@@ -160,11 +160,10 @@ def link_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as links from an order page to part aliases, each pair once."""
-    lines = read_table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return lines.select(
-        (F.lit(1_000_000_000) + F.col("l_orderkey")).alias("source_page_id"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("target_alias")
-    )
+    """Order lines as links from an order page to part aliases, each pair once; lines of 50 pieces name pages that were never written."""
+    lines = read_table(spark, folder, "lineitem")
+    named = F.concat(F.when(F.col("l_quantity") == 50, F.lit("lost-")).otherwise(F.lit("part-")), F.col("l_partkey").cast("string"))
+    return lines.select((F.lit(1_000_000_000) + F.col("l_orderkey")).alias("source_page_id"), named.alias("target_alias")).distinct()
 
 
 LINKS = """linkpages AS (
@@ -173,9 +172,9 @@ LINKS = """linkpages AS (
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_size) AS updated_at,
     CASE WHEN p_size >= 40 THEN TIMESTAMP '2024-01-01 00:00:00' END AS deleted_at,
     CASE WHEN p_size >= 40 THEN 'part-' || p_partkey END AS deleted_alias
-  FROM part WHERE p_size < 50
+  FROM part
   UNION ALL
   SELECT 1000000000 + o_orderkey, 'Order ' || o_orderkey, 'order-' || o_orderkey, o_orderdate,
     CASE WHEN o_orderstatus = 'P' THEN o_orderdate END, CASE WHEN o_orderstatus = 'P' THEN 'order-' || o_orderkey END
   FROM orders),
-links AS (SELECT DISTINCT 1000000000 + l_orderkey AS source_page_id, 'part-' || l_partkey AS target_alias FROM lineitem)"""
+links AS (SELECT DISTINCT 1000000000 + l_orderkey AS source_page_id, CASE WHEN l_quantity = 50 THEN 'lost-' ELSE 'part-' END || l_partkey AS target_alias FROM lineitem)"""

@@ -147,10 +147,11 @@ def linked_excerpts(spark, folder):
 
 @query(
     "slugify",
-    rf"""WITH {WIKI} SELECT id, CASE WHEN s = '' THEN 'page' ELSE s END AS slug FROM (SELECT id, rtrim(substr(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 180), '-') AS s FROM wiki)""",
+    rf"""SELECT id, CASE WHEN s = '' THEN 'page' ELSE s END AS slug FROM (SELECT id, rtrim(substr(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 180), '-') AS s FROM (SELECT doc_id AS id, text FROM documents))""",
 )
 def slugify(spark, folder):
-    return wiki(spark, folder).select("id", text.slugify(F.col("title")).alias("slug"))
+    """Slugs of whole texts."""
+    return read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("id"), text.slugify(F.col("text")).alias("slug"))
 
 
 @query(
@@ -164,11 +165,13 @@ def normalize_tags(spark, folder):
 
 @query(
     "valid_aliases",
-    rf"""WITH {WIKI} SELECT id, a AS alias, regexp_full_match(a, '[a-z0-9]+(-[a-z0-9]+)*') AS valid FROM (SELECT id, lower(replace(replace(title, ' ', '-'), '.', '')) AS a FROM wiki)""",
+    rf"""SELECT id, md5(a) AS alias, regexp_full_match(a, '[a-z0-9]+(-[a-z0-9]+)*') AND length(a) <= 200 AS valid FROM (SELECT doc_id AS id, lower(trim(replace(replace(replace(replace(text, chr(10), '-'), ' ', '-'), '.', ''), ',', ''))) AS a FROM documents)""",
 )
 def valid_aliases(spark, folder):
-    alias = text.normalize_alias(F.concat(F.lit("\t "), F.translate("title", " .", "-"), F.lit(" \n")))
-    return wiki(spark, folder).select("id", alias.alias("alias")).withColumn("valid", text.is_valid_alias(F.col("alias")))
+    """Whole texts as aliases: words joined by hyphens, without stops."""
+    alias = text.normalize_alias(F.concat(F.lit("\t "), F.translate("text", " \n.,", "--"), F.lit(" \n")))
+    rows = read_spread(spark, folder, "documents", "doc_id").select(F.col("doc_id").alias("id"), alias.alias("alias"))
+    return rows.select("id", F.md5("alias").alias("alias"), text.is_valid_alias(F.col("alias")).alias("valid"))
 
 
 PARAGRAPHS = "spaced AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"

@@ -88,7 +88,7 @@ def write_export(folder: str, files: DataFrame, buckets: int = 64) -> None:
 
 
 # Lines of a header: a key with or without a value, a list item, and an entry of a mapping.
-KEY_LINE, ITEM_LINE, ENTRY_LINE = r"[A-Za-z_]\w*:(?: .*)?", r"  - .*", r'  (?:"(?:[^"\\]|\\.)*"|[\w.-]+): .*'
+KEY_LINE, ITEM_LINE, ENTRY_LINE = r"[A-Za-z_]\w*:(?: .*)?", r"  - .*", r'  (?:"(?:[^"\\]++|\\.)*+"|[\w.-]+): .*'
 
 
 def _text_value(raw: Column) -> Column:
@@ -96,7 +96,7 @@ def _text_value(raw: Column) -> Column:
     plain = strip(raw)
     quoted = F.get_json_object(F.concat(F.lit('{"v":'), plain, F.lit("}")), "$.v")
     return (
-        F.when(plain.rlike(r'^"(?:[^"\\]|\\.)*"$'), quoted)
+        F.when(plain.rlike(r'^"(?:[^"\\]++|\\.)*+"$'), quoted)
         .when(plain.rlike("^'.*'$"), F.replace(F.substring(plain, F.lit(2), F.length(plain) - 2), F.lit("''"), F.lit("'")))
         .when(~plain.rlike(r"^[\[{>|&*!%@`]") & (plain != ""), plain)
     )
@@ -124,7 +124,7 @@ def parse_header(header: Column) -> Column:
     inline_tags = F.from_json(raw("tags"), "array<string>")
     tags = F.when(~present("tags"), F.array().cast("array<string>")).when(raw("tags") == "", F.transform(tag_lines, lambda line: _text_value(F.regexp_replace(line, "^  - ", "")))).otherwise(inline_tags)
     tags_ok = tags.isNotNull() & ~F.exists(tags, lambda tag: tag.isNull()) & (F.forall(tag_lines, lambda line: line.rlike(f"^{ITEM_LINE}$")))
-    entry = r'^  ("(?:[^"\\]|\\.)*"|[\w.-]+): (.*)$'
+    entry = r'^  ("(?:[^"\\]++|\\.)*+"|[\w.-]+): (.*)$'
     entries = F.transform(entry_lines, lambda line: F.struct(_text_value(F.regexp_extract(line, entry, 1)).alias("key"), _json_value(F.regexp_extract(line, entry, 2)).alias("value")))
     entries_ok = (~present("properties") | raw("properties").isin("", "{}")) & F.forall(entry_lines, lambda line: line.rlike(entry)) & ~F.exists(entries, lambda item: item["value"].isNull())
     status = F.coalesce(value("status"), F.lit("published"))
