@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of text that one slice holds; a single longer text is a slice of its own.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 17
 
 _GENERATOR = np.random.default_rng(20240229)
 _BYTE_VALUES = _GENERATOR.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 2) -> None:
     """Bound Arrow batches by bytes, not only by rows: very long texts come in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 _model: dict = {}
@@ -42,12 +42,13 @@ def kept_model(key, build):
 
 
 def drop_model() -> None:
-    """Give the memory of a model back; operators without one begin with this."""
+    """Give the memory of a model and of earlier tasks back to the machine; operators without a model begin with this."""
     if _model:
         _model.clear()
         gc.collect()
-        with suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, mix, range_hashes, text_slices, word_spans
+from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, drop_model, mix, range_hashes, text_slices, word_spans
 from lorespark.session import written
 
 BLOCK_BYTES = 8 << 20
@@ -135,6 +135,7 @@ def pack(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], ["block", "ids", "train", "sizes", "packed"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         rows, size = [], 0
         for batch in batches:
             for key, train, text in zip(*[column.to_pylist() for column in batch.columns]):
@@ -156,6 +157,7 @@ def requests(blocks: DataFrame, shards: int) -> DataFrame:
     edges = shard_edges(shards)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             for row in batch.to_pylist():
                 tokens = tokens_of(*_text_of(row))
@@ -179,6 +181,7 @@ def answers(asked: DataFrame, shards: int) -> DataFrame:
     """(block, shard, counts): counts over all training texts in the order of the request; a row without a block sums up a shard of words."""
 
     def work(table: pa.Table) -> pa.Table:
+        drop_model()
         shard = table.column("shard")[0].as_py()
         hashes = [np.cumsum(unpack_numbers(packed), dtype=np.uint64) for packed in table.column("hashes").to_pylist()]
         different, places = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -250,6 +253,7 @@ def joined(blocks: DataFrame, answered: DataFrame, corpus: Corpus, shards: int)
     both = blocks.withColumns({"shard": F.lit(-1), "counts": F.lit(None).cast("binary")}).unionByName(answered.filter("block is not null").select("block", "shard", "counts"), allowMissingColumns=True)
 
     def work(table: pa.Table) -> pa.Table:
+        drop_model()
         order = np.argsort(table.column("shard").to_numpy())
         shard = table.column("shard").to_numpy()[order]
         row = table.slice(int(order[0]), 1).to_pylist()[0]
@@ -320,6 +324,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     weights = learned_weights(np.stack([cells[f"c{at}"].to_numpy() for at in range(3)]), cells["times"].to_numpy(), corpus)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             for row in batch.to_pylist():
                 counts = counted(row, corpus)

@@ -247,6 +247,7 @@ def matched(segments: DataFrame, units: Units, window: Window, rule: str, matche
         return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], ["id", "th", "start", "end"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         rows: list[tuple] = []
         size, key = 0, None
         for batch in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import repeats
+from lorespark.llm.arrays import drop_model
 from lorespark.llm.repeats import Units, Window
 from lorespark.llm.suffix_dedup import dense
 
@@ -164,6 +165,7 @@ def dedup(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: st
     spans = repeats.repeated_spans(keyed, units, Window(words, words // 5), "earlier_document", earlier_windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         separators = bytes(range(9, 14))
         blanks = bytes.maketrans(separators, b" " * len(separators))
         for batch in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import repeats
+from lorespark.llm.arrays import drop_model
 from lorespark.llm.repeats import Units, Window
 
 
@@ -93,6 +94,7 @@ def dedup(docs: DataFrame, length: int = 200, keep_first: bool = False, id_col:
     spans = repeats.repeated_spans(keyed, Units(words=False), Window(length, length // 5), "earlier" if keep_first else "any", previous_factors)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             sizes, removed, kept = [], [], []
             for text, found in zip(batch.column(2), batch.column(3)):
@@ -121,6 +123,7 @@ def shorten(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[F.col(f"`{name}`").alias(f"_{n}") for n, name in enumerate(docs.columns) if name != text_col]).alias("rest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_model()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for at, found in enumerate(batch.column(4).to_pylist()):
