@@ -86,9 +86,19 @@ def tree(pages: DataFrame, status: str = "published") -> DataFrame:
 
 
 def descendants(pages: DataFrame, page_id: int) -> DataFrame:
-    """Ids of all live pages below one page."""
-    walked = chains(active(pages).select("id", "parent_id"))
-    return walked.filter(F.exists("chain", lambda item: item["id"] == page_id) & (F.col("id") != page_id)).select("id")
+    """Ids of all live pages below one page.
+
+    The frontier grows from the one page, a level in each round, so the rest of
+    the forest is only scanned; pages in a circle are met once.
+    """
+    children = active(pages).select("id", "parent_id").filter(F.col("parent_id").isNotNull())
+    frontier = cut_lineage(children.filter((F.col("parent_id") == page_id) & (F.col("id") != page_id)).select("id"))
+    found = frontier
+    while frontier.limit(1).count():
+        below = children.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").filter(F.col("id") != page_id).select("id")
+        frontier = cut_lineage(below.join(found, "id", "left_anti"))
+        found = cut_lineage(found.unionByName(frontier))
+    return found
 
 
 def parent_candidates(pages: DataFrame, page_id: int | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import os
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,13 @@ def test_lease_timers(spark, tmp_path):
     run()
     rows = sorted((row["entity_id"], row["kind"]) for row in spark.read.parquet(str(tmp_path / "out")).collect())
     assert rows == [(1, "claimed"), (1, "expired"), (2, "claimed"), (2, "done"), (3, "claimed")]
+
+
+def test_written_tables_are_removed(spark):
+    from lorespark import session
+
+    table = session.written(spark.range(3))
+    path = session._written[-1].removeprefix("file:")
+    assert table.count() == 3 and os.path.isdir(path)
+    session.remove_written(spark)
+    assert not os.path.exists(path)
