@@ -32,9 +32,9 @@ from lorespark.llm.arrays import bounded_batches, kept_model, text_slices
 #: A vocabulary travels to the executors with the job; a larger file is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers.
-REMEMBERED_PIECES = 250_000
+REMEMBERED_PIECES = 200_000
 #: Bytes of text that are encoded before the result leaves the worker.
-OUTPUT_BYTES = 4 << 20
+OUTPUT_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -75,7 +75,7 @@ class BytePairCodec:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.shorter_tokens: dict[int, int] = {}
         self.remembered = _Remembered(self)
         top = max(self.tokens) + 1
@@ -95,11 +95,12 @@ class BytePairCodec:
         return [self.ranks[part] for part in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
             known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
             if len(self.fits) < 2 * REMEMBERED_PIECES:
-                self.fits[left, right] = known
+                self.fits[pair] = known
         return known
 
     def shorter(self, token: int) -> int:

@@ -32,9 +32,9 @@ from lorespark.llm.arrays import bounded_batches, kept_model, text_slices
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose counts a worker remembers.
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 250_000
 #: Bytes of text whose pre-tokens are merged together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def read_vocabulary(path: str) -> str:
