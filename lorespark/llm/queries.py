@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe_codec, chat_format, decontamination, language_id, lm_scoring, ngram_join, substring_dedup, suffix_dedup, token_counts, topk_search
+from lorespark.llm import alignment, bpe_codec, chat_format, decontamination, language_id, lm_scoring, ngram_join, quality, substring_dedup, suffix_dedup, token_counts, topk_search, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -161,6 +161,26 @@ FROM w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN (SELECT a, min(b) AS l
 """
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector projected on the eight leading components of all vectors, scaled to variance one."""
+    vectors = table(spark, folder, "embeddings")
+    return whitening.component_rows(vectors, whitening.fit(vectors))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the byte-level and the piece tokens of every document line up, and how common its linked pairs are."""
+    files = alignment.read_tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, folder, "documents"), files)
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of every document, learned from three quarters of the labelled ones."""
+    documents = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(documents, table(spark, folder, "labels"), ~held_out)
+    return quality.above(quality.score(documents, model)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_lm_scoring": op2_lm_scoring,
@@ -172,6 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
+    "op13_quality": op13_quality,
 }
 
 ORACLE: dict[str, str] = {
