@@ -5,7 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,27 +52,83 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-#: Folders that this process has written and not removed yet.
-_written: list[str] = []
+#: Shuffle files go when the action that made them ends, not when the driver collects its garbage.
+_SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders that this process has written, and values it has broadcast, and not removed yet.
+_written: list[str | Broadcast] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For frames that are made and used up inside: nothing reads their shuffle files again."""
+    before = spark.conf.get(_SHUFFLES_END, None)
+    if before is None:  # not known to this version
+        yield
+        return
+    spark.conf.set(_SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLES_END, before)
 
 
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: for frames of which later readers need parts only.
 
-    `remove_written` takes these tables away again.
+    `release` takes one of them away again, `remove_written` all of them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with own_shuffles(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ship(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast that goes with the tables of its scope."""
+    _written.append(spark.sparkContext.broadcast(value))
+    return _written[-1]
+
+
+def release(*things: DataFrame | str | Broadcast) -> None:
+    """Remove tables of `written` (given as such or by their folders) and broadcasts that nothing reads any more."""
+    for thing in things:
+        own = _paths.pop(thing) if isinstance(thing, DataFrame) else thing
+        at = next((at for at, one in enumerate(_written) if one is own or one == own), None)
+        if at is not None:
+            del _written[at]
+            _take_away(own)
+
+
+def _take_away(own: str | Broadcast) -> None:
+    if isinstance(own, str):
+        _remove(SparkSession.active(), own)
+    else:
+        own.destroy()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str | Broadcast]]:
+    """All tables and broadcasts that are made meanwhile, those released again left out."""
+    before, made = {id(one) for one in _written}, []
+    yield made
+    made += [one for one in _written if id(one) not in before]
 
 
 def remove_written(spark: SparkSession) -> None:
-    """Remove the tables of `written` so far: once their results are stored or no longer wanted."""
+    """Remove all of them: once their results are stored or no longer wanted."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _take_away(_written.pop())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -75,4 +136,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    with own_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)
