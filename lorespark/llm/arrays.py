@@ -21,7 +21,6 @@ SLICE_BYTES = 1 << 17
 
 _GENERATOR = np.random.default_rng(20240229)
 _BYTE_VALUES = _GENERATOR.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 2) -> None:
@@ -66,39 +65,69 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     values = values ^ (values >> np.uint64(30))
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    values = values ^ (values >> np.uint64(27))
-    values = values * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(27)
+    values *= np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(31)
+    return values
+
+
+#: A prime, and two of its primitive roots: runs are polynomials at both, which no regular text makes equal.
+_PRIME = np.uint64(2**31 - 1)
+_ROOTS = (1103515245, 48271)
+_LOW, _HIGH = np.uint64(31), np.uint64(33)
+
+
+def _fold(values: np.ndarray) -> np.ndarray:
+    """Make values smaller in place, without a change modulo the prime: below 2**33 + 2**31."""
+    above = values >> _LOW
+    values &= _PRIME
+    values += above
+    return values
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+    """Powers of a root modulo the prime and of its inverse, grown on demand."""
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+    def __init__(self, root: int) -> None:
+        self.root = root
+        self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < size:
-            room = 1 << int(size - 1).bit_length()
-            self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(room - 1, _BASE)]))
-            inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-            self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(room - 1, inverse)]))
+        prime = int(_PRIME)
+        while len(self.up) < size:
+            step = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.root, step, prime)) % _PRIME])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.root, -step, prime)) % _PRIME])
         return self.up, self.down
 
 
 @cache
-def _powers() -> _Powers:
-    return _Powers()
+def _powers(root: int) -> _Powers:
+    return _Powers(root)
+
 
+def range_hashes(values: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice, size: int | None = None) -> np.ndarray:
+    """A hash of each run values[start:end], 62 bits spread over 64; equal runs anywhere have equal hashes.
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run values[start:end]; equal runs anywhere have equal hashes."""
-    up, down = _powers().upto(len(values) + 1)
+    Two polynomials modulo a prime, one of the low and one of the high bits of the
+    values. `size` is the length of all runs where starts and ends are slices.
+    """
+    whole = np.zeros(1, np.uint64)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for root, part in zip(_ROOTS, (values & _PRIME, values >> _HIGH)):
+        up, down = _powers(root).upto(len(values) + 1)
+        part *= up[: len(values)]
+        np.cumsum(_fold(part), out=sums[1:])
+        run = sums[ends] - sums[starts]
+        _fold(_fold(run))
+        run *= down[starts]
+        _fold(_fold(run))
+        run[run >= _PRIME] -= _PRIME
+        whole = whole << _LOW | run
+    hashes = mix(whole)
+    hashes += np.uint64(size) if size is not None else (ends - starts).astype(np.uint64)
+    return mix(hashes)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -110,8 +139,8 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` values."""
     if len(values) < size:
         return np.empty(0, np.uint64)
-    starts = np.arange(len(values) - size + 1)
-    return range_hashes(values, starts, starts + size)
+    count = len(values) - size + 1
+    return range_hashes(values, slice(0, count), slice(size, size + count), size)
 
 
 def class_table(separators: bytes, lower: bool) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SIGNS, bounded_batches, byte_values, class_table, gram_hashes, kept_model, range_hashes, text_slices, winnowed, word_spans
-from lorespark.session import written
+from lorespark.session import ship, written
 
 WINDOW = 10
 GRAM = 5
@@ -168,7 +168,7 @@ def _mark(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, i
     state = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<first:bigint,after:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
     place, width = docs.columns.index(text_col), len(docs.columns)
     for number, rows in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
-        shipped = spark.sparkContext.broadcast((tuple(text for _, text in rows), [None if item is None else str(item) for item, _ in rows]))
+        shipped = ship(spark, (tuple(text for _, text in rows), [None if item is None else str(item) for item, _ in rows]))
 
         def work(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             texts, names = shipped.value

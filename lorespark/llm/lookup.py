@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.session import cut_lineage
+from lorespark.session import own_shuffles, release, ship, written
 
 #: 2 MB to broadcast, whatever the set holds.
 FILTER_BITS = 1 << 24
@@ -25,10 +25,16 @@ FILTER_BITS = 1 << 24
 KEY_BITS = 1 << 26
 
 
+def _words(places: DataFrame) -> pa.Table:
+    """Places of bits as words of 64 bits."""
+    with own_shuffles(places.sparkSession):
+        return places.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+
+
 def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """The bitmap of a set of hashes, put together in Spark."""
     place = keys.select(F.expr(f"{column} & {KEY_BITS - 1}L").alias("place"))
-    words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    words = _words(place)
     bitmap = np.zeros(KEY_BITS // 64, np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bitmap
@@ -47,7 +53,7 @@ def _place(column: Column) -> Column:
 def id_bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
     """The bitmap of a set of ids, put together in Spark."""
     place = ids.filter(F.col(id_col).isNotNull()).select(_place(F.col(id_col)).alias("place"))
-    words = place.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    words = _words(place)
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bitmap
@@ -60,10 +66,10 @@ def with_place(rows: DataFrame, id_col: str) -> DataFrame:
 
 def row_filter(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A step for mapInArrow over `with_place(rows)`; it can be followed by another step in the same worker."""
-    shipped = rows.sparkSession.sparkContext.broadcast(bitmap)
+    held = ship(rows.sparkSession, bitmap)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value.view(np.uint64)
+        bits = held.value.view(np.uint64)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             place = column.fill_null(0).to_numpy(zero_copy_only=False)
@@ -96,17 +102,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels sink along edges; a smaller label also goes to the node that was the
     label so far, and labels of labels are taken over, so long chains shrink by
-    half a round. Each round is checkpointed.
+    half a round. Each round is a written table; only the last one stays.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    held = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("changed", F.lit(True)))
     while True:
+        labels = held.drop("changed")
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         offers = lower.select("node", "new").unionByName(lower.filter("new < label").select(F.col("label").alias("node"), "new")).groupBy("node").agg(F.min("new").alias("new"))
         above = offers.select(F.col("node").alias("new"), F.col("new").alias("above"))
-        after = cut_lineage(labels.join(offers, "node").join(above, "new", "left").select("node", F.coalesce("above", "new").alias("label"), (F.coalesce("above", "new") != F.col("label")).alias("changed")))
-        changed = after.filter("changed").limit(1).count()
-        labels = after.drop("changed")
-        if not changed:
-            return labels
+        after = written(labels.join(offers, "node").join(above, "new", "left").select("node", F.coalesce("above", "new").alias("label"), (F.coalesce("above", "new") != F.col("label")).alias("changed")))
+        release(held)
+        held = after
+        if after.filter("changed").isEmpty():
+            release(both)
+            return after.drop("changed")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, drop_model, mix, range_hashes, text_slices, word_spans
 from lorespark.llm.lookup import components, id_bitmap, key_bitmap, marked, row_filter, rows_without, with_place
-from lorespark.session import cut_lineage, written
+from lorespark.session import recorded, release, ship, written
 
 _TABLE = class_table(SPACED, lower=True)
 COUNTER_BITS = 18
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, size: int, counter_bits: int) -> DataFrame:
 
 def prefix_tokens(docs: DataFrame, others: np.ndarray, size: int, percent: int) -> DataFrame:
     """The prefix tokens of all documents, without anything else."""
-    shipped = docs.sparkSession.sparkContext.broadcast(others)
+    shipped = ship(docs.sparkSession, others)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_model()
@@ -147,7 +147,7 @@ def prefix_tokens(docs: DataFrame, others: np.ndarray, size: int, percent: int)
 
 def prefixes(docs: DataFrame, others: np.ndarray, often: np.ndarray, size: int, percent: int) -> DataFrame:
     """Prefix rows (token, cls, n, need, and the token's place in the ordered set) of all documents, for tokens that the bitmap `often` marks."""
-    shipped = docs.sparkSession.sparkContext.broadcast((others, often))
+    shipped = ship(docs.sparkSession, (others, often))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_model()
@@ -200,7 +200,7 @@ def _tested(percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose texts' shingle sets are as similar as asked; edges a, b."""
-    pairs = cut_lineage(pairs)
+    pairs = written(pairs)
     needed = pairs.select(F.col("rep_a").alias("_id")).unionByName(pairs.select(F.col("rep_b").alias("_id"))).distinct()
     # A document id may come with several texts; the class tells which one is meant.
     needed_rows = row_filter(docs, id_bitmap(needed, "_id"), True)
@@ -249,20 +249,8 @@ def _in_reach(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * {left} >= {percent} * ({a}.n + {b}.n)"
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, counter_bits: int = COUNTER_BITS) -> DataFrame:
-    """`id_col`, `n_shingles` and `component_id` (least id reachable by links of at least `percent` % Jaccard) of every row."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = written(signatures(plain, size, counter_bits))
-    counted = signed.filter("is_counter").groupBy("cls").agg(F.sum("n").alias("n")).toArrow()
-    counters = np.zeros(1 << counter_bits, np.int64)
-    counters[counted["cls"].to_numpy()] = counted["n"].to_numpy()
-    background = counters.mean() + 4 * np.sqrt(counters.mean()) + 1
-    others = np.maximum(counters - background, 0).astype(np.int64)
-    rows = signed.filter("not is_counter")
-    classes = cut_lineage(rows.filter("n > 0 and id is not null").groupBy("n", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("bits").alias("bits")))
-
+def _components(plain: DataFrame, others: np.ndarray, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """node (n, cls) and label of all classes that have a link."""
     # A bitmap of fixed size keeps most tokens that only one row has out of the shuffle.
     often = prefix_tokens(plain, others, size, percent).groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1")
     listed = prefixes(plain, others, key_bitmap(often, "token"), size, percent)
@@ -275,11 +263,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     offered = met.select(F.col("least").alias("x"), member.alias("y")).unionByName(met.select(F.struct("most.at", "most.n", "most.cls", "most.need").alias("x"), member.alias("y")))
     offered = offered.filter(_in_reach("x", "y", percent)).select(F.struct("x.n", "x.cls").alias("x"), F.struct("y.n", "y.cls").alias("y")).filter("x <> y")
     offered = offered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = cut_lineage(verified(not_disproved(offered, classes, percent), plain, size, percent))
+    first = written(verified(not_disproved(offered, classes, percent), plain, size, percent))
     labels = components(first)
 
     own = shared.select("token", node.alias("node"), member.alias("member")).distinct()
-    tagged = cut_lineage(own.join(labels, "node", "left").select("token", "member", F.coalesce("label", "node").alias("label")))
+    tagged = written(own.join(labels, "node", "left").select("token", "member", F.coalesce("label", "node").alias("label")))
     by_label = tagged.groupBy("token", "label").agg(F.count("*").alias("rows"))
     split = by_label.groupBy("token").agg(F.max_by("label", "rows").alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("token", "main")
     open_rows = tagged.join(split, "token")
@@ -289,9 +277,28 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     met = met.groupBy(F.least(*ends_of).alias("a"), F.greatest(*ends_of).alias("b")).agg(F.count("*").alias("matches"), F.min(F.least("x.need", "y.need")).alias("need"))
     candidates = met.filter("matches >= need").select("a", "b").join(offered, ["a", "b"], "left_anti")
     second = verified(not_disproved(candidates, classes, percent), plain, size, percent)
-    labels = components(first.unionByName(second))
+    return components(first.unionByName(second))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, counter_bits: int = COUNTER_BITS) -> DataFrame:
+    """`id_col`, `n_shingles` and `component_id` (least id reachable by links of at least `percent` % Jaccard) of every row."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    signed = written(signatures(plain, size, counter_bits))
+    counted = signed.filter("is_counter").groupBy("cls").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(1 << counter_bits, np.int64)
+    counters[counted["cls"].to_numpy()] = counted["n"].to_numpy()
+    background = counters.mean() + 4 * np.sqrt(counters.mean()) + 1
+    others = np.maximum(counters - background, 0).astype(np.int64)
+    rows = signed.filter("not is_counter")
+    classes = written(rows.filter("n > 0 and id is not null").groupBy("n", "cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("bits").alias("bits")))
+
+    with recorded() as searched:
+        labels = _components(plain, others, classes, size, percent)
+    release(*searched[:-1])  # all but the labels
 
-    reps = classes.select(node.alias("node"), "rep", "rows")
+    reps = classes.select(F.struct("n", "cls").alias("node"), "rep", "rows")
     least = labels.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component"))
     joined = reps.join(labels.join(least, "label").select("node", "component"), "node", "left").filter("rows > 1 or component is not null")
     final = joined.select(F.col("node.n").alias("n"), F.col("node.cls").alias("cls"), F.coalesce("component", "rep").alias("component"))
@@ -305,5 +312,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     A document goes as a whole: with all rows of its id, if one belongs to another document's component.
     """
-    gone = cut_lineage(link(docs, id_col, text_col, size, percent).filter(f"component_id <> `{id_col}`").select(id_col).distinct())
+    with recorded() as made:
+        gone = written(link(docs, id_col, text_col, size, percent).filter(f"component_id <> `{id_col}`").select(id_col).distinct())
+    release(*made[:-1])
     return rows_without(docs, gone, id_col)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, drop_model, gram_hashes, mix, range_hashes, text_slices, window_anchors, word_spans
 from lorespark.llm.lookup import filter_rows, id_bitmap, key_bitmap, marked, row_filter, with_place
-from lorespark.session import cut_lineage, written
+from lorespark.session import recorded, release, ship, written
 
 #: Different runs of one anchor that a single task compares.
 HOT_RUNS = 2000
@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
     docs = docs.filter("id is not null and text is not null")
 
     keys = _scan(docs, units, window, lambda ids, hashes, data, starts, ends, bounds, runs: pa.RecordBatch.from_arrays([_long(runs.key)], ["key"]), "key long")
-    often = spark.sparkContext.broadcast(key_bitmap(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    often = ship(spark, key_bitmap(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
 
     def noted(ids, hashes, data, starts, ends, bounds, runs):
         keep = np.flatnonzero(marked(often.value, runs.key))
@@ -155,7 +155,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
     runs = written(_scan(docs, units, window, noted, RUN))
     spans, settled = settle(runs, window, rule)
     open_runs = settled.join(settled.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
-    wanted = spark.sparkContext.broadcast(key_bitmap(open_runs, "spot"))
+    wanted = ship(spark, key_bitmap(open_runs, "spot"))
 
     def fetched(ids, hashes, data, starts, ends, bounds, runs):
         spot = spot_of(runs.run, ids[runs.text], runs.first - bounds[runs.text])
@@ -168,7 +168,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
     found = [spans]
     for width in (max(2, window.grams // 10), 1):
         hot = segments.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {HOT_RUNS}").select("key")
-        bitmap = spark.sparkContext.broadcast(key_bitmap(hot, "key"))
+        bitmap = ship(spark, key_bitmap(hot, "key"))
         found.append(matched(segments.mapInArrow(by_heat(bitmap, False), segments.schema), units, window, rule, matcher))
         narrow = written(split_runs(segments, bitmap, units, window, width))
         spans, settled = settle(narrow.drop("piece"), window, rule)
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame, units: Units, window: Window, rule: str, mat
 def settle(runs: DataFrame, window: Window, rule: str) -> tuple[DataFrame, DataFrame]:
     """(spans of runs that equal another run and count by the rule, one copy of each different run)."""
     place = F.struct("id", "th", "first", "last", "off", "key", "spot")
-    each = cut_lineage(runs.groupBy("run").agg(F.min(place).alias("least"), F.max(F.struct("id", "th", "first")).alias("most")))
+    each = written(runs.groupBy("run").agg(F.min(place).alias("least"), F.max(F.struct("id", "th", "first")).alias("most")))
     least = F.col("least")
     same = (least["id"] == F.col("most.id")) & (least["th"] == F.col("most.th")) & (least["first"] == F.col("most.first"))
     again = each.filter(~same).select("run", least["id"].alias("id0"), least["th"].alias("th0"), least["first"].alias("first0"))
@@ -264,13 +264,15 @@ def matched(segments: DataFrame, units: Units, window: Window, rule: str, matche
     return ordered.mapInArrow(work, "id long, th long, start long, end long")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, schema: str, finish: Callable) -> DataFrame:
-    """`finish(batch)` over docs with their merged spans as last column `spans`; docs that surely have none are not shuffled.
+def with_spans(docs: DataFrame, find: Callable[[], DataFrame], schema: str, finish: Callable) -> DataFrame:
+    """`finish(batch)` over docs with the merged spans of `find()` as last column `spans`; docs that surely have none are not shuffled.
 
     `docs` has id, th, text and whatever else is wanted; each task of `finish` gets
     the columns of docs and then the list of (start, end).
     """
-    grouped = cut_lineage(spans.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    with recorded() as made:
+        grouped = written(find().groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    release(*made[:-1])
     bitmap = id_bitmap(grouped, "id")
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     renamed = grouped.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")

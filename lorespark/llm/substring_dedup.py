@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,7 @@ def dedup(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: st
         raise ValueError("windows of fewer than 10 words are not looked for")
     keyed = repeats.keyed(docs, id_col, text_col)
     units = Units(words=True)
-    spans = repeats.repeated_spans(keyed, units, Window(words, words // 5), "earlier_document", earlier_windows)
+    spans = partial(repeats.repeated_spans, keyed, units, Window(words, words // 5), "earlier_document", earlier_windows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_model()

@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,7 @@ def dedup(docs: DataFrame, length: int = 200, keep_first: bool = False, id_col:
     if length < 16:
         raise ValueError("strings of fewer than 16 bytes are not looked for")
     keyed = repeats.keyed(docs, id_col, text_col)
-    spans = repeats.repeated_spans(keyed, Units(words=False), Window(length, length // 5), "earlier" if keep_first else "any", previous_factors)
+    spans = partial(repeats.repeated_spans, keyed, Units(words=False), Window(length, length // 5), "earlier" if keep_first else "any", previous_factors)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_model()
@@ -117,7 +118,7 @@ def shorten(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     A character that loses some of its bytes goes as a whole. A null text stays null.
     """
     keyed = repeats.keyed(docs, id_col, text_col)
-    spans = repeats.repeated_spans(keyed, Units(words=False), Window(length, length // 5), "earlier", previous_factors)
+    spans = partial(repeats.repeated_spans, keyed, Units(words=False), Window(length, length // 5), "earlier", previous_factors)
     text = F.col(f"`{text_col}`").cast("string")
     # The row itself goes along under names that cannot clash.
     whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[F.col(f"`{name}`").alias(f"_{n}") for n, name in enumerate(docs.columns) if name != text_col]).alias("rest"))

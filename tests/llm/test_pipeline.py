@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import public_tokenizers
 import tiktoken
@@ -7,6 +8,7 @@ from test_dedup import brute_bytes
 from test_ngram_join import brute as brute_components
 
 import corpus_pipeline
+from lorespark import session
 from lorespark.llm import bpe_codec, language_id
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,4 +77,23 @@ def test_empty_tables_pass_all_stages(spark):
 
 
 def test_run_is_the_stages_one_after_the_other(spark):
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, folder)
+        docs = spark.createDataFrame(after.collect(), after.schema)
+    wanted = sorted(map(tuple, docs.collect()))
+    session.remove_written(spark)
+    before = tables(spark)
+    out = corpus_pipeline.run(spark, folder)
+    # One table is left: what the last stage reads.
+    assert len(tables(spark) - before) == 1
+    assert sorted(map(tuple, out.collect())) == wanted and len(wanted) > 100
+    session.remove_written(spark)
+    assert tables(spark) == before
+
+
+def tables(spark):
+    """Written tables and checkpoints that hold anything."""
+    folder = session.shared_folder(spark).removeprefix("file:")
+    return {os.path.join(at, name) for at, names, _ in os.walk(folder) for name in names if name.startswith(("written-", "rdd-"))}
