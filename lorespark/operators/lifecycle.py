@@ -191,10 +191,13 @@ def checked_updates(pages: DataFrame, updates: DataFrame, aliases: DataFrame | N
     )
     checked = cut_lineage(shaped.join(live, "id", "left").join(parents, "parent_id", "left").withColumn("error", error).drop("_live", "_parent"))
 
-    # Circles: the forest as the whole batch would leave it.
+    # Circles: the forest as the whole batch would leave it. Only a page that gets a parent can close one.
     moved = checked.filter(F.col("error").isNull() & F.coalesce("set_parent", F.lit(False))).select("id", F.col("parent_id").alias("_new_parent"), F.lit(True).alias("_moved"))
-    forest = active(pages).join(moved, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("_new_parent")).otherwise(F.col("parent_id"))).drop("_new_parent", "_moved")
-    circular = in_circles(forest).join(moved.select("id"), "id", "left_semi").select("id", F.lit("parent relationship would create a cycle").alias("_circle"))
+    if moved.filter("_new_parent is not null").isEmpty():
+        circular = moved.select("id", F.lit("").alias("_circle")).filter(F.lit(False))
+    else:
+        forest = active(pages).join(moved, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("_new_parent")).otherwise(F.col("parent_id"))).drop("_new_parent", "_moved")
+        circular = in_circles(forest).join(moved.select("id"), "id", "left_semi").select("id", F.lit("parent relationship would create a cycle").alias("_circle"))
 
     # Aliases: who owns one before, and who asks for it now.
     wants = checked.filter(F.col("error").isNull() & F.col("alias").isNotNull() & ~F.coalesce("suffix_alias", F.lit(False)) & ~F.col("alias").eqNullSafe(F.col("_old_alias")))
@@ -203,15 +206,14 @@ def checked_updates(pages: DataFrame, updates: DataFrame, aliases: DataFrame | N
     leaving = wants.select(F.col("id").alias("_owner"), F.lit(True).alias("_leaves"))
     contested = wants.select("id", "alias").join(first, "alias").join(owners, "alias", "left").join(leaving, "_owner", "left")
     taken = (F.col("id") != F.col("_first")) | (F.col("_owner").isNotNull() & ~(F.coalesce("_leaves", F.lit(False)) & (F.col("_owner") < F.col("id"))))
-    refused = cut_lineage(contested.select("id", "_owner", taken.alias("_taken")))
-    while True:
-        # An owner whose own update is refused keeps its alias after all.
-        stuck = refused.filter("_taken").select(F.col("id").alias("_owner"), F.lit(True).alias("_stays"))
-        after = cut_lineage(refused.join(stuck, "_owner", "left").select("id", "_owner", F.col("_taken").alias("_was"), (F.col("_taken") | F.coalesce("_stays", F.lit(False))).alias("_taken")))
-        changed = after.filter("_was <> _taken").limit(1).count()
-        refused = after.drop("_was")
-        if not changed:
-            break
+    # An owner whose own update is refused keeps its alias after all: owners point at owners, and
+    # pointer doubling tells in log2 rounds who waits, over any number of hops, for a refused one.
+    pointed = lambda owner: F.when(~F.col("_taken"), owner).alias("_owner")
+    refused = cut_lineage(contested.select("id", F.col("_owner").alias("_next"), taken.alias("_taken")).select("id", pointed(F.col("_next")), "_taken"))
+    while not refused.filter("_owner is not null").isEmpty():
+        ahead = refused.select(F.col("id").alias("_owner"), F.col("_owner").alias("_next"), F.col("_taken").alias("_stays"))
+        joined = refused.join(ahead, "_owner", "left").select("id", "_next", (F.col("_taken") | F.coalesce("_stays", F.lit(False))).alias("_taken"))
+        refused = cut_lineage(joined.select("id", pointed(F.col("_next")), "_taken"))
     taken_rows = refused.filter("_taken").select("id", F.lit("alias already exists").alias("_alias_error"))
     joined = checked.join(circular, "id", "left").join(taken_rows, "id", "left")
     return joined.withColumn("error", F.coalesce("error", "_circle", "_alias_error")).drop("_circle", "_alias_error", "_old_alias")

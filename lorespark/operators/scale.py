@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def latest_per(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """First row per key. Spark prunes to one row per key before and after the shuffle."""
@@ -66,6 +68,20 @@ def previous_within(df: DataFrame, key: str, bucket: Column, order: list[str], c
     return joined.select(*df.columns, *[chosen[name].alias(prefix + name) for name in columns])
 
 
+def sum_before(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Rows with the sum of `value` over the earlier rows of the same key.
+
+    Rows are dealt by ranges of (key, order), so a key with many rows lies in
+    several partitions; each adds up its own, and whole partitions are added as one.
+    """
+    ranged = written(df.repartitionByRange(key, *order).withColumn("_bucket", F.spark_partition_id()))
+    offsets = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(key, "_bucket").agg(F.sum(value).alias("_sum")).select(key, "_bucket", F.coalesce(F.sum("_sum").over(offsets), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return inner.join(sums, [key, "_bucket"]).withColumn(name, F.col("_inner") + F.col("_offset")).drop("_bucket", "_inner", "_offset")
+
+
 def one_row(df: DataFrame) -> Column:
     """Columns of a one-row aggregate as a scalar subquery: no join and no driver round trip."""
     return df.select(F.struct(*[F.col(name) for name in df.columns]).alias("row")).scalar()

@@ -1,17 +1,24 @@
 """The parent forest: ancestors, breadcrumbs, pre-order, descendants, cycle checks.
 
-Ancestor chains grow by pointer doubling: each round joins every open chain to
-the chain of the page it points at, so a forest of depth d needs log2(d) joins.
-Only pages that are parents carry chains; their children look them up once.
+Positions are numbers, found by pointer doubling with weights: each round joins
+every page to the one it points at, takes over that one's pointer and adds its
+weight, so a forest of depth d needs log2(d) rounds over rows of fixed size. Going
+up, weights of one give the depth; what pages hand to those they point at adds up
+to subtree sizes; and one more climb, over the sizes of earlier siblings, gives
+places in pre-order. A subtree is then an interval. Only pages that are parents
+take part in the rounds; their children look the result up once.
+
+Breadcrumbs are lists by nature, and only they are built as chains.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release, written
 from .filters import active, with_status
+from .scale import sum_before
 
 
 def chains(nodes: DataFrame, label: Column | None = None) -> DataFrame:
@@ -69,63 +76,166 @@ def breadcrumbs(pages: DataFrame) -> DataFrame:
     return walked.select("id", F.reverse(F.when(F.col("cyclic"), upto).otherwise(F.col("chain"))).alias("breadcrumbs"))
 
 
+def climbed(nodes: DataFrame) -> DataFrame:
+    """(id, root, total, size, next): what pointer doubling gathers over `nodes` (id, parent_id, total, size).
+
+    `total` becomes the sum of `total` over a page and its ancestors, `size` the
+    sum of `size` over a page and its descendants. A parent must be among the nodes
+    or null. `next` stays set for pages in circles or below one, whose other values
+    mean nothing.
+    """
+    state, open_rows = _counted(nodes.select("id", F.col("parent_id").alias("next"), F.col("id").alias("root"), F.col("total").cast("long").alias("total"), F.col("size").cast("long").alias("size")))
+    before = -1
+    # A round that settles no page settles none ever after: what is left runs in circles.
+    while open_rows and open_rows != before:
+        target = state.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("root").alias("_root"), F.col("total").alias("_total"))
+        handed = state.filter("next is not null").groupBy(F.col("next").alias("id")).agg(F.sum("size").alias("_more"))
+        zero = F.lit(0).cast("long")
+        grown = state.join(target, "next", "left").join(handed, "id", "left").select(
+            "id", F.col("_next").alias("next"), F.coalesce("_root", "root").alias("root"), (F.col("total") + F.coalesce("_total", zero)).alias("total"), (F.col("size") + F.coalesce("_more", zero)).alias("size")
+        )
+        before = open_rows
+        after, open_rows = _counted(grown)
+        release(state)
+        state = after
+    return state
+
+
+def _counted(state: DataFrame) -> tuple[DataFrame, int]:
+    """The state as a table, and how many of its rows still point at another page: counted as they are written."""
+    seen = Observation()
+    table = written(state.observe(seen, F.count_if(F.col("next").isNotNull()).alias("open")))
+    return table, seen.get["open"]
+
+
+def _linked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose parent is null unless it is one of them, and those of them that are parents."""
+    known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
+    linked = nodes.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id"))).drop("_known")
+    return linked, linked.join(linked.filter("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("_children")).withColumnRenamed("parent_id", "id"), "id")
+
+
+def positions(nodes: DataFrame) -> DataFrame:
+    """(id, root, depth, place, size, cyclic) of `nodes` (id, parent_id, label), one row each.
+
+    `place` counts from 0 at the root in pre-order, siblings by label and id; a
+    page's subtree has the places from its own on, `size` of them, under its root.
+    A parent that is not among the nodes ends the tree.
+    """
+    linked = written(_linked(nodes.filter("id is not null").select("id", "parent_id", "label"))[0])
+    inner = _linked(linked)[1]
+    inside = inner.select("id", F.lit(True).alias("_inner"))
+    marked = linked.join(inside, "id", "left")
+    leaves = marked.filter("_inner is null and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("_leaves"))
+    sized = inner.join(leaves, "id", "left").select("id", "parent_id", F.col("parent_id").isNotNull().cast("long").alias("total"), (F.lit(1) + F.coalesce("_leaves", F.lit(0))).alias("size"))
+    up = climbed(sized).select("id", "root", F.col("total").alias("depth"), "size", F.col("next").isNotNull().alias("cyclic"))
+
+    one = F.lit(1).cast("long")
+    rows = linked.join(up, "id", "left").withColumn("size", F.when(F.coalesce("cyclic", F.lit(False)), one).otherwise(F.coalesce("size", one)))
+    stepped = sum_before(rows.filter("parent_id is not null").select("id", "parent_id", "label", "size"), "parent_id", ["label", "id"], "size", "_before")
+    steps = written(rows.join(stepped.select("id", (F.col("_before") + 1).alias("step")), "id", "left").select("id", "parent_id", "root", "depth", "size", "cyclic", F.coalesce("step", F.lit(0)).alias("step")))
+    places = climbed(steps.join(inside, "id", "left_semi").select("id", "parent_id", F.col("step").alias("total"), F.lit(0).alias("size"))).select("id", F.col("total").alias("place"))
+    above = up.select(F.col("id").alias("parent_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("cyclic").alias("_cyclic")).join(places.select(F.col("id").alias("parent_id"), F.col("place").alias("_place")), "parent_id")
+    found = steps.join(above, "parent_id", "left").join(places, "id", "left")
+    zero = F.lit(0).cast("long")
+    return found.select(
+        "id", F.coalesce("root", "_root", "id").alias("root"), F.coalesce("depth", F.col("_depth") + 1, zero).alias("depth"), F.coalesce("place", F.col("_place") + F.col("step"), zero).alias("place"), "size",
+        F.coalesce("cyclic", "_cyclic", F.lit(False)).alias("cyclic"),
+    )
+
+
+def forest(pages: DataFrame) -> DataFrame:
+    """Positions of all live pages."""
+    return positions(active(pages).select("id", "parent_id", F.lower("title").alias("label")))
+
+
+def write_forest(pages: DataFrame, folder: str) -> None:
+    """Positions as a table sorted by tree and place: a subtree is then a few row groups."""
+    forest(pages).repartitionByRange("root", "place").sortWithinPartitions("root", "place").write.mode("overwrite").parquet(folder)
+
+
 def tree(pages: DataFrame, status: str = "published") -> DataFrame:
-    """Pages in pre-order with depth: (id, title, alias, status, parent_id, depth, sort_path).
+    """Pages in pre-order with depth: (id, title, alias, status, parent_id, depth, root_id, place, size).
 
     Siblings are ordered by title without case, then id. A page whose parent is
     not shown becomes a root; pages in circles are left out.
     """
     shown = with_status(active(pages), status)
-    walked = chains(shown.select("id", "parent_id", "title"), F.lower("title")).filter(~F.col("cyclic"))
-    rows = shown.select("id", "title", "alias", "status", "parent_id").join(walked, "id")
-    step = F.struct(F.lower("title").alias("label"), F.col("id").alias("id"))
-    upward = F.transform(F.reverse("chain"), lambda item: F.struct(item["label"].alias("label"), item["id"].alias("id")))
-    return rows.select(
-        "id", "title", "alias", "status", "parent_id", F.size("chain").alias("depth"), F.array_append(upward, step).alias("sort_path")
-    ).orderBy("sort_path")
+    label = F.lower("title")
+    walked = positions(shown.select("id", "parent_id", label.alias("label"))).filter(~F.col("cyclic")).drop("cyclic")
+    roots = shown.select(F.col("id").alias("root"), label.alias("_root_label"))
+    rows = shown.select("id", "title", "alias", "status", "parent_id").join(walked, "id").join(roots, "root")
+    return rows.orderBy("_root_label", "root", "place").select("id", "title", "alias", "status", "parent_id", "depth", F.col("root").alias("root_id"), "place", "size")
 
 
-def descendants(pages: DataFrame, page_id: int) -> DataFrame:
-    """Ids of all live pages below one page.
+def descendants(pages: DataFrame, page_id: int, known: DataFrame | None = None) -> DataFrame:
+    """Ids of all live pages below one page: an interval of its tree.
 
-    The frontier grows from the one page, a level in each round, so the rest of
-    the forest is only scanned; pages in a circle are met once.
+    `known` is what `forest` or a table of `write_forest` holds; such a table is
+    read only where the interval lies.
     """
+    known = forest(pages) if known is None else known
+    own = known.filter(F.col("id") == page_id).first()
+    if own is None:  # not a live page: the trees of its children are whole trees
+        tops = active(pages).filter(F.col("parent_id") == page_id).select(F.col("id").alias("root"))
+        return known.filter("not cyclic").join(tops, "root", "left_semi").select("id")
+    if own.cyclic:
+        return _below_in_circles(pages, page_id)
+    return known.filter((F.col("root") == own.root) & (F.col("place") > own.place) & (F.col("place") < own.place + own.size) & ~F.col("cyclic")).select("id")
+
+
+def _below_in_circles(pages: DataFrame, page_id: int) -> DataFrame:
+    """Pages below one that is part of a circle or below one: level by level, each once."""
     children = active(pages).select("id", "parent_id").filter(F.col("parent_id").isNotNull())
     frontier = cut_lineage(children.filter((F.col("parent_id") == page_id) & (F.col("id") != page_id)).select("id"))
     found = frontier
-    while frontier.limit(1).count():
+    while not frontier.isEmpty():
         below = children.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").filter(F.col("id") != page_id).select("id")
         frontier = cut_lineage(below.join(found, "id", "left_anti"))
         found = cut_lineage(found.unionByName(frontier))
     return found
 
 
-def parent_candidates(pages: DataFrame, page_id: int | None = None) -> DataFrame:
+def parent_candidates(pages: DataFrame, page_id: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """Live pages that may become the parent of a page: not itself and nothing below it."""
     live = active(pages).select("id", "title", "alias")
     if page_id is None:
         return live.orderBy(F.lower("title"), "id")
-    below = descendants(pages, page_id)
+    below = descendants(pages, page_id, known)
     return live.filter(F.col("id") != page_id).join(below, "id", "left_anti").orderBy(F.lower("title"), "id")
 
 
 def in_circles(pages: DataFrame) -> DataFrame:
     """Ids of live pages that are their own ancestors."""
-    walked = chains(active(pages).select("id", "parent_id"))
-    return walked.filter(F.exists("chain", lambda item: item["id"] == F.col("id"))).select("id")
+    _, inner = _linked(active(pages).filter("id is not null").select("id", "parent_id"))
+    left = climbed(inner.select("id", "parent_id", F.lit(0).alias("total"), F.lit(0).alias("size"))).filter("next is not null").select("id", "next")
+    size, reach = left.count(), 1
+    # From far enough up, everything lands on a circle, and every page of a circle is landed on.
+    while reach < size:
+        after = written(left.join(left.select(F.col("id").alias("next"), F.col("next").alias("_next")), "next").select("id", F.col("_next").alias("next")))
+        left, reach = after, reach * 2
+    return left.select(F.col("next").alias("id")).distinct()
 
 
 def parent_errors(pages: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Check proposed parents, (id, new_parent_id), against the stored forest: adds `error`, null when accepted."""
-    live = active(pages).select("id", "parent_id")
-    walked = chains(live).select(F.col("id").alias("new_parent_id"), F.transform("chain", lambda item: item["id"]).alias("_above"), F.col("cyclic").alias("_cyclic"), F.lit(True).alias("_exists"))
-    joined = proposals.join(walked, "new_parent_id", "left")
+    """Check proposed parents, (id, new_parent_id), against the stored forest: adds `error`, null when accepted.
+
+    A page lies above another one if its interval holds the other one's place.
+    """
+    known = forest(pages)
+    named = lambda key, prefix: known.select(F.col("id").alias(key), *[F.col(name).alias(prefix + name) for name in ("root", "place", "size", "cyclic")])
+    joined = proposals.join(named("new_parent_id", "_p_"), "new_parent_id", "left").join(named("id", "_"), "id", "left")
+    inside = ~F.col("_p_cyclic") & ~F.col("_cyclic") & (F.col("_root") == F.col("_p_root")) & (F.col("_p_place") >= F.col("_place")) & (F.col("_p_place") < F.col("_place") + F.col("_size"))
+    caught = known.filter("cyclic").select("id")
+    if not caught.isEmpty():  # circles that are stored already have no places: their chains are short or the forest is broken
+        above = chains(active(pages).select("id", "parent_id").join(caught, "id", "left_semi")).select(F.col("id").alias("new_parent_id"), F.transform("chain", lambda item: item["id"]).alias("_above"))
+        joined = joined.join(above, "new_parent_id", "left")
+        inside = inside | F.array_contains("_above", F.col("id"))
     error = (
         F.when(F.col("new_parent_id").isNull(), F.lit(None).cast("string"))
         .when(F.col("new_parent_id") == F.col("id"), F.lit("a page cannot be its own parent"))
-        .when(F.col("_exists").isNull(), F.lit("parent page not found"))
-        .when(F.array_contains("_above", F.col("id")), F.lit("parent relationship would create a cycle"))
-        .when(F.col("_cyclic"), F.lit("existing parent relationship contains a cycle"))
+        .when(F.col("_p_root").isNull(), F.lit("parent page not found"))
+        .when(F.coalesce(inside, F.lit(False)), F.lit("parent relationship would create a cycle"))
+        .when(F.col("_p_cyclic"), F.lit("existing parent relationship contains a cycle"))
     )
     return joined.select("id", "new_parent_id", error.alias("error"))

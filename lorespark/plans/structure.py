@@ -120,16 +120,17 @@ def breadcrumbs(spark, folder):
     return walked.select("id", F.array_join(steps, " > ").alias("breadcrumbs"))
 
 
-def tree_sql(shown: str, extra: str = "") -> str:
+def tree_sql(shown: str) -> str:
+    """Place and size come from paths here: lists of (title, id) sort in pre-order."""
     return f"""shown AS (SELECT id, parent_id, title, status FROM {shown}),
-    walk AS (SELECT id, title, status, parent_id, 0 AS depth, lower(title) || '/' || id AS sort_path FROM shown s WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM shown)
-      UNION ALL SELECT s.id, s.title, s.status, s.parent_id, depth + 1, sort_path || ' > ' || lower(s.title) || '/' || s.id FROM shown s JOIN walk w ON s.parent_id = w.id)
-    SELECT id, title, status, parent_id, depth, sort_path FROM walk{extra}"""
+    walk AS (SELECT id, title, status, parent_id, 0 AS depth, id AS root_id, [{{'t': lower(title), 'i': id}}] AS path FROM shown s WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM shown)
+      UNION ALL SELECT s.id, s.title, s.status, s.parent_id, depth + 1, w.root_id, list_append(w.path, {{'t': lower(s.title), 'i': s.id}}) FROM shown s JOIN walk w ON s.parent_id = w.id),
+    sizes AS (SELECT i, count(*) AS size FROM (SELECT unnest(path).i AS i FROM walk) GROUP BY i)
+    SELECT id, title, status, parent_id, CAST(depth AS BIGINT) AS depth, root_id, CAST(row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS BIGINT) AS place, size FROM walk JOIN sizes ON i = id"""
 
 
 def tree_rows(pages, status):
-    path = F.array_join(F.transform("sort_path", lambda item: F.concat(item["label"], F.lit("/"), item["id"].cast("string"))), " > ")
-    return tree.tree(pages, status).select("id", "title", "status", "parent_id", "depth", path.alias("sort_path"))
+    return tree.tree(pages, status).select("id", "title", "status", "parent_id", "depth", "root_id", "place", "size")
 
 
 @query("tree_preorder", f"WITH RECURSIVE {WIKI}, {tree_sql('(SELECT * FROM wiki WHERE deleted_at IS NULL)')}")

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,60 @@ def test_deep_chain_and_circles(spark):
         assert crumbs[number] == seen[::-1], number
 
 
+def brute_positions(rows):
+    """Depth, place and size by walking the trees of (id, parent, label); pages in circles are missing."""
+    known = {key for key, _, _ in rows}
+    below = {}
+    for key, parent, label in rows:
+        below.setdefault(parent if parent in known else None, []).append((label, key))
+    out = {}
+
+    def walk(key, root, depth, place):
+        size = 1
+        for _, child in sorted(below.get(key, [])):
+            size += walk(child, root, depth + 1, place + size)
+        out[key] = (root, depth, place, size)
+        return size
+
+    for _, root in below.get(None, []):
+        walk(root, root, 0, 0)
+    return out
+
+
+def test_positions_against_walks(spark):
+    chance = random.Random(6)
+    rows = [(n, None if n < 5 else chance.choice([1, chance.randrange(n), n + 7, n - 1]), chance.choice("abc")) for n in range(300)]
+    frame = spark.createDataFrame(rows, "id long, parent_id long, label string")
+    found = tree.positions(frame).collect()
+    wanted = brute_positions(rows)
+    assert len(found) == 300 and {row.id for row in found if row.cyclic} == {key for key, _, _ in rows} - wanted.keys()
+    assert {row.id: (row.root, row.depth, row.place, row["size"]) for row in found if not row.cyclic} == wanted
+    assert tree.positions(frame.limit(0)).collect() == []
+
+
+def test_stored_forest_and_descendants(spark, tmp_path):
+    pages = make(spark, [page(n, f"P{n % 7}", parent=n // 3 if n else None) for n in range(120)] + [page(500, "A", parent=501), page(501, "B", parent=500), page(502, "C", parent=501), page(600, "Of a page that is gone", parent=777), page(601, "Below", parent=600)])
+    tree.write_forest(pages, str(tmp_path / "forest"))
+    known = spark.read.parquet(str(tmp_path / "forest"))
+    for top in (0, 3, 119, 777, 500, 502):
+        below, level = set(), {top}
+        parents = {row.id: row.parent_id for row in pages.collect()}
+        while level:
+            level = {key for key, parent in parents.items() if parent in level} - below - {top}
+            below |= level
+        assert {row.id for row in tree.descendants(pages, top).collect()} == below == {row.id for row in tree.descendants(pages, top, known).collect()}
+    errors = {row.id: row.error for row in tree.parent_errors(pages, spark.createDataFrame([(500, 502), (7, 502), (1, 80), (0, 2)], "id long, new_parent_id long")).collect()}
+    assert errors == {500: "parent relationship would create a cycle", 7: "existing parent relationship contains a cycle", 1: None, 0: "parent relationship would create a cycle"}
+    assert sorted(row.id for row in tree.in_circles(pages).collect()) == [500, 501]
+
+
+def test_a_path_of_many_pages(spark):
+    count = 100_000
+    nodes = spark.range(count).selectExpr("id", "case when id > 0 then id - 1 end as parent_id", "'x' as label")
+    rows = tree.positions(nodes)
+    assert rows.filter("depth = id and place = id and root = 0 and not cyclic").filter(f"size = {count} - id").count() == count
+
+
 def test_tag_aliases_merge(spark):
     pages = make(spark, [page(1, "Eel", tags=["fisch"]), page(2, "Cod", tags=["fisch", "topic:fish"])])
     rows = filters.tag_rows(pages)
