@@ -83,7 +83,9 @@ def refresh_now(captures: DataFrame, chosen: DataFrame, now: str) -> dict[str, D
     """Captures after a refresh of the chosen ones (id), their jobs, and those that are on their way already."""
     marked = captures.join(chosen.select("id", F.lit(True).alias("_chosen")).distinct(), "id", "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(False)))
     free = F.col("_chosen") & can_refresh(F.col("status"))
-    after = marked.select(*[F.when(free, F.lit("queued")).otherwise(F.col("status")).alias("status") if name == "status" else F.col(name) for name in captures.columns])
+    # The old plan and the old failure are over; columns that a caller does not keep are left out.
+    fresh = {"status": F.lit("queued"), "last_error": F.lit(None), "next_refresh_at": F.lit(None), "updated_at": F.lit(now).cast("timestamp_ntz")}
+    after = marked.select(*[F.when(free, fresh[name].cast(captures.schema[name].dataType)).otherwise(F.col(name)).alias(name) if name in fresh else F.col(name) for name in captures.columns])
     return {"captures": after, "jobs": request(marked.filter(free), now), "refused": marked.filter(F.col("_chosen") & ~can_refresh(F.col("status"))).select("id")}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cursors import strict_limit, decode_hybrid, encode_hybrid, fingerprint
 from ..functions.text import check_tags
-from ..model import CANDIDATES_PER_LIST, RRF_CONSTANT, SectionFilters
+from ..model import CANDIDATES_PER_LIST, RRF_CONSTANT, RequestError, SectionFilters
 from .filters import check_properties, check_search_request, with_all_tags, with_properties
 from .lexical import page_order, rank_pages, rank_sections, section_order
 from .vectors import page_neighbours, section_neighbours
@@ -62,21 +62,22 @@ def lexical_lists(pages: DataFrame, searchable: DataFrame, query: str, tags: lis
 
 
 def vector_lists(
-    page_chunks: DataFrame, section_chunks: DataFrame, pages: DataFrame, searchable: DataFrame, vector: list[float], tags: list[str], status: str, properties: dict, filters: SectionFilters, strict_prefilter: bool = False
+    page_chunks: DataFrame, section_chunks: DataFrame, pages: DataFrame, searchable: DataFrame, vector: list[float], tags: list[str], status: str, properties: dict, filters: SectionFilters, strict_prefilter: bool = False, model: str | None = None
 ) -> list[DataFrame]:
     """Page chunks are filtered by tag and property after the top hundred, and each chunk adds to its page.
 
-    `strict_prefilter` filters first instead.
+    `strict_prefilter` filters first instead. `model` is the one that made the
+    question's vector: chunks of another one take no part.
     """
     lists = []
     if filters.pages_eligible:
         matching = with_properties(with_all_tags(pages, tags), properties)
         candidates = matching if strict_prefilter else pages
-        near = page_neighbours(page_chunks, candidates, vector, status)
+        near = page_neighbours(page_chunks, candidates, vector, status, model=model)
         kept = near.join(matching.select(F.col("id").alias("page_id")), "page_id", "left_semi")
         lists.append(page_list(kept, "page_id"))
     if filters.source != "pages":
-        near = section_neighbours(section_chunks, searchable, vector, filters, tags, status, properties)
+        near = section_neighbours(section_chunks, searchable, vector, filters, tags, status, properties, model=model)
         lists.append(section_list(first_per_section(near)))
     return lists
 
@@ -92,8 +93,12 @@ def search(
     vector: list[float] | None = None,
     page_chunks: DataFrame | None = None,
     section_chunks: DataFrame | None = None,
+    model: str | None = None,
 ) -> tuple[DataFrame, str, str | None]:
-    """Fused hits, the mode that was used, and a warning when vectors were wanted but missing."""
+    """Fused hits, the mode that was used, and a warning when vectors were wanted but missing.
+
+    Chunk tables with a column `model` ask for the model of the question's vector.
+    """
     tags, properties = check_tags(list(tags)), properties or {}
     check_properties(properties)
     lists = lexical_lists(pages, searchable, query, tags, status, properties, filters)
@@ -101,7 +106,9 @@ def search(
         return fuse(lists), "lexical", None
     if page_chunks is None or section_chunks is None:
         return fuse(lists), "lexical", "Semantic index is unavailable or empty; lexical results are shown."
-    lists += vector_lists(page_chunks, section_chunks, pages, searchable, vector, tags, status, properties, filters)
+    if model is None and ("model" in page_chunks.columns or "model" in section_chunks.columns):
+        raise RequestError("the model of the question's vector is needed")
+    lists += vector_lists(page_chunks, section_chunks, pages, searchable, vector, tags, status, properties, filters, model=model)
     return fuse(lists), "hybrid", None
 
 

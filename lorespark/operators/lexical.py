@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.cursors import strict_limit
-from ..functions.text import excerpt, keyword_fold, tokens, tokens_of_string
+from ..functions.text import DROPPED_MARKS, excerpt, fold, keyword_fold, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
 from ..session import written
 from .filters import active, json_text, with_all_tags, with_facets, with_properties, with_status
@@ -27,6 +27,8 @@ MIN_IDF = 1e-6
 PAGE_TEXTS = ["title", "alias", "body", "tags_text", "properties_text"]
 SECTION_TEXTS = ["filename", "page_title", "section_title", "kind", "locator_text", "text"]
 SNIPPET_TOKENS = 32
+#: Stands where a snippet leaves something out.
+CUT_MARK = " … "
 # Words that never count as keywords of a question.
 STOPWORDS = (
     "a", "al", "and", "are", "as", "at", "be", "by", "como", "con", "cual", "cuales", "cuanto", "cuantos", "de", "del",
@@ -204,23 +206,81 @@ def _rows_of(rows: DataFrame, key: str, top: DataFrame) -> DataFrame:
     return rows.filter(F.col(key).isin([row[key] for row in found])).join(F.broadcast(short), key)
 
 
-def snippet(text: Column, phrases: list[list[str]]) -> Column:
-    """About 32 words around the first word that starts like a searched word, with cut marks."""
-    words = F.split(F.trim(text), r"\s+")
-    wanted = [phrase[0] for phrase in phrases if phrase]
-    first = F.array_position(F.transform(words, lambda word: F.exists(tokens(word), lambda token: _any_prefix(token, wanted))), True)
-    start = F.greatest(F.lit(1), F.least(first - SNIPPET_TOKENS // 4, F.size(words) - SNIPPET_TOKENS + 1)).cast("int")
-    window = F.array_join(F.slice(words, start, F.lit(SNIPPET_TOKENS)), " ")
-    return F.concat(
-        F.when(start > 1, F.lit(" … ")).otherwise(F.lit("")), window, F.when(F.size(words) >= start + SNIPPET_TOKENS, F.lit(" … ")).otherwise(F.lit(""))
-    )
+#: What a window gains: for each phrase in it, for a begin at a sentence, for one at the text's own begin.
+PHRASE_GAIN, SENTENCE_GAIN, BEGIN_GAIN = 1000, 100, 120
+
 
+def snippet(text: Column, phrases: list[list[str]], size: int = SNIPPET_TOKENS) -> Column:
+    """The window of `size` tokens that covers the phrases best, as it stands in the text, with cut marks.
 
-def _any_prefix(token: Column, prefixes: list[str]) -> Column:
-    found = F.lit(False)
-    for prefix in prefixes:
-        found = found | token.startswith(prefix)
-    return found
+    A window begins at an occurrence of a phrase, or at the sentence that holds
+    one. Each different phrase inside counts PHRASE_GAIN, each further occurrence
+    one, a sentence's begin SENTENCE_GAIN and that of the text BEGIN_GAIN; of equal
+    windows the first candidate wins. A window that begins at an occurrence is
+    moved so that what it found lies in its middle. Without any occurrence the text's
+    begin is shown.
+    """
+    letters = rf"[\p{{L}}\p{{N}}\p{{Co}}{DROPPED_MARKS}]"
+    others = letters.replace("[", "[^", 1)
+    wanted = [phrase for phrase in phrases if phrase]
+
+    def shown(pieces: Column) -> Column:
+        count = F.size(pieces)
+        words = F.transform(pieces, lambda piece: fold(F.regexp_extract(piece, f"^{letters}+", 0)))
+        return bind(words, lambda tokens_: bind(start_of(tokens_, pieces), lambda start: cut(start, pieces, count)))
+
+    def start_of(words: Column, pieces: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+
+        def of_phrase(number: int, phrase: list[str]) -> Column:
+            here = lambda at: phrase_at(words, at, phrase)
+            return F.transform(F.filter(places, here), lambda at: F.struct(at.alias("at"), F.lit(number).alias("phrase"), (at + len(phrase)).alias("end")))
+
+        if not wanted:
+            return F.lit(0)
+        found = F.array_sort(F.concat(*[of_phrase(number, phrase) for number, phrase in enumerate(wanted)]))
+        # A sentence begins after a full stop or a colon.
+        begins = F.filter(places, lambda at: (at == 0) | F.get(pieces, at - 1).rlike(r"[.:][^.:]*$"))
+        return bind(F.struct(found.alias("found"), begins.alias("begins")), lambda both: F.when(F.size(both["found"]) > 0, best(both["found"], both["begins"], F.size(words))).otherwise(F.lit(0)))
+
+    def inside(found: Column, start: Column) -> Column:
+        return F.filter(found, lambda one: (one["at"] >= start) & (one["at"] < start + size))
+
+    def gain(held: Column) -> Column:
+        different = F.size(F.array_distinct(F.transform(held, lambda one: one["phrase"])))
+        return different * PHRASE_GAIN + F.size(held) - different
+
+    def middle(held: Column, count: Column) -> Column:
+        first, last = F.get(held, F.lit(0))["at"], F.array_max(F.transform(held, lambda one: one["end"]))
+        return F.greatest(F.least(first - F.floor((F.lit(size) - (last - first)) / 2).cast("int"), count - size), F.lit(0))
+
+    def best(found: Column, begins: Column, count: Column) -> Column:
+        def candidates(one: Column, order: Column) -> Column:
+            at = one["at"]
+            sentence = F.array_max(F.filter(begins, lambda begin: begin <= at))
+            extra = F.when(sentence == 0, BEGIN_GAIN).otherwise(SENTENCE_GAIN)
+            own = bind(inside(found, at), lambda held: F.struct(gain(held).alias("gain"), (-2 * order).alias("order"), middle(held, count).alias("start")))
+            whole = F.struct((gain(inside(found, sentence)) + extra).alias("gain"), (-2 * order - 1).alias("order"), sentence.alias("start"))
+            return F.array(own, F.when(sentence < at, whole).otherwise(own))
+
+        return F.array_max(F.flatten(F.transform(found, candidates)))["start"]
+
+    def cut(start: Column, pieces: Column, count: Column) -> Column:
+        end = F.least(start + size, count)
+        head = F.when(start == 0, F.regexp_extract(text, f"^{others}*", 0)).otherwise(F.lit(CUT_MARK))
+        body = F.array_join(F.slice(pieces, start + 1, F.greatest(end - start, F.lit(1))), "")
+        return F.concat(head, F.when(end < count, F.concat(F.regexp_replace(body, f"{others}+$", ""), F.lit(CUT_MARK))).otherwise(body))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"{letters}+{others}*"), F.lit(0))
+    return bind(pieces, lambda some: F.when(F.size(some) > 0, shown(some)).otherwise(text))
+
+
+def phrase_at(words: Column, at: Column, phrase: list[str]) -> Column:
+    """Whether a phrase, its last token a prefix, stands at a place of a token array."""
+    here = F.lit(True)
+    for step, token in enumerate(phrase[:-1]):
+        here = here & F.coalesce(F.get(words, at + step) == token, F.lit(False))
+    return here & F.coalesce(F.get(words, at + len(phrase) - 1).startswith(phrase[-1]), F.lit(False))
 
 
 @dataclass(frozen=True)

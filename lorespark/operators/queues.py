@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import MAX_ATTEMPTS, MIN_REFRESH_SECONDS, RequestError
+from ..sources.log import EventLog
+from .scale import number_within
 
 # Lease lengths in seconds by queue.
 LEASE_SECONDS = {"page_vectors": 60, "document_vectors": 60, "documents": 1800, "captures": 300, "research": 600, "tagging": 120}
@@ -150,6 +152,47 @@ def claim(queue: DataFrame, now: str, owner: str, policy: RetryPolicy, limit: in
     return chosen.select("entity_id", F.lit(now).cast("timestamp_ntz").alias("at"), F.lit("claimed").alias("kind"), F.lit(owner).alias("owner"), "revision")
 
 
+#: Event ids of a batch start at its number times this.
+BATCH_IDS = 1 << 24
+
+
+def take(log: EventLog, now: str, owner: str, policy: RetryPolicy, lease_seconds: int, limit: int = 1, tries: int = 50) -> DataFrame:
+    """Claim the oldest `limit` claimable jobs for one owner and nobody else; the claims as they stand in the log.
+
+    The claims are a batch of the log, right after the batches they were chosen
+    from. Where another writer was faster, the log is read anew and the choice made
+    again, so two workers never hold one job at a time.
+    """
+    if not 0 < limit < BATCH_IDS:
+        raise RequestError(f"limit must be between 1 and {BATCH_IDS - 1}")
+    for _ in range(tries):
+        number = log.last()
+        chosen = claim(fold(log.read(number), lease_seconds, policy), now, owner, policy, limit)
+        place = F.row_number().over(Window.orderBy("entity_id"))  # of at most `limit` rows
+        events = chosen.withColumn("event_id", (F.lit(number + 1) * BATCH_IDS + place).cast("bigint"))
+        names = {field.name: field.dataType for field in log.read(0).schema}
+        shaped = events.select(*[(F.col(name) if name in events.columns else F.lit(None)).cast(kind).alias(name) for name, kind in names.items()])
+        if log.append(shaped, number + 1):
+            return log.read(number + 1, after=number)
+    raise TimeoutError(f"{tries} times another writer was faster")
+
+
+def report(log: EventLog, results: DataFrame, policy: RetryPolicy, lease_seconds: int, tries: int = 50) -> DataFrame:
+    """Add the results of a worker (entity_id, at, kind, owner, revision, ...) whose lease still stands; returns those that count.
+
+    The lease is checked against the very batches that the results follow.
+    """
+    for _ in range(tries):
+        number = log.last()
+        good = accepted(results, fold(log.read(number), lease_seconds, policy))
+        names = {field.name: field.dataType for field in log.read(0).schema}
+        numbered = number_within(good.withColumn("_all", F.lit(1)), "_all", "entity_id", name="_place").withColumn("event_id", (F.lit(number + 1) * BATCH_IDS + F.col("_place")).cast("bigint"))
+        shaped = numbered.select(*[(F.col(name) if name in numbered.columns else F.lit(None)).cast(kind).alias(name) for name, kind in names.items()])
+        if log.append(shaped, number + 1):
+            return log.read(number + 1, after=number)
+    raise TimeoutError(f"{tries} times another writer was faster")
+
+
 def accepted(results: DataFrame, queue: DataFrame, check_owner: bool = True) -> DataFrame:
     """Results whose lease is still current: same revision and, usually, same owner."""
     lease = queue.select("entity_id", F.col("revision").alias("_revision"), F.col("lease_owner").alias("_owner"))

@@ -160,12 +160,23 @@ def snapshot_lookups(spark, folder):
     return captures.snapshot_list(rows, 7).select("id", F.lit("list").alias("kind")).unionByName(found.select("id", F.lit("asset").alias("kind")))
 
 
-@query("refresh_now", f"WITH {CAPTURES} SELECT id, CASE WHEN id % 2 = 0 AND status NOT IN ('queued', 'fetching') THEN 'queued' ELSE status END AS status, id % 2 = 0 AND status NOT IN ('queued', 'fetching') AS job FROM captures")
+@query(
+    "refresh_now",
+    f"""WITH {CAPTURES}, rows AS (SELECT c.*, 'failed after ' || length(html) || ' bytes' AS last_error, TIMESTAMP '2024-01-02' + to_seconds(length(html)) AS updated_at, length(html) % 3 > 0 AND status NOT IN ('queued', 'fetching') AS job,
+      length(html) % 3 > 0 AND status IN ('queued', 'fetching') AS refused FROM captures c JOIN pages ON pages.page_id = c.id)
+    SELECT id, CASE WHEN job THEN 'queued' ELSE status END AS status, CASE WHEN NOT job THEN last_error END AS last_error, {TIME.format("CASE WHEN NOT job THEN next_refresh_at END")} AS next_refresh_at,
+      {TIME.format("CASE WHEN job THEN TIMESTAMP '2024-06-01' ELSE updated_at END")} AS updated_at, url, refresh_interval_seconds, document_id, etag, job, refused FROM rows""",
+)
 def refresh_now(spark, folder):
-    rows = capture_rows(spark, folder)
-    result = captures.refresh_now(rows, rows.filter("id % 2 = 0"), "2024-06-01 00:00:00")
+    """Captures of pages of certain lengths, all columns after the refresh."""
+    size = F.length("html")
+    more = read_table(spark, folder, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("failed after "), size.cast("string"), F.lit(" bytes")).alias("last_error"), F.timestamp_add("SECOND", size, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).alias("updated_at"), (size % 3 > 0).alias("_wanted"))
+    rows = capture_rows(spark, folder).join(more, "id")
+    result = captures.refresh_now(rows.drop("_wanted"), rows.filter("_wanted"), "2024-06-01 00:00:00")
     jobs = result["jobs"].select(F.col("entity_id").alias("id"), F.lit(True).alias("job"))
-    return result["captures"].join(jobs, "id", "left").select("id", "status", F.coalesce("job", F.lit(False)).alias("job"))
+    both = result["captures"].join(jobs, "id", "left").join(result["refused"].select("id", F.lit(True).alias("refused")), "id", "left")
+    flag = lambda name: F.coalesce(name, F.lit(False)).alias(name)
+    return both.select("id", "status", "last_error", text_of_time("next_refresh_at").alias("next_refresh_at"), text_of_time("updated_at").alias("updated_at"), "url", "refresh_interval_seconds", "document_id", "etag", flag("job"), flag("refused"))
 
 
 @query("create_captures", "SELECT min(page_id) AS no, url, count(*) - 1 AS refused FROM (SELECT page_id, regexp_replace(url, '[0-9]+', 'n', 'g') AS url FROM pages) WHERE url NOT IN (SELECT regexp_replace(url, '[0-9]+', 'n', 'g') FROM pages WHERE page_id % 40 = 0) GROUP BY url")

@@ -256,6 +256,26 @@ def rrf_hybrid(spark, folder):
     return hits.select("hit", "page_id", F.round("score", 9).alias("score"))
 
 
+TWO_MODELS = "CASE WHEN label % 2 = 0 THEN 'small' ELSE 'large' END"
+
+
+@query(
+    "hybrid_of_one_model",
+    f"""WITH {two_rankings('the')}, {SECTION_NEAR.replace("WHERE s.page_status", f"WHERE {TWO_MODELS} = 'small' AND s.page_status")},
+    pnear AS (SELECT page_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, vec_id // 2 AS page_id, {DISTANCE} AS d FROM embeddings WHERE {TWO_MODELS} = 'small' AND vec_id // 2 IN (SELECT id FROM wiki WHERE deleted_at IS NULL AND status = 'published')) QUALIFY rank <= 100),
+    vlist AS (SELECT 'p:' || page_id AS hit, page_id, rank FROM pnear),
+    lists AS (SELECT * FROM plist UNION ALL SELECT * FROM llist UNION ALL SELECT * FROM vlist UNION ALL SELECT * FROM slist), {RRF} SELECT hit, page_id, round(score, 9) AS score FROM shown""",
+)
+def hybrid_of_one_model(spark, folder):
+    """Vectors of two models in one table; the question's vector comes from one of them."""
+    model = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label") % 2 == 0, "small").otherwise("large").alias("model"))
+    hits, _, _ = hybrid.search(
+        wiki(spark, folder), searchable(spark, folder), "the", vector=query_vector(spark, folder), model="small",
+        page_chunks=page_chunk_vectors(spark, folder).join(model, "chunk_id"), section_chunks=section_chunk_vectors(spark, folder).join(model, "chunk_id"),
+    )
+    return hits.select("hit", "page_id", F.round("score", 9).alias("score"))
+
+
 @query(
     "post_filtered_vector_pages",
     f"""WITH {WIKI}, near AS (SELECT vec_id // 2 AS page_id, row_number() OVER (ORDER BY {DISTANCE}, vec_id) AS rank FROM embeddings

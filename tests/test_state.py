@@ -267,3 +267,12 @@ def test_slug_collisions_from_titles(spark):
     frame = spark.createDataFrame([(n, "Untitled") for n in range(50)] + [(50, "Untitled 2")], "id long, title string").select("id", slugify(F.col("title")).alias("base"))
     result = {row["id"]: row["alias"] for row in lifecycle.assign_aliases(frame, spark.createDataFrame([], "alias string")).collect()}
     assert result[0] == "untitled" and result[1] == "untitled-2" and result[49] == "untitled-50" and result[50] == "untitled-2-2"
+
+
+def test_a_long_chain_of_handed_over_aliases(spark):
+    """Page n wants the alias of page n - 1; where one is refused, all that wait for it are."""
+    count = 10_000
+    pages = spark.range(1, count + 1).selectExpr("id", "concat('Page ', id) as title", "concat('page-', id) as alias", "'' as body", "cast(array() as array<string>) as tags", "'published' as status", "cast(null as bigint) as parent_id", "cast(map() as map<string,string>) as properties", "timestamp_ntz'2024-01-01' as created_at", "timestamp_ntz'2024-01-01' as updated_at", "cast(null as timestamp_ntz) as deleted_at", "cast(null as string) as deleted_alias")
+    updates = spark.range(1, count + 1).selectExpr("id", "case when id = 1 then 'first' when id = 5000 then 'page-9999' else concat('page-', id - 1) end as alias")
+    errors = {row.id: row.error for row in lifecycle.checked_updates(pages, updates).filter("error is not null").collect()}
+    assert errors == {n: "alias already exists" for n in range(5000, count + 1)}
