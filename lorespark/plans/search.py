@@ -261,7 +261,7 @@ TWO_MODELS = "CASE WHEN label % 2 = 0 THEN 'small' ELSE 'large' END"
 
 @query(
     "hybrid_of_one_model",
-    f"""WITH {two_rankings('the')}, {SECTION_NEAR.replace("WHERE s.page_status", f"WHERE {TWO_MODELS} = 'small' AND s.page_status")},
+    f"""WITH {two_rankings('the')}, {SECTION_NEAR.replace("WHERE s.page_status", f"WHERE {TWO_MODELS.replace('label', 'e.label')} = 'small' AND s.page_status")},
     pnear AS (SELECT page_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, vec_id // 2 AS page_id, {DISTANCE} AS d FROM embeddings WHERE {TWO_MODELS} = 'small' AND vec_id // 2 IN (SELECT id FROM wiki WHERE deleted_at IS NULL AND status = 'published')) QUALIFY rank <= 100),
     vlist AS (SELECT 'p:' || page_id AS hit, page_id, rank FROM pnear),
     lists AS (SELECT * FROM plist UNION ALL SELECT * FROM llist UNION ALL SELECT * FROM vlist UNION ALL SELECT * FROM slist), {RRF} SELECT hit, page_id, round(score, 9) AS score FROM shown""",
