@@ -9,7 +9,7 @@ from ..model import RequestError, SectionFilters
 from ..operators import answering, attachments, blobs, captures, chunks, documents, filters, hybrid, queues
 from ..sources import frontmatter
 from ..sources.tables import read_spread, read_table, upsert
-from .fixtures import TIME, SECTIONS, WIKI, archive_documents, document_versions, queue_events, sections, text_of_time, wiki
+from .fixtures import SECTIONS, TIME, WIKI, archive_documents, document_versions, queue_events, sections, text_of_time, wiki
 from .reading import searchable
 from .search import RRF, two_rankings
 from .state import CAPTURES, JOB_BACKOFF, NOW, capture_rows, fold_sql
