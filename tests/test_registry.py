@@ -17,7 +17,7 @@ CHOSEN = (
 ).split()
 
 #: Queries of other packages that SQL cannot express; their own tests compare them with brute force.
-WITHOUT_SQL = {"op1_byte_bpe", "op2_lm_scoring", "op5_language_id", "op7_suffix_dedup", "op9_token_counts", "pipeline"}
+WITHOUT_SQL = {"op1_byte_bpe", "op2_lm_scoring", "op5_language_id", "op7_suffix_dedup", "op9_token_counts", "op11_whitening", "op12_alignment", "op13_quality", "pipeline"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
