@@ -2,7 +2,8 @@
 
 Two plans give the same scores. `scan_search` counts matches while it scans the
 texts and needs no index. `PostingsIndex` keeps one row per (document, text,
-term), so that a query, or a whole table of queries, reads only its terms.
+term), so that a query, or a whole table of queries, reads only its terms;
+`SegmentedIndex` keeps such an index up to date.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions.cursors import strict_limit
 from ..functions.text import DROPPED_MARKS, excerpt, fold, keyword_fold, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
 from ..session import written
+from ..sources.segments import SegmentedTable
 from .filters import active, json_text, with_all_tags, with_facets, with_properties, with_status
 from .scale import one_row, top_per_group
 
@@ -295,21 +297,13 @@ class PostingsIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, texts: list[str], key: str = "id", positions: bool = False) -> "PostingsIndex":
-        """Postings of every row, written once: every use of the index reads them, and no text again.
+        """Postings of every row, written once: every use of the index reads them, and no text again."""
+        return cls.of(written(_by_term(index_rows(rows, texts, key, positions))))
 
-        Only equal terms of one row meet, after a map-side combine.
-        """
-        arrays = [F.struct(F.lit(number).alias("text_no"), tokens(F.col(name)).alias("words")) for number, name in enumerate(texts)]
-        words = rows.select(F.col(key).alias("id"), F.inline(F.array(*arrays)))
-        total = _sum([F.size(tokens(F.col(name))) for name in texts])
-        # Rows without any token count in the statistics too.
-        lengths = written(rows.select(F.col(key).alias("id"), total.cast("long").alias("length")))
-        if positions:
-            placed = words.select("id", "text_no", F.posexplode("words").alias("position", "term"))
-            postings = placed.groupBy("id", "text_no", "term").agg(F.array_sort(F.collect_list("position")).alias("positions")).withColumn("hits", F.size("positions"))
-        else:
-            postings = words.select("id", "text_no", F.explode("words").alias("term")).groupBy("id", "text_no", "term").agg(F.count("*").alias("hits"))
-        return cls(written(_by_term(postings)), lengths)
+    @classmethod
+    def of(cls, rows: DataFrame) -> "PostingsIndex":
+        """The index in rows of `index_rows`."""
+        return cls(rows.filter(F.col("term") != ""), rows.filter(F.col("term") == "").select("id", F.col("hits").alias("length")))
 
     def save(self, folder: str) -> "PostingsIndex":
         """Write both tables, postings sorted by term."""
@@ -381,6 +375,47 @@ class PostingsIndex:
         return top_per_group(ranked, "keyword", limit, F.asc("score"), F.desc("id"))
 
 
+def index_rows(rows: DataFrame, texts: list[str], key: str = "id", positions: bool = False) -> DataFrame:
+    """(id, text_no, term, hits[, positions]) of every row, and one with an empty term whose hits are the row's length.
+
+    Every text is tokenised once. Only equal terms of one row meet, after a
+    map-side combine. Rows without any token count in the statistics too.
+    """
+    names = [f"_words_{number}" for number in range(len(texts))]
+    words = rows.select(F.col(key).alias("id"), *[F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias(name) for text, name in zip(texts, names)])
+
+    def placed(number: int, name: str) -> Column:
+        return F.transform(name, lambda term, at: F.struct(F.lit(number).alias("text_no"), term.alias("term"), at.alias("position"), F.lit(1).cast("bigint").alias("weight")))
+
+    length = F.struct(F.lit(-1).alias("text_no"), F.lit("").alias("term"), F.lit(None).cast("int").alias("position"), _sum([F.size(name) for name in names]).cast("bigint").alias("weight"))
+    parts = words.select("id", F.inline(F.concat(F.array(length), *[placed(number, name) for number, name in enumerate(names)])))
+    measures = [F.sum("weight").alias("hits")] + ([F.array_sort(F.collect_list("position")).alias("positions")] if positions else [])
+    return parts.groupBy("id", "text_no", "term").agg(*measures)
+
+
+class SegmentedIndex:
+    """An index that follows its rows: changed and removed rows become a small segment, and searches read all of them.
+
+    Scores are those of an index built afresh from the rows as they are now.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, texts: list[str], key: str = "id", positions: bool = False) -> None:
+        self.texts, self.key, self.positions = texts, key, positions
+        schema = "id bigint, text_no int, term string, hits bigint" + (", positions array<int>" if positions else "")
+        # A prefix is a range of terms; tombstones have no term and stand first.
+        self.table = SegmentedTable(spark, folder, schema, "id", ["term", "id"], F.col("term") == "")
+
+    def update(self, changed: DataFrame | None = None, removed: DataFrame | None = None, batch: int | None = None) -> bool:
+        """New and changed rows (each key once) and the keys of removed ones; False if this batch had come before."""
+        rows = None if changed is None else index_rows(changed, self.texts, self.key, self.positions)
+        gone = None if removed is None else removed.select(F.col(self.key).alias("id"))
+        return self.table.append(rows, gone, batch)
+
+    def open(self) -> PostingsIndex:
+        """The index as it is now."""
+        return PostingsIndex.of(self.table.read())
+
+
 def _by_term(postings: DataFrame) -> DataFrame:
     """Sorted so that prefix ranges skip row groups; a frequent term may span several partitions."""
     return postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import SectionFilters
 from ..operators import evidence, filters, hybrid, lexical, vectors
+from ..session import own_folder
 from ..sources.tables import read_spread, read_table
 from .fixtures import SECTIONS, WIKI, wiki
 from .reading import searchable
@@ -94,6 +95,24 @@ def phrase_from_postings(spark, folder):
     return index.scores("de-la").join(index.phrase_matches(["de", "la"]), "id").select(F.col("id").alias("doc_id"), "hits", (F.round("score", 6) + 0.0).alias("score"))
 
 
+REWRITTEN = """now AS (SELECT doc_id, CASE WHEN lang = 'de' THEN coalesce(text, '') || ' On the ' || source WHEN lang = 'fr' THEN source ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src3' OR lang = 'es'),
+    words AS (SELECT doc_id, """ + WORDS.format("coalesce(text, '')") + " AS w FROM now)"
+
+
+@query("search_after_updates", f"WITH {REWRITTEN}, {bm25_sql('words', 'doc_id', [prefix_hits('w', 'the'), prefix_hits('w', 'on')], 'len(w)')} SELECT doc_id, round(score, 6) + 0.0 AS score FROM ranked")
+def search_after_updates(spark, folder):
+    """All matches in an index that took in all documents, then two languages rewritten, a source removed, and one language of it back."""
+    rows = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "text", "lang", "source")
+    index = lexical.SegmentedIndex(spark, own_folder(spark), ["text"], "doc_id")
+    index.update(rows, batch=0)
+    rewritten = F.when(F.col("lang") == "de", F.concat(F.coalesce("text", F.lit("")), F.lit(" On the "), "source")).otherwise(F.col("source"))
+    index.update(rows.filter(F.col("lang").isin("de", "fr")).withColumn("text", rewritten), batch=1)
+    index.update(removed=rows.filter(F.col("source") == "src3"), batch=2)
+    index.update(rows.filter((F.col("source") == "src3") & (F.col("lang") == "es")), batch=3)
+    index.update(removed=rows, batch=3)  # a batch that has come before changes nothing
+    return index.open().scores("the ON").select(F.col("id").alias("doc_id"), (F.round("score", 6) + 0.0).alias("score"))
+
+
 PAGE_WORDS = f"""{WIKI}, rows AS (SELECT *, 'chars ' || n_chars || ' lang ' || lang AS properties_text, array_to_string(tags, ' ') AS tags_text FROM wiki WHERE deleted_at IS NULL),
     words AS (SELECT *, {WORDS.format('title')} AS w1, {WORDS.format('alias')} AS w2, {WORDS.format('body')} AS w3, {WORDS.format('tags_text')} AS w4, {WORDS.format('properties_text')} AS w5 FROM rows)"""
 PAGE_LENGTH = " + ".join(f"len(w{number})" for number in range(1, 6))

@@ -74,14 +74,19 @@ def own_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_SHUFFLES_END, before)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, which `release` and `remove_written` take away like a table of `written`."""
+    _written.append(f"{shared_folder(spark)}/written-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: for frames of which later readers need parts only.
 
     `release` takes one of them away again, `remove_written` all of them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = own_folder(spark)
     with own_shuffles(spark):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

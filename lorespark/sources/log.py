@@ -21,46 +21,70 @@ from pyspark.sql import DataFrame, SparkSession
 PATIENCE = 30
 
 
-class EventLog:
-    def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
-        self.spark, self.folder, self.schema = spark, folder, schema
+class NumberedFiles:
+    """Small text files named by numbers; each number is created by one writer only."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._names = self._path(f"{folder}/batches")
+
+    def numbers(self) -> list[int]:
+        place = self._path(self.folder)
+        return sorted(int(entry.getPath().getName()) for entry in self._files.listStatus(place)) if self._files.exists(place) else []
 
     def last(self) -> int:
-        """The number of the newest batch; 0 before the first."""
-        if not self._files.exists(self._names):
-            return 0
-        return max((int(entry.getPath().getName()) for entry in self._files.listStatus(self._names)), default=0)
+        """The newest number; 0 before the first."""
+        return max(self.numbers(), default=0)
 
-    def _data(self, number: int) -> str:
+    def read(self, number: int) -> str:
         until = time.monotonic() + PATIENCE
         while time.monotonic() < until:
-            found = self.spark.read.text(f"{self.folder}/batches/{number:012d}").first()
-            if found is not None and found.value:
-                return f"{self.folder}/data/{found.value}"
+            file = self._files.open(self._path(f"{self.folder}/{number:012d}"))
+            line = self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+            file.close()
+            if line:
+                return line
             time.sleep(0.2)
-        raise RuntimeError(f"batch {number} has a name and no content: its writer was lost; remove the file to go on")
+        raise RuntimeError(f"number {number} has a name and no content: its writer was lost; remove the file to go on")
+
+    def create(self, number: int, line: str) -> bool:
+        """False if another writer has taken the number."""
+        try:
+            file = self._files.create(self._path(f"{self.folder}/{number:012d}"), False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            return False
+        file.write(bytearray(line, "utf-8"))
+        file.close()
+        return True
+
+    def delete(self, path: str) -> None:
+        self._files.delete(self._path(path), True)
+
+
+class EventLog:
+    def __init__(self, spark: SparkSession, folder: str, schema: str) -> None:
+        self.spark, self.folder, self.schema = spark, folder, schema
+        self._batches = NumberedFiles(spark, f"{folder}/batches")
+
+    def last(self) -> int:
+        """The number of the newest batch; 0 before the first."""
+        return self._batches.last()
 
     def read(self, upto: int | None = None, after: int = 0) -> DataFrame:
         """Events of the batches after one number up to another (the newest)."""
         numbers = range(after + 1, (self.last() if upto is None else upto) + 1)
         if not numbers:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[self._data(number) for number in numbers])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/data/{self._batches.read(number)}" for number in numbers])
 
     def append(self, events: DataFrame, number: int) -> bool:
         """Add a batch under a number; False if another writer has taken it."""
         name = uuid.uuid4().hex
         events.write.parquet(f"{self.folder}/data/{name}")
-        try:
-            file = self._files.create(self._path(self._names, f"{number:012d}"), False)
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
-                raise
-            self._files.delete(self._path(f"{self.folder}/data/{name}"), True)
-            return False
-        file.write(bytearray(name, "ascii"))
-        file.close()
-        return True
+        if self._batches.create(number, name):
+            return True
+        self._batches.delete(f"{self.folder}/data/{name}")
+        return False
