@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import slugify
 from ..operators import blobs, captures, filters, history, lifecycle, queues
-from ..session import cut_lineage
+from ..session import cut_lineage, own_folder
 from ..sources.tables import read_spread, read_table
+from ..streaming import jobs
 from .fixtures import TIME, WIKI, queue_events, text_of_time, wiki
 
 QUERIES, ORACLE = {}, {}
@@ -587,3 +588,19 @@ def queue_incremental_fold(spark, folder):
         part = part if high is None else part.filter(micros <= high)
         state = cut_lineage(queues.merge(state, part))
     return shown(queues.current(state, queues.LEASE_SECONDS["documents"], queues.JOB_POLICY))
+
+
+@query("queue_stream", f"WITH {fold_sql(1800, JOB_BACKOFF)} SELECT {SHOWN} FROM queue")
+def queue_stream(spark, folder):
+    """The event log in three files of time, followed by a stream with keyed state."""
+    events = queue_events(spark, folder)
+    place = own_folder(spark)
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    ends = events.select(F.percentile_approx(micros, [0.5, 0.8]).alias("ends")).first()["ends"]
+    for number, (low, high) in enumerate(zip([None, *ends], [*ends, None])):
+        part = events if low is None else events.filter(micros > low)
+        part = part if high is None else part.filter(micros <= high)
+        part.write.parquet(f"{place}/events/{number}")
+        arriving = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{place}/events")
+        jobs.keep_queue_current(arriving, f"{place}/queue", f"{place}/checkpoint", queues.LEASE_SECONDS["documents"], queues.JOB_POLICY).awaitTermination()
+    return shown(jobs.read_queue(spark, f"{place}/queue"))

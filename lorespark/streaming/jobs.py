@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import Settings
 from ..operators.chunks import explode_sections
-from ..operators.queues import RetryPolicy, current, merge
+from ..operators.queues import LAST, RetryPolicy, current
+from ..session import release, written
 from ..sources.files import extract_files
+from ..sources.segments import SegmentedTable
 
 
 def read_events(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -21,21 +23,149 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType | str, pa
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def keep_queue_current(events: DataFrame, folder: str, checkpoint: str, lease_seconds: int, policy: RetryPolicy):
-    """After every micro-batch, merge its events into the state of the batch before and publish the queue.
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', at)"
+MARKS = list(LAST)
+JOB_STATE = (
+    "requested_at bigint, requested_id bigint, revision bigint, failures bigint, refused boolean, "
+    + ", ".join(f"{name}_at bigint, {name}_id bigint" for name in MARKS)
+    + ", claim_owner string, delay_seconds bigint"
+)
+RENEWALS = "array<struct<owner:string,at:bigint,event_id:bigint>>"
+NEVER = (-(2**63), -(2**63))
 
-    State and queue of a batch lie in folders named by its number, so a repeated
-    batch starts from the same state, overwrites its own folders, and counts no
-    event twice.
+
+class QueueProcessor(StatefulProcessor):
+    """What `queues.merge` knows of a job, as keyed state: a batch writes the state of the jobs it touches.
+
+    Output: the new state of every touched job. `retention_seconds` after a job was
+    completed or cancelled its state goes; a later request then counts as the
+    first one. None keeps it for ever, and the queue is exactly the fold of its log.
+    A task holds the events that one micro-batch has for one job.
     """
 
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/state/batch={number - 1}") if number else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-        current(spark.read.parquet(f"{folder}/state/batch={number}"), lease_seconds, policy).write.mode("overwrite").parquet(f"{folder}/queue/batch={number}")
+    def __init__(self, retention_seconds: int | None):
+        self.retention = retention_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", JOB_STATE)
+        self.renewals = handle.getMapState("renewals", "owner string", "at bigint, event_id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
+        names = [part.split()[0] for part in JOB_STATE.split(", ")]
+        job = dict(zip(names, self.job.get())) if self.job.exists() else dict.fromkeys(names)
+        requests = events[events["kind"] == "requested"]
+        if len(requests):
+            revision = (job["revision"] or 0) + len(requests)
+            job = dict.fromkeys(names) | {"revision": revision, "failures": 0, "refused": False}
+            job["requested_at"], job["requested_id"] = (int(requests[name].iloc[-1]) for name in ("at", "event_id"))
+            self.renewals.clear()
+        if job["requested_at"] is None:
+            return
+        later = (events["at"] > job["requested_at"]) | ((events["at"] == job["requested_at"]) & (events["event_id"] > job["requested_id"]))
+        events = events[(events["kind"] != "requested") & later & (events["revision"].isna() | (events["revision"] == job["revision"]))]
+        for name in MARKS:
+            found = events[events["kind"] == LAST[name][0]]
+            if not len(found):
+                continue
+            newest = found.iloc[-1]
+            if (newest["at"], newest["event_id"]) > (NEVER if job[f"{name}_at"] is None else (job[f"{name}_at"], job[f"{name}_id"])):
+                job[f"{name}_at"], job[f"{name}_id"] = int(newest["at"]), int(newest["event_id"])
+                if name == "claim":
+                    job["claim_owner"] = None if pd.isna(newest["owner"]) else newest["owner"]
+                elif name == "delay":
+                    job["delay_seconds"] = None if pd.isna(newest["delay_seconds"]) else int(newest["delay_seconds"])
+        failed = events[events["kind"] == "failed"]
+        job["failures"] += len(failed)
+        job["refused"] = bool(job["refused"] or (failed["retryable"] == False).any())  # noqa: E712, a null counts as retryable
+        for owner, found in events[events["kind"] == "renewed"].groupby(events["owner"].fillna("")):
+            place = (int(found["at"].iloc[-1]), int(found["event_id"].iloc[-1]))
+            if not self.renewals.containsKey((owner,)) or place > tuple(self.renewals.getValue((owner,))):
+                self.renewals.updateValue((owner,), place)
+        self.job.update(tuple(job[name] for name in names))
+        if self.retention is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if job["completion_at"] is not None or job["cancellation_at"] is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retention * 1000)
+        renewals = [{"owner": owner[0], "at": place[0], "event_id": place[1]} for owner, place in self.renewals.iterator()]
+        types = {name: "Int64" for name in names if name not in ("refused", "claim_owner")}
+        yield pd.DataFrame([[key[0], *[job[name] for name in names], renewals]], columns=["entity_id", *names, "renewals"]).astype(types)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        self.renewals.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def queue_states(events: DataFrame, retention_seconds: int | None = None) -> DataFrame:
+    """Stream of the states of jobs as their events come in; `as_state` gives them the form of `queues.merge`."""
+    optional = {"owner": "string", "revision": "bigint", "retryable": "boolean", "delay_seconds": "bigint"}
+    shaped = events.select("entity_id", F.expr(MICROS).alias("at"), "event_id", "kind", *[(F.col(name) if name in events.columns else F.lit(None)).cast(kind).alias(name) for name, kind in optional.items()])
+    return shaped.groupBy("entity_id").transformWithStateInPandas(
+        QueueProcessor(retention_seconds), outputStructType=f"entity_id bigint, {JOB_STATE}, renewals {RENEWALS}", outputMode="update", timeMode="none" if retention_seconds is None else "processingTime"
+    )
+
+
+def as_state(states: DataFrame) -> DataFrame:
+    def moment(micros: Column) -> Column:
+        return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+    def place(name: str, *values: str) -> Column:
+        known = F.struct(moment(F.col(f"{name}_at")).alias("at"), F.col(f"{name}_id").alias("event_id"), *[F.col(column).alias(value) for column, value in zip(values, LAST.get(name, ("", []))[1])])
+        return F.when(F.col(f"{name}_at").isNotNull(), known).alias(name)
+
+    extra = {"claim": ["claim_owner"], "delay": ["delay_seconds"]}
+    renewals = F.map_from_entries(F.transform("renewals", lambda one: F.struct(one["owner"], F.struct(moment(one["at"]).alias("at"), one["event_id"].alias("event_id")))))
+    return states.select("entity_id", place("requested"), "revision", *[place(name, *extra.get(name, [])) for name in MARKS], "failures", "refused", renewals.alias("renewals"))
+
+
+QUEUE = "entity_id bigint, requested_at timestamp_ntz, available_at timestamp_ntz, attempts bigint, revision bigint, lease_owner string, lease_until timestamp_ntz"
+
 
-    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def queue_table(spark: SparkSession, folder: str) -> SegmentedTable:
+    return SegmentedTable(spark, folder, QUEUE, "entity_id", ["entity_id"])
+
+
+def read_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue after the last batch that `keep_queue_current` has published."""
+    return queue_table(spark, folder).read()
+
+
+def keep_queue_current(events: DataFrame, folder: str, checkpoint: str, lease_seconds: int, policy: RetryPolicy, retention_seconds: int | None = None):
+    """Follow the events and publish the queue: each micro-batch writes the jobs that it touches, and no others.
+
+    The state of a job is kept by key; the queue is a table of segments, in which
+    finished jobs are tombstones until they are merged away. A repeated batch
+    starts from the same state and is published once. Events of one job must
+    arrive in later batches than those before them; inside a batch in any order.
+    """
+    def handle(batch: DataFrame, number: int) -> None:
+        table = queue_table(batch.sparkSession, folder)
+        if number <= table.applied():
+            return
+        # Written once, as changes and removals both read it; the state is not advanced twice.
+        states = written(as_state(batch))
+        gone = states.filter(F.col("completion").isNotNull() | F.col("cancellation").isNotNull())
+        table.append(current(states, lease_seconds, policy), gone, number)
+        table.vacuum()
+        release(states)
+
+    # Keyed state needs this store. Timers are looked at when events come: batches without events would never end.
+    needed = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = events.sparkSession.conf
+    before = {name: conf.get(name) for name in needed}
+    for name, value in needed.items():
+        conf.set(name, value)
+    try:  # a stream keeps the settings that it was started with
+        return queue_states(events, retention_seconds).writeStream.foreachBatch(handle).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def ingest_documents(files: DataFrame, settings: Settings, sections_path: str, checkpoint: str):
