@@ -378,19 +378,34 @@ class PostingsIndex:
 def index_rows(rows: DataFrame, texts: list[str], key: str = "id", positions: bool = False) -> DataFrame:
     """(id, text_no, term, hits[, positions]) of every row, and one with an empty term whose hits are the row's length.
 
-    Every text is tokenised once. Only equal terms of one row meet, after a
-    map-side combine. Rows without any token count in the statistics too.
+    Every text is tokenised once, and its equal terms are counted where they are:
+    in its sorted array each term is a run. Rows without any token count in the
+    statistics too.
     """
     names = [f"_words_{number}" for number in range(len(texts))]
-    words = rows.select(F.col(key).alias("id"), *[F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias(name) for text, name in zip(texts, names)])
 
-    def placed(number: int, name: str) -> Column:
-        return F.transform(name, lambda term, at: F.struct(F.lit(number).alias("text_no"), term.alias("term"), at.alias("position"), F.lit(1).cast("bigint").alias("weight")))
+    def sorted_words(text: str) -> Column:
+        words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+        return F.array_sort(F.transform(words, lambda term, at: F.struct(term.alias("term"), at.alias("position"))))
 
-    length = F.struct(F.lit(-1).alias("text_no"), F.lit("").alias("term"), F.lit(None).cast("int").alias("position"), _sum([F.size(name) for name in names]).cast("bigint").alias("weight"))
-    parts = words.select("id", F.inline(F.concat(F.array(length), *[placed(number, name) for number, name in enumerate(names)])))
-    measures = [F.sum("weight").alias("hits")] + ([F.array_sort(F.collect_list("position")).alias("positions")] if positions else [])
-    return parts.groupBy("id", "text_no", "term").agg(*measures)
+    def run_starts(name: str) -> Column:
+        term = lambda at: F.element_at(name, at)["term"]
+        places = F.when(F.size(name) > 0, F.sequence(F.lit(1), F.size(name))).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda at: F.when(at == 1, True).otherwise(term(at) != term(at - 1)))
+
+    def runs(number: int, name: str) -> Column:
+        def posting(start: Column, at: Column) -> Column:
+            size = F.coalesce(F.get(f"{name}_runs", at + 1), F.size(name) + 1) - start
+            placed = [F.transform(F.slice(name, start, size), lambda one: one["position"]).alias("positions")] if positions else []
+            return F.struct(F.lit(number).alias("text_no"), F.element_at(name, start)["term"].alias("term"), size.cast("bigint").alias("hits"), *placed)
+
+        return F.transform(f"{name}_runs", posting)
+
+    words = rows.select(F.col(key).alias("id"), *[sorted_words(text).alias(name) for text, name in zip(texts, names)])
+    counted = words.select("id", *names, *[run_starts(name).alias(f"{name}_runs") for name in names])
+    nowhere = [F.array().cast("array<int>").alias("positions")] if positions else []
+    length = F.struct(F.lit(-1).alias("text_no"), F.lit("").alias("term"), _sum([F.size(name) for name in names]).cast("bigint").alias("hits"), *nowhere)
+    return counted.select("id", F.inline(F.concat(F.array(length), *[runs(number, name) for number, name in enumerate(names)])))
 
 
 class SegmentedIndex:

@@ -94,4 +94,4 @@ def test_index_follows_its_rows(spark, tmp_path):
 def test_each_text_is_tokenised_once(spark):
     rows = spark.createDataFrame([(1, "one two")], "id long, a string")
     plan = lexical.index_rows(rows, ["a"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("split(") == 1 and plan.count("Exchange") == 1
+    assert plan.count("split(") == 1 and "Exchange" not in plan
