@@ -80,13 +80,6 @@ def manifest(*files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def write_export(folder: str, files: DataFrame, buckets: int = 64) -> None:
-    """Files and manifest as Parquet; a bucket column spreads the files over directories, one task for each."""
-    spread = files.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)))
-    spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/files")
-    manifest(files).write.mode("overwrite").parquet(f"{folder}/manifest")
-
-
 # Lines of a header: a key with or without a value, a list item, and an entry of a mapping.
 KEY_LINE, ITEM_LINE, ENTRY_LINE = r"[A-Za-z_]\w*:(?: .*)?", r"  - .*", r'  (?:"(?:[^"\\]++|\\.)*+"|[\w.-]+): .*'
 
@@ -171,4 +164,4 @@ def capture_article(markdown: DataFrame, assets: DataFrame) -> DataFrame:
     return joined.withColumn("content", F.coalesce(rewritten, F.col("content"))).drop("_pairs")
 
 
-__all__ = ["export_pages", "export_revisions", "import_pages", "manifest", "write_export", "breadcrumbs"]
+__all__ = ["export_pages", "export_revisions", "import_pages", "manifest", "breadcrumbs"]

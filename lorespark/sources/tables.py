@@ -27,17 +27,30 @@ def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFr
     return table.repartition(int(wanted), key) if wanted else table
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write all tables into a new version folder, then name it as the next version.
-
-    Readers keep the version they opened. Versions are numbered; the name of a
-    version is a folder that only one writer can create, so two writers at once
-    never take the same number, and a lost job leaves the previous one current.
-    """
-    spark = next(iter(tables.values())).sparkSession
+def stage(tables: dict[str, DataFrame], folder: str) -> str:
+    """Write all tables into a new data folder that no version names yet, and return its name."""
     data = uuid.uuid4().hex
-    for name, frame in tables.items():
-        frame.write.parquet(f"{folder}/data/{data}/{name}")
+    try:
+        for name, frame in tables.items():
+            frame.write.parquet(f"{folder}/data/{data}/{name}")
+    except BaseException:
+        discard(next(iter(tables.values())).sparkSession, folder, data)
+        raise
+    return data
+
+
+def staged(spark: SparkSession, folder: str, data: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/data/{data}/{name}")
+
+
+def discard(spark: SparkSession, folder: str, data: str) -> None:
+    """Remove staged tables that shall not become a version."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/data/{data}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def commit(spark: SparkSession, folder: str, data: str) -> str:
+    """Name staged tables as the next version."""
     number = max(_numbers(spark, folder), default=0) + 1
     while True:
         try:
@@ -49,6 +62,16 @@ def publish(tables: dict[str, DataFrame], folder: str) -> str:
             number += 1
 
 
+def publish(tables: dict[str, DataFrame], folder: str) -> str:
+    """Write all tables into a new version folder, then name it as the next version.
+
+    Readers keep the version they opened. Versions are numbered; the name of a
+    version is a folder that only one writer can create, so two writers at once
+    never take the same number, and a lost job leaves the previous one current.
+    """
+    return commit(next(iter(tables.values())).sparkSession, folder, stage(tables, folder))
+
+
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the finished versions."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")

@@ -52,16 +52,6 @@ def test_bad_headers(spark, text, problem):
     assert problem in row["error"]
 
 
-def test_export_verifies_and_notices_damage(spark, tmp_path):
-    exported = frontmatter.export_pages(pages(spark))
-    frontmatter.write_export(str(tmp_path / "export"), exported, buckets=2)
-    files_back = spark.read.parquet(str(tmp_path / "export" / "files"))
-    listed = spark.read.parquet(str(tmp_path / "export" / "manifest"))
-    assert blobs.verify_archive(listed, frontmatter.manifest(files_back)).count() == 0
-    damaged = files_back.withColumn("content", F.when(F.col("path").startswith("trash"), F.lit("")).otherwise(F.col("content")))
-    assert [row["problem"] for row in blobs.verify_archive(listed, frontmatter.manifest(damaged)).collect()] == ["size"]
-
-
 def test_published_versions(spark, tmp_path):
     folder = str(tmp_path / "store")
     first = tables.publish({"pages": pages(spark)}, folder)
