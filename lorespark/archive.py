@@ -107,6 +107,9 @@ class Archive:
     def backlinks(self) -> DataFrame:
         return graph.backlinks(self.links, self.pages)
 
+    def backlink_list(self) -> DataFrame:
+        return graph.backlink_list(self.links, self.pages)
+
     def related(self, page_id: int, limit: int = 8) -> DataFrame:
         return graph.related(self.pages, page_id, limit)
 

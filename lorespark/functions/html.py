@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,6 +134,15 @@ def place_image(markdown: Column, alt: Column, marker: Column, sha256: Column, f
     return F.replace(markdown, source, F.concat(F.lit("!["), alt, F.lit("]("), target, F.lit(")")))
 
 
+def settle_images(markdown: Column, images: Column, stored: Callable[[Column], Column], filename: Callable[[Column], Column]) -> Column:
+    """Every image of `image_references` placed at its stored copy, or dropped where `stored` has no hash for it."""
+    def one(text: Column, item: Column) -> Column:
+        marker = image_marker(item["ordinal"])
+        return bind(stored(item), lambda digest: F.when(digest.isNull(), drop_image(text, item["alt"], marker)).otherwise(place_image(text, item["alt"], marker, digest, filename(item))))
+
+    return F.aggregate(images, markdown, one)
+
+
 def markdown_images(markdown: Column, base: Column) -> Column:
     """Images of a Markdown text whose address is a safe web address: (ordinal, source_url, alt)."""
     pattern = r"""(?i)!\[([^\]]*)\]\(([^\s)]+)(?:\s+["'][^"']*["'])?\)"""

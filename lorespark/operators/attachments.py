@@ -61,7 +61,7 @@ def version_files(versions: DataFrame, stored: DataFrame) -> DataFrame:
 def hydrate_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Live pages as they are read: tags, properties as text, number of children, breadcrumbs and backlinks.
 
-    Breadcrumbs are as long as the forest is deep; who links to a page, `graph.backlinks` lists.
+    Breadcrumbs are as long as the forest is deep; who links to a page, `graph.backlink_list` lists in order.
     """
     live = active(pages)
     children = live.filter(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))

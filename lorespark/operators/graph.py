@@ -9,7 +9,7 @@ from ..functions.cursors import strict_limit
 from ..functions.text import wiki_links
 from ..model import MAX_EXPLORE_SIZE
 from .filters import active, deleted
-from .scale import latest_per
+from .scale import latest_per, sum_before
 
 
 def by_time() -> list:
@@ -58,6 +58,18 @@ def backlinks(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(target, "target_alias").join(source, "source_page_id").select("page_id", F.col("source_page_id").alias("source_id"), "source_title", "source_alias")
 
 
+def backlink_list(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, position, id, title, alias): the live pages that name each page, by title, from 1.
+
+    A page in the trash keeps those of the alias it had. Rows, not an array: a page may be named by any share of all pages.
+    """
+    target = pages.select(F.col("id").alias("page_id"), F.when(F.col("deleted_at").isNull(), F.col("alias")).otherwise(F.coalesce("deleted_alias", "alias")).alias("target_alias"))
+    source = active(pages).select(F.col("id").alias("source_page_id"), "title", "alias")
+    named = links.distinct().join(target, "target_alias").join(source, "source_page_id").select("page_id", F.col("source_page_id").alias("id"), "title", "alias")
+    placed = sum_before(named.withColumns({"_name": F.lower("title"), "_one": F.lit(1)}), "page_id", ["_name", "id"], "_one", "_before")
+    return placed.select("page_id", (F.col("_before") + 1).alias("position"), "id", "title", "alias")
+
+
 def incoming_counts(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(alias, incoming_links): number of distinct live sources per target alias.
 

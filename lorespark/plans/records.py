@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cursors, html, text
 from ..model import RequestError, SectionFilters
-from ..operators import answering, attachments, blobs, captures, chunks, documents, filters, hybrid, queues
+from ..operators import answering, attachments, blobs, captures, chunks, documents, filters, graph, hybrid, queues
 from ..sources import frontmatter
 from ..sources.tables import read_spread, read_table, upsert
 from .fixtures import SECTIONS, TIME, WIKI, archive_documents, document_versions, queue_events, sections, text_of_time, wiki
@@ -90,6 +90,19 @@ def page_reading(spark, folder):
     return rows.select("id", "title", crumbs.alias("crumbs"), F.concat_ws(",", F.col("properties_text")["lang"], F.col("properties_text")["chars"]).alias("properties"), "children", F.col("backlink_count").alias("backlinks"))
 
 
+@query(
+    "page_backlinks",
+    f"""WITH {WIKI}, links AS (SELECT DISTINCT id AS source, 'doc-' || (n_chars % 200) AS target FROM wiki)
+    SELECT t.id AS page_id, row_number() OVER (PARTITION BY t.id ORDER BY lower(s.title) NULLS FIRST, s.id) AS position, s.id, s.title, s.alias
+    FROM links k JOIN wiki s ON s.id = k.source AND s.deleted_at IS NULL JOIN wiki t ON coalesce(t.deleted_alias, t.alias) = k.target""",
+)
+def page_backlinks(spark, folder):
+    """The list of backlinks of every page, live or deleted, in its order."""
+    pages = wiki(spark, folder)
+    links = pages.select(F.col("id").alias("source_page_id"), F.concat(F.lit("doc-"), (F.expr("cast(properties['chars'] as bigint)") % 200).cast("string")).alias("target_alias"))
+    return graph.backlink_list(links, pages)
+
+
 @query("version_files", "SELECT doc_id AS document_id, sha256(text) AS sha256, substr(sha256(text), 1, 2) || '/' || sha256(text) AS path, octet_length(encode(text)) AS size FROM documents WHERE source <> 'src0'")
 def version_files(spark, folder):
     rows = blobs.addressed(read_spread(spark, folder, "documents", "doc_id"), "text")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import html, mime, text, urls
 from ..operators import chunks, graph
-from ..sources import files, frontmatter
+from ..session import own_folder
+from ..sources import files, frontmatter, tables, transfer
 from ..sources.tables import read_spread, read_table
-from .fixtures import WIKI, wiki
+from .fixtures import TIME, WIKI, text_of_time, wiki
 
 QUERIES, ORACLE = {}, {}
 
@@ -122,6 +123,25 @@ def image_placement(spark, folder):
     return prepared.select("page_id", F.array_join(found, " ").alias("images"))
 
 
+# Most images a capture keeps; a fixed value of these two twins.
+KEPT = 3
+LABEL = r"trim(regexp_replace(" + entities("labels[i]") + r", '\s+', ' ', 'g'))"
+CAPTURED = rf"""cleaned AS (SELECT page_id, url, html AS whole, regexp_replace(regexp_replace(html, '(?i)</?nav>', '', 'g'), '(?is)<footer\b.*?</footer>', chr(10), 'g') AS h FROM pages),
+    cut AS (SELECT *, string_split_regex(h, '<a href="[^"]*">[^<]*</a>') AS pieces, regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 1) AS targets, regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 2) AS labels FROM cleaned),
+    filled AS (SELECT page_id, url, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || CASE WHEN i > len(targets) THEN ''
+        WHEN i <= {KEPT} THEN chr(10) || chr(10) || '![' || {LABEL} || '](/web-assets/' || sha256(regexp_extract(url, '^(https?://[^/?#]+)', 1) || replace(replace(url_encode(targets[i]), '%2F', '/'), '%2C', ',')) || '/picture.png)' || chr(10) || chr(10)
+        WHEN {LABEL} = '' THEN chr(10) || chr(10) ELSE chr(10) || chr(10) || '*Image unavailable: ' || {LABEL} || '*' || chr(10) || chr(10) END), '') AS html FROM cut)"""
+
+
+@query("capture_images", f"WITH {CAPTURED} SELECT page_id, {markdown_sql('html')} AS markdown FROM filled")
+def capture_images(spark, folder):
+    """Whole captured texts: the first images point to their stored copies, a note stands for each further one."""
+    rewritten = F.regexp_replace(F.regexp_replace("html", "(?i)</?nav>", ""), r'<a href="([^"]*)">([^<]*)</a>', '<img data-src="$1" alt="$2">')
+    pages = captured(spark, folder).withColumn("html", rewritten)
+    prepared = pages.select("page_id", html.html_to_markdown(F.col("html"), F.col("url")).alias("markdown"), html.image_references(F.col("html"), F.col("url")).alias("images"))
+    return prepared.select("page_id", html.settle_images(F.col("markdown"), F.col("images"), lambda item: F.when(item["ordinal"] < KEPT, text.sha256_hex(item["source_url"])), lambda item: F.lit("picture.png")).alias("markdown"))
+
+
 LINKED = r"""linked AS (SELECT page_id, regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>', '[[\1|\2]]', 'g') AS body FROM pages),
     targets AS (SELECT page_id, list_transform(regexp_extract_all(body, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1), lambda t: lower(trim(t))) AS t FROM linked),
     kept AS (SELECT page_id, list_filter(t, lambda a: regexp_full_match(a, '[a-z0-9]+(-[a-z0-9]+)*')) AS t FROM targets)"""
@@ -435,6 +455,32 @@ def export_manifest(spark, folder):
     return checked.select("id", "path")
 
 
+@query(
+    "archive_round_trip",
+    f"""WITH {WIKI} SELECT w.id, w.title, w.alias, array_to_string(w.tags, ',') AS tags, w.status, coalesce(w.parent_id, -1) AS parent_id, w.lang, w.n_chars::VARCHAR AS chars, w.body,
+      {TIME.format('w.updated_at')} AS updated_at, {TIME.format('w.deleted_at')} AS deleted_at, coalesce(a.files, 0) AS files, coalesce(a.bytes, 0) AS bytes
+    FROM wiki w LEFT JOIN (SELECT conv_id, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations GROUP BY conv_id) a ON a.conv_id = w.id""",
+)
+def archive_round_trip(spark, folder):
+    """All pages and turns (as attached files) written as an archive, restored into an empty store, and read with their files."""
+    place = own_folder(spark)
+    pages = wiki(spark, folder)
+    turns = read_spread(spark, folder, "conversations", "conv_id").select("conv_id", "turn", F.encode("text", "UTF-8").alias("content")).withColumn("sha256", F.sha2("content", 256))
+    owned = turns.join(pages.select(F.col("id").alias("conv_id")), "conv_id", "left_semi")
+    attached = owned.select(F.col("conv_id").alias("page_id"), "turn", F.col("sha256").alias("blob_sha256"))
+    transfer.write_archive(f"{place}/archive", {"pages": pages, "attachments": attached}, frontmatter.export_pages(pages), owned.select("sha256", "content"))
+    rules = {"keys": {"pages": ["id"], "attachments": ["page_id", "turn"]}, "references": [("attachments", "page_id", "pages", "id")], "blob_columns": [("attachments", "blob_sha256")]}
+    version = transfer.restore_archive(spark, f"{place}/archive", f"{place}/store", **rules)
+    back, files = (tables.open_version(spark, f"{place}/store", name, version) for name in ("pages", "attachments"))
+    sizes = transfer.archive_manifest(spark, f"{place}/archive").filter("path like 'blobs/%'").select(F.substring_index("path", "/", -1).alias("blob_sha256"), "size")
+    counted = files.join(sizes, "blob_sha256").groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    lang = F.get_json_object(F.concat(F.lit('{"v":'), F.col("properties")["lang"], F.lit("}")), "$.v")
+    return back.join(counted, "id", "left").select(
+        "id", "title", "alias", F.array_join("tags", ",").alias("tags"), "status", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), lang.alias("lang"), F.col("properties")["chars"].alias("chars"), "body",
+        text_of_time("updated_at").alias("updated_at"), text_of_time("deleted_at").alias("deleted_at"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
+    )
+
+
 @query(
     "mime_of_bytes",
     "SELECT page_id, page_id % 3 = 0 AS pdf, CASE WHEN page_id % 3 = 1 THEN 'image/gif' END AS image FROM pages",
