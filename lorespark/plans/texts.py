@@ -468,7 +468,7 @@ def archive_round_trip(spark, folder):
     turns = read_spread(spark, folder, "conversations", "conv_id").select("conv_id", "turn", F.encode("text", "UTF-8").alias("content")).withColumn("sha256", F.sha2("content", 256))
     owned = turns.join(pages.select(F.col("id").alias("conv_id")), "conv_id", "left_semi")
     attached = owned.select(F.col("conv_id").alias("page_id"), "turn", F.col("sha256").alias("blob_sha256"))
-    transfer.write_archive(f"{place}/archive", {"pages": pages, "attachments": attached}, frontmatter.export_pages(pages), owned.select("sha256", "content"))
+    transfer.write_archive(f"{place}/archive", {"pages": pages, "attachments": attached}, lambda kept: frontmatter.export_pages(kept["pages"]), lambda kept: owned.select("sha256", "content"))
     rules = {"keys": {"pages": ["id"], "attachments": ["page_id", "turn"]}, "references": [("attachments", "page_id", "pages", "id")], "blob_columns": [("attachments", "blob_sha256")]}
     version = transfer.restore_archive(spark, f"{place}/archive", f"{place}/store", **rules)
     back, files = (tables.open_version(spark, f"{place}/store", name, version) for name in ("pages", "attachments"))

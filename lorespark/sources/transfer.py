@@ -11,20 +11,24 @@ only when there is none. Whatever happens before that, the old version stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.mime import safe_archive_path
 from ..functions.text import sha256_hex
 from ..model import RequestError
 from ..operators.blobs import blob_path, duplicate_keys, foreign_key_violations, null_violations, verify_archive
+from ..session import own_shuffles
 from . import tables as store
 
 FORMAT, FORMAT_VERSION = "lorespark-archive", 1
 PART_BYTES = 128 << 20
+PART = "path string, content binary, sha256 string, size bigint, part string"
 MANIFEST = "kind string, name string, path string, sha256 string, size bigint, rows bigint"
 
 
@@ -33,19 +37,25 @@ def blob_entries(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("sha256").agg(F.any_value("content").alias("content")).select(F.concat(F.lit("blobs/"), blob_path(F.col("sha256"))).alias("path"), "content")
 
 
-def packed(entries: DataFrame, total: int, part_bytes: int) -> DataFrame:
-    """Entries (path, content) with the part that holds them, in one shuffle.
+@F.pandas_udf(T.LongType())
+def _sum_before(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The sum of the sizes that a task has met before each row."""
+    total = 0
+    for sizes in batches:
+        sums = sizes.cumsum() + total
+        yield sums - sizes
+        total = int(sums.iloc[-1]) if len(sums) else total
 
-    There are as many hash buckets as fill three quarters of a part on average.
-    A running sum inside a bucket begins a new part at every `part_bytes`, so a
-    part is longer by its last file at most, and a task holds about one part.
+
+def packed(entries: DataFrame, part_bytes: int) -> DataFrame:
+    """Entries (path, content) with hash, size, and the part that holds them; nothing is shuffled.
+
+    A task begins a new part of its own at every `part_bytes` of a running sum,
+    so a part is longer by its last file at most. Only sizes go to Python.
     """
-    buckets = max(1, -(-4 * total // (3 * part_bytes)))
-    spread = entries.withColumn("_bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).repartition(buckets, "_bucket")
-    earlier = Window.partitionBy("_bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("content").cast("bigint")).over(earlier), F.lit(0))
-    part = F.concat_ws("-", F.col("_bucket").cast("string"), F.floor(before / part_bytes).cast("string"))
-    return spread.withColumn("part", part).drop("_bucket")
+    sized = entries.select("path", "content", sha256_hex(F.col("content")).alias("sha256"), F.octet_length("content").cast("bigint").alias("size"))
+    number = F.floor(_sum_before("size") / part_bytes)
+    return sized.withColumn("part", F.concat_ws("-", F.spark_partition_id().cast("string"), number.cast("string")))
 
 
 def table_digest(table: DataFrame) -> DataFrame:
@@ -55,29 +65,29 @@ def table_digest(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("digest"), F.count("*").alias("rows"))
 
 
-def write_archive(folder: str, tables: dict[str, DataFrame], files: DataFrame, blobs: DataFrame | None = None, part_bytes: int = PART_BYTES) -> None:
+def write_archive(
+    folder: str, tables: dict[str, DataFrame], files: Callable[[dict[str, DataFrame]], DataFrame], blobs: Callable[[dict[str, DataFrame]], DataFrame] | None = None, part_bytes: int = PART_BYTES
+) -> None:
     """Write tables, files (path, content) and blobs (sha256, content) into a new folder.
 
-    A null content is an empty file. Hashes are taken from the source, not from what was written,
-    so a restore notices what was lost on the way.
+    The tables are written first; `files` and `blobs` are made from them as written, so what a table costs is paid once.
+    A null content is an empty file. The content of a file is made once; its hash goes with it and from there into the manifest.
     """
-    spark = files.sparkSession
-    named = lambda frame: frame.select("path", F.coalesce(F.col("content").cast("binary"), F.unhex(F.lit(""))).alias("content"))
-    entries = named(files) if blobs is None else named(files).unionByName(named(blob_entries(blobs)))
+    spark = next(iter(tables.values())).sparkSession
     none = F.lit(None)
-    listed = entries.select(
-        F.lit("file").alias("kind"), none.cast("string").alias("name"), "path", sha256_hex(F.col("content")).alias("sha256"),
-        F.octet_length("content").cast("bigint").alias("size"), none.cast("bigint").alias("rows"),
-    )
-    listed.write.parquet(f"{folder}/manifest")
-    total = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    packed(entries, total, part_bytes).write.partitionBy("part").parquet(f"{folder}/parts")
-    digests = []
-    for name, table in tables.items():
-        table.write.parquet(f"{folder}/tables/{name}")
-        path = F.lit(f"tables/{name}").alias("path")
-        digests.append(table_digest(table).select(F.lit("table").alias("kind"), F.lit(name).alias("name"), path, F.col("digest").alias("sha256"), none.cast("bigint").alias("size"), "rows"))
-    if digests:
+    with own_shuffles(spark):
+        for name, table in tables.items():
+            table.write.parquet(f"{folder}/tables/{name}")
+        kept = {name: spark.read.schema(table.schema).parquet(f"{folder}/tables/{name}") for name, table in tables.items()}
+        named = lambda frame: frame.select("path", F.coalesce(F.col("content").cast("binary"), F.unhex(F.lit(""))).alias("content"))
+        entries = named(files(kept)) if blobs is None else named(files(kept)).unionByName(named(blob_entries(blobs(kept))))
+        packed(entries, part_bytes).write.partitionBy("part").parquet(f"{folder}/parts")
+        listed = spark.read.schema(PART).parquet(f"{folder}/parts")
+        listed.select(F.lit("file").alias("kind"), none.cast("string").alias("name"), "path", "sha256", "size", none.cast("bigint").alias("rows")).write.parquet(f"{folder}/manifest")
+        digests = [
+            table_digest(table).select(F.lit("table").alias("kind"), F.lit(name).alias("name"), F.lit(f"tables/{name}").alias("path"), F.col("digest").alias("sha256"), none.cast("bigint").alias("size"), "rows")
+            for name, table in kept.items()
+        ]
         reduce(DataFrame.unionByName, digests).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
     spark.createDataFrame([(f"{FORMAT} {FORMAT_VERSION}",)], "mark string").coalesce(1).write.text(f"{folder}/mark")
 
@@ -95,7 +105,7 @@ def archive_manifest(spark: SparkSession, archive: str) -> DataFrame:
 
 def archive_files(spark: SparkSession, archive: str) -> DataFrame:
     """(path, content) of all parts."""
-    return spark.read.schema("path string, content binary, part string").parquet(f"{archive}/parts").select("path", "content")
+    return spark.read.schema(PART).parquet(f"{archive}/parts").select("path", "content")
 
 
 def archive_summary(manifest: DataFrame) -> DataFrame:
@@ -150,7 +160,8 @@ def restore_archive(spark: SparkSession, archive: str, folder: str, **rules) ->
     data = store.stage({name: spark.read.parquet(f"{archive}/tables/{name}") for name in names}, folder)
     try:
         staged = {name: store.staged(spark, folder, data, name) for name in names}
-        found = archive_problems(manifest, archive_files(spark, archive), staged, **rules).collect()
+        with own_shuffles(spark):
+            found = archive_problems(manifest, archive_files(spark, archive), staged, **rules).collect()
         if found:
             raise RequestError("restore_refused", ", ".join(f"{row['constraint']}: {row['violations']}" for row in sorted(found)))
         return store.commit(spark, folder, data)
