@@ -96,3 +96,30 @@ def test_held_out_accuracy(spark):
     held = [row for row in op13_quality(spark, folder).collect() if row.held_out and row.doc_id in truth]
     right = sum(row.predicted == truth[row.doc_id] for row in held)
     assert len(held) > 60 and right >= 0.97 * len(held)
+
+
+def test_every_labelled_row_counts(spark):
+    """The weights are the optimum over the pairs of all groups, and the cut their quantile: a sample has another."""
+    rows, labels = data(300)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learnt = [[text.encode() for n, text, *_ in rows if (n % 3 > 0) == good] for good in (True, False)]
+    good, bad = (quality.features(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(text) for text in texts]))).astype(np.float32).astype(float) for texts in learnt)
+    for per_label, opponents in ((1000, 12), (30, 10**6)):
+        model = quality.fit(docs, known, F.lit(True), rows_per_label=per_label, opponents=opponents)
+        values = np.sort(np.concatenate([good, bad]) @ model.weights - model.center @ model.weights)
+        assert abs(model.cut - (values[99] + values[100]) / 2) < 1e-8
+        np.testing.assert_allclose(model.center, (good.mean(axis=0) + bad.mean(axis=0)) / 2, atol=1e-9)
+    # In seven groups the 100 rare rows stand in five each; a good row meets all those of its group.
+    groups, copies = 7, 5
+    own = {row.n: row.g for row in spark.range(300).select(F.col("id").alias("n"), F.pmod(F.xxhash64(F.lit("quality group"), F.col("id").cast("string")), F.lit(groups)).alias("g")).collect()}
+    numbers = [[n for n, *_ in rows if (n % 3 > 0) == good] for good in (True, False)]
+    gradient, pairs = 1e-4 * model.weights, 0
+    parts = np.zeros(quality.FEATURES)
+    for group in range(groups):
+        ours = good[[own[n] == group for n in numbers[0]]]
+        theirs = bad[[(group - own[n]) % groups < copies for n in numbers[1]]]
+        gap = (ours @ model.weights)[:, None] - (theirs @ model.weights)[None, :]
+        lost = 1 / (1 + np.exp(gap))
+        parts += lost.sum(axis=0) @ theirs - lost.sum(axis=1) @ ours
+        pairs += gap.size
+    np.testing.assert_allclose(gradient + parts / pairs, 0, atol=1e-9)
