@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..functions.text import sha256_hex, strip
 from ..operators.filters import active
 from ..operators.tree import breadcrumbs
@@ -106,7 +107,10 @@ def parse_header(header: Column) -> Column:
 
     Values are JSON; plain and single-quoted text is understood too. Nested values are refused.
     """
-    text = F.regexp_replace(header, "\r", "")
+    return bind(F.regexp_replace(header, "\r", ""), _parsed)
+
+
+def _parsed(text: Column) -> Column:
     lines = F.split(text, "\n")
     present = lambda name: text.rlike(f"(?m)^{name}:")
     raw = lambda name: F.regexp_extract(text, f"(?m)^{name}: *(.*)$", 1)
@@ -122,7 +126,7 @@ def parse_header(header: Column) -> Column:
     entries_ok = (~present("properties") | raw("properties").isin("", "{}")) & F.forall(entry_lines, lambda line: line.rlike(entry)) & ~F.exists(entries, lambda item: item["value"].isNull())
     status = F.coalesce(value("status"), F.lit("published"))
     error = (
-        F.when(header.isNull(), "Markdown import requires YAML front matter")
+        F.when(text.isNull(), "Markdown import requires YAML front matter")
         .when(~F.get(lines, F.lit(0)).rlike(f"^{KEY_LINE}$"), "front matter must be a mapping")
         .when(F.exists(lines, lambda line: ~line.rlike(f"^(?:{KEY_LINE}|{ITEM_LINE}|{ENTRY_LINE})$")), "YAML front matter is invalid")
         .when(present(VERSION_KEY) & (strip(raw(VERSION_KEY)) != "1"), "only front matter version 1 is supported")
@@ -141,12 +145,17 @@ def parse_header(header: Column) -> Column:
 
 def import_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
     """Inputs for `create_pages` from Markdown files (no, content): parents by alias, else root."""
-    header = F.regexp_extract("content", HEADER, 1)
-    matched = F.regexp_extract("content", HEADER, 0)
-    present = F.col("content").rlike(HEADER)
-    parsed = files.withColumn("_parsed", parse_header(F.when(present, header)))
+    # A file is made and opened once, its header taken out once: a generator keeps later steps from copying the expression.
+    def opened(content: Column) -> Column:
+        def split(matched: Column) -> Column:
+            header = F.when(matched != "", F.regexp_extract(matched, HEADER, 1))
+            return F.struct(parse_header(header).alias("_parsed"), F.substring(content, F.length(matched) + 1, F.length(content)).alias("body"))
+
+        return bind(F.regexp_extract(content, HEADER, 0), split)
+
+    parsed = files.select("no", F.inline(F.array(bind(F.col("content"), opened))))
     parents = active(pages).select(F.col("alias").alias("parent"), F.col("id").alias("parent_id"))
-    shaped = parsed.select("no", "_parsed.*", F.substring(F.col("content"), F.length(matched) + 1, F.length("content")).alias("body"))
+    shaped = parsed.select("no", "_parsed.*", "body")
     return shaped.join(parents, "parent", "left").drop("parent")
 
 

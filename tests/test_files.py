@@ -67,3 +67,14 @@ def test_capture_export(spark):
     assets = spark.createDataFrame([(1, "f" * 64, "my pic.png"), (1, "f" * 64, "my pic.png")], "web_capture_id long, blob_sha256 string, filename string")
     rows = {row["web_capture_id"]: row["content"] for row in frontmatter.capture_article(articles, assets).collect()}
     assert rows == {1: "![a](resources/ffffffffffff-my pic.png)", 2: "none"}
+
+
+def test_a_file_is_opened_once(spark):
+    """The content is matched a few times, however many fields a header has."""
+    files = spark.createDataFrame([(1, "---\ntitle: x\n---\nbody"), (2, "no header"), (3, None)], "no long, content string")
+    pages = spark.createDataFrame([], "id long, alias string, deleted_at timestamp_ntz")
+    back = frontmatter.import_pages(files, pages)
+    assert back._jdf.queryExecution().optimizedPlan().toString().count(frontmatter.HEADER) <= 4
+    rows = {row["no"]: row for row in back.collect()}
+    assert (rows[1]["title"], rows[1]["body"], rows[1]["error"]) == ("x", "body", None)
+    assert rows[2]["error"] == rows[3]["error"] == "Markdown import requires YAML front matter"
