@@ -1,6 +1,7 @@
 """A table kept by segments: what changes is written, not what stays.
 
-Every batch of changed and removed keys becomes one sorted segment. A key's
+Every batch of changed and removed keys becomes one segment, whose files are sorted,
+each by itself: rows are computed once and not shuffled for it. A key's
 rows are those of the newest segment that names it; a removed key is named by a
 tombstone. A manifest lists the segments; the next manifest is created under the
 next number, which only one writer can do, so readers see whole batches and two
@@ -63,7 +64,7 @@ class SegmentedTable:
     def _store(self, rows: DataFrame) -> tuple[str, int]:
         """Write a segment; its name and its number of keys."""
         name, seen = uuid.uuid4().hex, Observation()
-        placed = rows.repartitionByRange(*self.sort).sortWithinPartitions(*self.sort).observe(seen, F.count_if(self.mark | F.col("_gone")).alias("keys"))
+        placed = rows.sortWithinPartitions(*self.sort).observe(seen, F.count_if(self.mark | F.col("_gone")).alias("keys"))
         with own_shuffles(self.spark):
             placed.write.parquet(f"{self.folder}/data/{name}")
         return name, seen.get["keys"]

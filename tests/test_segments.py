@@ -95,3 +95,16 @@ def test_each_text_is_tokenised_once(spark):
     rows = spark.createDataFrame([(1, "one two")], "id long, a string")
     plan = lexical.index_rows(rows, ["a"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == 1 and "Exchange" not in plan
+
+
+def test_rows_of_a_segment_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = pairs(spark, [(number, "a") for number in range(50)])
+    table_of(spark, tmp_path).append(rows.mapInArrow(count, rows.schema))
+    assert seen.value == 50
