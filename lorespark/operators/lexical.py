@@ -8,14 +8,18 @@ term), so that a query, or a whole table of queries, reads only its terms;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind
 from ..functions.cursors import strict_limit
-from ..functions.text import DROPPED_MARKS, excerpt, fold, keyword_fold, tokens, tokens_of_string
+from ..functions.text import DROPPED_MARKS, excerpt, fold, keyword_fold, spaced_tokens, tokens, tokens_of_string
 from ..model import CANDIDATES_PER_LIST, SectionFilters
 from ..session import written
 from ..sources.segments import SegmentedTable
@@ -297,8 +301,13 @@ class PostingsIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, texts: list[str], key: str = "id", positions: bool = False) -> "PostingsIndex":
-        """Postings of every row, written once: every use of the index reads them, and no text again."""
-        return cls.of(written(_by_term(index_rows(rows, texts, key, positions))))
+        """Postings of every row, written once: every use of the index reads them, and no text again.
+
+        Each task sorts the postings of its own rows by term, so a prefix reads a few
+        pages of every file; nothing is shuffled, and no text is tokenised for a
+        sample of the terms.
+        """
+        return cls.of(written(index_rows(rows, texts, key, positions).sortWithinPartitions("term", "id")))
 
     @classmethod
     def of(cls, rows: DataFrame) -> "PostingsIndex":
@@ -379,33 +388,60 @@ def index_rows(rows: DataFrame, texts: list[str], key: str = "id", positions: bo
     """(id, text_no, term, hits[, positions]) of every row, and one with an empty term whose hits are the row's length.
 
     Every text is tokenised once, and its equal terms are counted where they are:
-    in its sorted array each term is a run. Rows without any token count in the
-    statistics too.
+    numbered over a batch, (row, term) pairs are integers, and each is a run in
+    their order. Rows without any token count in the statistics too.
     """
-    names = [f"_words_{number}" for number in range(len(texts))]
-
-    def sorted_words(text: str) -> Column:
-        words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
-        return F.array_sort(F.transform(words, lambda term, at: F.struct(term.alias("term"), at.alias("position"))))
-
-    def run_starts(name: str) -> Column:
-        term = lambda at: F.element_at(name, at)["term"]
-        places = F.when(F.size(name) > 0, F.sequence(F.lit(1), F.size(name))).otherwise(F.array().cast("array<int>"))
-        return F.filter(places, lambda at: F.when(at == 1, True).otherwise(term(at) != term(at - 1)))
-
-    def runs(number: int, name: str) -> Column:
-        def posting(start: Column, at: Column) -> Column:
-            size = F.coalesce(F.get(f"{name}_runs", at + 1), F.size(name) + 1) - start
-            placed = [F.transform(F.slice(name, start, size), lambda one: one["position"]).alias("positions")] if positions else []
-            return F.struct(F.lit(number).alias("text_no"), F.element_at(name, start)["term"].alias("term"), size.cast("bigint").alias("hits"), *placed)
-
-        return F.transform(f"{name}_runs", posting)
-
-    words = rows.select(F.col(key).alias("id"), *[sorted_words(text).alias(name) for text, name in zip(texts, names)])
-    counted = words.select("id", *names, *[run_starts(name).alias(f"{name}_runs") for name in names])
-    nowhere = [F.array().cast("array<int>").alias("positions")] if positions else []
-    length = F.struct(F.lit(-1).alias("text_no"), F.lit("").alias("term"), _sum([F.size(name) for name in names]).cast("bigint").alias("hits"), *nowhere)
-    return counted.select("id", F.inline(F.concat(F.array(length), *[runs(number, name) for number, name in enumerate(names)])))
+    kind = rows.schema[key].dataType.simpleString()
+    words = rows.select(F.col(key).alias("id"), *[F.coalesce(spaced_tokens(F.col(text)), F.lit("")).alias(f"_words_{number}") for number, text in enumerate(texts)])
+    schema = f"id {kind}, text_no int, term string, hits bigint" + (", positions array<int>" if positions else "")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                yield from _counted(part, positions)
+
+    return words.mapInArrow(count, schema)
+
+
+#: Bytes of text whose terms are counted at once; a single longer row is counted alone.
+SLICE_BYTES = 1 << 21
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = sum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns[1:])
+    upto, first = np.append(0, np.cumsum(sizes)), 0
+    while first < len(batch):
+        after = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(first, after - first)
+        first = after
+
+
+def _counted(batch: pa.RecordBatch, positions: bool) -> Iterator[pa.RecordBatch]:
+    ids, lengths = batch.column(0), np.zeros(len(batch), np.int64)
+    for number, column in enumerate(batch.columns[1:]):
+        lists = pc.split_pattern(column, " ")
+        words, owners = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.not_equal(words, "")
+        coded, owners = words.filter(full).dictionary_encode(), owners.filter(full).to_numpy().astype(np.int64)
+        counts = np.bincount(owners, minlength=len(batch))
+        lengths += counts
+        terms = max(len(coded.dictionary), 1)
+        pairs = owners * terms + coded.indices.to_numpy()
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        found = pairs[starts]
+        columns = [ids.take(pa.array(found // terms)), pa.array(np.full(len(found), number, np.int32)), coded.dictionary.take(pa.array(found % terms)), pa.array(np.diff(np.append(starts, len(pairs))))]
+        if positions:
+            places = np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)).astype(np.int32)), pa.array(places[order].astype(np.int32))))
+        yield pa.RecordBatch.from_arrays(columns, _POSTING[: len(columns)])
+    rest = [pa.array(np.full(len(batch), -1, np.int32)), pa.array([""] * len(batch), pa.string()), pa.array(lengths)]
+    nowhere = [pa.array([[]] * len(batch), pa.list_(pa.int32()))] if positions else []
+    yield pa.RecordBatch.from_arrays([ids, *rest, *nowhere], _POSTING[: 4 + len(nowhere)])
+
+
+_POSTING = ["id", "text_no", "term", "hits", "positions"]
 
 
 class SegmentedIndex:

@@ -176,3 +176,15 @@ def test_query_vector_is_checked():
     with pytest.raises(RequestError):
         vectors.check_query_vector([1.0], 2)
     assert vectors.check_query_vector([1, 2], 2) == [1.0, 2.0]
+
+
+def test_an_index_is_built_without_a_shuffle(spark, monkeypatch):
+    """Texts are tokenised once, in the task that reads them."""
+    plans = []
+    monkeypatch.setattr(lexical, "written", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    rows = spark.createDataFrame([(1, "É é x", "x x"), (2, None, "́ - "), (None, "x", None)], "id long, a string, b string")
+    index = lexical.PostingsIndex.build(rows, ["a", "b"], positions=True)
+    assert plans and "Exchange" not in plans[0] and "Repartition" not in plans[0]
+    found = sorted((row["id"] or 0, row["text_no"], row["term"], row["hits"], row["positions"]) for row in index.postings.collect())
+    assert found == [(0, 0, "x", 1, [0]), (1, 0, "e", 2, [0, 1]), (1, 0, "x", 1, [2]), (1, 1, "x", 2, [0, 1])]
+    assert sorted((row["id"] or 0, row["length"]) for row in index.lengths.collect()) == [(0, 1), (1, 5), (2, 0)]
