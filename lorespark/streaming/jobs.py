@@ -34,6 +34,18 @@ RENEWALS = "array<struct<owner:string,at:bigint,event_id:bigint>>"
 NEVER = (-(2**63), -(2**63))
 
 
+_MARK_OF = {kind: name for name, (kind, _) in LAST.items()}
+
+
+def _events(frame: pd.DataFrame) -> Iterator[tuple]:
+    """(at, event_id, kind, owner, revision, retryable, delay_seconds) of each row, None for a null."""
+
+    def column(name: str, kind=None) -> list:
+        return [None if value is None or value != value else kind(value) if kind else value for value in frame[name].tolist()]
+
+    return zip(column("at", int), column("event_id", int), column("kind"), column("owner"), column("revision", int), column("retryable", bool), column("delay_seconds", int))
+
+
 class QueueProcessor(StatefulProcessor):
     """What `queues.merge` knows of a job, as keyed state: a batch writes the state of the jobs it touches.
 
@@ -48,54 +60,51 @@ class QueueProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", JOB_STATE)
-        self.renewals = handle.getMapState("renewals", "owner string", "at bigint, event_id bigint")
+        self.job = handle.getValueState("job", f"{JOB_STATE}, renewals {RENEWALS}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
+        # Plain values: a job has few events in a batch, and one read and one write of its state.
+        events = sorted((event for frame in rows for event in _events(frame)), key=lambda event: event[:2])
         names = [part.split()[0] for part in JOB_STATE.split(", ")]
-        job = dict(zip(names, self.job.get())) if self.job.exists() else dict.fromkeys(names)
-        requests = events[events["kind"] == "requested"]
-        if len(requests):
+        held = self.job.get()
+        job = dict(zip(names, held)) if held is not None else dict.fromkeys(names)
+        renewals = {one[0]: (one[1], one[2]) for one in held[len(names)]} if held is not None else {}
+        requests = [event for event in events if event[2] == "requested"]
+        if requests:
             revision = (job["revision"] or 0) + len(requests)
             job = dict.fromkeys(names) | {"revision": revision, "failures": 0, "refused": False}
-            job["requested_at"], job["requested_id"] = (int(requests[name].iloc[-1]) for name in ("at", "event_id"))
-            self.renewals.clear()
+            job["requested_at"], job["requested_id"] = requests[-1][:2]
+            renewals = {}
         if job["requested_at"] is None:
             return
-        later = (events["at"] > job["requested_at"]) | ((events["at"] == job["requested_at"]) & (events["event_id"] > job["requested_id"]))
-        events = events[(events["kind"] != "requested") & later & (events["revision"].isna() | (events["revision"] == job["revision"]))]
-        for name in MARKS:
-            found = events[events["kind"] == LAST[name][0]]
-            if not len(found):
+        since = (job["requested_at"], job["requested_id"])
+        for at, event_id, kind, owner, revision, retryable, delay in events:
+            if kind == "requested" or (at, event_id) <= since or (revision is not None and revision != job["revision"]):
                 continue
-            newest = found.iloc[-1]
-            if (newest["at"], newest["event_id"]) > (NEVER if job[f"{name}_at"] is None else (job[f"{name}_at"], job[f"{name}_id"])):
-                job[f"{name}_at"], job[f"{name}_id"] = int(newest["at"]), int(newest["event_id"])
+            name = _MARK_OF.get(kind)
+            if name and (job[f"{name}_at"] is None or (at, event_id) > (job[f"{name}_at"], job[f"{name}_id"])):
+                job[f"{name}_at"], job[f"{name}_id"] = at, event_id
                 if name == "claim":
-                    job["claim_owner"] = None if pd.isna(newest["owner"]) else newest["owner"]
+                    job["claim_owner"] = owner
                 elif name == "delay":
-                    job["delay_seconds"] = None if pd.isna(newest["delay_seconds"]) else int(newest["delay_seconds"])
-        failed = events[events["kind"] == "failed"]
-        job["failures"] += len(failed)
-        job["refused"] = bool(job["refused"] or (failed["retryable"] == False).any())  # noqa: E712, a null counts as retryable
-        for owner, found in events[events["kind"] == "renewed"].groupby(events["owner"].fillna("")):
-            place = (int(found["at"].iloc[-1]), int(found["event_id"].iloc[-1]))
-            if not self.renewals.containsKey((owner,)) or place > tuple(self.renewals.getValue((owner,))):
-                self.renewals.updateValue((owner,), place)
-        self.job.update(tuple(job[name] for name in names))
+                    job["delay_seconds"] = delay
+            if kind == "failed":
+                job["failures"] += 1
+                job["refused"] = job["refused"] or retryable is False  # a null counts as retryable
+            elif kind == "renewed" and (at, event_id) > renewals.get(owner or "", NEVER):
+                renewals[owner or ""] = (at, event_id)
+        listed = [(owner, *place) for owner, place in renewals.items()]
+        self.job.update((*[job[name] for name in names], listed))
         if self.retention is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if job["completion_at"] is not None or job["cancellation_at"] is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retention * 1000)
-        renewals = [{"owner": owner[0], "at": place[0], "event_id": place[1]} for owner, place in self.renewals.iterator()]
-        types = {name: "Int64" for name in names if name not in ("refused", "claim_owner")}
-        yield pd.DataFrame([[key[0], *[job[name] for name in names], renewals]], columns=["entity_id", *names, "renewals"]).astype(types)
+        values = {"entity_id": [key[0]]} | {name: pd.array([job[name]], dtype="Int64") if name not in ("refused", "claim_owner") else [job[name]] for name in names}
+        yield pd.DataFrame(values | {"renewals": [[{"owner": owner, "at": at, "event_id": event_id} for owner, at, event_id in listed]]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.job.clear()
-        self.renewals.clear()
         yield from ()
 
     def close(self) -> None:
