@@ -33,8 +33,8 @@ from lorespark.llm.arrays import bounded_batches, kept_model, text_slices
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers.
 REMEMBERED_PIECES = 200_000
-#: Bytes of text that are encoded before the result leaves the worker.
-OUTPUT_BYTES = 1 << 20
+#: Bytes of text that are encoded before the result leaves the worker; decoding needs some thirty times as many.
+OUTPUT_BYTES = 1 << 17
 
 
 def read_ranks(path: str) -> bytes:

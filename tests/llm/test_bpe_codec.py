@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -52,3 +54,18 @@ def test_all_documents_as_the_library_gives_them(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wanted = {r.doc_id: LIBRARY.encode_ordinary(r.text or "") for r in frame.collect()}
     assert {r.doc_id: r.ids for r in bpe_codec.encode(frame, RANKS, public_tokenizers.PATTERN).collect()} == wanted
+
+
+def test_a_worker_decodes_in_small_slices(spark):
+    """What one slice needs is bounded: decoding holds some thirty bytes for a byte of text."""
+    frame = spark.range(40).selectExpr("id AS doc_id", "repeat('word and more ', 2000) AS text").coalesce(1)
+    rows = bpe_codec.encode(frame, RANKS, public_tokenizers.PATTERN, with_bytes=True).collect()
+    assert {bytes(row.decoded) for row in rows} == {b"word and more " * 2000} and len(rows) == 40
+    texts = pa.array(["word and more " * 2000] * 40)
+    held = [len(data) for _, data, _ in bpe_codec.text_slices(texts, bpe_codec.OUTPUT_BYTES)]
+    tracemalloc.start()
+    _, ids, bounds = bpe_codec._encoded(CODEC, texts.slice(0, 40 // len(held)))
+    bpe_codec._decoded(CODEC, ids, bounds)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(held) == 40 * 28000 and most < 8 << 20
