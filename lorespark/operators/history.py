@@ -87,22 +87,30 @@ def restore_updates(revisions: DataFrame, pages: DataFrame) -> DataFrame:
     A parent that is not live any more is dropped. An alias that another live page
     owns by now is marked in `suffix_alias`: it gets the next free number.
     """
+    # The bodies of the revisions move once, by page; aliases and parents are looked up without them.
+    looked = _looked_up(revisions.select("page_id", "alias", "parent_id"), pages).select("page_id", F.col("parent_id").alias("_parent_id"), "alias_taken")
+    return revisions.join(looked, "page_id").select(
+        F.col("page_id").alias("id"), "title", "alias", "body", "tags", "status", F.col("_parent_id").alias("parent_id"), F.lit(True).alias("set_parent"), "properties",
+        F.col("alias_taken").alias("suffix_alias"),
+    )
+
+
+def _looked_up(revisions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, alias, parent_id, alias_taken) of revisions of live pages; a parent that is not live is null."""
     live = pages.filter(F.col("deleted_at").isNull())
     owners = live.select(F.col("alias"), F.col("id").alias("_owner"))
     parents = live.select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent_exists"))
     known = revisions.join(live.select(F.col("id").alias("page_id")), "page_id", "left_semi")
     joined = known.join(owners, "alias", "left").join(parents, "parent_id", "left")
     return joined.select(
-        F.col("page_id").alias("id"), "title", "alias", "body", "tags", "status", F.when(F.col("_parent_exists"), F.col("parent_id")).alias("parent_id"), F.lit(True).alias("set_parent"), "properties",
-        (F.col("_owner").isNotNull() & (F.col("_owner") != F.col("page_id"))).alias("suffix_alias"),
+        "page_id", "alias", F.when(F.col("_parent_exists"), F.col("parent_id")).alias("parent_id"),
+        (F.col("_owner").isNotNull() & (F.col("_owner") != F.col("page_id"))).alias("alias_taken"),
     )
 
 
 def restore_revisions(revisions: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, alias, parent_id, alias_taken) that restoring each revision would lead to."""
-    updates = restore_updates(revisions.withColumns({name: F.lit(None).cast(kind) for name, kind in {"title": "string", "body": "string", "status": "string"}.items() if name not in revisions.columns}).withColumns(
-        {name: F.lit(None).cast(kind) for name, kind in {"tags": "array<string>", "properties": "map<string,string>"}.items() if name not in revisions.columns}), pages)
-    return updates.select(F.col("id").alias("page_id"), "alias", "parent_id", F.col("suffix_alias").alias("alias_taken"))
+    return _looked_up(revisions.select("page_id", "alias", "parent_id"), pages)
 
 
 def human_edited(pages: DataFrame, documents: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_valid_alias, normalize_alias, normalize_tags, slugify, strip, tags_error
 from ..model import MAX_BODY_BYTES, MAX_TITLE_CHARS, PAGE_STATUSES
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .filters import active, deleted, normalize_properties, properties_error
-from .history import revisions_of_changes
+from .history import TRACKED, revisions_of_changes
 from .scale import count_before, number_within
 from .taxonomy import resolve_tag_rows
 from .tree import in_circles
@@ -170,6 +170,17 @@ def checked_updates(pages: DataFrame, updates: DataFrame, aliases: DataFrame | N
     parent must be live, and the parents of the whole batch may make no circle.
     With `aliases` (alias, canonical_tag) tags are resolved.
     """
+    rows, verdicts = _judged(pages, updates, aliases)
+    error = F.when(F.col("id").isNull(), F.lit("page not found")).otherwise(F.col("error"))
+    return rows.join(verdicts.select("id", "error"), "id", "left").withColumn("error", error)
+
+
+def _judged(pages: DataFrame, updates: DataFrame, aliases: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(updates in normal form, verdicts), see `checked_updates`.
+
+    The updates are a table that is written once. Verdicts have no texts: id,
+    alias, set_parent, suffix_alias and `error`, a row for each update.
+    """
     kinds = {"title": "string", "alias": "string", "body": "string", "tags": "array<string>", "status": "string", "parent_id": "bigint", "properties": "map<string,string>", "set_parent": "boolean", "suffix_alias": "boolean"}
     shaped = updates.select("id", *[F.col(name).cast(kind).alias(name) if name in updates.columns else F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
     shaped = shaped.withColumn("alias", normalize_alias(F.col("alias"))).withColumn("tags", F.when(F.col("tags").isNotNull(), normalize_tags(F.col("tags")))).withColumn("title", strip(F.col("title")))
@@ -179,17 +190,23 @@ def checked_updates(pages: DataFrame, updates: DataFrame, aliases: DataFrame | N
         shaped = shaped.join(resolved, "id", "left").withColumn("tags", F.when(F.size("tags") > 0, F.col("_tags")).otherwise(F.col("tags"))).drop("_tags")
     live = active(pages).select("id", F.col("alias").alias("_old_alias"), F.lit(True).alias("_live"))
     parents = active(pages).select(F.col("id").alias("parent_id"), F.lit(True).alias("_parent"))
-    error = F.coalesce(
-        F.when(F.col("_live").isNull(), F.lit("page not found")),
+    own = F.coalesce(
         F.when(F.col("title").isNotNull() & ~F.length("title").between(1, MAX_TITLE_CHARS), F.lit("title must have 1 to 200 characters")),
         F.when(F.octet_length("body") > MAX_BODY_BYTES, F.lit("body is too large")),
         F.when(F.col("tags").isNotNull(), tags_error(F.col("tags"))),
         F.when(F.col("properties").isNotNull(), properties_error(F.col("properties"))),
         F.when(F.col("status").isNotNull() & ~F.col("status").isin(*PAGE_STATUSES), F.lit("status is unknown")),
         F.when(F.col("alias").isNotNull() & ~is_valid_alias(F.col("alias")), F.lit("alias must contain lowercase ASCII letters, numbers, and single hyphens")),
+    )
+    # Bodies take no part in what follows: every join below moves ids, aliases and errors.
+    shaped = written(shaped.withColumn("_own_error", own))
+    error = F.coalesce(
+        F.when(F.col("_live").isNull(), F.lit("page not found")),
+        F.col("_own_error"),
         F.when(F.coalesce("set_parent", F.lit(False)) & F.col("parent_id").isNotNull() & F.col("_parent").isNull(), F.lit("parent page not found")),
     )
-    checked = cut_lineage(shaped.join(live, "id", "left").join(parents, "parent_id", "left").withColumn("error", error).drop("_live", "_parent"))
+    narrow = shaped.select("id", "alias", "parent_id", "set_parent", "suffix_alias", "_own_error")
+    checked = cut_lineage(narrow.join(live, "id", "left").join(parents, "parent_id", "left").withColumn("error", error).drop("_live", "_parent", "_own_error"))
 
     # Circles: the forest as the whole batch would leave it. Only a page that gets a parent can close one.
     moved = checked.filter(F.col("error").isNull() & F.coalesce("set_parent", F.lit(False))).select("id", F.col("parent_id").alias("_new_parent"), F.lit(True).alias("_moved"))
@@ -216,7 +233,8 @@ def checked_updates(pages: DataFrame, updates: DataFrame, aliases: DataFrame | N
         refused = cut_lineage(joined.select("id", pointed(F.col("_next")), "_taken"))
     taken_rows = refused.filter("_taken").select("id", F.lit("alias already exists").alias("_alias_error"))
     joined = checked.join(circular, "id", "left").join(taken_rows, "id", "left")
-    return joined.withColumn("error", F.coalesce("error", "_circle", "_alias_error")).drop("_circle", "_alias_error", "_old_alias")
+    verdicts = joined.select("id", "alias", "set_parent", "suffix_alias", F.coalesce("error", "_circle", "_alias_error").alias("error"))
+    return shaped.drop("_own_error"), cut_lineage(verdicts)
 
 
 def update_pages(pages: DataFrame, updates: DataFrame, source: str, now: str, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -226,22 +244,26 @@ def update_pages(pages: DataFrame, updates: DataFrame, source: str, now: str, al
     `suffix_alias` get the next number that is free before and after the batch if
     their alias is taken.
     """
-    checked = cut_lineage(checked_updates(pages, updates, aliases))
-    good = checked.filter(F.col("error").isNull()).drop("error").withColumn("properties", F.when(F.col("properties").isNotNull(), normalize_properties(F.col("properties"))))
+    rows, verdicts = _judged(pages, updates, aliases)
+    good = verdicts.filter(F.col("error").isNull()).drop("error")
     suffixed = good.filter(F.coalesce("suffix_alias", F.lit(False)))
     others = pages.join(suffixed.select("id"), "id", "left_anti").select("alias").unionByName(good.filter(~F.coalesce("suffix_alias", F.lit(False)) & F.col("alias").isNotNull()).select("alias"))
     free = assign_aliases(suffixed.select("id", F.col("alias").alias("base")), others).select("id", F.col("alias").alias("_free"))
-    ready = good.join(free, "id", "left").withColumn("alias", F.coalesce("_free", "alias")).drop("_free", "suffix_alias").withColumn("set_parent", F.coalesce("set_parent", F.lit(False)))
-    changed = revisions_of_changes(active(pages), ready, source, now)
-    new = changed.select(F.col("page_id").alias("id"), "new")
-    joined = pages.join(new, "id", "left")
-    fields = ["title", "alias", "body", "tags", "status", "parent_id", "properties"]
-    applied = joined.select(
-        *[F.when(F.col("new").isNotNull(), F.col(f"new.{name}")).otherwise(F.col(name)).alias(name) if name in fields else
-          F.when(F.col("new").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col(name)).alias(name) if name == "updated_at" else F.col(name)
-          for name in PAGE_COLUMNS]
-    )
-    return applied, changed.drop("new"), checked.filter(F.col("error").isNotNull()).select("id", "error")
+    accepted = cut_lineage(good.join(free, "id", "left").select("id", F.coalesce("_free", "alias").alias("alias"), F.coalesce("set_parent", F.lit(False)).alias("set_parent")))
+    plain = rows.drop("alias", "set_parent", "suffix_alias").withColumn("properties", F.when(F.col("properties").isNotNull(), normalize_properties(F.col("properties"))))
+    # Which pages change is told by digests of the bodies; the bodies themselves meet once, in the pages after the batch.
+    digested = lambda frame: frame.withColumn("body", F.unhex(F.sha2("body", 256)))
+    moved = revisions_of_changes(digested(active(pages)), digested(plain).join(accepted, "id"), source, now).select(F.col("page_id").alias("id"))
+    # A table has no partitioning that the rows with bodies would have to follow.
+    changed = written(accepted.join(moved, "id", "left_semi"))
+    revisions = active(pages).join(changed.select("id"), "id", "left_semi").select(F.col("id").alias("page_id"), *TRACKED, F.lit(source).alias("source"), F.lit(now).cast("timestamp_ntz").alias("created_at"))
+    new = plain.join(changed, "id").alias("n")
+    joined = pages.alias("o").join(new, F.col("o.id") == F.col("n.id"), "left")
+    values = {name: F.coalesce(F.col(f"n.{name}"), F.col(f"o.{name}")) for name in TRACKED}
+    values["parent_id"] = F.when(F.col("n.set_parent"), F.col("n.parent_id")).otherwise(F.col("o.parent_id"))
+    values["updated_at"] = F.when(F.col("n.id").isNotNull(), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("o.updated_at"))
+    applied = joined.select(*[values.get(name, F.col(f"o.{name}")).alias(name) for name in PAGE_COLUMNS])
+    return applied, revisions, verdicts.filter(F.col("error").isNotNull()).select("id", "error")
 
 
 def delete_pages(pages: DataFrame, chosen: DataFrame, now: str) -> DataFrame:

@@ -205,11 +205,26 @@ def parent_candidates(pages: DataFrame, page_id: int | None = None, known: DataF
     return live.filter(F.col("id") != page_id).join(below, "id", "left_anti").orderBy(F.lower("title"), "id")
 
 
+def _endless(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """(id, next) of pages whose way up never ends, `next` some way up, and their number.
+
+    Pointers alone are doubled; a page whose way ends leaves in the round that finds it.
+    """
+    left = written(pointers.filter("next is not null"))
+    size, before = left.count(), -1
+    # A round that no page leaves is followed by none that any leaves: what is left runs in circles.
+    while size and size != before:
+        after = written(left.join(left.select(F.col("id").alias("next"), F.col("next").alias("_next")), "next").select("id", F.col("_next").alias("next")))
+        release(left)
+        left, before, size = after, size, after.count()
+    return left, size
+
+
 def in_circles(pages: DataFrame) -> DataFrame:
     """Ids of live pages that are their own ancestors."""
     _, inner = _linked(active(pages).filter("id is not null").select("id", "parent_id"))
-    left = climbed(inner.select("id", "parent_id", F.lit(0).alias("total"), F.lit(0).alias("size"))).filter("next is not null").select("id", "next")
-    size, reach = left.count(), 1
+    left, size = _endless(inner.select("id", F.col("parent_id").alias("next")))
+    reach = 1
     # From far enough up, everything lands on a circle, and every page of a circle is landed on.
     while reach < size:
         after = written(left.join(left.select(F.col("id").alias("next"), F.col("next").alias("_next")), "next").select("id", F.col("_next").alias("next")))

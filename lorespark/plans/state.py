@@ -327,7 +327,8 @@ def restore_to_revision(spark, folder):
     )
     after, written, refused = lifecycle.update_pages(pages, history.restore_updates(revisions, pages), "rest", "2024-07-01 00:00:00")
     sources = written.select(F.col("page_id").alias("id"), "source")
-    return filters.active(after).join(sources, "id").select("id", "title", "alias", "status", "parent_id", text.sha256_hex(F.col("body")).alias("body"), "source")
+    shown = filters.active(after).select("id", "title", "alias", "status", "parent_id", text.sha256_hex(F.col("body")).alias("body"))
+    return shown.join(sources, "id").select(*shown.columns, "source")
 
 
 @query("revision_of_page", f"WITH {WIKI} SELECT event_id AS id, user_id AS page_id, event_type FROM events WHERE event_id IN (40, 41, 42, 43, 44, 45, 46, 47) AND user_id IN (SELECT id FROM wiki WHERE deleted_at IS NULL)")

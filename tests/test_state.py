@@ -276,3 +276,33 @@ def test_a_long_chain_of_handed_over_aliases(spark):
     updates = spark.range(1, count + 1).selectExpr("id", "case when id = 1 then 'first' when id = 5000 then 'page-9999' else concat('page-', id - 1) end as alias")
     errors = {row.id: row.error for row in lifecycle.checked_updates(pages, updates).filter("error is not null").collect()}
     assert errors == {n: "alias already exists" for n in range(5000, count + 1)}
+
+
+def test_bodies_stay_out_of_the_lookups(spark):
+    """A restore moves each body once to its page, once with the updates and once with the pages: no join over aliases or parents has it."""
+    pages = make(spark, [page(number, f"P{number}", f"p-{number}", f"body {number}", parent=number + 1 if number < 6 else None) for number in range(1, 8)])
+    revisions = pages.select(F.col("id").alias("page_id"), "title", F.when(F.col("id") == 3, "p-4").otherwise(F.col("alias")).alias("alias"), F.concat(F.lit("old "), "body").alias("body"), "tags", "status", (F.col("id") + 3).alias("parent_id"), "properties")
+    updates = history.restore_updates(revisions.filter("page_id <> 7"), pages)
+    after, written, refused = lifecycle.update_pages(pages, updates, "rest", NOW)
+    found = {row.id: (row.alias, row.body, row.parent_id) for row in after.collect()}
+    assert found[3] == ("p-4-2", "old body 3", 6) and found[6] == ("p-6", "old body 6", None) and found[7] == ("p-7", "body 7", None)
+    assert sorted((row.page_id, row.body, row.alias) for row in written.collect()) == [(number, f"body {number}", f"p-{number}") for number in range(1, 7)] and refused.isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame, most in ((updates, 1), (after, 2), (written.select("page_id", "source"), 0)):
+            assert _moving_bodies(frame) <= most
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _moving_bodies(frame):
+    """Exchanges of the plan whose rows hold a body."""
+    found, open_nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while open_nodes:
+        node = open_nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        found += node.nodeName() == "Exchange" and "body" in [node.output().apply(at).name() for at in range(node.output().size())]
+        children = node.children()
+        open_nodes += [children.apply(at) for at in range(children.size())]
+    return found
