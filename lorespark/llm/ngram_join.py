@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.arrays import SPACED, bounded_batches, byte_values, class_table, drop_model, mix, range_hashes, text_slices, word_spans
-from lorespark.llm.lookup import components, id_bitmap, key_bitmap, marked, row_filter, rows_without, with_place
+from lorespark.llm.lookup import components, id_bitmap, key_bitmap, marked, merged, row_filter, rows_without, with_place
 from lorespark.session import recorded, release, ship, written
 
 _TABLE = class_table(SPACED, lower=True)
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 keep.append(100 * common >= percent * (len(sides[0]) + len(sides[1]) - common))
             yield batch.select(range(4)).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, ["rep_a", "a"]).join(right, ["rep_b", "b"])
+    joined = pairs.join(left, ["rep_a", "a"]).join(merged(right), ["rep_b", "b"])
     flat = joined.select(F.col("a.n").alias("n_a"), F.col("a.cls").alias("cls_a"), F.col("b.n").alias("n_b"), F.col("b.cls").alias("cls_b"), "text_a", "text_b")
     held = flat.mapInArrow(compare, "n_a long, cls_a long, n_b long, cls_b long").distinct()
     return held.select(F.struct(F.col("n_a").alias("n"), F.col("cls_a").alias("cls")).alias("a"), F.struct(F.col("n_b").alias("n"), F.col("cls_b").alias("cls")).alias("b"))

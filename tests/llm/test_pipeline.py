@@ -9,7 +9,7 @@ from test_ngram_join import brute as brute_components
 
 import corpus_pipeline
 from lorespark import session
-from lorespark.llm import bpe_codec, language_id
+from lorespark.llm import bpe_codec, language_id, ngram_join, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,3 +97,33 @@ def tables(spark):
     """Written tables and checkpoints that hold anything."""
     folder = session.shared_folder(spark).removeprefix("file:")
     return {os.path.join(at, name) for at, names, _ in os.walk(folder) for name in names if name.startswith(("written-", "rdd-"))}
+
+
+def most_python_steps(node, above=0):
+    """Python steps of the plan of a frame that one task runs, at most; `above`: those between the node and the shuffle over it."""
+    kind, children = node.nodeName(), node.children()
+    if kind.startswith("AdaptiveSparkPlan"):
+        return most_python_steps(node.executedPlan(), above)
+    if kind.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage")):
+        return max(above, most_python_steps(node.plan(), above if kind.startswith("Result") else 0))
+    above = 0 if "Exchange" in kind else above + kind.startswith(("MapInArrow", "FlatMapGroupsInArrow"))
+    return max([above, *(most_python_steps(children.apply(at), above) for at in range(children.size()))])
+
+
+def test_a_task_holds_one_python_worker(spark, tmp_path):
+    """Small sides would be broadcast, which leaves the steps before and after a join in one task; its second worker would stay."""
+    _, rows = small_corpus(spark)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    frames = [suffix_dedup.shorten(docs), suffix_dedup.dedup(docs), substring_dedup.dedup(docs), ngram_join.link(docs)]
+
+    plain = docs.selectExpr("doc_id AS _id", "text AS _text")
+    sets = {row.id: (row.n, row.cls) for row in ngram_join.signatures(plain, 5, 10).filter("not is_counter").collect()}
+    kind = "struct<n:bigint,cls:bigint>"
+    pairs = spark.createDataFrame([(rows[4][0], 10_001, sets[rows[4][0]], sets[10_001])], f"rep_a long, rep_b long, a {kind}, b {kind}")
+    frames.append(ngram_join.verified(pairs, plain, 5, 80))
+
+    for frame in frames:
+        assert len(frame.collect()) > 0
+        assert most_python_steps(frame._jdf.queryExecution().executedPlan()) <= 1
+    session.remove_written(spark)
